@@ -4,17 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-CACHE = T.StructType.fromDDL("name STRING, path STRING, exclusive BOOLEAN")
-MOUNT = T.StructType.fromDDL("host STRING, container STRING")
 INPUT = T.StructType.fromDDL("step STRING, copy_to_output BOOLEAN, optional BOOLEAN")
-SETUP = T.StructType(
-    [
-        T.StructField("cmd", T.ArrayType(T.StringType())),
-        T.StructField("caches", T.ArrayType(CACHE)),
-        T.StructField("allow_network", T.BooleanType()),
-    ]
-)
-
 # The definition files use these camelCase keys; the tables use snake_case.
 STEP_DOCUMENT = T.StructType.fromDDL(
     """id STRING, name STRING, image STRING, cmd ARRAY<STRING>,
@@ -29,6 +19,20 @@ STEP_DOCUMENT = T.StructType.fromDDL(
     timeoutSec DOUBLE, allowFailure BOOLEAN, allowNetwork BOOLEAN,
     retries INT, retryDelayMs BIGINT, `if` STRING, uses STRING, `with` MAP<STRING, STRING>"""
 )
+# Same fields in the same order as STEP_DOCUMENT.
+STEP_DEFINITION = T.StructType.fromDDL(
+    """id STRING, name STRING, image STRING, cmd ARRAY<STRING>,
+    setup STRUCT<cmd: ARRAY<STRING>, caches: ARRAY<STRUCT<name: STRING, path: STRING, exclusive: BOOLEAN>>,
+                 allow_network: BOOLEAN>,
+    env MAP<STRING, STRING>, env_file STRING,
+    inputs ARRAY<STRUCT<step: STRING, copy_to_output: BOOLEAN, optional: BOOLEAN>>,
+    output_path STRING,
+    caches ARRAY<STRUCT<name: STRING, path: STRING, exclusive: BOOLEAN>>,
+    mounts ARRAY<STRUCT<host: STRING, container: STRING>>,
+    sources ARRAY<STRUCT<host: STRING, container: STRING>>,
+    timeout_sec DOUBLE, allow_failure BOOLEAN, allow_network BOOLEAN,
+    retries INT, retry_delay_ms BIGINT, condition STRING, uses STRING, params MAP<STRING, STRING>"""
+)
 PIPELINE_DOCUMENT = T.StructType(
     [
         T.StructField("id", T.StringType()),
@@ -64,28 +68,7 @@ ENVELOPE_DOCUMENT = T.StructType(
     ]
 )
 
-# Column name in the tables -> key in the documents.
-EVENT_KEYS = {
-    "event": "event",
-    "workspace_id": "workspaceId",
-    "job_id": "jobId",
-    "group_id": "groupId",
-    "pipeline_name": "pipelineName",
-    "steps": "steps",
-    "step": "step",
-    "run_id": "runId",
-    "reason": "reason",
-    "duration_ms": "durationMs",
-    "artifact_size": "artifactSize",
-    "ephemeral": "ephemeral",
-    "exit_code": "exitCode",
-    "attempt": "attempt",
-    "max_retries": "maxRetries",
-    "total_artifact_size": "totalArtifactSize",
-    "stream": "stream",
-    "line": "line",
-}
-
+# Same fields in the same order as EVENT_DOCUMENT, so a cast renames them.
 EVENT = T.StructType.fromDDL(
     """event STRING, workspace_id STRING, job_id STRING, group_id STRING, pipeline_name STRING,
     steps ARRAY<STRUCT<id: STRING, display_name: STRING>>, step STRUCT<id: STRING, display_name: STRING>,

@@ -1,0 +1,52 @@
+"""Reuse of results by fingerprint."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from stepledger.storage import path_exists
+
+
+def committed(spark: SparkSession, path: str) -> bool:
+    return path_exists(spark, f"{path}/_SUCCESS")
+
+
+def materialize_if_changed(
+    spark: SparkSession,
+    compute: Callable[[], DataFrame],
+    fingerprint: str,
+    path: str,
+    force: bool = False,
+    failure_schema: T.StructType | str | None = None,
+) -> DataFrame:
+    """The result for this fingerprint: read back if it was committed before, else computed and written.
+
+    A failed computation commits nothing and is tried again next time. If failures are allowed
+    (``failure_schema`` given) the failure is committed as an empty table, which is reused like any result.
+    """
+    target = f"{path}/fp={fingerprint}"
+    if force or not committed(spark, target):
+        try:
+            compute().write.mode("overwrite").parquet(target)
+        except Exception:
+            if failure_schema is None:
+                raise
+            spark.createDataFrame([], failure_schema).write.mode("overwrite").parquet(target)
+    return spark.read.parquet(target)
+
+
+def output_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Committed results below ``path``: ``(fingerprint, files, bytes)``."""
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.parquet")
+        .load(path)
+    )
+    return files.groupBy(F.regexp_extract("path", "fp=([^/]+)/", 1).alias("fingerprint")).agg(
+        F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes")
+    )
