@@ -1,0 +1,46 @@
+"""Named DataFrame functions that build on each other."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable
+from graphlib import TopologicalSorter
+
+from pyspark.sql import DataFrame
+
+StepFunction = Callable[..., DataFrame]
+
+
+class StepRegistry:
+    """Functions ``DataFrame(s) -> DataFrame`` under a name, each with the names of its inputs."""
+
+    def __init__(self) -> None:
+        self._steps: dict[str, tuple[StepFunction, tuple[str, ...]]] = {}
+
+    def register(self, name: str, inputs: Iterable[str] = ()) -> Callable[[StepFunction], StepFunction]:
+        """Decorator: the function gets one DataFrame per input, in this order."""
+
+        def add(function: StepFunction) -> StepFunction:
+            self._steps[name] = (function, tuple(inputs))
+            return function
+
+        return add
+
+    def compose(self, targets: Iterable[str], sources: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """The lazy DataFrames of the targets; only what a target needs is called, each function once."""
+        targets = list(targets)
+        needed: dict[str, tuple[str, ...]] = {}
+        pending = list(targets)
+        while pending:
+            name = pending.pop()
+            if name in needed or name in sources:
+                continue
+            if name not in self._steps:
+                raise LookupError(f"Unknown step: {name}")
+            needed[name] = self._steps[name][1]
+            pending.extend(needed[name])
+        results = dict(sources)
+        for name in TopologicalSorter(needed).static_order():
+            if name not in results:
+                function, inputs = self._steps[name]
+                results[name] = function(*[results[i] for i in inputs])
+        return {name: results[name] for name in targets}

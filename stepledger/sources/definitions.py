@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stepledger import schemas as S
 from stepledger.functions.text import derive_id
-from stepledger.sources.paths import decoded
+from stepledger.sources.paths import decoded, plain
 
 # The definition file of a folder, first wins.
 DEFINITION_FILES = ("pipeline.yml", "pipeline.yaml", "pipeline.json")
@@ -41,13 +41,13 @@ def read_pipelines(spark: SparkSession, path: str, glob: str = "*.json") -> tupl
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .load(path)
-        .select("path")
+        .select(plain(F.col("path")).alias("path"))
     )
     name = F.substring_index("path", "/", -1)
     shadowed = (
         listing.filter(name.isin(*DEFINITION_FILES))
         .join(definition_files(listing).select("path"), "path", "left_anti")
-        .select(decoded(F.col("path")).alias("file"))
+        .withColumnRenamed("path", "file")
     )
     documents = (
         spark.read.schema(S.PIPELINE_DOCUMENT)

@@ -11,9 +11,14 @@ RUN_FILE_PATH = r"([^/]+)/runs/([^/]+)/(.+)$"
 STATE_PATH = r"([^/]+)/state\.json$"
 
 
+def plain(path: Column) -> Column:
+    """A local path with one slash after the scheme, however the reader reports it."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
 def decoded(path: Column) -> Column:
-    """The file path as it is named on disk; Spark reports it URL-encoded."""
-    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    """``_metadata.file_path``, which is URL-encoded, as the file is named on disk."""
+    return plain(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))))
 
 
 def path_part(path: Column, pattern: str, group: int) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stepledger.storage import path_exists
@@ -38,15 +37,3 @@ def materialize_if_changed(
             spark.createDataFrame([], failure_schema).write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)
 
-
-def output_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Committed results below ``path``: ``(fingerprint, files, bytes)``."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.parquet")
-        .load(path)
-    )
-    return files.groupBy(F.regexp_extract("path", "fp=([^/]+)/", 1).alias("fingerprint")).agg(
-        F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes")
-    )

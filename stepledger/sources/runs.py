@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,10 +11,12 @@ from pyspark.sql import types as T
 from stepledger import schemas as S
 from stepledger.functions.paths import resolve_path, within_boundary
 from stepledger.operators.history import current_run
-from stepledger.sources.paths import RUN_FILE_PATH, RUN_PATH, STATE_PATH, decoded, path_part, read_lines
+from stepledger.sources.paths import RUN_FILE_PATH, RUN_PATH, STATE_PATH, decoded, path_part, plain, read_lines
 
 # Artifacts whose paths may be handed from the driver to a reader; more are found by a join.
 READ_LIMIT = 10_000
+# Characters that a reader would expand in a path.
+_GLOB = re.compile(r"[\[\]{}*?\\]")
 
 _RUN_COLUMNS = {
     "stepId": "step_id",
@@ -27,7 +31,7 @@ _RUN_COLUMNS = {
 
 def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """``(path, name, length, modified_at)`` of every file below ``root``; no file is opened."""
-    path = decoded(F.col("path"))
+    path = plain(F.col("path"))
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
@@ -157,7 +161,7 @@ def read_artifacts(
     wanted = current_run(requests, state).withColumn("error", error).withColumn(
         "key", F.when(F.col("error").isNull(), resolve_path(base, F.col("path")))
     )
-    key = F.regexp_extract(decoded(F.col("file")), r"(/[^/]+/runs/[^/]+/artifacts/.+)$", 1)
+    key = F.regexp_extract(plain(F.col("file")), r"(/[^/]+/runs/[^/]+/artifacts/.+)$", 1)
     listing = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
@@ -169,7 +173,7 @@ def read_artifacts(
     reader = spark.read.format("binaryFile")
     if not names:
         content = found.select("key", F.lit(None).cast("binary").alias("content")).limit(0)
-    elif len(names) <= read_limit:
+    elif len(names) <= read_limit and not any(_GLOB.search(name) for name in names):
         content = reader.load(names).select(F.col("path").alias("file"), "content").select(key.alias("key"), "content")
     else:
         content = (
