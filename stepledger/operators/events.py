@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepledger import schemas as S
@@ -26,7 +26,7 @@ def event_envelope(events: DataFrame) -> DataFrame:
     """Wrap flat events that carry ``seq`` and ``timestamp``; fields an event lacks become null."""
     have = set(events.columns)
 
-    def field(name: str, data_type):
+    def field(name: str, data_type: str) -> Column:
         if name == "event":
             return F.col("type").alias(name)
         if name == "step":
@@ -40,7 +40,7 @@ def event_envelope(events: DataFrame) -> DataFrame:
         "timestamp",
         F.lit(1).alias("version"),
         "type",
-        F.struct(*[field(f.name, f.dataType) for f in S.EVENT.fields]).alias("event"),
+        F.struct(*[field(name, data_type) for name, data_type in S.EVENT.items()]).alias("event"),
     )
 
 

@@ -65,10 +65,10 @@ def add_exec_inputs(steps: DataFrame, resolved: DataFrame) -> DataFrame:
             name.alias("step"),
             F.lit(None).cast("boolean").alias("copy_to_output"),
             F.lit(None).cast("boolean").alias("optional"),
-        ).cast(S.INPUT),
+        ).cast(S.struct(S.INPUT)),
     )
     inputs = F.when(F.col("aliases").isNull(), F.col("inputs")).otherwise(
-        F.concat(F.coalesce("inputs", F.array().cast(f"array<{S.INPUT.simpleString()}>")), added)
+        F.concat(F.coalesce("inputs", F.array().cast(f"array<{S.struct(S.INPUT)}>")), added)
     )
     return steps.join(aliases, ["workspace_id", "step_id"], "left").withColumn("inputs", inputs).drop("aliases")
 

@@ -67,6 +67,9 @@ def category_summary_job(languages: DataFrame, list_size: int = 1000) -> tuple[D
     best = rated_categories(best_category(analysis)).select(
         F.struct(F.col("category").alias("name"), F.col("avg_score").alias("avgScore"), "rating").alias("bestCategory")
     )
-    totals = total_languages(lists).select(F.col("total_languages").alias("totalLanguages"), F.lit(1).alias("one"))
-    summary = totals.join(best.withColumn("one", F.lit(1)), "one").drop("one")
+    totals = total_languages(lists).select(F.col("total_languages").alias("totalLanguages"))
+    # One row each: put below each other and folded into one row, which needs no join.
+    summary = totals.unionByName(best, allowMissingColumns=True).agg(
+        F.max("totalLanguages").alias("totalLanguages"), F.max("bestCategory").alias("bestCategory")
+    )
     return summary, categories

@@ -50,7 +50,7 @@ def read_pipelines(spark: SparkSession, path: str, glob: str = "*.json") -> tupl
         .withColumnRenamed("path", "file")
     )
     documents = (
-        spark.read.schema(S.PIPELINE_DOCUMENT)
+        spark.read.schema(S.ddl(S.PIPELINE_DOCUMENT))
         .option("multiLine", True)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
@@ -67,7 +67,7 @@ def read_pipelines(spark: SparkSession, path: str, glob: str = "*.json") -> tupl
         F.size("steps").alias("n_steps"),
     )
     steps = documents.select("pipeline_id", F.posexplode("steps").alias("pos", "step"))
-    step_defs = steps.select("pipeline_id", "pos", F.col("step").cast(S.STEP_DEFINITION).alias("step")).select(
+    step_defs = steps.select("pipeline_id", "pos", F.col("step").cast(S.struct(S.STEP)).alias("step")).select(
         "pipeline_id", "pos", derive_id(F.col("step.id"), F.col("step.name")).alias("step_id"), "step.*"
     )
     return pipelines, step_defs

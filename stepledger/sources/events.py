@@ -6,13 +6,12 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stepledger import schemas as S
 from stepledger.storage import remove_path, work_path
 
 _CORRUPT = "_corrupt"
-_PARSED = T.StructType([*S.ENVELOPE_DOCUMENT.fields, T.StructField(_CORRUPT, T.StringType())])
+_PARSED = S.ddl({**S.ENVELOPE_DOCUMENT, _CORRUPT: "STRING"})
 
 
 def parse_envelopes(lines: DataFrame) -> DataFrame:
@@ -23,7 +22,7 @@ def parse_envelopes(lines: DataFrame) -> DataFrame:
         lines.filter(text != "")
         .select(parsed.alias("e"))
         .filter(F.col(f"e.{_CORRUPT}").isNull())
-        .select("e.seq", "e.timestamp", "e.version", "e.type", F.col("e.event").cast(S.EVENT).alias("event"))
+        .select("e.seq", "e.timestamp", "e.version", "e.type", F.col("e.event").cast(S.struct(S.EVENT)).alias("event"))
     )
 
 
@@ -33,7 +32,7 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 def envelope_lines(events: DataFrame) -> DataFrame:
     """Envelopes as one compact JSON object per ``value``; absent fields are left out."""
-    document = F.struct("seq", "timestamp", "version", "type", F.col("event").cast(S.EVENT_DOCUMENT).alias("event"))
+    document = F.struct("seq", "timestamp", "version", "type", F.col("event").cast(S.struct(S.EVENT_DOCUMENT)).alias("event"))
     options = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSX", "timeZone": "UTC"}
     return events.select(F.to_json(document, options).alias("value"))
 

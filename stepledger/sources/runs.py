@@ -6,7 +6,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stepledger import schemas as S
 from stepledger.functions.paths import resolve_path, within_boundary
@@ -18,16 +17,6 @@ READ_LIMIT = 10_000
 # Characters that a reader would expand in a path.
 _GLOB = re.compile(r"[\[\]{}*?\\]")
 
-_RUN_COLUMNS = {
-    "stepId": "step_id",
-    "stepName": "step_name",
-    "startedAt": "started_at",
-    "finishedAt": "finished_at",
-    "durationMs": "duration_ms",
-    "exitCode": "exit_code",
-    "allowNetwork": "allow_network",
-}
-
 
 def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """``(path, name, length, modified_at)`` of every file below ``root``; no file is opened."""
@@ -65,7 +54,7 @@ def read_runs(
 
     ``listed`` adds the runs that have files but no metadata file.
     """
-    schema = T.StructType([*S.RUN_DOCUMENT.fields, T.StructField("_corrupt", T.StringType())])
+    schema = S.ddl({**S.RUN_DOCUMENT, "_corrupt": "STRING"})
     documents = (
         spark.read.schema(schema)
         .option("multiLine", True)
@@ -78,9 +67,9 @@ def read_runs(
     )
     valid = F.col("_corrupt").isNull()
     fields = [
-        F.when(valid, F.col(f.name)).alias(_RUN_COLUMNS.get(f.name, f.name))
-        for f in S.RUN_DOCUMENT.fields
-        if f.name != "runId"
+        F.when(valid, F.col(key).cast(data_type)).alias(name)
+        for key, (name, data_type) in zip(S.RUN_DOCUMENT, S.RUN.items(), strict=True)
+        if name != "run_id"
     ]
     runs = documents.select(
         path_part(F.col("file"), pattern, 1).alias("workspace_id"),
@@ -105,7 +94,7 @@ def read_state(
     others as written.
     """
     documents = (
-        spark.read.schema(S.STATE_DOCUMENT)
+        spark.read.schema(S.ddl(S.STATE_DOCUMENT))
         .option("multiLine", True)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
