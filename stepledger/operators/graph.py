@@ -56,7 +56,7 @@ def existing_deps(edges: DataFrame, steps: DataFrame) -> DataFrame:
 
 def leaf_steps(steps: DataFrame, edges: DataFrame) -> DataFrame:
     """Steps that no step depends on. The depended-on names are made distinct before the join."""
-    depended = edges.groupBy(P, F.col("dep_id").alias("step_id")).agg()
+    depended = edges.select(P, F.col("dep_id").alias("step_id")).distinct()
     return steps.join(depended, _NODE, "left_anti")
 
 
