@@ -352,7 +352,7 @@ def pipelines(v: Views) -> DataFrame:
 def dotenv(v: Views) -> DataFrame:
     number = F.col("s_suppkey").cast("string")
     text = F.concat(
-        F.lit("# comment\n\nNAME_"), number, F.lit("="), F.col("s_name"), F.lit(" # tail\nexport Q_"), number,
+        F.lit("# comment\n\nNAME_"), number, F.lit("='"), F.col("s_name"), F.lit("' # tail\nexport Q_"), number,
         F.lit(" = \"a b # "), number, F.lit("\"\nSAME='other'\nSAME=same"),
     )
     path = work_path(v.spark, "env")

@@ -24,27 +24,30 @@ _JS_NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 _MARK = "\u0001"
 
 
-def _operand(token: Column, env: Column) -> Column:
-    """A value with its kind: string, number, boolean, object or undefined."""
-    quoted = token.rlike("^[\"']")
+def _looked_up(token: Column, env: Column) -> Column:
+    """A token with its text: that of a quoted string or of a variable, null for anything else."""
     inner = F.regexp_replace(F.substring(token, F.lit(2), F.length(token) - 2), r"\\(.)", "$1")
-    variable = F.regexp_extract(token, r"^env\.([^.]+)$", 1)
-    looked_up = F.when(variable != "", F.try_element_at(env, variable))
+    text = F.when(token.rlike("^[\"']"), inner).when(
+        token.rlike(r"^env\.[^.]+$"), F.try_element_at(env, F.substring(token, F.lit(5), F.length(token)))
+    )
+    return F.struct(token.alias("token"), text.alias("text"))
+
+
+def _value(operand: Column) -> Column:
+    """A looked-up token with its kind (string, number, boolean, object or undefined) and number."""
+    token, text = operand["token"], operand["text"]
+    trimmed = F.trim(text)
     kind = (
-        F.when(quoted, F.lit("string"))
+        F.when(text.isNotNull(), F.lit("string"))
         .when(token.rlike("^[-.0-9]"), F.lit("number"))
         .when(token.isin("true", "false"), F.lit("boolean"))
         .when(token == "env", F.lit("object"))
-        .when(looked_up.isNotNull(), F.lit("string"))
         .otherwise(F.lit("undefined"))
     )
-    text = F.when(quoted, inner).otherwise(looked_up)
-    trimmed = F.trim(text)
     number = (
-        F.when(kind == "number", token.try_cast("double"))
-        .when(kind == "boolean", (token == "true").cast("double"))
-        .when((kind == "string") & (trimmed == ""), F.lit(0.0))
-        .when((kind == "string") & trimmed.rlike(_JS_NUMBER), trimmed.try_cast("double"))
+        F.when(text.isNotNull(), F.when(trimmed == "", F.lit(0.0)).when(trimmed.rlike(_JS_NUMBER), trimmed.try_cast("double")))
+        .when(token.rlike("^[-.0-9]"), token.try_cast("double"))
+        .when(token.isin("true", "false"), (token == "true").cast("double"))
     )
     return F.struct(kind.alias("kind"), text.alias("text"), number.alias("number"))
 
@@ -81,13 +84,20 @@ def _compare(left: Column, operator: Column, right: Column) -> Column:
     )
 
 
-def _judge(term: Column, env: Column) -> Column:
-    left = _operand(term["left"], env)
-    right = _operand(term["right"], env)
-    holds = F.when(term["operator"] == "", _truthy(left)).otherwise(_compare(left, term["operator"], right))
+def _judge(term: Column) -> Column:
+    left, operator, right = term["left"], term["operator"], term["right"]
+    holds = F.when(operator == "", _truthy(left)).otherwise(_compare(left, operator, right))
     return F.when(holds, F.lit("T")).otherwise(F.lit("F"))
 
 
+def _verdicts(condition: Column, env: Column) -> Column:
+    """``T`` or ``F`` for every term, in steps so that each part of a term is worked out once."""
+    part = lambda group: F.regexp_extract_all(condition, F.lit(_TERM), group)
+    value = lambda tokens: F.transform(F.transform(tokens, lambda t: _looked_up(t, env)), _value)
+    terms = F.arrays_zip(value(part(1)).alias("left"), part(2).alias("operator"), value(part(3)).alias("right"))
+    return F.transform(terms, _judge)
+
+
 def _reduce(skeleton: Column) -> Column:
     for pattern, result in (
         ("!T", "F"),
@@ -104,17 +114,11 @@ def _reduce(skeleton: Column) -> Column:
 
 def eval_condition(condition: Column, env: Column) -> Column:
     """True without a condition; otherwise the truth of the condition, false if it is not valid."""
-    terms = F.arrays_zip(
-        F.regexp_extract_all(condition, F.lit(_TERM), 1).alias("left"),
-        F.regexp_extract_all(condition, F.lit(_TERM), 2).alias("operator"),
-        F.regexp_extract_all(condition, F.lit(_TERM), 3).alias("right"),
-    )
-    verdicts = F.transform(terms, lambda term: _judge(term, env))
     frame = F.regexp_replace(condition, _TERM, _MARK)
     frame = F.replace(F.replace(frame, F.lit("&&"), F.lit("a")), F.lit("||"), F.lit("o"))
     pieces = F.split(F.regexp_replace(frame, r"\s+", ""), _MARK)
     skeleton = F.array_join(
-        F.zip_with(pieces, verdicts, lambda piece, verdict: F.concat(piece, F.coalesce(verdict, F.lit("")))), ""
+        F.zip_with(pieces, _verdicts(condition, env), lambda piece, verdict: F.concat(piece, F.coalesce(verdict, F.lit("")))), ""
     )
     result = F.aggregate(F.sequence(F.lit(1), F.length(skeleton) + 1), skeleton, lambda text, _: _reduce(text))
     # `!a == b` compares a boolean; that form is outside the supported expressions.
