@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from checks.base import Views, check
@@ -11,7 +11,7 @@ from stepledger.functions.formats import format_finished, shown_duration, shown_
 from stepledger.operators import history as H
 from stepledger.plans.steps import StepRegistry
 from stepledger.sources.reuse import materialize_if_changed
-from stepledger.sources.runs import export_step_output, read_artifacts, read_runs, read_state
+from stepledger.sources.runs import export_step_output, list_files, read_artifacts, read_runs, read_state
 from stepledger.storage import work_path
 
 _KEY = ["workspace_id", "step_id"]
@@ -194,8 +194,6 @@ def latest(v: Views) -> DataFrame:
     SELECT workspace_id, step_id, run_id, fingerprint, row_number() OVER (PARTITION BY workspace_id ORDER BY turn) AS place FROM merged""",
 )
 def upsert(v: Views) -> DataFrame:
-    from pyspark.sql import Window
-
     by_name = Window.partitionBy("workspace_id").orderBy("step_id")
     old = v.state().filter("step_id < 'step5'").withColumn("pos", F.row_number().over(by_name) - 1)
     number = F.col("run_id").cast("bigint")
@@ -306,8 +304,8 @@ def runs_read(v: Views) -> DataFrame:
 
 @check(
     "s3_read_state",
-    """SELECT CAST(s_nationkey AS VARCHAR) AS workspace_id, concat('step', s_suppkey) AS step_id, concat('run', s_suppkey) AS run_id, s_name AS fingerprint,
-      row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS pos FROM supplier""",
+    """SELECT concat(s_nationkey, '-', s_suppkey // 1000) AS workspace_id, concat('step', s_suppkey) AS step_id, concat('run', s_suppkey) AS run_id, s_name AS fingerprint,
+      row_number() OVER (PARTITION BY s_nationkey, s_suppkey // 1000 ORDER BY s_suppkey) - 1 AS pos FROM supplier""",
 )
 def state_read(v: Views) -> DataFrame:
     entry = F.struct(
@@ -316,7 +314,7 @@ def state_read(v: Views) -> DataFrame:
     )
     documents = (
         v.table("supplier")
-        .groupBy(F.col("s_nationkey").alias("nation"))
+        .groupBy(F.expr("concat(s_nationkey, '-', s_suppkey div 1000)").alias("nation"))  # at most 1000 steps each
         .agg(F.array_sort(F.collect_list(F.struct("s_suppkey", entry.alias("entry")))).alias("entries"))
         .select("nation", F.to_json(F.struct(F.map_from_entries("entries.entry").alias("steps"))).alias("value"))
     )
@@ -331,15 +329,11 @@ def state_read(v: Views) -> DataFrame:
       CASE WHEN s_suppkey % 7 = 0 THEN concat('Step not found: none', s_suppkey) WHEN s_suppkey % 5 = 0 THEN 'Invalid path: must be within artifacts directory' ELSE '-' END AS error FROM supplier""",
 )
 def artifacts(v: Views) -> DataFrame:
-    # One table per run: /<nation>/runs/<supplier>/artifacts cannot be written with `=` in folder names, so
-    # the folders are made by one write per nation, whose number does not grow with the data.
     suppliers = v.table("supplier").withColumn("nation", F.col("s_nationkey").cast("string"))
     root = work_path(v.spark, "artifacts")
-    nations = [row.nation for row in suppliers.select("nation").distinct().collect()]
-    for nation in nations:
-        suppliers.filter(F.col("nation") == nation).select(
-            F.concat(F.lit("name="), "s_name").alias("value"), F.col("s_suppkey").alias("s")
-        ).write.partitionBy("s").text(f"{root}/{nation}/runs/all/artifacts")
+    suppliers.select(
+        F.concat(F.lit("name="), "s_name").alias("value"), "nation", F.lit("all").alias("run"), F.col("s_suppkey").alias("s")
+    ).write.partitionBy("nation", "run", "s").text(root)
     requests = suppliers.select(
         F.col("s_suppkey").alias("id"),
         F.col("nation").alias("workspace_id"),
@@ -348,16 +342,14 @@ def artifacts(v: Views) -> DataFrame:
     state = suppliers.select(
         F.col("nation").alias("workspace_id"), F.lit("build").alias("step_id"), F.lit("all").alias("run_id")
     ).distinct()
-    from stepledger.sources.runs import list_files
-
     written = list_files(v.spark, root).select(
         F.regexp_extract("path", "/s=([0-9]+)/", 1).cast("bigint").alias("id"),
-        F.regexp_extract("path", "/artifacts/(.*)$", 1).alias("file"),
+        F.regexp_extract("path", "/run=all/(.*)$", 1).alias("file"),
     )
-    climbing = F.concat(F.lit("../../other/artifacts/"), "file")
+    climbing = F.concat(F.lit("../run=other/"), "file")
     path = F.when(F.col("id") % 5 == 0, climbing).otherwise(F.concat(F.lit("./x/../"), "file"))
     asked = requests.join(written, "id").withColumn("path", path).drop("file")
-    return read_artifacts(v.spark, root, asked, state).select(
+    return read_artifacts(v.spark, root, asked, state, layout="nation={workspace_id}/run={run_id}").select(
         "id",
         F.coalesce(F.decode("content", "utf-8"), F.lit("-")).alias("content"),
         F.coalesce("error", F.lit("-")).alias("error"),

@@ -53,6 +53,12 @@ def ignore_rule(line: str) -> tuple[str, bool] | None:
     return f"(?i)^{start}{body}{'/' if folder_only else '/?'}$", ignore
 
 
+def _at_or_below(rules: list[tuple[str, bool]], ignore: bool) -> str | None:
+    """One regex for the paths at or below anything that the ignoring (or keeping) rules match."""
+    bodies = [regex.removeprefix("(?i)").removesuffix("$").removesuffix("?") for regex, kind in rules if kind is ignore]
+    return "(?i)" + "|".join(f"(?:{body}.*$)" for body in bodies) if bodies else None
+
+
 def _verdict(path: Column, rules: list[tuple[str, bool]]) -> Column:
     """The last matching rule decides."""
     return reduce(lambda rest, rule: F.when(path.rlike(rule[0]), F.lit(rule[1])).otherwise(rest), rules, F.lit(False))
@@ -64,7 +70,16 @@ def is_ignored(path: Column, patterns: Iterable[str] = ()) -> Column:
     A path is tested as a file and as a folder. Nothing below an ignored folder can be kept again.
     """
     rules = [rule for rule in map(ignore_rule, (*DEFAULT_IGNORES, *patterns)) if rule]
+    # Most paths are settled by one regex: no ignoring rule is met, or one is and no keeping rule is.
+    # Only where both kinds are met does the order of the rules matter, folder by folder.
+    as_folder = F.concat(path, F.lit("/"))
+    met = as_folder.rlike(_at_or_below(rules, True))
+    kept = _at_or_below(rules, False)
+    if kept is None:
+        return F.when(path == "", F.lit(False)).otherwise(met)
     folders = F.filter(ancestors(path), lambda folder: folder != "")
     below = F.exists(folders, lambda folder: _verdict(F.concat(folder, F.lit("/")), rules))
     itself = _verdict(path, rules) | _verdict(F.concat(path, F.lit("/")), rules)
-    return F.when(path == "", F.lit(False)).otherwise(below | itself)
+    return (
+        F.when((path == "") | ~met, F.lit(False)).when(~as_folder.rlike(kept), F.lit(True)).otherwise(below | itself)
+    )

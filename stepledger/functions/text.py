@@ -57,16 +57,19 @@ def _accented_letters() -> dict[str, str]:
 
 def strip_accents(text: Column) -> Column:
     letters = _accented_letters()
-    result = F.translate(text, "".join(letters), "".join(letters.values()))
+    single = F.translate(text, "".join(letters), "".join(letters.values()))
+    double = single
     for letter, plain in _DOUBLE_LETTERS.items():
-        result = F.replace(result, F.lit(letter), F.lit(plain))
+        double = F.replace(double, F.lit(letter), F.lit(plain))
+    result = F.when(single.rlike("[" + "".join(_DOUBLE_LETTERS) + "]"), double).otherwise(single)
     return F.regexp_replace(result, _COMBINING_MARKS, "")
 
 
 def slugify(name: Column) -> Column:
     """A free-form name as an identifier of ``[a-z0-9_-]``."""
-    dashed = F.regexp_replace(F.lower(strip_accents(name)), "[^A-Za-z0-9_-]+", "-")
-    return F.regexp_replace(F.regexp_replace(dashed, "-{2,}", "-"), "^-|-$", "")
+    # A run of dashes and other characters becomes one dash.
+    dashed = F.regexp_replace(F.lower(strip_accents(name)), "[^A-Za-z0-9_]+", "-")
+    return F.regexp_replace(dashed, "^-|-$", "")
 
 
 def derive_id(id_: Column, name: Column) -> Column:

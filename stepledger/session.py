@@ -1,4 +1,4 @@
-"""A session for tests and benchmarks on one machine; a cluster brings its own."""
+"""Runtime settings, and a session for tests and benchmarks on one machine; a cluster brings its own."""
 
 from __future__ import annotations
 
@@ -7,20 +7,35 @@ import os
 from pyspark.sql import SparkSession
 
 
+# Settings that the operators rely on: instants are UTC; a join with a hot key is split at run time, even
+# where that costs one more shuffle.
+RUNTIME = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply the runtime settings to a session that someone else has made."""
+    for key, value in RUNTIME.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cpus: str | int | None = None, **conf: str) -> SparkSession:
     cpus = cpus or os.environ.get("BENCH_CPUS", "8")
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("stepledger")
         .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
-    spark = builder.getOrCreate()
+    spark = configure(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark

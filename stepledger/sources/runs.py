@@ -12,6 +12,8 @@ from stepledger.functions.paths import resolve_path, within_boundary
 from stepledger.operators.history import current_run
 from stepledger.sources.paths import RUN_FILE_PATH, RUN_PATH, STATE_PATH, decoded, path_part, plain, read_lines
 
+# Where a run keeps its artifacts.
+ARTIFACT_FOLDER = "{workspace_id}/runs/{run_id}/artifacts"
 # Artifacts whose paths may be handed from the driver to a reader; more are found by a join.
 READ_LIMIT = 10_000
 # Characters that a reader would expand in a path.
@@ -134,15 +136,21 @@ def read_logs(spark: SparkSession, root: str, glob: str = "{stdout,stderr}.log",
 
 
 def read_artifacts(
-    spark: SparkSession, root: str, requests: DataFrame, state: DataFrame, read_limit: int = READ_LIMIT
+    spark: SparkSession,
+    root: str,
+    requests: DataFrame,
+    state: DataFrame,
+    layout: str = ARTIFACT_FOLDER,
+    read_limit: int = READ_LIMIT,
 ) -> DataFrame:
     """Content of the requested artifacts ``(workspace_id, step_id, path)`` of the current runs, or an error.
 
-    The requests are matched with a listing first. A modest number of matches is then read by name; beyond
+    ``layout`` names the artifact folder of a run below ``root``. The requests are matched with a listing first. A modest number of matches is then read by name; beyond
     ``read_limit`` the files are joined with the matches instead.
     """
-    base = F.concat_ws("/", F.lit("/"), "workspace_id", F.lit("runs"), "run_id", F.lit("artifacts"))
-    base = F.regexp_replace(base, "^//", "/")
+    base = F.format_string(
+        "/" + layout.format(workspace_id="%1$s", run_id="%2$s"), F.col("workspace_id"), F.col("run_id")
+    )
     inside = within_boundary(base, F.col("path"), base) & ~F.col("path").startswith("/")
     error = F.coalesce(
         "error", F.when(~inside, F.lit("Invalid path: must be within artifacts directory"))
@@ -150,7 +158,8 @@ def read_artifacts(
     wanted = current_run(requests, state).withColumn("error", error).withColumn(
         "key", F.when(F.col("error").isNull(), resolve_path(base, F.col("path")))
     )
-    key = F.regexp_extract(plain(F.col("file")), r"(/[^/]+/runs/[^/]+/artifacts/.+)$", 1)
+    folder = layout.format(workspace_id="[^/]+", run_id="[^/]+")
+    key = F.regexp_extract(plain(F.col("file")), rf"(/{folder}/.+)$", 1)
     listing = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
