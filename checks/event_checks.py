@@ -10,7 +10,7 @@ from stepledger.functions.formats import reason_label
 from stepledger.operators import events as E
 from stepledger.operators.sessions import current_session, fold_session_steps, fold_sessions
 from stepledger.sources.events import envelope_lines, read_events, write_events, write_fanout
-from stepledger.storage import work_path
+from stepledger.storage import materialize, work_path
 from stepledger.streaming.events import stream_events, stream_fanout, stream_log_tail
 from stepledger.streaming.sessions import session_snapshot, snapshot_steps, stream_sessions, write_sessions
 
@@ -75,7 +75,7 @@ def sessions(v: Views) -> DataFrame:
 
 @check("a12_session_steps", _SESSION_STEPS_SQL)
 def session_steps(v: Views) -> DataFrame:
-    return _session_steps(fold_session_steps(v.envelopes()))
+    return _session_steps(fold_session_steps(materialize(v.envelopes(), "events")))
 
 
 @check(
@@ -252,7 +252,7 @@ SELECT job_id, step_id, seq, line, row_number() OVER (PARTITION BY job_id, step_
 """,
 )
 def stderr_tail(v: Views) -> DataFrame:
-    return E.failed_stderr_tail(v.all_envelopes())
+    return E.failed_stderr_tail(materialize(v.all_envelopes(), "events"))
 
 
 def _run_to_end(writer, path: str) -> None:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepledger import schemas as S
+from stepledger.storage import materialize
 
 # Events of one job that share a join key; see _restarted_slices.
 SLICE = 100_000
@@ -43,33 +44,36 @@ def _folded(events: DataFrame, slice_rows: int) -> DataFrame:
     )
 
 
-def _jobs(folded: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Job-level facts per (job, slice) and, merged from those, per job."""
+def _pieces(folded: DataFrame) -> DataFrame:
+    """Job-level facts per (job, slice)."""
     is_start = F.col("type") == S.PIPELINE_START
     is_step = F.col("type").isin(*S.STEP_STATE_TYPES)
     is_end = F.col("type").isin(*S.TERMINAL_TYPES)
-    pieces = folded.groupBy("job_id", "slice").agg(
+    return folded.groupBy("job_id", "slice").agg(
         F.max(F.when(is_start, F.struct("seq", "timestamp", "workspace_id", "pipeline_name", "steps"))).alias("start"),
         F.min(F.when(is_start | is_step, F.struct("seq", "timestamp"))).alias("born"),
         F.min(F.when(is_step, F.col("seq"))).alias("first_step"),
         F.max(F.when(is_end, F.struct("seq", "type", "timestamp"))).alias("end"),
     )
-    jobs = pieces.groupBy("job_id").agg(
+
+
+def _jobs(pieces: DataFrame) -> DataFrame:
+    """The same facts per job."""
+    return pieces.groupBy("job_id").agg(
         F.max("start").alias("start"),
         F.min("born").alias("born"),
         F.min("first_step").alias("first_step"),
         F.max("end").alias("end"),
     )
-    return pieces, jobs
 
 
-def _restarted_slices(pieces: DataFrame, jobs: DataFrame, slice_rows: int) -> DataFrame:
+def _restarted_slices(pieces: DataFrame, slice_rows: int) -> DataFrame:
     """Start position of the restarted jobs, repeated for each slice that may hold older events.
 
     Joining on (job, slice) instead of the job alone keeps a job with very many events spread over many
     tasks. Jobs that start once, with their first event, need no filter and do not occur here.
     """
-    restarted = jobs.filter(F.col("start.seq") > F.col("first_step")).select(
+    restarted = _jobs(pieces).filter(F.col("start.seq") > F.col("first_step")).select(
         "job_id", F.col("start.seq").alias("start_seq")
     )
     return (
@@ -100,7 +104,7 @@ def _last(value: str, when: Column) -> Column:
     return F.max_by(F.col(value), F.when(when, F.col("seq"))).alias(value)
 
 
-def _session_steps(folded: DataFrame, pieces: DataFrame, jobs: DataFrame, slice_rows: int) -> DataFrame:
+def _session_steps(folded: DataFrame, pieces: DataFrame, slice_rows: int) -> DataFrame:
     type_ = F.col("type")
     finished = type_ == S.STEP_FINISHED
     status = F.when(type_ == S.STEP_STARTING, F.lit(_STATUS[S.STEP_STARTING]))
@@ -110,7 +114,7 @@ def _session_steps(folded: DataFrame, pieces: DataFrame, jobs: DataFrame, slice_
     live = (
         folded.filter(type_.isin(*S.STEP_STATE_TYPES))
         .drop("timestamp", "workspace_id", "pipeline_name", "steps")
-        .join(_restarted_slices(pieces, jobs, slice_rows), ["job_id", "slice"], "left")
+        .join(_restarted_slices(pieces, slice_rows), ["job_id", "slice"], "left")
         .filter(F.col("start_seq").isNull() | (F.col("seq") > F.col("start_seq")))
         .withColumn("status", status)
     )
@@ -123,7 +127,8 @@ def _session_steps(folded: DataFrame, pieces: DataFrame, jobs: DataFrame, slice_
         _last("artifact_size", finished & F.col("artifact_size").isNotNull()),
     )
     listed = (
-        jobs.select("job_id", F.posexplode("start.steps").alias("at", "step"))
+        _jobs(pieces)
+        .select("job_id", F.posexplode("start.steps").alias("at", "step"))
         .groupBy("job_id", F.col("step.id").alias("step_id"))
         .agg(F.max_by("step.display_name", "at").alias("listed_name"))
     )
@@ -141,15 +146,23 @@ def _session_steps(folded: DataFrame, pieces: DataFrame, jobs: DataFrame, slice_
 
 def fold_sessions(events: DataFrame, slice_rows: int = SLICE) -> DataFrame:
     """One row per job that has a session; ``inserted_at`` is the time of its first creating event."""
-    _, jobs = _jobs(_folded(events, slice_rows))
-    return _sessions(jobs)
+    return _sessions(_jobs(_pieces(_folded(events, slice_rows))))
+
+
+def fold(events: DataFrame, slice_rows: int = SLICE) -> tuple[DataFrame, DataFrame]:
+    """``(sessions, session steps)``.
+
+    The events are read twice: once for the job-level facts, which are written down because several joins
+    need them and their true size decides how these joins run, and once for the steps.
+    """
+    folded = _folded(events, slice_rows)
+    pieces = materialize(_pieces(folded), "pieces")
+    return _sessions(_jobs(pieces)), _session_steps(folded, pieces, slice_rows)
 
 
 def fold_session_steps(events: DataFrame, slice_rows: int = SLICE) -> DataFrame:
     """One row per step of each session."""
-    folded = _folded(events, slice_rows)
-    pieces, jobs = _jobs(folded)
-    return _session_steps(folded, pieces, jobs, slice_rows)
+    return fold(events, slice_rows)[1]
 
 
 def current_session(sessions: DataFrame) -> DataFrame:

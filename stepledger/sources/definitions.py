@@ -79,10 +79,9 @@ def read_dotenv(spark: SparkSession, path: str, glob: str = "*.env") -> DataFram
     A quoted value may span lines, so each of these small files is read as one text.
     """
     text = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
+        spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
-        .text(path)
+        .text(path, wholetext=True)
         .select(
             decoded(F.col("_metadata.file_path")).alias("file"),
             F.regexp_replace("value", "\r\n?", "\n").alias("text"),

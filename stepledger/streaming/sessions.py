@@ -220,6 +220,14 @@ def session_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return updates.groupBy("job_id").agg(F.max_by(row, "batch").alias("row")).select("job_id", "row.*")
 
 
+def compact_sessions(spark: SparkSession, path: str, target: str) -> None:
+    """Write the current sessions as a new table at ``target``, each under the batch that last changed it.
+
+    A long-running stream leaves one folder per micro-batch; readers may be moved to the compacted table.
+    """
+    session_snapshot(spark, path).write.partitionBy("batch").parquet(target)
+
+
 def session_updates(spark: SparkSession, path: str, after_batch: int) -> DataFrame:
     """What a subscriber gets after a snapshot: a stream of the sessions changed since."""
     schema = spark.read.parquet(path).schema

@@ -13,7 +13,7 @@ from stepledger.operators.events import assign_seq, failed_stderr_tail
 from stepledger.operators.sessions import current_session, fold_session_steps, fold_sessions
 from stepledger.sources.events import parse_envelopes, read_events, write_events, write_fanout
 from stepledger.streaming.events import stream_events
-from stepledger.streaming.sessions import session_snapshot, session_updates, snapshot_steps, stream_sessions, write_sessions
+from stepledger.streaming.sessions import compact_sessions, session_snapshot, session_updates, snapshot_steps, stream_sessions, write_sessions
 
 BASE = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -133,6 +133,8 @@ def test_stream_equals_batch(spark, tmp_path):
     df = frame(spark, rows)
     assert shown(snapshot, snapshot_steps(snapshot)) == shown(fold_sessions(df), fold_session_steps(df)) == loop(rows)
     assert session_updates(spark, table, 1).isStreaming
+    compact_sessions(spark, table, str(tmp_path / "compact"))
+    assert session_snapshot(spark, str(tmp_path / "compact")).count() == snapshot.count()
 
 
 def test_ndjson(spark, tmp_path):
