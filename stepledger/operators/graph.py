@@ -168,9 +168,11 @@ def active_levels(levels: DataFrame, active: DataFrame, renumber: bool = False)
 
 def execution_plan(steps: DataFrame, edges: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """``(pipeline_id, level, step_id)`` of the active steps in run order."""
-    return active_levels(topological_levels(steps, edges), active_steps(steps, edges, targets)).select(
-        P, "level", "step_id"
-    )
+    levels = topological_levels(steps, edges)
+    # Without cycles every step leads to a leaf, so all steps are active unless targets are given.
+    if targets is not None or levels.count() < steps.select(*_NODE).distinct().count():
+        levels = active_levels(levels, active_steps(steps, edges, targets))
+    return levels.select(P, "level", "step_id")
 
 
 def blocked_steps(edges: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stepledger.storage import materialize
+
 # `<workspace>/runs/<run>/…`: group 1 is the workspace, group 2 the run.
 RUN_PATH = r"([^/]+)/runs/([^/]+)/[^/]+$"
 RUN_FILE_PATH = r"([^/]+)/runs/([^/]+)/(.+)$"
@@ -30,9 +32,10 @@ def read_lines(spark: SparkSession, root: str, glob: str) -> DataFrame:
 
     A large file is read by many tasks. Each task's share of a file is a block whose lines carry
     consecutive row ids, so a line's number is its distance from the first line of the block plus the
-    lines of the blocks before; only one row per block is needed to know that.
+    lines of the blocks before; only one row per block is needed to know that. The lines are written to a
+    work table once, so that their blocks and ids are settled, whatever happens to the tasks.
     """
-    lines = (
+    lines = materialize(
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
         .option("lineSep", "\n")
@@ -42,7 +45,8 @@ def read_lines(spark: SparkSession, root: str, glob: str) -> DataFrame:
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("row"),
             F.col("value").alias("line"),
-        )
+        ),
+        "lines",
     )
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = (

@@ -27,9 +27,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _application_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/stepledger/{spark.sparkContext.applicationId}"
+
+
 def work_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_folder(spark)}/stepledger/{label}-{uuid.uuid4().hex}"
+    """A new, unused path for this application below the shared folder."""
+    return f"{_application_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -53,3 +57,8 @@ def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a work table that no returned DataFrame reads any more."""
     filesystem, hadoop = _hadoop_path(spark, path)
     filesystem.delete(hadoop, True)
+
+
+def clear_work_tables(spark: SparkSession) -> None:
+    """Delete all work tables of this application; DataFrames that read them become unusable."""
+    remove_path(spark, _application_folder(spark))
