@@ -135,6 +135,10 @@ class Views:
         df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return df.select(*[F.col(c).cast("timestamp") if t == "timestamp_ntz" else F.col(c) for c, t in df.dtypes])
 
+    def tasks(self) -> int:
+        """Tasks for writes of many small files, which no size estimate would spread."""
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
     def _sql(self, text: str, **tables: DataFrame) -> DataFrame:
         return self.spark.sql(text, **tables)
 

@@ -276,7 +276,7 @@ def _write_runs(v: Views) -> str:
         F.when(broken, F.substring(document, 1, 30)).otherwise(document).alias("value"),
         F.col("s_nationkey").alias("nation"),
         F.col("s_suppkey").alias("supplier"),
-    ).write.partitionBy("nation", "supplier").text(path)
+    ).repartition(v.tasks(), "supplier").write.partitionBy("nation", "supplier").text(path)
     return path
 
 
@@ -333,7 +333,7 @@ def artifacts(v: Views) -> DataFrame:
     root = work_path(v.spark, "artifacts")
     suppliers.select(
         F.concat(F.lit("name="), "s_name").alias("value"), "nation", F.lit("all").alias("run"), F.col("s_suppkey").alias("s")
-    ).write.partitionBy("nation", "run", "s").text(root)
+    ).repartition(v.tasks(), "s").write.partitionBy("nation", "run", "s").text(root)
     requests = suppliers.select(
         F.col("s_suppkey").alias("id"),
         F.col("nation").alias("workspace_id"),

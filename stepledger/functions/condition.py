@@ -120,7 +120,9 @@ def eval_condition(condition: Column, env: Column) -> Column:
     skeleton = F.array_join(
         F.zip_with(pieces, _verdicts(condition, env), lambda piece, verdict: F.concat(piece, F.coalesce(verdict, F.lit("")))), ""
     )
-    result = F.aggregate(F.sequence(F.lit(1), F.length(skeleton) + 1), skeleton, lambda text, _: _reduce(text))
+    # Every pass uses up at least one operator or parenthesis, as long as the skeleton can be reduced.
+    passes = F.greatest(F.length(F.regexp_replace(skeleton, "[^!ao(]", "")), F.lit(1))
+    result = F.aggregate(F.sequence(F.lit(1), passes), skeleton, lambda text, _: _reduce(text))
     # `!a == b` compares a boolean; that form is outside the supported expressions.
     plain = F.regexp_replace(condition, _STRING, '""')
     valid = ~plain.rlike(_NEGATED_COMPARISON) & ~condition.contains(_MARK)

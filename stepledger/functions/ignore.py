@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,8 +36,23 @@ def _wildcard_regex(match: re.Match) -> str:
     return re.escape(token[-1])
 
 
-def ignore_rule(line: str) -> tuple[str, bool] | None:
-    """One line as ``(regex over a path, ignore or keep)``; blank lines and comments give nothing."""
+class IgnoreRule(NamedTuple):
+    """One rule; ``body`` is a regex for the ignored (or kept) name or path, without a trailing slash."""
+
+    body: str
+    anchored: bool
+    folder_only: bool
+    ignore: bool
+
+    @property
+    def regex(self) -> str:
+        """For a whole path, which has a trailing slash if it is a folder."""
+        start = "" if self.anchored else "(?:.*/)?"
+        return f"(?i)^{start}{self.body}{'/' if self.folder_only else '/?'}$"
+
+
+def ignore_rule(line: str) -> IgnoreRule | None:
+    """The rule of one line; blank lines and comments give none."""
     line = re.sub(r"(?<!\\)\s+$", "", line)
     if not line or line.startswith("#"):
         return None
@@ -48,20 +64,21 @@ def ignore_rule(line: str) -> tuple[str, bool] | None:
     pattern = pattern.removeprefix("/")
     if not pattern:
         return None
-    body = _WILDCARD.sub(_wildcard_regex, pattern)
-    start = "" if anchored else "(?:.*/)?"
-    return f"(?i)^{start}{body}{'/' if folder_only else '/?'}$", ignore
+    return IgnoreRule(_WILDCARD.sub(_wildcard_regex, pattern), anchored, folder_only, ignore)
 
 
-def _at_or_below(rules: list[tuple[str, bool]], ignore: bool) -> str | None:
-    """One regex for the paths at or below anything that the ignoring (or keeping) rules match."""
-    bodies = [regex.removeprefix("(?i)").removesuffix("$").removesuffix("?") for regex, kind in rules if kind is ignore]
-    return "(?i)" + "|".join(f"(?:{body}.*$)" for body in bodies) if bodies else None
+def _at_or_below(rules: list[IgnoreRule], ignore: bool) -> str | None:
+    """One regex to find, in a path with a slash at its end, anything that the ignoring (or keeping) rules match."""
+    rules = [rule for rule in rules if rule.ignore is ignore]
+    starts = {"^": [r.body for r in rules if r.anchored], "(?:^|/)": [r.body for r in rules if not r.anchored]}
+    return "(?i)" + "|".join(f"{s}(?:{'|'.join(b)})/" for s, b in starts.items() if b) if rules else None
 
 
-def _verdict(path: Column, rules: list[tuple[str, bool]]) -> Column:
+def _verdict(path: Column, rules: list[IgnoreRule]) -> Column:
     """The last matching rule decides."""
-    return reduce(lambda rest, rule: F.when(path.rlike(rule[0]), F.lit(rule[1])).otherwise(rest), rules, F.lit(False))
+    return reduce(
+        lambda rest, rule: F.when(path.rlike(rule.regex), F.lit(rule.ignore)).otherwise(rest), rules, F.lit(False)
+    )
 
 
 def is_ignored(path: Column, patterns: Iterable[str] = ()) -> Column:
