@@ -34,8 +34,9 @@ def show(state: DataFrame, runs: DataFrame, running: DataFrame, files: DataFrame
     live = running.filter("alive").select(
         *_STEP, F.lit(True).alias("live"), F.col("step_name").alias("live_name"), F.col("started_at").alias("live_at")
     )
+    has_meta = F.col("has_meta") if "has_meta" in runs.columns else F.lit(True)
     meta = runs.select(
-        *_RUN, F.lit(True).alias("has_meta"), "step_name", "status", "duration_ms", "finished_at"
+        *_RUN, has_meta.alias("has_meta"), "step_name", "status", "duration_ms", "finished_at"
     )
     joined = (
         state.select(*_STEP, "run_id", "pos")

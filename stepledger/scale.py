@@ -51,13 +51,14 @@ def number_rows(
         placed.groupBy(*keys, "_part")
         .agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .drop("_n")
-    )
-    return (
-        placed.join(pieces, [*keys, "_part"])
-        .withColumn(name, F.col("_row") - F.col("_first") + F.col("_before") + F.lit(start))
-        .drop("_part", "_row", "_first", "_before")
+        .select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_part").alias("_piece"), "_first", "_before")
     )
+    # Null is a key like any other here.
+    same = F.col("_part") == F.col("_piece")
+    for i, key in enumerate(keys):
+        same = same & F.col(key).eqNullSafe(F.col(f"_key{i}"))
+    number = F.col("_row") - F.col("_first") + F.col("_before") + F.lit(start)
+    return placed.join(pieces, same).select(*df.columns, number.alias(name))
 
 
 def listed(

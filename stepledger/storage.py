@@ -22,9 +22,8 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {_CHECKPOINT_KEY} to a folder that all executors can reach")
-    folder = tempfile.mkdtemp(prefix="stepledger-")
-    spark.conf.set(_CHECKPOINT_KEY, folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stepledger-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def _application_folder(spark: SparkSession) -> str:

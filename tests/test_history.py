@@ -42,6 +42,18 @@ def test_show(spark):
     assert rows(H.show_total(shown)) == [("w", 11)]
 
 
+def test_show_of_a_run_with_broken_metadata(spark):
+    state = spark.createDataFrame([("w", "a", "r1", 0)], "workspace_id STRING, step_id STRING, run_id STRING, pos INT")
+    schema = "workspace_id STRING, run_id STRING, has_meta BOOLEAN, step_name STRING, status STRING, duration_ms BIGINT, finished_at TIMESTAMP"
+    runs = spark.createDataFrame([("w", "r1", False, None, None, None, None)], schema)
+    running = spark.createDataFrame(
+        [], "workspace_id STRING, step_id STRING, step_name STRING, alive BOOLEAN, started_at TIMESTAMP"
+    )
+    files = spark.createDataFrame([("w", "r1", "artifacts/x", 3)], "workspace_id STRING, run_id STRING, path STRING, length BIGINT")
+    row = H.show(state, runs, running, files).first()
+    assert (row.status, row.run_id, row.artifact_size) == ("unknown", "r1", None)
+
+
 def test_prune(spark):
     runs = spark.createDataFrame([("w", "r1"), ("w", "r2"), ("v", "r3")], "workspace_id STRING, run_id STRING")
     state = spark.createDataFrame([("w", "a", "r1"), ("v", "a", "r3")], "workspace_id STRING, step_id STRING, run_id STRING")

@@ -8,7 +8,7 @@ from stepledger.operators.events import failed_stderr_tail
 from stepledger.operators.history import latest_run_per_step
 from stepledger.operators.reports import languages_by_category, rank_in_list
 from stepledger.scale import listed, number_rows
-from stepledger.storage import materialize, shared_folder
+from stepledger.storage import materialize, path_exists, remove_path, shared_folder, work_path
 
 
 def plan(df) -> str:
@@ -33,6 +33,22 @@ def test_number_rows_with_hot_key(spark):
     assert sorted(r.n for r in number_rows(df, [], ["order", "id"], "n", group_limit=20).collect()) == list(range(3000))
 
 
+def test_null_keys_are_numbered_too(spark):
+    key = F.when(F.col("id") % 2 == 0, F.concat(F.lit("k"), F.col("id") % 5))
+    df = spark.range(200).select(key.alias("key"), "id").repartition(3)
+    split = number_rows(df, ["key"], ["id"], "n", group_limit=10).collect()
+    assert sorted(r.n for r in split if r.key is None) == list(range(100))
+    assert len(split) == 200
+
+
+def test_work_tables(spark):
+    path = work_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    assert path_exists(spark, path)
+    remove_path(spark, path)
+    assert not path_exists(spark, path)
+
+
 def test_split_numbering_spreads_the_hot_key(spark):
     split = number_rows(hot(spark).repartition(7), ["key"], ["order", "id"], "n", group_limit=20)
     # No window sorts rows: the only one runs over the counts of (key, part) pieces.
