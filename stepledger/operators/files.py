@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -49,6 +50,10 @@ def dir_size(files: DataFrame, requests: DataFrame, keys: Sequence[str] = ("run_
 
 def list_directory(files: DataFrame, directory: str = "", keys: Sequence[str] = ("run_id",)) -> DataFrame:
     """Entries directly below a folder: files with their size, folders with size 0."""
+    directory = posixpath.normpath(directory.lstrip("/") or ".")
+    if directory.split("/")[0] == "..":
+        raise ValueError(f"Invalid path: {directory} is outside of the listed files")
+    directory = "" if directory == "." else directory
     prefix = f"{directory}/" if directory else ""
     rest = F.substring(F.col("path"), F.lit(len(prefix) + 1), F.length("path"))
     nested = F.contains(rest, F.lit("/"))

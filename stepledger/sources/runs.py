@@ -151,12 +151,14 @@ def read_artifacts(
     base = F.format_string(
         "/" + layout.format(workspace_id="%1$s", run_id="%2$s"), F.col("workspace_id"), F.col("run_id")
     )
-    inside = within_boundary(base, F.col("path"), base) & ~F.col("path").startswith("/")
+    # A leading slash does not leave the folder: the path is always taken below it.
+    below = F.regexp_replace("path", "^/+", "")
+    inside = within_boundary(base, below, base)
     error = F.coalesce(
         "error", F.when(~inside, F.lit("Invalid path: must be within artifacts directory"))
     )
     wanted = current_run(requests, state).withColumn("error", error).withColumn(
-        "key", F.when(F.col("error").isNull(), resolve_path(base, F.col("path")))
+        "key", F.when(F.col("error").isNull(), resolve_path(base, below))
     )
     folder = layout.format(workspace_id="[^/]+", run_id="[^/]+")
     key = F.regexp_extract(plain(F.col("file")), rf"(/{folder}/.+)$", 1)

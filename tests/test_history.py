@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from stepledger.operators import files as O
@@ -115,7 +116,10 @@ def test_directories(spark):
     asked = spark.createDataFrame([("r", "none"), ("r", "a")], "run_id STRING, dir STRING")
     assert rows(O.dir_size(files, asked), "dir", "size") == [("a", 3), ("none", 0)]
     assert rows(O.list_directory(files), "name", "type", "size") == [("a", "directory", 0), ("z", "file", 4)]
-    assert rows(O.list_directory(files, "a"), "name", "type", "size") == [("b", "directory", 0), ("y", "file", 2)]
+    for name in ("a", "./a/", "a/b/.."):
+        assert rows(O.list_directory(files, name), "name", "type", "size") == [("b", "directory", 0), ("y", "file", 2)]
+    with pytest.raises(ValueError):
+        O.list_directory(files, "a/../../x")
     assert [tuple(r) for r in O.file_inventory(files).collect()] == [("x", 1), ("y", 2), ("z", 4)]
 
 

@@ -78,11 +78,11 @@ def test_listing_and_artifacts(spark, workspace):
     files = {r.path: r.length for r in list_run_files(spark, str(workspace)).filter("run_id = 'run-001'").collect()}
     assert files["artifacts/output.txt"] == 11 and files["stdout.log"] == 12
     state = read_state(spark, str(workspace))
-    asked = [("ws 1", "build", "output.txt"), ("ws 1", "build", "./sub/../sub/deep[1].txt"), ("ws 1", "build", "../stdout.log"), ("ws 1", "build", "none.txt"), ("ws 1", "gone", "output.txt")]
+    asked = [("ws 1", "build", "output.txt"), ("ws 1", "build", "/output.txt"), ("ws 1", "build", "./sub/../sub/deep[1].txt"), ("ws 1", "build", "../stdout.log"), ("ws 1", "build", "none.txt"), ("ws 1", "gone", "output.txt")]
     requests = spark.createDataFrame(asked, "workspace_id STRING, step_id STRING, path STRING")
     for limit in (10_000, 0):
         found = {(r.step_id, r.path): (r.content and bytes(r.content), r.error) for r in read_artifacts(spark, str(workspace), requests, state, read_limit=limit).collect()}
-        assert found["build", "output.txt"] == (b"result data", None)
+        assert found["build", "output.txt"] == found["build", "/output.txt"] == (b"result data", None)
         assert found["build", "./sub/../sub/deep[1].txt"] == (b"deep", None)
         assert found["build", "../stdout.log"][1] == "Invalid path: must be within artifacts directory"
         assert found["build", "none.txt"][1] == "Artifact not found: none.txt"
