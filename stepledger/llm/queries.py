@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stepledger.llm.langid import learn_and_identify
 from stepledger.llm.lines import dedup_lines
+from stepledger.llm.packing import pack_documents
 from stepledger.llm.substrings import dedup_substrings
+from stepledger.llm.tokens import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,6 +52,17 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+@_query()
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@_query()
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = learn_and_identify(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 @_query(
     r"""
 WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -68,3 +82,8 @@ FROM split s LEFT JOIN kept k ON s.doc_id = k.doc_id
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_substrings(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@_query()
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"))
