@@ -11,6 +11,7 @@ from stepledger.llm.lines import dedup_lines
 from stepledger.llm.packing import pack_documents
 from stepledger.llm.simhash import near_duplicates
 from stepledger.llm.substrings import dedup_substrings
+from stepledger.llm.suffixes import dedup_byte_strings
 from stepledger.llm.tokens import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +94,9 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+@_query()
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_byte_strings(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
