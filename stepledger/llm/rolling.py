@@ -44,14 +44,15 @@ class Rolling:
         np.cumsum(values * self.up[: len(values)], out=sums[1:])
         return mixed((sums[ends] - sums[starts]) * self.down[starts])
 
-    def windows(self, values: np.ndarray, width: int) -> np.ndarray:
-        """Hash of every window of ``width`` values."""
-        out = [np.zeros(0, np.uint64)]
-        for a in range(0, len(values) - width + 1, SLICE):
-            part = values[a : a + SLICE + width - 1]
-            at = np.arange(len(part) - width + 1)
-            out.append(self.pieces(part, at, at + width))
-        return np.concatenate(out)
+    def windows(self, values: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
+        """Hash of the window of ``width`` values at each of the ascending places ``at``."""
+        out = np.empty(len(at), np.uint64)
+        for a in range(0, len(values), SLICE):
+            here = slice(*np.searchsorted(at, (a, a + SLICE)))
+            if here.start < here.stop:
+                own = at[here] - a
+                out[here] = self.pieces(values[a : a + SLICE + width - 1], own, own + width)
+        return out
 
 
 def byte_values(text: np.ndarray) -> np.ndarray:

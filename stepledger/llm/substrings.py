@@ -10,6 +10,7 @@ passage costs one entry per block in either round, and no pair is ever formed.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -30,28 +31,37 @@ def is_cover(cover: tuple[int, ...], period: int) -> bool:
     return {(a - b) % period for a in cover for b in cover} == set(range(period))
 
 
-class _Hashing:
-    """Word hashes and anchors of a block; the tables of powers are made once per task."""
+class _Words:
+    """The words of all documents of a block, one after the other, as arrays."""
 
-    def __init__(self, width: int, period: int, cover: tuple[int, ...]) -> None:
-        self.width, self.anchor = width, width - period + 1
-        self.in_cover = np.isin(np.arange(period), cover)
-        self.period = period
-        self.one, self.two = Rolling(0), Rolling(1)
+    def __init__(self, block: B.Block, width: int) -> None:
+        self.texts = list(block.texts())
+        sizes = np.array([len(x) + 1 for x in self.texts], np.int64)
+        self.raw = b"\n".join([*self.texts, b""])
+        letters = np.frombuffer(self.raw, np.uint8)
+        self.starts, self.ends = words(letters)
+        self.one, self.two = _tables()
+        self.hashes = word_hashes(letters, self.starts, self.ends, self.one)
+        #: Position of each document's first word, and of the end of the last.
+        self.edges = np.searchsorted(self.starts, np.concatenate([[0], np.cumsum(sizes)]))
+        counts = np.diff(self.edges)
+        self.place = np.arange(len(self.starts)) - np.repeat(self.edges[:-1], counts)
+        #: Does a whole window begin here?
+        self.whole = np.repeat(counts, counts) - self.place >= width
 
-    def documents(self, block: B.Block):
-        """Per document: text, word starts and ends, word hashes."""
-        for text in block.texts():
-            raw = np.frombuffer(text, np.uint8)
-            starts, ends = words(raw)
-            yield text, starts, ends, word_hashes(raw, starts, ends, self.one)
+    def anchors(self, period: int, in_cover: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the anchors, of ``width - period + 1`` words; documents shorter than a window have none."""
+        anchor = width - period + 1
+        counts = np.diff(self.edges)
+        left = np.repeat(counts, counts) - self.place
+        at = np.flatnonzero(in_cover[self.place % period] & (left >= anchor) & np.repeat(counts >= width, counts))
+        return at, self.one.windows(self.hashes, anchor, at)
 
-    def anchors(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and hashes of the anchors; documents shorter than a window have none."""
-        if len(hashes) < self.width:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        at = np.flatnonzero(self.in_cover[np.arange(len(hashes) - self.anchor + 1) % self.period])
-        return at, self.one.windows(hashes, self.anchor)[at]
+
+@functools.lru_cache(maxsize=1)
+def _tables() -> tuple[Rolling, Rolling]:
+    """Tables of powers, made once per Python worker."""
+    return Rolling(0), Rolling(1)
 
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,44 +101,39 @@ def dedup_substrings(
     total = B.text_bytes(docs)
     shards = B.parts(total, B.SHARD_BYTES)
     placed = B.blocked(docs, B.parts(total, B.BLOCK_BYTES))
-    anchor_words = width - period + 1
+    in_cover = np.isin(np.arange(period), cover)
 
     def shard_of(keys: np.ndarray) -> np.ndarray:
         return (keys % np.uint64(shards)).astype(np.int64)
 
-    def all_anchors(block: B.Block, hashing: _Hashing):
-        found = [hashing.anchors(hashes) for *_, hashes in hashing.documents(block)]
-        return found, _distinct(np.concatenate([k for _, k in found] or [np.zeros(0, np.uint64)]))
-
     def ask(table: pa.Table) -> pa.Table:
         block = B.Block(table)
-        _, (keys, _, several) = all_anchors(block, _Hashing(width, period, cover))
+        _, keys = _Words(block, width).anchors(period, in_cover, width)
+        keys, _, several = _distinct(keys)
         none = np.zeros((len(keys), 0), np.uint8)
         return B.send(block.number, shard_of(keys), {"first": keys, "second": none, "several": several, "layout": none})
 
-    def candidates(block: B.Block, answers: pa.Table, hashing: _Hashing) -> np.ndarray:
-        """One flag per window of the block: does it hold a repeated anchor?"""
-        found, (keys, back, _) = all_anchors(block, hashing)
-        hit = B.received(answers, "repeated", np.uint8, shard_of(keys))[back].astype(bool)
-        flags, done = [], 0
-        for text_hashes, (at, _) in zip(hashing.documents(block), found, strict=True):
-            mine, done = at[hit[done : done + len(at)]], done + len(at)
-            n = len(text_hashes[3]) - width + 1
-            if n > 0:
-                flags.append(_covered(mine, 0, width - anchor_words, n))
-        return np.concatenate(flags) if flags else np.zeros(0, bool)
+    def window_keys(own: _Words, flags: np.ndarray):
+        at = np.flatnonzero(flags)
+        return at, _distinct_pairs(own.one.windows(own.hashes, width, at), own.two.windows(own.hashes, width, at))
 
     def extend(table: pa.Table, answers: pa.Table) -> pa.Table:
-        block, hashing = B.Block(table), _Hashing(width, period, cover)
-        flags = candidates(block, answers, hashing)
-        first, second, _, several = _window_keys(block, hashing, flags)
+        block = B.Block(table)
+        own = _Words(block, width)
+        at, keys = own.anchors(period, in_cover, width)
+        keys, back, _ = _distinct(keys)
+        hit = B.received(answers, "repeated", np.uint8, shard_of(keys))[back].astype(bool)
+        # A window holds an anchor if that begins at most period - 1 words after it.
+        flags = _covered(at[hit], 0, period - 1, len(own.starts)) & own.whole
+        _, (first, second, _, several) = window_keys(own, flags)
         none = np.zeros((len(first), 0), np.uint8)
         sent = B.send(block.number, shard_of(first), {"first": first, "second": second, "several": several, "layout": none})
         if not flags.any():
             return sent
         # The flags travel with the keys, so that the last round need not find them again.
-        layout = B.send(block.number, np.array([block.number % shards]), {"first": np.zeros((1, 0)), "second": np.zeros((1, 0)), "several": np.zeros((1, 0)), "layout": np.packbits(flags)[None, :]})
-        return pa.concat_tables([sent, layout])
+        empty = np.zeros((1, 0), np.uint8)
+        layout = {"first": empty, "second": empty, "several": empty, "layout": np.packbits(flags)[None, :]}
+        return pa.concat_tables([sent, B.send(block.number, np.array([block.number % shards]), layout)])
 
     def decide(messages: pa.Table) -> pa.Table:
         first, second = B.joined(messages, "first", np.uint64), B.joined(messages, "second", np.uint64)
@@ -136,47 +141,32 @@ def dedup_substrings(
         answers = B.cut(messages, hit.astype(np.uint8), "repeated", 8, "first")
         return answers.append_column("layout", messages["layout"].combine_chunks())
 
-    def _window_keys(block: B.Block, hashing: _Hashing, flags: np.ndarray):
-        firsts, seconds, done = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], 0
-        for *_, hashes in hashing.documents(block):
-            n = max(0, len(hashes) - width + 1)
-            mine, done = flags[done : done + n], done + n
-            if mine.any():
-                firsts.append(hashing.one.windows(hashes, width)[mine])
-                seconds.append(hashing.two.windows(hashes, width)[mine])
-        return _distinct_pairs(np.concatenate(firsts), np.concatenate(seconds))
-
     def rebuild(table: pa.Table, answers: pa.Table) -> pa.Table:
-        block, hashing = B.Block(table), _Hashing(width, period, cover)
-        packed = [x for x in answers["layout"].to_pylist() if x]
-        hit, flags = np.zeros(0, bool), None
-        if packed:
-            n = sum(max(0, len(h) - width + 1) for *_, h in hashing.documents(block))
-            flags = np.unpackbits(np.frombuffer(packed[0], np.uint8), count=n).astype(bool)
-            first, _, back, _ = _window_keys(block, hashing, flags)
-            keyed = answers.filter(pa.array([not x for x in answers["layout"].to_pylist()]))
+        block = B.Block(table)
+        own = _Words(block, width)
+        gone = np.zeros(len(own.starts), bool)
+        layouts = answers["layout"].to_pylist()
+        if any(layouts):
+            flags = np.unpackbits(np.frombuffer(next(filter(None, layouts)), np.uint8), count=len(gone)).astype(bool)
+            at, (first, _, back, _) = window_keys(own, flags)
+            keyed = answers.filter(pa.array([not x for x in layouts]))
             hit = B.received(keyed, "repeated", np.uint8, shard_of(first))[back].astype(bool)
-        texts, n_words, n_removed, digests, done, seen = [], [], [], [], 0, 0
-        for text, starts, ends, _ in hashing.documents(block):
-            keep = np.ones(len(starts), bool)
-            n = max(0, len(starts) - width + 1)
-            if flags is not None and n:
-                at = np.flatnonzero(flags[done : done + n])
-                repeated, seen = at[hit[seen : seen + len(at)]], seen + len(at)
-                keep = ~_covered(repeated, width - 1, 0, len(starts))
-            done += n
-            kept = b" ".join([text[a:b] for a, b in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True)])
-            texts.append(kept)
-            n_words.append(len(starts))
-            n_removed.append(int((~keep).sum()))
-            digests.append(hashlib.sha256(kept).hexdigest())
+            gone = _covered(at[hit], width - 1, 0, len(gone))
+        texts, n_removed = [], []
+        for text, a, b in zip(own.texts, own.edges, own.edges[1:], strict=False):
+            n_removed.append(int(gone[a:b].sum()))
+            if n_removed[-1]:
+                stays = np.flatnonzero(~gone[a:b]) + a
+                texts.append(b" ".join([own.raw[x:y] for x, y in zip(own.starts[stays].tolist(), own.ends[stays].tolist(), strict=True)]))
+            else:
+                texts.append(b" ".join(text.split()))
         return pa.table(
             {
                 "doc_id": block.column("doc_id").cast(pa.int64()),
                 "text": pa.array(texts, pa.binary()).cast(pa.string()),
-                "n_words": pa.array(n_words, pa.int64()),
+                "n_words": pa.array(np.diff(own.edges), pa.int64()),
                 "n_removed": pa.array(n_removed, pa.int64()),
-                "kept_sha256": pa.array(digests, pa.string()),
+                "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()),
                 "row": block.rows,
             }
         )
