@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from stepledger.llm.langid import learn_and_identify
 from stepledger.llm.lines import dedup_lines
 from stepledger.llm.packing import pack_documents
+from stepledger.llm.rules import quality_rules
 from stepledger.llm.simhash import near_duplicates
 from stepledger.llm.substrings import dedup_substrings
 from stepledger.llm.suffixes import dedup_byte_strings
@@ -91,6 +92,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+@_query()
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents")).drop("h1", "h2")
+
+
 @_query()
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
