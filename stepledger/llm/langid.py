@@ -22,6 +22,8 @@ WINDOWS, WINDOW_CHARS = 512, 256
 BLOCK_CHARS = 1024
 #: Share of the second best size by which the best must be smaller.
 NARROW = 0.005
+#: Sizes are whole bytes, so shorter texts have no margin to speak of and are not rejected for it.
+MIN_JUDGED_CHARS = 64
 _LEVEL = 9
 
 
@@ -83,7 +85,7 @@ def identify(docs: DataFrame, learned: dict[str, bytes], narrow: float = NARROW)
     """``doc_id, lang_pred, score, rejected, row`` for every row of ``docs``.
 
     ``lang_pred`` is ``und``, with score 0, where the text is null or has no letter (or no language was learned); these
-    and texts with a narrow margin are rejected. With one learned language there is no second, and the score is 1. Ties
+    are rejected, and so are texts of at least MIN_JUDGED_CHARS characters with a narrow margin. With one learned language there is no second, and the score is 1. Ties
     go to the language that sorts first.
     """
     languages = tuple(sorted(learned.items()))
@@ -96,11 +98,12 @@ def identify(docs: DataFrame, learned: dict[str, bytes], narrow: float = NARROW)
             yield pd.DataFrame(found, columns=["lang_pred", "score"]).astype({"lang_pred": str, "score": float})
 
     found = docs.select(B.packed_rows(docs)).select("row", judged(F.col("row.text")).alias("found"))
+    narrow_margin = (F.col("found.score") < 0.5) & (F.length("row.text") >= MIN_JUDGED_CHARS)
     return found.select(
         F.col("row.doc_id").cast("bigint").alias("doc_id"),
         "found.lang_pred",
         "found.score",
-        ((F.col("found.lang_pred") == UNKNOWN) | (F.col("found.score") < 0.5)).alias("rejected"),
+        ((F.col("found.lang_pred") == UNKNOWN) | narrow_margin).alias("rejected"),
         "row",
     )
 

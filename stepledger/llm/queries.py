@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stepledger.llm.decontamination import contaminations
 from stepledger.llm.langid import learn_and_identify
 from stepledger.llm.lines import dedup_lines
 from stepledger.llm.packing import pack_documents
+from stepledger.llm.quality import learn_and_score
 from stepledger.llm.rules import quality_rules
 from stepledger.llm.simhash import near_duplicates
 from stepledger.llm.substrings import dedup_substrings
@@ -55,6 +57,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+@_query()
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = learn_and_score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 @_query()
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -92,6 +100,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+@_query()
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 @_query()
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents")).drop("h1", "h2")
