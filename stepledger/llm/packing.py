@@ -2,8 +2,8 @@
 
 ``N(g)`` is the number of open sequences with residual gap ``g``. A document goes where the sum of all ``N(g)²`` becomes
 smallest: into some open sequence whose gap it fits, or into a new one. That keeps gaps of all sizes in stock, so that
-most sequences end up full. When all documents are placed, those of sequences that are not full are placed once more,
-longest first.
+most sequences end up full. The few documents whose sequences are not full in the end are taken out and placed once more,
+longest first, each where it leaves the least room.
 
 Only lengths are packed. They are dealt to groups of bounded size by a hash; a group's few unfilled sequences are all
 that is lost against packing everything in one place.
@@ -11,6 +11,7 @@ that is lost against packing everything in one place.
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections.abc import Iterator
 
@@ -55,6 +56,23 @@ def _place(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return sequences
 
 
+def _best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """The sequences for lengths that fall: each goes to the fullest sequence that has room for it."""
+    gaps: list[tuple[int, int]] = []  # (gap, sequence), ascending
+    sequences: list[list[int]] = []
+    for position, length in enumerate(lengths.tolist()):
+        at = bisect.bisect_left(gaps, (length, -1))
+        if at < len(gaps):
+            gap, sequence = gaps.pop(at)
+        else:
+            gap, sequence = capacity, len(sequences)
+            sequences.append([])
+        sequences[sequence].append(position)
+        if gap > length:
+            bisect.insort(gaps, (gap - length, sequence))
+    return sequences
+
+
 def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
     """Sequences for lengths in the order given; whole sequences stand alone."""
     whole = [[int(i)] for i in np.flatnonzero(lengths >= capacity)]
@@ -63,7 +81,7 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
     full = [s for s in placed if lengths[s].sum() == capacity]
     loose = [s for s in placed if lengths[s].sum() < capacity]
     again = np.array(sorted((i for s in loose for i in s), key=lambda i: -lengths[i]), np.int64)
-    better = [[int(again[i]) for i in s] for s in _place(lengths[again], capacity)]
+    better = [[int(again[i]) for i in s] for s in _best_fit(lengths[again], capacity)]
     return whole + full + (better if len(better) < len(loose) else loose)
 
 
