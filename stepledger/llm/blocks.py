@@ -96,7 +96,7 @@ def send(block: int, shard_of: np.ndarray, fields: dict[str, np.ndarray]) -> pa.
     """One message per shard: the entries of that shard, in the order in which they stand here."""
     order = np.argsort(shard_of, kind="stable")
     shards, first = np.unique(shard_of[order], return_index=True)
-    ends = np.append(first[1:], len(order))
+    ends = np.append(first[1:], len(order))[: len(first)]
     columns = {"shard": pa.array(shards.astype(np.int32)), "block": pa.array(np.full(len(shards), block, np.int32))}
     for name, values in fields.items():
         placed = values[order]
@@ -108,7 +108,7 @@ def received(answers: pa.Table, name: str, kind: type, shard_of: np.ndarray) ->
     """The values of a block's answers, one per entry of its messages, in the entries' own order; 0 where none came."""
     order = np.argsort(shard_of, kind="stable")
     shards, first = np.unique(shard_of[order], return_index=True)
-    ends = dict(zip(shards.tolist(), zip(first, np.append(first[1:], len(order)), strict=True), strict=True))
+    ends = dict(zip(shards.tolist(), zip(first, np.append(first[1:], len(order))[: len(first)], strict=True), strict=True))
     out = np.zeros(len(shard_of), kind)
     for shard, value in zip(answers["shard"].to_pylist(), answers[name].to_pylist(), strict=True):
         a, b = ends[shard]

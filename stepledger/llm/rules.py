@@ -149,7 +149,8 @@ def jensen_shannon(own: Column, other: Column) -> Column:
         return F.when(p > 0, p * F.log2(2 * p / (p + q))).otherwise(0.0)
 
     terms = F.zip_with(shares(own), shares(other), lambda p, q: part(p, q) + part(q, p))
-    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
+    total = F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2
+    return F.when(total > 0, F.sqrt(total)).otherwise(total * 0)  # rounding may leave a little less than 0
 
 
 def quality_rules(
