@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -123,6 +124,23 @@ def full_sql(sql: str) -> str:
     return f"WITH RECURSIVE {views}\n{sql}"
 
 
+def write_files(files: DataFrame, root: str) -> None:
+    """Write each row ``(path, content)`` as a file below ``root``, which Spark's writers would name themselves."""
+
+    def write(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
+                target = f"{root}/{path}".removeprefix("file:")
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                with open(target, "w", encoding="utf-8", newline="") as file:
+                    file.write(content)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    files.select("path", "content").mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+
+
 class Views:
     """The test tables and the derived views of one scale factor."""
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.base import Views, check
+from checks.base import Views, check, write_files
 from stepledger.functions.formats import rating
 from stepledger.functions.text import basename
 from stepledger.operators import files as O
 from stepledger.operators import reports as R
 from stepledger.plans.jobs import category_summary_job, text_report_job
-from stepledger.scale import listed, number_rows
+from stepledger.scale import number_rows
 from stepledger.sources.definitions import read_dotenv, read_pipelines
 from stepledger.sources.paths import read_lines
 from stepledger.sources.runs import list_files, read_logs
@@ -101,38 +101,26 @@ def archive(v: Views) -> DataFrame:
     )
 
 
-# Log files: one folder per source and language, lines in document order within a file.
-_LOG_DIR = r"lang=([^/]+)/run=([^/]+)/[^/]+$"
+def _write_logs(v: Views) -> str:
+    """The lines of each document as a log of its own run, with an artifact that has a log's name."""
+    doc_id = F.col("doc_id")
+    run = F.concat(F.col("lang"), F.lit("/runs/"), doc_id)
+    stream = F.when(doc_id % 3 == 0, F.lit("/stderr.log")).otherwise(F.lit("/stdout.log"))
+    decoy = F.struct(F.concat(run, F.lit("/artifacts/stdout.log")).alias("path"), F.lit("decoy").alias("content"))
+    log = F.struct(F.concat(run, stream).alias("path"), F.concat("text", F.lit("\n")).alias("content"))
+    files = v.table("documents").select(F.explode(F.when(doc_id % 50 == 0, F.array(log, decoy)).otherwise(F.array(log))).alias("f"))
+    root = work_path(v.spark, "store/runs/logs")
+    write_files(files.select("f.*").repartition(v.tasks()), root)
+    return root
 
 
 @check(
     "s6_read_logs",
-    """SELECT lang AS workspace_id, source AS run_id, sum(n) AS lines, sum(chars) AS chars, TRUE AS numbered
-    FROM (SELECT doc_id, count(*) AS n, sum(length(line)) AS chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id)
-    JOIN documents USING (doc_id) GROUP BY ALL""",
+    "SELECT d.lang AS workspace_id, CAST(l.run_id AS VARCHAR) AS run_id, l.stream, count(*) AS lines, sum(length(l.line)) AS chars FROM v_logs l JOIN documents d ON d.doc_id = l.run_id GROUP BY ALL",
 )
 def logs(v: Views) -> DataFrame:
-    path = work_path(v.spark, "logs")
-    lines = v.table("documents").select(
-        F.explode(F.split("text", "\n")).alias("value"), "lang", F.col("source").alias("run")
-    )
-    lines.write.option("lineSep", "\n").partitionBy("lang", "run").text(path)
-    per_file = (
-        read_lines(v.spark, path, "part-*")
-        .groupBy("file")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum(F.length("line")).alias("chars"),
-            F.max("line_no").alias("last"),
-            F.sum("line_no").alias("total"),
-        )
-    )
-    # Numbers are right if they run from 0 to n - 1 without gaps.
-    gapless = (F.col("last") == F.col("n") - 1) & (F.col("total") == F.expr("n * (n - 1) div 2"))
-    return per_file.groupBy(
-        F.regexp_extract("file", _LOG_DIR, 1).alias("workspace_id"),
-        F.regexp_extract("file", _LOG_DIR, 2).alias("run_id"),
-    ).agg(F.sum("n").alias("lines"), F.sum("chars").alias("chars"), F.bool_and(gapless).alias("numbered"))
+    found = read_logs(v.spark, _write_logs(v))
+    return found.groupBy("workspace_id", "run_id", "stream").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("chars"))
 
 
 @check("f3_filter_stream", "SELECT run_id, stream, line_no, line FROM v_logs WHERE stream = 'stderr'")
@@ -145,9 +133,9 @@ def counts(v: Views) -> DataFrame:
     return O.line_counts(v.logs())
 
 
-@check("w5_line_numbers", "SELECT run_id, line_no, length(line) AS chars FROM v_logs")
+@check("w5_line_numbers", "SELECT CAST(run_id AS VARCHAR) AS run_id, line_no, line FROM v_logs")
 def numbers(v: Views) -> DataFrame:
-    return v.logs().select("run_id", "line_no", F.length("line").alias("chars"))
+    return read_logs(v.spark, _write_logs(v)).select("run_id", "line_no", "line")
 
 
 def _people_file(v: Views) -> DataFrame:
@@ -196,30 +184,37 @@ def written_report(v: Views) -> DataFrame:
     path = work_path(v.spark, "report")
     write_text_report(_report(v, 9000), path, ["section", "sort_key", "line"])
     # Files in name order, lines in file order: the running number shows that the report is in order.
-    lines = read_lines(v.spark, path, "part-*")
+    lines = read_lines(v.spark, f"{path}/part-*")
     return number_rows(lines, [], ["file", "line_no"], "at").select("at", "line")
 
 
 @check(
     "e1_text_report_job",
-    f"""WITH {_REPORT.format(threshold=70000)} SELECT 'report' AS step, line FROM report
+    f"""WITH {_REPORT.format(threshold=8000)} SELECT 'report' AS step, line FROM report
     UNION ALL SELECT 'notify', concat('Would notify: report ready (', count(*), ' lines)') FROM report
-    UNION ALL SELECT 'audit', concat('Input records: ', count(*)) FROM v_people UNION ALL SELECT 'audit', concat('High earners: ', count(*)) FROM v_people WHERE salary > 70000""",
+    UNION ALL SELECT 'audit', concat('Input records: ', count(*)) FROM v_people UNION ALL SELECT 'audit', concat('High earners: ', count(*)) FROM v_people WHERE salary > 8000""",
 )
 def text_job(v: Views) -> DataFrame:
     env = F.create_map(F.lit("NOTIFY"), F.lit("1"), F.lit("AUDIT"), F.lit("1"))
-    return text_report_job(_people_file(v), env).select("step", "line")
+    return text_report_job(_people_file(v), env, 8000).select("step", "line")
 
 
 _ANALYSIS = "SELECT category, count(*) AS count, round(sum(score) / count(*), 6) AS avg_score, min(pos) AS first_pos FROM v_languages GROUP BY category"
 
 
-@check("a2_category_analysis", _ANALYSIS)
-def analysis(v: Views) -> DataFrame:
-    return R.category_analysis(v.languages()).withColumn("avg_score", F.round("avg_score", 6))
+_RANKED = "SELECT category, language, row_number() OVER (PARTITION BY category ORDER BY pos) AS rank FROM v_languages"
 
 
-_RANKED = "SELECT category, language, row_number() OVER (PARTITION BY category ORDER BY pos) AS rank FROM v_languages"
+@check(
+    "a2_category_analysis",
+    f"""SELECT a.category, a.count, a.avg_score, a.first_pos, r.rank, r.language, (SELECT count(*) FROM v_languages) AS total
+    FROM ({_ANALYSIS}) a JOIN ({_RANKED}) r ON a.category = r.category""",
+)
+def analysis(v: Views) -> DataFrame:
+    found = R.category_analysis(v.languages()).withColumn("avg_score", F.round("avg_score", 6))
+    whole = found.join(R.rank_in_list(v.languages()), "category")
+    total = R.total_rows(found).select(F.lit(1).alias("one"), "total")
+    return whole.withColumn("one", F.lit(1)).join(total, "one").drop("one")
 
 
 @check("w3_rank_in_list", _RANKED)
@@ -246,14 +241,13 @@ def best(v: Views) -> DataFrame:
     return R.best_category(R.category_analysis(v.languages())).withColumn("avg_score", F.round("avg_score", 6))
 
 
-def _lists(v: Views, list_size: int = 100) -> DataFrame:
-    inverted = R.languages_by_category(R.rank_in_list(v.languages()))
-    return listed(inverted, ["category"], "at", "language", "languages", list_size)
+def _placed(v: Views) -> DataFrame:
+    return R.languages_by_category(R.rank_in_list(v.languages()))
 
 
 @check("a5_total_languages", "SELECT count(*) AS total_languages FROM v_languages")
 def totals(v: Views) -> DataFrame:
-    return R.total_languages(_lists(v))
+    return R.total_languages(_placed(v))
 
 
 _PLACED = f"SELECT category, language, row_number() OVER (PARTITION BY category ORDER BY language, rank) - 1 AS place FROM ({_RANKED})"
@@ -261,21 +255,21 @@ _PLACED = f"SELECT category, language, row_number() OVER (PARTITION BY category
 
 @check(
     "a17_languages_by_category",
-    f"SELECT category, place // 100 AS part, string_agg(language, ',' ORDER BY place) AS languages FROM ({_PLACED}) GROUP BY ALL",
+    f"SELECT category, place AS at, language FROM ({_PLACED})",
 )
 def by_category(v: Views) -> DataFrame:
-    return _lists(v).withColumn("languages", F.array_join("languages", ","))
+    return _placed(v)
 
 
 @check(
     "j13_category_languages",
-    f"""SELECT category, coalesce(part, 0) AS part, coalesce(languages, '') AS languages FROM (SELECT DISTINCT category FROM v_languages)
-    LEFT JOIN (SELECT category, place // 100 AS part, string_agg(language, ',' ORDER BY place) AS languages FROM ({_PLACED}) WHERE category <> 'SMALL' GROUP BY ALL) USING (category)""",
+    f"""SELECT category, coalesce(place, -1) AS at, coalesce(language, '-') AS language FROM (SELECT DISTINCT category FROM v_languages)
+    LEFT JOIN (SELECT * FROM ({_PLACED}) WHERE category <> 'SMALL') USING (category)""",
 )
 def joined(v: Views) -> DataFrame:
     categories = R.category_analysis(v.languages()).select("category")
-    lists = _lists(v).filter("category <> 'SMALL'")
-    return R.category_languages(categories, lists).withColumn("languages", F.array_join("languages", ","))
+    found = R.category_languages(categories, _placed(v).filter("category <> 'SMALL'"))
+    return found.select("category", F.coalesce("at", F.lit(-1)).alias("at"), F.coalesce("language", F.lit("-")).alias("language"))
 
 
 @check("p9_rating", "SELECT p_partkey, CASE WHEN p_retailprice >= 1090 THEN 'excellent' WHEN p_retailprice >= 1080 THEN 'good' ELSE 'fair' END AS rating FROM part")
@@ -302,8 +296,8 @@ def category_job(v: Views) -> DataFrame:
         F.lit("summary").alias("kind"), "bestCategory.name", "bestCategory.rating", F.col("totalLanguages").alias("n")
     ).unionByName(
         categories.groupBy("category", "rating")
-        .agg(F.sum(F.size("languages")).alias("n"))
-        .select(F.lit("category").alias("kind"), F.col("category").alias("name"), "rating", F.col("n").cast("bigint"))
+        .agg(F.count("language").alias("n"))
+        .select(F.lit("category").alias("kind"), F.col("category").alias("name"), "rating", "n")
     )
 
 

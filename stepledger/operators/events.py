@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stepledger import schemas as S
 from stepledger.functions.formats import step_detail
-from stepledger.scale import GROUP_LIMIT, number_rows
+from stepledger.scale import number_rows
 
 STDERR_TAIL = 20
 
@@ -17,9 +17,9 @@ def drop_log_events(events: DataFrame) -> DataFrame:
     return events.filter(F.col("type") != S.STEP_LOG)
 
 
-def assign_seq(events: DataFrame, order: list, group_limit: int = GROUP_LIMIT) -> DataFrame:
+def assign_seq(events: DataFrame, order: list) -> DataFrame:
     """Number the non-log events of each job from 0; ``order`` must order a job's events totally."""
-    return number_rows(drop_log_events(events), ["job_id"], order, "seq", group_limit=group_limit)
+    return number_rows(drop_log_events(events), ["job_id"], order, "seq")
 
 
 def event_envelope(events: DataFrame) -> DataFrame:

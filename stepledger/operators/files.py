@@ -42,7 +42,8 @@ def dir_sizes(files: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
 
 def dir_size(files: DataFrame, requests: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
     """Recursive bytes of the requested folders ``(keys…, dir)``; a folder that does not exist has 0."""
-    sizes = dir_sizes(files, keys)
+    # Folders of keys that nobody asked about are not rolled up.
+    sizes = dir_sizes(files.join(requests.select(*keys).distinct(), list(keys), "left_semi"), keys)
     return requests.join(sizes, [*keys, "dir"], "left").select(
         *keys, "dir", F.coalesce("size", F.lit(0)).alias("size")
     )

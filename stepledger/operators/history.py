@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stepledger.functions.paths import ancestors, resolve_path, within_boundary
+
 W = "workspace_id"
 _RUN = [W, "run_id"]
 _STEP = [W, "step_id"]
@@ -26,7 +28,7 @@ def artifact_sizes(files: DataFrame) -> DataFrame:
 
 
 def show(state: DataFrame, runs: DataFrame, running: DataFrame, files: DataFrame) -> DataFrame:
-    """Status of every step per workspace, in the order ``section, pos``.
+    """Status of every step per workspace, in the order ``section, pos``. Only files of current runs are summed.
 
     A live running marker hides the committed run of the step. A run without metadata or without a status
     is ``unknown``. Live steps that were never committed follow in section 1.
@@ -42,7 +44,7 @@ def show(state: DataFrame, runs: DataFrame, running: DataFrame, files: DataFrame
         state.select(*_STEP, "run_id", "pos")
         .join(live, _STEP, "left")
         .join(meta, _RUN, "left")
-        .join(artifact_sizes(files), _RUN, "left")
+        .join(artifact_sizes(files.join(active_runs(state), _RUN, "left_semi")), _RUN, "left")
     )
     idle = F.col("live").isNull()
     committed = joined.select(
@@ -106,6 +108,50 @@ def current_run(requests: DataFrame, state: DataFrame) -> DataFrame:
     )
 
 
+def inspect_runs(requests: DataFrame, state: DataFrame, runs: DataFrame) -> DataFrame:
+    """Requests ``(workspace_id, step_id, …)`` with the metadata ``meta`` of their current run, or an error."""
+    rest = [c for c in runs.columns if c not in (*_RUN, "step_id")]
+    meta = runs.select(*_RUN, F.struct(*rest).alias("meta"))
+    found = current_run(requests, state).join(meta, _RUN, "left")
+    known = F.col("meta").isNotNull() & (F.col("meta.has_meta") if "has_meta" in rest else F.lit(True))
+    missing = F.when(~known, F.concat(F.lit("No metadata: "), "run_id"))
+    return found.withColumn("error", F.coalesce("error", missing)).withColumn("meta", F.when(known, F.col("meta")))
+
+
+def list_artifacts(requests: DataFrame, state: DataFrame, files: DataFrame) -> DataFrame:
+    """Entries ``(workspace_id, step_id, path, name, type, size)`` of requested artifact folders, or an error row.
+
+    ``files`` are the files of runs. Folders have size 0. A request that climbs out of the artifacts is an error, and so is
+    a folder without any file, which a listing of files can't tell from a missing one; the top folder may be empty.
+    """
+    top = F.lit("/artifacts")
+    below = F.regexp_replace(F.coalesce("path", F.lit("")), "^/+", "")
+    asked = current_run(requests.select(*_STEP, "path").distinct(), state)
+    inside = within_boundary(top, below, top)
+    error = F.coalesce("error", F.when(~inside, F.lit("Invalid path: must be within artifacts directory")))
+    asked = asked.withColumn("error", error).withColumn("dir", F.substring(resolve_path(top, below), 2, 1 << 30))
+    wanted = asked.filter("error IS NULL").select(*_RUN, "dir").distinct()
+    # Only files of requested runs are multiplied by their depth.
+    own = files.join(wanted.select(*_RUN).distinct(), _RUN, "left_semi")
+    inner = own.filter(F.startswith("path", F.lit("artifacts/"))).select(
+        *_RUN, F.col("path").alias("file"), "length", F.explode(ancestors(F.col("path"))).alias("dir")
+    )
+    rest = F.when(F.col("dir") == "", F.col("file")).otherwise(F.substring(F.col("file"), F.length("dir") + 2, F.length("file")))
+    nested = F.contains(rest, F.lit("/"))
+    entries = (
+        inner.join(wanted, [*_RUN, "dir"], "left_semi")
+        .groupBy(*_RUN, "dir", F.substring_index(rest, "/", 1).alias("name"), F.when(nested, "directory").otherwise("file").alias("type"))
+        .agg(F.max(F.when(nested, F.lit(0)).otherwise(F.col("length"))).alias("size"))
+    )
+    found = asked.join(entries, [*_RUN, "dir"], "left")
+    nothing = F.col("error").isNull() & F.col("name").isNull() & (F.col("dir") != "artifacts")
+    return (
+        found.withColumn("error", F.when(nothing, F.concat(F.lit("Folder not found: "), "path")).otherwise(F.col("error")))
+        .filter(F.col("name").isNotNull() | F.col("error").isNotNull())
+        .select(*_STEP, "path", "name", "type", "size", "error")
+    )
+
+
 def prune_candidates(runs: DataFrame, state: DataFrame) -> DataFrame:
     """Runs that the state does not refer to."""
     return runs.select(*_RUN).distinct().join(active_runs(state), _RUN, "left_anti")

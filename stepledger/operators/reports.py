@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepledger.functions.formats import rating
-from stepledger.scale import GROUP_LIMIT, number_rows
+from stepledger.scale import number_rows
 
 # Lines of the report.
 REPORT_TITLE = "=== FINAL REPORT ==="
@@ -51,7 +51,7 @@ def build_report(stats: DataFrame, high: DataFrame, generated_at: str | None = N
 
 
 def category_analysis(languages: DataFrame) -> DataFrame:
-    """Per category: count, mean score and first position."""
+    """Per category: count, mean score and first position; its languages in input order are ``rank_in_list``."""
     return languages.groupBy("category").agg(
         F.count(F.lit(1)).alias("count"),
         (F.sum("score") / F.count(F.lit(1))).alias("avg_score"),
@@ -59,11 +59,14 @@ def category_analysis(languages: DataFrame) -> DataFrame:
     )
 
 
-def rank_in_list(languages: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
+def total_rows(analysis: DataFrame) -> DataFrame:
+    """Number of rows over all categories."""
+    return analysis.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total"))
+
+
+def rank_in_list(languages: DataFrame) -> DataFrame:
     """1-based place of each language in its category, in input order."""
-    ranked = number_rows(
-        languages.select("category", "language", "pos"), ["category"], ["pos"], "rank", start=1, group_limit=group_limit
-    )
+    ranked = number_rows(languages.select("category", "language", "pos"), ["category"], ["pos"], "rank", start=1)
     return ranked.select("category", "language", "rank")
 
 
@@ -86,22 +89,17 @@ def best_category(analysis: DataFrame) -> DataFrame:
     return analysis.agg(best.alias("best")).filter(F.col("best").isNotNull()).select("best.*")
 
 
-def total_languages(lists: DataFrame) -> DataFrame:
-    """Number of languages over all lists ``(category, part, languages)``."""
-    return lists.agg(F.coalesce(F.sum(F.size("languages")), F.lit(0)).alias("total_languages"))
+def total_languages(placed: DataFrame) -> DataFrame:
+    """Number of languages over all categories, from rows ``(category, at, language)``."""
+    return placed.agg(F.count("language").alias("total_languages"))
 
 
-def languages_by_category(ranked: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
+def languages_by_category(ranked: DataFrame) -> DataFrame:
     """Languages of each category in ranked order, one row each with its place ``at`` from 0."""
     rows = ranked.select("category", "language", "rank")
-    return number_rows(rows, ["category"], ["language", "rank"], "at", group_limit=group_limit).select(
-        "category", "at", "language"
-    )
+    return number_rows(rows, ["category"], ["language", "rank"], "at").select("category", "at", "language")
 
 
-def category_languages(stats: DataFrame, lists: DataFrame) -> DataFrame:
-    """Category rows with their lists ``(category, part, languages)``; an empty list where there is none."""
-    empty = F.array().cast("array<string>")
-    return stats.join(lists, "category", "left").withColumn("languages", F.coalesce("languages", empty)).withColumn(
-        "part", F.coalesce("part", F.lit(0).cast("bigint"))
-    )
+def category_languages(stats: DataFrame, placed: DataFrame) -> DataFrame:
+    """Category rows with a row per language ``(category, at, language)``; one with nulls where there is none."""
+    return stats.join(placed.select("category", "at", "language"), "category", "left")

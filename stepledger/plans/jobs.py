@@ -18,56 +18,39 @@ from stepledger.operators.reports import (
     rated_categories,
     total_languages,
 )
-from stepledger.plans.steps import StepRegistry
-from stepledger.scale import listed
 
-text_processing = StepRegistry()
-text_processing.register("stats", ["people"])(department_stats)
-text_processing.register("filter", ["people"])(high_earners)
-text_processing.register("report", ["stats", "filter"])(build_report)
 
-
-@text_processing.register("notify", ["report"])
-def _notify(report: DataFrame) -> DataFrame:
-    lines = report.agg(F.count(F.lit(1)).alias("lines"))
-    return lines.select(
-        F.format_string("Would notify: report ready (%d lines)", "lines").alias("line")
-    )
-
-
-@text_processing.register("audit", ["people", "filter"])
-def _audit(people: DataFrame, high: DataFrame) -> DataFrame:
+def text_report_job(people: DataFrame, env: Column, threshold: int = 70_000) -> DataFrame:
+    """Lines ``(step, section, sort_key, line)`` of the report and of the steps that ``env`` switches on."""
+    high = high_earners(people, threshold)
+    report = build_report(department_stats(people), high)
     count = F.count(F.lit(1)).alias("n")
+    notice = report.agg(count).select(F.format_string("Would notify: report ready (%d lines)", "n").alias("line"))
     records = people.agg(count).select(F.format_string("Input records: %d", "n").alias("line"))
-    return records.unionByName(high.agg(count).select(F.format_string("High earners: %d", "n").alias("line")))
+    audit = records.unionByName(high.agg(count).select(F.format_string("High earners: %d", "n").alias("line")))
 
-
-def text_report_job(people: DataFrame, env: Column) -> DataFrame:
-    """Lines ``(step, section, sort_key, line)`` of the report and of the steps that ``env`` switches on."""
-    parts = text_processing.compose(["report", "notify", "audit"], {"people": people})
-    report = parts["report"].select(F.lit("report").alias("step"), "section", "sort_key", "line")
-
-    def optional(name: str, condition: str) -> DataFrame:
-        return (
-            parts[name]
-            .filter(eval_condition(F.lit(condition), env))
-            .select(F.lit(name).alias("step"), F.lit(0).alias("section"), F.lit("").alias("sort_key"), "line")
+    def optional(name: str, condition: str, lines: DataFrame) -> DataFrame:
+        return lines.filter(eval_condition(F.lit(condition), env)).select(
+            F.lit(name).alias("step"), F.lit(0).alias("section"), F.lit("").alias("sort_key"), "line"
         )
 
-    return report.unionByName(optional("notify", "env.NOTIFY")).unionByName(optional("audit", "env.AUDIT"))
+    return (
+        report.select(F.lit("report").alias("step"), "section", "sort_key", "line")
+        .unionByName(optional("notify", "env.NOTIFY", notice))
+        .unionByName(optional("audit", "env.AUDIT", audit))
+    )
 
 
-def category_summary_job(languages: DataFrame, list_size: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """``(summary, categories)``: one summary row, and per category its rating, mean and languages in lists."""
+def category_summary_job(languages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(summary, categories)``: one summary row, and per category its rating and mean with a row per language."""
     analysis = category_analysis(languages)
-    inverted = languages_by_category(rank_in_list(languages))
-    lists = listed(inverted, ["category"], "at", "language", "languages", list_size)
+    placed = languages_by_category(rank_in_list(languages))
     rated = rated_categories(analysis)
-    categories = category_languages(rated.select("category", "avg_score", "rating"), lists)
+    categories = category_languages(rated.select("category", "avg_score", "rating"), placed)
     best = rated_categories(best_category(analysis)).select(
         F.struct(F.col("category").alias("name"), F.col("avg_score").alias("avgScore"), "rating").alias("bestCategory")
     )
-    totals = total_languages(lists).select(F.col("total_languages").alias("totalLanguages"))
+    totals = total_languages(placed).select(F.col("total_languages").alias("totalLanguages"))
     # One row each: put below each other and folded into one row, which needs no join.
     summary = totals.unionByName(best, allowMissingColumns=True).agg(
         F.max("totalLanguages").alias("totalLanguages"), F.max("bestCategory").alias("bestCategory")

@@ -1,4 +1,4 @@
-"""Helpers that keep a group of any size out of a single task."""
+"""Numbering of groups of any size, by one plan whatever the input's size."""
 
 from __future__ import annotations
 
@@ -9,36 +9,18 @@ from pyspark.sql import functions as F
 
 from stepledger.storage import materialize
 
-# Rows of one key that a single task may sort; larger groups are split by range.
-GROUP_LIMIT = 5_000_000
-
-
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the most frequent key; reads the key columns only, counted before the shuffle."""
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-
 
 def number_rows(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str | Column],
-    name: str,
-    start: int = 0,
-    group_limit: int = GROUP_LIMIT,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str, start: int = 0
 ) -> DataFrame:
     """Gap-free numbers from ``start`` within each key, in the given (total) order.
 
-    While every group fits one task this is a plain window. Beyond that the rows are range-partitioned by
-    key *and* order, so that one key may span many partitions, and written once (the partition number is
-    stored with the rows and cannot change on a retry). Every (key, partition) piece then needs only the
-    number of its first row, which is a running sum over the piece counts of the key.
+    The rows are range-partitioned by key *and* order, so that one key may span many partitions, and written
+    once (the partition number is stored with the rows and cannot change on a retry). Every (key, partition) piece
+    then needs only the number of its first row, which is a running sum over the piece counts of the key.
     """
     keys = list(keys)
     order = [F.col(o) if isinstance(o, str) else o for o in order]
-    if largest_group(df, keys) <= group_limit:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(window).cast("bigint") + F.lit(start - 1))
-
     placed = materialize(
         df.repartitionByRange(*[F.col(k) for k in keys], *order)
         .sortWithinPartitions(*[F.col(k) for k in keys], *order)
@@ -59,19 +41,3 @@ def number_rows(
         same = same & F.col(key).eqNullSafe(F.col(f"_key{i}"))
     number = F.col("_row") - F.col("_first") + F.col("_before") + F.lit(start)
     return placed.join(pieces, same).select(*df.columns, number.alias(name))
-
-
-def listed(
-    df: DataFrame, keys: Sequence[str], position: str, value: str, name: str, list_size: int = 1000
-) -> DataFrame:
-    """Ordered lists per key in pieces of at most ``list_size`` values: ``(keys…, part, name)``.
-
-    ``position`` numbers the values of a key from 0 without gaps; a key with few values gets one list in
-    part 0, a key with many gets a row per part, so no list outgrows a task.
-    """
-    return (
-        df.withColumn("part", F.floor(F.col(position) / F.lit(list_size)).cast("bigint"))
-        .groupBy(*keys, "part")
-        .agg(F.array_sort(F.collect_list(F.struct(F.col(position), F.col(value)))).alias("_pairs"))
-        .select(*keys, "part", F.col(f"_pairs.{value}").alias(name))
-    )

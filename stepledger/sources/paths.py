@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stepledger.storage import materialize
+from stepledger.storage import materialize, qualified_path
 
-# `<workspace>/runs/<run>/…`: group 1 is the workspace, group 2 the run.
-RUN_PATH = r"([^/]+)/runs/([^/]+)/[^/]+$"
-RUN_FILE_PATH = r"([^/]+)/runs/([^/]+)/(.+)$"
-STATE_PATH = r"([^/]+)/state\.json$"
+# Where a store keeps its files below the root. The readers' globs have these depths, so the ends of the paths decide.
+RUN_META = r"([^/]+)/runs/([^/]+)/meta\.json$"
+RUN_LOG = r"([^/]+)/runs/([^/]+)/(stdout|stderr)\.log$"
+STATE = r"([^/]+)/state\.json$"
+MARKER = r"([^/]+)/running/([^/]+)$"
+LOCK = r"([^/]+)/daemon\.json$"
 
 
 def plain(path: Column) -> Column:
@@ -27,20 +30,38 @@ def path_part(path: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract(path, pattern, group)
 
 
-def read_lines(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    """``(file, line_no, line)`` of all text files below ``root`` whose name matches ``glob``.
+def below_root(spark: SparkSession, path: Column, root: str) -> Column:
+    """The part of a plain path below ``root``, whatever the names above it are."""
+    return F.substring(path, F.lit(len(qualified_path(spark, root)) + 2), F.length(path))
+
+
+def read_text(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, value)``, a row per file, of the small files that ``path``, which may hold wildcards, names; no rows where none is there."""
+    try:
+        texts = spark.read.text(path, wholetext=True)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "file STRING, value STRING")
+    return texts.select(decoded(F.col("_metadata.file_path")).alias("file"), "value")
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, line_no, line)`` of all text files that ``path``, which may hold wildcards, names.
 
     A large file is read by many tasks. Each task's share of a file is a block whose lines carry
     consecutive row ids, so a line's number is its distance from the first line of the block plus the
-    lines of the blocks before; only one row per block is needed to know that. The lines are written to a
-    work table once, so that their blocks and ids are settled, whatever happens to the tasks.
+    lines of the blocks before; only one row per block is needed to know that. Two scans of one plan need not cut files
+    alike, so the lines are copied to a work table once, which settles their blocks and ids.
     """
+    try:
+        found = spark.read.option("lineSep", "\n").text(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "file STRING, line_no BIGINT, line STRING")
     lines = materialize(
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
-        .option("lineSep", "\n")
-        .text(root)
-        .select(
+        found.select(
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("row"),

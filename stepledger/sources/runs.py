@@ -1,23 +1,27 @@
-"""Run folders: metadata, state, logs, file listings, artifacts."""
+"""The store of workspaces: run metadata, state, markers, locks, caches, logs, file listings, artifacts.
+
+Layout below the root: ``<workspace>/state.json``, ``<workspace>/daemon.json`` (lock), ``<workspace>/running/<step>``,
+``<workspace>/caches/<name>/…``, ``<workspace>/runs/<run>/{meta.json,stdout.log,stderr.log,artifacts/…}``. Documents and logs
+are found by wildcards of exactly this depth, so files of the same name among the artifacts are neither listed nor read.
+"""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stepledger import schemas as S
 from stepledger.functions.paths import resolve_path, within_boundary
 from stepledger.operators.history import current_run
-from stepledger.sources.paths import RUN_FILE_PATH, RUN_PATH, STATE_PATH, decoded, path_part, plain, read_lines
+from stepledger.sources.paths import LOCK, MARKER, RUN_LOG, RUN_META, STATE, below_root, path_part, plain, read_lines, read_text
+from stepledger.storage import qualified_path
 
-# Where a run keeps its artifacts.
-ARTIFACT_FOLDER = "{workspace_id}/runs/{run_id}/artifacts"
-# Artifacts whose paths may be handed from the driver to a reader; more are found by a join.
-READ_LIMIT = 10_000
-# Characters that a reader would expand in a path.
-_GLOB = re.compile(r"[\[\]{}*?\\]")
+# Fixed value: the largest name that the documents' format sorts as a number.
+_LARGEST_INDEX = 4294967294
 
 
 def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -37,45 +41,54 @@ def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     )
 
 
-def list_run_files(spark: SparkSession, root: str, pattern: str = RUN_FILE_PATH) -> DataFrame:
-    """``(workspace_id, run_id, path, name, length)``, the path relative to the run folder."""
-    files = list_files(spark, root)
-    return files.filter(F.col("path").rlike(pattern)).select(
-        path_part(F.col("path"), pattern, 1).alias("workspace_id"),
-        path_part(F.col("path"), pattern, 2).alias("run_id"),
-        path_part(F.col("path"), pattern, 3).alias("path"),
+def list_workspace_files(spark: SparkSession, root: str) -> DataFrame:
+    """``(workspace_id, path, name, length)`` of every file of every workspace, the path relative to the workspace."""
+    files = list_files(spark, root).withColumn("path", below_root(spark, F.col("path"), root))
+    inside = files.filter(F.contains("path", F.lit("/")))
+    return inside.select(
+        F.substring_index("path", "/", 1).alias("workspace_id"),
+        F.regexp_replace("path", "^[^/]+/", "").alias("path"),
         "name",
         "length",
     )
 
 
-def read_runs(
-    spark: SparkSession, root: str, glob: str = "meta.json", pattern: str = RUN_PATH, listed: bool = True
-) -> DataFrame:
+def list_run_files(spark: SparkSession, root: str) -> DataFrame:
+    """``(workspace_id, run_id, path, name, length)`` of the files of runs, the path relative to the run folder."""
+    pattern = r"^runs/([^/]+)/(.+)$"
+    files = list_workspace_files(spark, root).filter(F.col("path").rlike(pattern))
+    return files.select(
+        "workspace_id",
+        path_part(F.col("path"), pattern, 1).alias("run_id"),
+        path_part(F.col("path"), pattern, 2).alias("path"),
+        "name",
+        "length",
+    )
+
+
+def read_caches(spark: SparkSession, root: str) -> DataFrame:
+    """``(workspace_id, name)`` of the caches that hold a file; a listing of files can't see an empty folder."""
+    pattern = r"^caches/([^/]+)/"
+    files = list_workspace_files(spark, root).filter(F.col("path").rlike(pattern))
+    return files.select("workspace_id", path_part(F.col("path"), pattern, 1).alias("name")).distinct()
+
+
+def read_runs(spark: SparkSession, root: str, listed: bool = True) -> DataFrame:
     """Run metadata; a run whose metadata is malformed or missing stays, with nulls.
 
     ``listed`` adds the runs that have files but no metadata file.
     """
-    schema = S.ddl({**S.RUN_DOCUMENT, "_corrupt": "STRING"})
-    documents = (
-        spark.read.schema(schema)
-        .option("multiLine", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
-        .json(root)
-        .withColumn("file", decoded(F.col("_metadata.file_path")))
-    )
-    valid = F.col("_corrupt").isNull()
+    document = F.from_json("value", S.ddl({**S.RUN_DOCUMENT, "_corrupt": "STRING"}), {"columnNameOfCorruptRecord": "_corrupt"})
+    documents = read_text(spark, f"{root}/*/runs/*/meta.json").withColumn("meta", document)
+    valid = F.col("meta").isNotNull() & F.col("meta._corrupt").isNull()
     fields = [
-        F.when(valid, F.col(key).cast(data_type)).alias(name)
+        F.when(valid, F.col(f"meta.{key}").cast(data_type)).alias(name)
         for key, (name, data_type) in zip(S.RUN_DOCUMENT, S.RUN.items(), strict=True)
         if name != "run_id"
     ]
     runs = documents.select(
-        path_part(F.col("file"), pattern, 1).alias("workspace_id"),
-        path_part(F.col("file"), pattern, 2).alias("run_id"),
+        path_part(F.col("file"), RUN_META, 1).alias("workspace_id"),
+        path_part(F.col("file"), RUN_META, 2).alias("run_id"),
         valid.alias("has_meta"),
         *fields,
     )
@@ -87,28 +100,23 @@ def read_runs(
     )
 
 
-def read_state(
-    spark: SparkSession, root: str, glob: str = "state.json", pattern: str = STATE_PATH
-) -> DataFrame:
+def read_state(spark: SparkSession, root: str) -> DataFrame:
     """``(workspace_id, step_id, run_id, fingerprint, pos)``; a missing or malformed file has no rows.
 
     Positions follow the key order of the documents' format: numeric names first, by value, then the
     others as written.
     """
-    documents = (
-        spark.read.schema(S.ddl(S.STATE_DOCUMENT))
-        .option("multiLine", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
-        .json(root)
-        .select(path_part(decoded(F.col("_metadata.file_path")), pattern, 1).alias("workspace_id"), "steps")
+    documents = read_text(spark, f"{root}/*/state.json").select(
+        path_part(F.col("file"), STATE, 1).alias("workspace_id"),
+        F.from_json("value", S.ddl(S.STATE_DOCUMENT)).getField("steps").alias("steps"),
     )
 
     def keyed(entry, at):
-        numeric = entry["key"].rlike("^(0|[1-9][0-9]{0,8})$")
+        value = F.when(entry["key"].rlike(r"^(0|[1-9][0-9]*)\z"), entry["key"].try_cast("bigint"))
+        numeric = F.coalesce(value <= _LARGEST_INDEX, F.lit(False))
         return F.struct(
             (~numeric).alias("named"),
-            F.when(numeric, entry["key"].try_cast("bigint")).otherwise(at.cast("bigint")).alias("at"),
+            F.when(numeric, value).otherwise(at.cast("bigint")).alias("at"),
             entry["key"].alias("key"),
             entry["value"].alias("value"),
         )
@@ -123,73 +131,101 @@ def read_state(
     )
 
 
-def read_logs(spark: SparkSession, root: str, glob: str = "{stdout,stderr}.log", pattern: str = RUN_PATH) -> DataFrame:
+def _with_life(found: DataFrame, live: DataFrame) -> DataFrame:
+    """``alive`` by the table of ``(pid)`` of live processes."""
+    pids = live.select(F.col("pid").cast("bigint").alias("pid")).distinct().withColumn("alive", F.lit(True))
+    return found.join(pids, "pid", "left").withColumn("alive", F.coalesce("alive", F.lit(False)))
+
+
+def read_markers(spark: SparkSession, root: str, live: DataFrame) -> DataFrame:
+    """``(workspace_id, step_id, started_at, pid, step_name, alive)`` of the steps marked as running.
+
+    The step's id is the file's name; malformed markers are left out. Whether a process lives is not in the store, so
+    ``live`` lists the pids that do.
+    """
+    schema = "startedAt TIMESTAMP, pid BIGINT, stepName STRING, _corrupt STRING"
+    marker = F.from_json("value", schema, {"columnNameOfCorruptRecord": "_corrupt"})
+    found = read_text(spark, f"{root}/*/running/*").withColumn("marker", marker)
+    return _with_life(
+        found.filter(F.col("marker").isNotNull() & F.col("marker._corrupt").isNull()).select(
+            path_part(F.col("file"), MARKER, 1).alias("workspace_id"),
+            path_part(F.col("file"), MARKER, 2).alias("step_id"),
+            F.col("marker.startedAt").alias("started_at"),
+            F.col("marker.pid").alias("pid"),
+            F.col("marker.stepName").alias("step_name"),
+        ),
+        live,
+    ).select("workspace_id", "step_id", "started_at", "pid", "step_name", "alive")
+
+
+def read_locks(spark: SparkSession, root: str, live: DataFrame) -> DataFrame:
+    """``(workspace_id, pid, started_at, alive)`` of the workspaces' locks; malformed ones are left out."""
+    lock = F.from_json("value", "pid BIGINT, startedAt TIMESTAMP, _corrupt STRING", {"columnNameOfCorruptRecord": "_corrupt"})
+    found = read_text(spark, f"{root}/*/daemon.json").withColumn("lock", lock)
+    return _with_life(
+        found.filter(F.col("lock").isNotNull() & F.col("lock._corrupt").isNull()).select(
+            path_part(F.col("file"), LOCK, 1).alias("workspace_id"),
+            F.col("lock.pid").alias("pid"),
+            F.col("lock.startedAt").alias("started_at"),
+        ),
+        live,
+    ).select("workspace_id", "pid", "started_at", "alive")
+
+
+def read_logs(spark: SparkSession, root: str) -> DataFrame:
     """``(workspace_id, run_id, stream, line_no, line)`` with line numbers from 0."""
-    lines = read_lines(spark, root, glob)
-    return lines.select(
-        path_part(F.col("file"), pattern, 1).alias("workspace_id"),
-        path_part(F.col("file"), pattern, 2).alias("run_id"),
-        F.regexp_extract("file", "(stdout|stderr)[^/]*$", 1).alias("stream"),
+    return read_lines(spark, f"{root}/*/runs/*/{{stdout,stderr}}.log").select(
+        path_part(F.col("file"), RUN_LOG, 1).alias("workspace_id"),
+        path_part(F.col("file"), RUN_LOG, 2).alias("run_id"),
+        path_part(F.col("file"), RUN_LOG, 3).alias("stream"),
         "line_no",
         "line",
     )
 
 
-def read_artifacts(
-    spark: SparkSession,
-    root: str,
-    requests: DataFrame,
-    state: DataFrame,
-    layout: str = ARTIFACT_FOLDER,
-    read_limit: int = READ_LIMIT,
-) -> DataFrame:
+def _content(file: str) -> bytes | None:
+    """The bytes of a file in any store that Arrow opens; none where there is no such file."""
+    from urllib.parse import quote
+
+    from pyarrow import fs
+
+    scheme, colon, path = file.partition(":")
+    if not colon or scheme == "file":
+        store, path = fs.LocalFileSystem(), "/" + (path if colon else file).lstrip("/")
+    else:
+        store, path = fs.FileSystem.from_uri(f"{scheme}:{quote(path)}")
+    if store.get_file_info(path).type != fs.FileType.File:
+        return None
+    with store.open_input_file(path) as stream:
+        return stream.read()
+
+
+def read_artifacts(spark: SparkSession, root: str, requests: DataFrame, state: DataFrame) -> DataFrame:
     """Content of the requested artifacts ``(workspace_id, step_id, path)`` of the current runs, or an error.
 
-    ``layout`` names the artifact folder of a run below ``root``. The requests are matched with a listing first. A modest number of matches is then read by name; beyond
-    ``read_limit`` the files are joined with the matches instead.
+    The request and the state name the file, so nothing is listed: the tasks that hold the requests open exactly these
+    files, one at a time.
     """
-    base = F.format_string(
-        "/" + layout.format(workspace_id="%1$s", run_id="%2$s"), F.col("workspace_id"), F.col("run_id")
-    )
+    base = F.format_string("/%s/runs/%s/artifacts", F.col("workspace_id"), F.col("run_id"))
     # A leading slash does not leave the folder: the path is always taken below it.
     below = F.regexp_replace("path", "^/+", "")
     inside = within_boundary(base, below, base)
-    error = F.coalesce(
-        "error", F.when(~inside, F.lit("Invalid path: must be within artifacts directory"))
-    )
-    wanted = current_run(requests, state).withColumn("error", error).withColumn(
-        "key", F.when(F.col("error").isNull(), resolve_path(base, below))
-    )
-    folder = layout.format(workspace_id="[^/]+", run_id="[^/]+")
-    key = F.regexp_extract(plain(F.col("file")), rf"(/{folder}/.+)$", 1)
-    listing = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(root)
-        .select(F.col("path").alias("file"))
-    )
-    found = listing.withColumn("key", key).join(wanted.select("key").distinct(), "key", "left_semi")
-    names = [row.file for row in found.select("file").limit(read_limit + 1).collect()]
-    reader = spark.read.format("binaryFile")
-    if not names:
-        content = found.select("key", F.lit(None).cast("binary").alias("content")).limit(0)
-    elif len(names) <= read_limit and not any(_GLOB.search(name) for name in names):
-        content = reader.load(names).select(F.col("path").alias("file"), "content").select(key.alias("key"), "content")
-    else:
-        content = (
-            reader.option("recursiveFileLookup", True)
-            .load(root)
-            .select(F.col("path").alias("file"), "content")
-            .withColumn("key", key)
-            .join(found.select("key"), "key", "left_semi")
-            .select("key", "content")
-        )
+    error = F.coalesce("error", F.when(~inside, F.lit("Invalid path: must be within artifacts directory")))
+    wanted = current_run(requests, state).withColumn("error", error)
+    file = F.when(F.col("error").isNull(), F.concat(F.lit(qualified_path(spark, root)), resolve_path(base, below)))
+    wanted = wanted.select("*", file.alias("_file"))
+    schema = T.StructType([*wanted.drop("_file").schema.fields, T.StructField("content", T.BinaryType())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, name in enumerate(batch["_file"].to_pylist()):
+                row = batch.slice(k, 1).drop_columns(["_file"])
+                content = pa.array([name and _content(name)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*row.columns, content], names=[*row.schema.names, "content"])
+
     missing = F.concat(F.lit("Artifact not found: "), "path")
-    return (
-        wanted.join(content, "key", "left")
-        .withColumn("error", F.coalesce("error", F.when(F.col("content").isNull(), missing)))
-        .drop("key")
-    )
+    found = wanted.mapInArrow(read, schema)
+    return found.withColumn("error", F.coalesce("error", F.when(F.col("content").isNull(), missing)))
 
 
 def export_step_output(

@@ -47,6 +47,12 @@ def _hadoop_path(spark: SparkSession, path: str):
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
 
 
+def qualified_path(spark: SparkSession, path: str) -> str:
+    """The absolute path with its scheme, as listings report it (``file:/…`` with one slash), without a slash at the end."""
+    filesystem, hadoop = _hadoop_path(spark, path)
+    return filesystem.makeQualified(hadoop).toString().rstrip("/")
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     filesystem, hadoop = _hadoop_path(spark, path)
     return filesystem.exists(hadoop)

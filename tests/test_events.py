@@ -155,11 +155,10 @@ def test_fanout(spark, tmp_path):
     assert counts == [10, 10]
 
 
-@pytest.mark.parametrize("group_limit", [3, 1000])
-def test_seq_without_logs(spark, group_limit):
+def test_seq_without_logs(spark):
     rows = random_events(3, jobs=3, n=30)
     df = frame(spark, rows).select(F.col("event.job_id").alias("job_id"), F.col("seq").alias("at"), "type")
-    numbered = assign_seq(df, ["at"], group_limit=group_limit).collect()
+    numbered = assign_seq(df, ["at"]).collect()
     expected = {}
     for job in ("j0", "j1", "j2"):
         kept = sorted(r[0] for r in rows if r[4]["job_id"] == job and r[3] != "STEP_LOG")

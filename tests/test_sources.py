@@ -8,11 +8,21 @@ import pytest
 from pyspark.sql import functions as F
 
 from stepledger.plans.jobs import category_summary_job, text_report_job
-from stepledger.plans.steps import StepRegistry
 from stepledger.sources.definitions import read_dotenv, read_pipelines
 from stepledger.sources.paths import read_lines
-from stepledger.sources.reuse import materialize_if_changed
-from stepledger.sources.runs import export_step_output, list_run_files, read_artifacts, read_logs, read_runs, read_state
+from stepledger.operators.history import show, workspace_summary
+from stepledger.sources.runs import (
+    export_step_output,
+    list_run_files,
+    list_workspace_files,
+    read_artifacts,
+    read_caches,
+    read_locks,
+    read_logs,
+    read_markers,
+    read_runs,
+    read_state,
+)
 from stepledger.sources.tables import read_json_doc, write_json_doc, write_text_report
 
 
@@ -66,7 +76,7 @@ def test_line_numbers_of_a_file_read_by_many_tasks(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
     try:
         assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
-        rows = read_lines(spark, str(tmp_path), "*.log").collect()
+        rows = read_lines(spark, f"{tmp_path}/*.log").collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     big = sorted((r.line_no, r.line) for r in rows if r.file.endswith("big.log"))
@@ -80,13 +90,68 @@ def test_listing_and_artifacts(spark, workspace):
     state = read_state(spark, str(workspace))
     asked = [("ws 1", "build", "output.txt"), ("ws 1", "build", "/output.txt"), ("ws 1", "build", "./sub/../sub/deep[1].txt"), ("ws 1", "build", "../stdout.log"), ("ws 1", "build", "none.txt"), ("ws 1", "gone", "output.txt")]
     requests = spark.createDataFrame(asked, "workspace_id STRING, step_id STRING, path STRING")
-    for limit in (10_000, 0):
-        found = {(r.step_id, r.path): (r.content and bytes(r.content), r.error) for r in read_artifacts(spark, str(workspace), requests, state, read_limit=limit).collect()}
-        assert found["build", "output.txt"] == found["build", "/output.txt"] == (b"result data", None)
-        assert found["build", "./sub/../sub/deep[1].txt"] == (b"deep", None)
-        assert found["build", "../stdout.log"][1] == "Invalid path: must be within artifacts directory"
-        assert found["build", "none.txt"][1] == "Artifact not found: none.txt"
-        assert found["gone", "output.txt"][1] == "Step not found: gone"
+    found = {(r.step_id, r.path): (r.content and bytes(r.content), r.error) for r in read_artifacts(spark, str(workspace), requests, state).collect()}
+    assert found["build", "output.txt"] == found["build", "/output.txt"] == (b"result data", None)
+    assert found["build", "./sub/../sub/deep[1].txt"] == (b"deep", None)
+    assert found["build", "../stdout.log"][1] == "Invalid path: must be within artifacts directory"
+    assert found["build", "none.txt"][1] == "Artifact not found: none.txt"
+    assert found["gone", "output.txt"][1] == "Step not found: gone"
+
+
+def test_artifacts_need_no_listing_and_no_driver(spark, workspace, monkeypatch):
+    requests = spark.createDataFrame([("ws 1", "build", "output.txt")], "workspace_id STRING, step_id STRING, path STRING")
+    state = read_state(spark, str(workspace))
+    monkeypatch.setattr(type(requests), "collect", lambda *_: pytest.fail("collected"))
+    found = read_artifacts(spark, str(workspace), requests, state)
+    assert "binaryFile" not in found._jdf.queryExecution().toString()
+
+
+def test_files_count_by_depth_only(spark, tmp_path):
+    """Names of documents among artifacts, and a store below a folder called runs, mislead no reader."""
+    root = tmp_path / "old/runs/store"
+    put(root, "ws1/state.json", '{"steps": {"a": {"runId": "r1", "fingerprint": "f"}}}')
+    put(root, "ws1/runs/r1/meta.json", '{"stepId": "a", "exitCode": 0}')
+    put(root, "ws1/runs/r1/artifacts/state.json", '{"steps": {"junk": {"runId": "x"}}}')
+    put(root, "ws1/runs/r1/artifacts/meta.json", '{"stepId": "junk"}')
+    put(root, "ws1/runs/r1/artifacts/stdout.log", "junk\n")
+    put(root, "ws1/runs/r1/stdout.log", "line\n")
+    assert [(r.workspace_id, r.step_id) for r in read_state(spark, str(root)).collect()] == [("ws1", "a")]
+    for listed in (True, False):
+        assert [(r.workspace_id, r.run_id, r.step_id) for r in read_runs(spark, str(root), listed).collect()] == [("ws1", "r1", "a")]
+    assert [(r.workspace_id, r.run_id, r.line) for r in read_logs(spark, str(root)).collect()] == [("ws1", "r1", "line")]
+    files = {(r.workspace_id, r.run_id, r.path) for r in list_run_files(spark, str(root) + "/").collect()}
+    assert len(files) == 5 and ("ws1", "r1", "artifacts/state.json") in files
+
+
+def test_state_order_of_long_numbers(spark, tmp_path):
+    names = ["x", "4294967295", "4294967294", "99999999999999999999", "1234567890", "7", "007"]
+    steps = ", ".join(f'"{n}": {{"runId": "r", "fingerprint": "f"}}' for n in names)
+    put(tmp_path, "w/state.json", f'{{"steps": {{{steps}}}}}')
+    found = [r.step_id for r in read_state(spark, str(tmp_path)).orderBy("pos").collect()]
+    assert found == ["7", "1234567890", "4294967294", "x", "4294967295", "99999999999999999999", "007"]
+
+
+def test_show_and_summary_of_a_written_store(spark, workspace):
+    put(workspace, "ws 1/running/build", '{"startedAt": "2024-01-01T00:00:00.000Z", "pid": 7, "stepName": "Build"}')
+    put(workspace, "ws 1/running/late", '{"startedAt": "2024-01-01T00:00:00.000Z", "pid": 8}')
+    put(workspace, "ws 1/running/bad", "{")
+    put(workspace, "ws 1/daemon.json", '{"pid": 7, "socketPath": "", "startedAt": "2024-01-01T00:00:00.000Z", "version": 1}')
+    put(workspace, "ws 1/caches/npm/a/b", "123")
+    root, live = str(workspace), spark.createDataFrame([(7,)], "pid BIGINT")
+    markers = read_markers(spark, root, live)
+    assert {(r.step_id, r.pid, r.step_name, r.alive) for r in markers.collect()} == {("build", 7, "Build", True), ("late", 8, None, False)}
+    assert [(r.workspace_id, r.alive) for r in read_locks(spark, root, live).collect()] == [("ws 1", True)]
+    shown = show(read_state(spark, root), read_runs(spark, root), markers, list_run_files(spark, root)).collect()
+    assert {(r.step_id, r.status) for r in shown} == {("2", "unknown"), ("10", "unknown"), ("zeta", "unknown"), ("build", "running")}
+    size = sum(f.stat().st_size for f in workspace.rglob("*") if f.is_file() and not f.name.endswith(".crc"))
+    summary = workspace_summary(read_runs(spark, root), read_caches(spark, root), list_workspace_files(spark, root)).collect()
+    assert [tuple(r) for r in summary] == [("ws 1", 3, 1, size)]
+
+
+def test_an_empty_store(spark, tmp_path):
+    live = spark.createDataFrame([], "pid BIGINT")
+    for found in (read_state(spark, str(tmp_path)), read_runs(spark, str(tmp_path)), read_logs(spark, str(tmp_path)), read_markers(spark, str(tmp_path), live), read_locks(spark, str(tmp_path), live), read_caches(spark, str(tmp_path))):
+        assert found.count() == 0
 
 
 def test_definitions(spark, tmp_path):
@@ -108,29 +173,6 @@ def test_dotenv(spark, tmp_path):
     assert values == {"A": "last", "B": "two words", "C": "single # kept", "D": "dou\nble", "E": "x", "F": "", "G": "tick", "M": "two\nlines"}
 
 
-def test_reuse(spark, tmp_path):
-    calls = []
-
-    def compute(fail=False):
-        calls.append(1)
-        if fail:
-            raise ValueError("failed")
-        return spark.range(3)
-
-    path = str(tmp_path / "cache")
-    with pytest.raises(ValueError):
-        materialize_if_changed(spark, lambda: compute(True), "f1", path)
-    assert materialize_if_changed(spark, compute, "f1", path).count() == 3
-    assert materialize_if_changed(spark, compute, "f1", path).count() == 3
-    assert len(calls) == 2
-    materialize_if_changed(spark, compute, "f1", path, force=True)
-    materialize_if_changed(spark, compute, "f2", path)
-    assert len(calls) == 4
-    for _ in range(2):  # an allowed failure is kept
-        assert materialize_if_changed(spark, lambda: compute(True), "f3", path, failure_schema="id BIGINT").count() == 0
-    assert len(calls) == 5
-
-
 def test_export(spark, tmp_path):
     spark.range(5).write.parquet(str(tmp_path / "w/runs/r1/artifacts"))
     state = spark.createDataFrame([("w", "build", "r1")], "workspace_id STRING, step_id STRING, run_id STRING")
@@ -156,7 +198,7 @@ def test_text_report_job(spark, tmp_path):
     assert sorted(r.line for r in lines.filter("step <> 'report'").collect()) == ["High earners: 4", "Input records: 8"]
     out = str(tmp_path / "report")
     write_text_report(lines.filter("step = 'report'"), out, ["section", "sort_key", "line"])
-    written = read_lines(spark, out, "part-*").orderBy("file", "line_no").collect()
+    written = read_lines(spark, f"{out}/part-*").orderBy("file", "line_no").collect()
     assert [r.line for r in written] == report
 
 
@@ -166,25 +208,9 @@ def test_category_job(spark, tmp_path):
     summary, categories = category_summary_job(languages)
     row = summary.first()
     assert row.totalLanguages == 8 and row.bestCategory.name == "backend" and row.bestCategory.rating == "excellent"
-    found = {r.category: (r.rating, r.languages) for r in categories.collect()}
+    found = {}
+    for r in sorted(categories.collect(), key=lambda r: r["at"]):
+        found.setdefault(r.category, (r.rating, []))[1].append(r.language)
     assert found == {"backend": ("excellent", ["Go", "Java", "Rust"]), "frontend": ("good", ["JavaScript", "TypeScript"]), "data": ("good", ["Julia", "Python", "R"])}
     write_json_doc(summary, str(tmp_path / "s"))
     assert read_json_doc(spark, str(tmp_path / "s"), "totalLanguages BIGINT").first().totalLanguages == 8
-
-
-def test_registry(spark):
-    registry = StepRegistry()
-    calls = []
-
-    @registry.register("base")
-    def base():
-        calls.append("base")
-        return spark.range(4)
-
-    registry.register("even", ["base"])(lambda df: df.filter("id % 2 = 0"))
-    registry.register("all", ["base", "even"])(lambda a, b: a.union(b))
-    registry.register("unused")(lambda: calls.append("unused"))
-    out = registry.compose(["all", "even"], {})
-    assert out["all"].count() == 6 and out["even"].count() == 2 and calls == ["base"]
-    with pytest.raises(LookupError):
-        registry.compose(["nothing"], {})
