@@ -97,7 +97,7 @@ VIEWS = {
     "ev_all": f"SELECT *, {_ORDER} FROM v_events",
     "v_steps": _V_STEPS.format(numbered=_NUMBERED),
     "v_edges": _V_EDGES,
-    "edges": """SELECT pipeline_id, step_id, dep_id, bool_or(optional) AS any_optional, bool_or(NOT optional) AS any_required
+    "edges": """SELECT pipeline_id, step_id, dep_id, bool_or(optional) AS any_optional, bool_or(NOT optional) AS any_required, count(*) AS uses
         FROM v_edges GROUP BY ALL""",
     "links": """SELECT e.* FROM edges e JOIN v_steps s ON e.pipeline_id = s.pipeline_id AND e.dep_id = s.step_id""",
     "lv": """SELECT pipeline_id, step_id, 0 AS level FROM v_steps

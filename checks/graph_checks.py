@@ -188,7 +188,8 @@ def dry(v: Views) -> DataFrame:
         *_NODE, "cmd", "o_orderkey", run_id.alias("run_id"),
         F.when(F.col("o_orderkey") % 9 == 0, F.lit("old")).otherwise(F.col("image")).alias("image"),
     )
-    inputs = found.join(
+    # From the inputs as they are named, repeats included.
+    inputs = v.inputs(steps).join(
         before.select("pipeline_id", F.col("step_id").alias("dep_id"), "run_id"), ["pipeline_id", "dep_id"], "left"
     )
     ids = inputs.groupBy(*_NODE).agg(F.collect_list("run_id").alias("ids"))

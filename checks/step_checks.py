@@ -153,17 +153,17 @@ _CMD_JSON = """concat('["run","', prio, '","a\\"b/', i, '"]')"""
 @check(
     "p15_fingerprint",
     f"""SELECT o_orderkey, sha256(concat(image, {_CMD_JSON}, CASE WHEN i % 2 = 0 THEN '["install"]' ELSE '' END,
-      CASE i % 3 WHEN 0 THEN '[["A","1"],["B","' || prio || '"]]' WHEN 1 THEN '[]' ELSE '' END,
-      CASE i % 4 WHEN 0 THEN '["r1","r' || i || '"]' WHEN 1 THEN '[]' ELSE '' END,
+      CASE i % 3 WHEN 0 THEN '[["a","1"],["A_B","x"],["AB","y"],["B","' || prio || '"]]' WHEN 1 THEN '[]' ELSE '' END,
+      CASE i % 4 WHEN 0 THEN '["r1","r1","R2","r3' || i || '"]' WHEN 1 THEN '[]' ELSE '' END,
       CASE i % 5 WHEN 0 THEN '[{{"hostPath":"/w/y","containerPath":"/a"}},{{"hostPath":"/w/x","containerPath":"/b"}}]' ELSE '' END)) AS fp FROM v_steps""",
 )
 def fingerprints(v: Views) -> DataFrame:
     i, prio = F.col("i"), F.col("prio")
     cmd = F.array(F.lit("run"), prio, F.concat(F.lit('a"b/'), i))
     env = F.when(
-        i % 3 == 0, F.create_map(F.lit("B"), prio, F.lit("A"), F.lit("1"))
+        i % 3 == 0, F.create_map(F.lit("B"), prio, F.lit("AB"), F.lit("y"), F.lit("a"), F.lit("1"), F.lit("A_B"), F.lit("x"))
     ).when(i % 3 == 1, F.create_map().cast("map<string,string>"))
-    ids = F.when(i % 4 == 0, F.array(F.concat(F.lit("r"), i), F.lit("r1"))).when(
+    ids = F.when(i % 4 == 0, F.array(F.concat(F.lit("r3"), i), F.lit("r1"), F.lit("R2"), F.lit("r1"))).when(
         i % 4 == 1, F.array().cast("array<string>")
     )
     mounts = F.when(
@@ -315,62 +315,65 @@ def _definitions(v: Views) -> DataFrame:
     """Definitions in which every rule is broken by some steps of the table."""
     return v.steps().selectExpr(
         "pipeline_id",
-        "CASE WHEN o_orderkey % 40 = 0 THEN concat('s ', i) ELSE step_id END AS step_id",
+        "CASE WHEN o_orderkey % 40 = 0 THEN concat('s ', i) WHEN o_orderkey % 43 = 0 THEN concat(step_id, char(10)) ELSE step_id END AS step_id",
         "CASE WHEN o_orderkey % 30 = 1 THEN NULL ELSE image END AS image",
         "CASE WHEN o_orderkey % 25 = 2 THEN CAST(array() AS ARRAY<STRING>) ELSE array('run', prio) END AS cmd",
         "CASE WHEN o_orderkey % 20 = 3 THEN '/etc/env' ELSE 'conf/.env' END AS env_file",
         """array(named_struct('step', 's1', 'copy_to_output', false, 'optional', false),
-            named_struct('step', CASE WHEN o_orderkey % 15 = 4 THEN 'bad.name' ELSE 's2' END, 'copy_to_output', false, 'optional', true)) AS inputs""",
+            named_struct('step', CASE o_orderkey % 15 WHEN 4 THEN 'bad.name' WHEN 5 THEN concat('s2', char(10)) ELSE 's2' END, 'copy_to_output', false, 'optional', true)) AS inputs""",
         """array(named_struct('host', CASE o_orderkey % 12 WHEN 0 THEN '/abs' WHEN 1 THEN '' ELSE 'src' END,
             'container', CASE o_orderkey % 10 WHEN 0 THEN 'rel' WHEN 1 THEN '/a/../b' WHEN 2 THEN NULL ELSE '/app' END)) AS mounts""",
         """CASE WHEN i % 2 = 0 THEN array(named_struct('host', CASE o_orderkey % 11 WHEN 0 THEN '/abs' ELSE 'src' END, 'container', '/src')) END AS sources""",
-        """array(named_struct('name', CASE o_orderkey % 14 WHEN 0 THEN 'bad name' WHEN 1 THEN '' ELSE 'npm' END,
+        """array(named_struct('name', CASE o_orderkey % 14 WHEN 0 THEN 'bad name' WHEN 1 THEN '' WHEN 2 THEN concat('npm', char(10)) ELSE 'npm' END,
             'path', CASE o_orderkey % 16 WHEN 0 THEN 'rel' WHEN 1 THEN NULL ELSE '/c' END, 'exclusive', false)) AS caches""",
         """CASE WHEN o_orderkey % 2 = 0 THEN named_struct('cmd', CASE WHEN o_orderkey % 18 = 4 THEN CAST(array() AS ARRAY<STRING>) ELSE array('install') END,
             'caches', array(named_struct('name', CASE WHEN o_orderkey % 22 = 0 THEN 'bad!' ELSE 'pip' END, 'path', '/p', 'exclusive', true)), 'allow_network', true) END AS setup""",
     )
 
 
-_ID = "CASE WHEN o_orderkey % 40 = 0 THEN concat('s ', i) ELSE step_id END"
+_ID = "CASE WHEN o_orderkey % 40 = 0 THEN concat('s ', i) WHEN o_orderkey % 43 = 0 THEN concat(step_id, chr(10)) ELSE step_id END"
+# Per rule: when it is broken, the field, the problem and the value.
 _RULES = {
-    "v1_step_id": [("o_orderkey % 40 = 0", "concat('Invalid step id: ''s ', i, ''' must contain only alphanumeric characters, underscore, and hyphen')")],
-    "v2_image": [("o_orderkey % 30 = 1", f"concat('Invalid step ', {_ID}, ': image is required')")],
-    "v3_cmd": [("o_orderkey % 25 = 2", f"concat('Invalid step ', {_ID}, ': cmd must be a non-empty array')")],
-    "v4_env_file": [("o_orderkey % 20 = 3", f"concat('Step ', {_ID}, ': envFile ''/etc/env'' must be a relative path')")],
-    "v5_input_names": [("o_orderkey % 15 = 4", f"concat('Invalid input step name in step ', {_ID}, ': ''bad.name'' must contain only alphanumeric characters, underscore, and hyphen')")],
+    "v1_step_id": [("o_orderkey % 40 = 0 OR o_orderkey % 43 = 0", "step_id", "malformed", _ID)],
+    "v2_image": [("o_orderkey % 30 = 1", "image", "missing", "NULL")],
+    "v3_cmd": [("o_orderkey % 25 = 2", "cmd", "empty", "NULL")],
+    "v4_env_file": [("o_orderkey % 20 = 3", "env_file", "absolute", "'/etc/env'")],
+    "v5_input_names": [
+        ("o_orderkey % 15 = 4", "inputs.step", "malformed", "'bad.name'"),
+        ("o_orderkey % 15 = 5", "inputs.step", "malformed", "'s2' || chr(10)"),
+    ],
     "v6_mount_host": [
-        ("o_orderkey % 12 = 0", f"concat('Step ', {_ID}, ': mount.host ''/abs'' must be a relative path')"),
-        ("o_orderkey % 12 = 1", f"concat('Step ', {_ID}, ': mount.host is required and must be a string')"),
-        ("i % 2 = 0 AND o_orderkey % 11 = 0", f"concat('Step ', {_ID}, ': mount.host ''/abs'' must be a relative path')"),
+        ("o_orderkey % 12 = 0", "mounts.host", "absolute", "'/abs'"),
+        ("o_orderkey % 12 = 1", "mounts.host", "missing", "''"),
+        ("i % 2 = 0 AND o_orderkey % 11 = 0", "sources.host", "absolute", "'/abs'"),
     ],
     "v7_mount_container": [
-        ("o_orderkey % 10 = 0", f"concat('Step ', {_ID}, ': mount.container ''rel'' must be an absolute path')"),
-        ("o_orderkey % 10 = 1", f"concat('Step ', {_ID}, ': mount.container ''/a/../b'' must not contain ''..''')"),
-        ("o_orderkey % 10 = 2", f"concat('Step ', {_ID}, ': mount.container is required and must be a string')"),
+        ("o_orderkey % 10 = 0", "mounts.container", "relative", "'rel'"),
+        ("o_orderkey % 10 = 1", "mounts.container", "climbing", "'/a/../b'"),
+        ("o_orderkey % 10 = 2", "mounts.container", "missing", "NULL"),
     ],
     "v8_cache_name": [
-        ("o_orderkey % 14 = 0", f"concat('Invalid cache name in step ', {_ID}, ': ''bad name'' must contain only alphanumeric characters, underscore, and hyphen')"),
-        ("o_orderkey % 14 = 1", f"concat('Step ', {_ID}, ': cache.name is required and must be a string')"),
-        ("o_orderkey % 22 = 0", f"concat('Invalid cache name in step ', {_ID}, ': ''bad!'' must contain only alphanumeric characters, underscore, and hyphen')"),
-    ],
-    "v9_cache_path": [
-        ("o_orderkey % 16 = 0", f"concat('Step ', {_ID}, ': cache.path ''rel'' must be an absolute path')"),
-        ("o_orderkey % 16 = 1", f"concat('Step ', {_ID}, ': cache.path is required and must be a string')"),
+        ("o_orderkey % 14 = 0", "caches.name", "malformed", "'bad name'"),
+        ("o_orderkey % 14 = 1", "caches.name", "missing", "''"),
+        ("o_orderkey % 14 = 2", "caches.name", "malformed", "'npm' || chr(10)"),
+        ("o_orderkey % 22 = 0", "setup.caches.name", "malformed", "'bad!'"),
     ],
-    "v10_setup_cmd": [("o_orderkey % 18 = 4", f"concat('Invalid step ', {_ID}, ': setup.cmd must be a non-empty array')")],
-}
+    "v9_cache_path": [("o_orderkey % 16 = 0", "caches.path", "relative", "'rel'"), ("o_orderkey % 16 = 1", "caches.path", "missing", "NULL")],
+    "v10_setup_cmd": [("o_orderkey % 18 = 4", "setup.cmd", "empty", "NULL")],
+}
 
 
-def _rule_check(name: str, cases: list[tuple[str, str]]) -> None:
+def _rule_check(name: str, cases: list[tuple[str, str, str, str]]) -> None:
     rule = name.split("_")[0].upper()
     sql = " UNION ALL ".join(
-        f"SELECT pipeline_id, {_ID} AS step_id, {message} AS message FROM v_steps WHERE {test}" for test, message in cases
+        f"SELECT pipeline_id, {_ID} AS step_id, '{field}' AS field, '{problem}' AS problem, coalesce({value}, '-') AS value FROM v_steps WHERE {test}"
+        for test, field, problem, value in cases
     )
 
     @check(name, sql)
     def violations(v: Views) -> DataFrame:
-        found = V.validate_steps(_definitions(v))
-        return found.filter(F.col("rule") == rule).select("pipeline_id", "step_id", "message")
+        found = V.validate_steps(_definitions(v)).filter(F.col("rule") == rule)
+        return found.select("pipeline_id", "step_id", "field", "problem", F.coalesce("value", F.lit("-")).alias("value"))
 
 
 for _name, _cases in _RULES.items():
@@ -379,9 +382,9 @@ for _name, _cases in _RULES.items():
 
 @check(
     "v11_definitions",
-    """SELECT pipeline_id, 'Invalid pipeline: at least one of "id" or "name" must be defined' AS message FROM v_steps WHERE o_orderkey % 7 = 0
-    UNION ALL SELECT pipeline_id, 'Invalid pipeline: steps must be a non-empty array' FROM v_steps WHERE i % 6 = 0
-    UNION ALL SELECT pipeline_id, 'Invalid step: at least one of "id" or "name" must be defined' FROM v_steps WHERE o_orderkey % 13 = 0""",
+    """SELECT pipeline_id, 'V11' AS rule, -1 AS pos, 'id' AS field, 'missing' AS problem FROM v_steps WHERE o_orderkey % 7 = 0
+    UNION ALL SELECT pipeline_id, 'V11', -1, 'steps', 'empty' FROM v_steps WHERE i % 6 = 0
+    UNION ALL SELECT pipeline_id, 'V11', i, 'id', 'missing' FROM v_steps WHERE o_orderkey % 13 = 0""",
 )
 def unnamed(v: Views) -> DataFrame:
     steps = v.steps()
@@ -394,20 +397,17 @@ def unnamed(v: Views) -> DataFrame:
     step_defs = steps.selectExpr(
         "pipeline_id", "i AS pos", "CASE WHEN o_orderkey % 13 <> 0 THEN step_id END AS id", "CAST(NULL AS STRING) AS name"
     )
-    return (
-        V.validate_definitions(definitions)
-        .select("pipeline_id", "message")
-        .unionByName(V.validate_step_names(step_defs).select("pipeline_id", "message"))
-    )
+    whole = V.validate_definitions(definitions).withColumn("pos", F.lit(-1)).drop("rank")
+    return whole.unionByName(V.validate_step_names(step_defs))
 
 
 @check(
     "v12_duplicates",
-    """SELECT pipeline_id, concat('p', prio) AS step_id, concat('Duplicate step id: ''p', prio, '''') AS message FROM v_steps GROUP BY ALL HAVING count(*) > 1""",
+    """SELECT pipeline_id, concat('p', prio) AS step_id, 'V12' AS rule, 'repeated' AS problem FROM v_steps GROUP BY ALL HAVING count(*) > 1""",
 )
 def duplicates(v: Views) -> DataFrame:
     steps = v.steps().select("pipeline_id", F.concat(F.lit("p"), "prio").alias("step_id"))
-    return V.duplicate_steps(steps).select("pipeline_id", "step_id", "message")
+    return V.duplicate_steps(steps).select("pipeline_id", "step_id", "rule", "problem")
 
 
 @check(

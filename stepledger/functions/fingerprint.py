@@ -18,6 +18,14 @@ def canonical_json(value: Column) -> Column:
     return F.when(text.contains("\\u00"), lowered).otherwise(text)
 
 
+def _by_locale(items: Column, key) -> Column:
+    """The items in the order of the root locale's collation; equal ones keep their places."""
+    placed = F.transform(
+        items, lambda x, i: F.struct(F.collate(key(x), "UNICODE").alias("key"), i.alias("at"), x.alias("item"))
+    )
+    return F.transform(F.array_sort(placed), lambda x: x["item"])
+
+
 def fingerprint(
     image: Column,
     cmd: Column,
@@ -29,22 +37,20 @@ def fingerprint(
     """SHA-256 over the settings one after the other, without separators.
 
     An absent (null) setting adds nothing, an empty map or list adds ``[]``; only an empty list of mounts
-    counts as absent. Entries are sorted in binary order. ``mounts`` has fields ``host`` and ``container``.
+    counts as absent. Entries are sorted by the collation of the root locale, in which ``a`` comes before ``B``.
+    ``mounts`` has fields ``host`` and ``container``.
     """
     parts = [image, canonical_json(cmd)]
     if setup_cmd is not None:
         parts.append(F.coalesce(canonical_json(setup_cmd), F.lit("")))
     if env is not None:
-        pairs = F.transform(F.array_sort(F.map_entries(env)), lambda e: F.array(e["key"], e["value"]))
+        pairs = F.transform(_by_locale(F.map_entries(env), lambda e: e["key"]), lambda e: F.array(e["key"], e["value"]))
         parts.append(F.coalesce(canonical_json(pairs), F.lit("")))
     if input_run_ids is not None:
-        parts.append(F.coalesce(canonical_json(F.array_sort(input_run_ids)), F.lit("")))
+        parts.append(F.coalesce(canonical_json(_by_locale(input_run_ids, lambda x: x)), F.lit("")))
     if mounts is not None:
-        keyed = F.transform(
-            mounts, lambda m, i: F.struct(m["container"].alias("container"), i.alias("at"), m["host"].alias("host"))
-        )
         shaped = F.transform(
-            F.array_sort(keyed),
+            _by_locale(mounts, lambda m: m["container"]),
             lambda m: F.struct(m["host"].alias("hostPath"), m["container"].alias("containerPath")),
         )
         parts.append(F.when(F.size(mounts) > 0, canonical_json(shaped)).otherwise(F.lit("")))

@@ -48,7 +48,7 @@ class IgnoreRule(NamedTuple):
     def regex(self) -> str:
         """For a whole path, which has a trailing slash if it is a folder."""
         start = "" if self.anchored else "(?:.*/)?"
-        return f"(?i)^{start}{self.body}{'/' if self.folder_only else '/?'}$"
+        return f"(?i)^{start}{self.body}{'/' if self.folder_only else '/?'}\\z"
 
 
 def ignore_rule(line: str) -> IgnoreRule | None:

@@ -1,7 +1,7 @@
 """Dependency-graph operators over all graphs of a fleet at once.
 
 ``steps`` holds ``(pipeline_id, step_id, …)``, ``edges`` holds one row per distinct pair
-``(pipeline_id, step_id, dep_id, any_optional, any_required)``: ``step_id`` depends on ``dep_id``.
+``(pipeline_id, step_id, dep_id, any_optional, any_required, uses)``: ``step_id`` depends on ``dep_id``, named ``uses`` times.
 
 The loops advance one level of *every* graph per round, so the number of rounds is the greatest depth, not
 the number of graphs. Each round writes its new rows into its own sub-folder of one work table. All rounds
@@ -35,9 +35,10 @@ def build_edges(steps: DataFrame) -> DataFrame:
 
 
 def merge_edges(inputs: DataFrame) -> DataFrame:
-    """One edge per (step, dep) of input rows; repeated inputs may differ in their flags."""
+    """One edge per (step, dep) of input rows, with the number of its ``uses``; repeated inputs may differ in their flags."""
     optional = F.coalesce(F.col("optional"), F.lit(False))
     flags = [F.bool_or(optional).alias("any_optional"), F.bool_or(~optional).alias("any_required")]
+    flags.append(F.count(F.lit(1)).alias("uses"))
     if "copy_to_output" in inputs.columns:
         flags.append(F.bool_or(F.coalesce("copy_to_output", F.lit(False))).alias("copy_to_output"))
     return inputs.groupBy(P, "step_id", "dep_id").agg(*flags)
@@ -230,7 +231,7 @@ def dry_run(
 
     ``steps`` carries ``image`` and ``cmd``, optionally ``setup_cmd``, ``env``, ``mounts``, ``condition_met`` and
     ``has_inputs`` (true for an input list, even an empty one; without it, true for a step with edges);
-    ``state`` and ``runs`` are keyed by ``pipeline_id``. A step is cached if its fingerprint, which includes
+    ``state`` and ``runs`` are keyed by ``pipeline_id``. An input that is named twice adds its run id twice. A step is cached if its fingerprint, which includes
     the run ids of its cached deps, equals the stored one and the stored run still exists. A step that would
     run has no run id yet, so whatever depends on it changes too; hence the loop over levels, in which each
     round reads only the steps and edges of its own level.
@@ -272,7 +273,8 @@ def dry_run(
     )
     todo.write.partitionBy("level").parquet(todo_path)
     todo = spark.read.schema(todo.schema).parquet(todo_path)
-    links = edges.select(*_NODE, "dep_id").join(plan, _NODE)
+    uses = F.col("uses") if "uses" in edges.columns else F.lit(1)
+    links = edges.select(*_NODE, "dep_id", uses.cast("int").alias("uses")).join(plan, _NODE)
     links.write.partitionBy("level").parquet(link_path)
     links = spark.read.schema(links.schema).parquet(link_path)
 
@@ -293,12 +295,12 @@ def dry_run(
         else:
             known = spark.read.schema(decided_schema).parquet(folder).filter("cached")
             known = known.select(P, F.col("step_id").alias("dep_id"), "run_id")
-            # One list per step, as long as the input list of that step's definition.
+            # One list per step, as long as the input list of that step's definition: an id for every time it is named.
             inputs = (
                 links.filter(F.col("level") == level)
                 .join(known, [P, "dep_id"])
                 .groupBy(*_NODE)
-                .agg(F.collect_list("run_id").alias("ids"))
+                .agg(F.flatten(F.collect_list(F.array_repeat("run_id", F.col("uses")))).alias("ids"))
             )
         ids = F.when(F.col("has_inputs"), F.coalesce("ids", F.array().cast("array<string>")))
         setting = lambda name: F.col(name) if name in settings else None

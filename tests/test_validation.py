@@ -15,7 +15,7 @@ GOOD = {"image": "alpine", "cmd": ["x"], "env_file": None, "inputs": None, "moun
 def violations(spark, step_id, **broken):
     step = {**GOOD, **broken}
     df = spark.createDataFrame([("p", step_id, *[step[k] for k in GOOD])], SCHEMA)
-    return [(r.rule, r.message) for r in V.validate_steps(df).orderBy("rank").collect()]
+    return [tuple(r) for r in V.validate_steps(df).orderBy("rank").select("rule", "field", "problem", "value").collect()]
 
 
 def test_good_step(spark):
@@ -30,11 +30,23 @@ def test_all_rules_in_order(spark):
         mounts=[("", "rel"), ("/h", "/a/../b")], sources=[("s", None)], caches=[("", "rel", None), ("bad!", None, None)],
         setup=([], [("ok", "nope", None)], None),
     )
-    assert [rule for rule, _ in found] == [
+    assert [rule for rule, *_ in found] == [
         "V1", "V2", "V3", "V4", "V5", "V6", "V7", "V6", "V7", "V7", "V8", "V9", "V8", "V9", "V10", "V9",
     ]
-    assert found[0][1] == "Invalid step id: 'bad id' must contain only alphanumeric characters, underscore, and hyphen"
-    assert found[6][1] == "Step bad id: mount.container 'rel' must be an absolute path"
+    assert found[0] == ("V1", "step_id", "malformed", "bad id")
+    assert found[6] == ("V7", "mounts.container", "relative", "rel")
+    assert found[11] == ("V9", "caches.path", "relative", "rel") and found[15][1] == "setup.caches.path"
+
+
+def test_a_line_break_is_no_part_of_a_name(spark):
+    found = violations(spark, "ok\n", inputs=[("a\n", None, None)], caches=[("c\n", "/c", None)])
+    assert [(rule, problem) for rule, _, problem, _ in found] == [("V1", "malformed"), ("V5", "malformed"), ("V8", "malformed")]
+
+
+def test_messages(spark):
+    df = spark.createDataFrame([("p", "s", *[{**GOOD, "image": None, "env_file": "/x"}[k] for k in GOOD])], SCHEMA)
+    texts = [r.message for r in V.describe(V.validate_steps(df)).orderBy("rank").collect()]
+    assert texts == ["V2: step s has image missing", "V4: step s has env_file absolute (/x)"]
 
 
 def test_missing_id(spark):
@@ -49,4 +61,4 @@ def test_definitions(spark):
     )
     assert sorted((r.pipeline_id, r.rank) for r in V.validate_definitions(df).collect()) == [("p", 0), ("q", 1), ("r", 1)]
     steps = spark.createDataFrame([("p", "a"), ("p", "a"), ("p", "b"), ("q", "a")], "pipeline_id STRING, step_id STRING")
-    assert [r.message for r in V.duplicate_steps(steps).collect()] == ["Duplicate step id: 'a'"]
+    assert [(r.pipeline_id, r.step_id, r.rule) for r in V.duplicate_steps(steps).collect()] == [("p", "a", "V12")]
