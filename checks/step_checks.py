@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from checks.base import Views, check
 from checks.event_checks import DURATION_SQL, SIZE_SQL
 from stepledger.functions import formats, merge, paths, text
-from stepledger.functions.condition import eval_condition
+from stepledger.functions.condition import judge_condition
 from stepledger.functions.fingerprint import fingerprint
 from stepledger.operators import inputs as I
 from stepledger.operators import validation as V
@@ -278,7 +278,7 @@ def mounted(v: Views) -> DataFrame:
 
 @check(
     "f1_eval_condition",
-    """SELECT o_orderkey, CASE i % 8
+    """SELECT o_orderkey, i % 10 <> 4 AS supported, CASE i % 10
       WHEN 0 THEN o_orderkey % 2 = 0
       WHEN 1 THEN prio = '1'
       WHEN 2 THEN o_orderkey % 2 = 0 AND prio <> '3'
@@ -286,6 +286,8 @@ def mounted(v: Views) -> DataFrame:
       WHEN 4 THEN FALSE
       WHEN 5 THEN TRUE
       WHEN 6 THEN i > 10
+      WHEN 8 THEN prio = '1'
+      WHEN 9 THEN prio <> '1'
       ELSE o_orderkey % 2 = 0 END AS met FROM v_steps""",
 )
 def conditions(v: Views) -> DataFrame:
@@ -295,15 +297,18 @@ def conditions(v: Views) -> DataFrame:
         F.lit("I"), i.cast("string"),
     )
     condition = (
-        F.when(i % 8 == 0, F.lit("env.EVEN"))
-        .when(i % 8 == 1, F.lit('env.PRIO == "1"'))
-        .when(i % 8 == 2, F.lit("env.EVEN && !(env.PRIO == 3)"))
-        .when(i % 8 == 3, F.lit("env.PRIO >= 2 && !(env.EVEN || env.PRIO == '4')"))
-        .when(i % 8 == 4, F.lit(")))invalid((("))
-        .when(i % 8 == 6, F.lit("env.I > 10"))
-        .when(i % 8 == 7, F.lit("env.I || env.MISSING && env.EVEN"))
+        F.when(i % 10 == 0, F.lit("env.EVEN"))
+        .when(i % 10 == 1, F.lit('env.PRIO == "1"'))
+        .when(i % 10 == 2, F.lit("env.EVEN && !(env.PRIO == 3)"))
+        .when(i % 10 == 3, F.lit("env.PRIO >= 2 && !(env.EVEN || env.PRIO == '4')"))
+        .when(i % 10 == 4, F.lit(")))invalid((("))
+        .when(i % 10 == 6, F.lit("env.I > 10"))
+        .when(i % 10 == 7, F.lit("env.I || env.MISSING && env.EVEN"))
+        .when(i % 10 == 8, F.lit('(env.PRIO) == "1"'))
+        .when(i % 10 == 9, F.lit('env.PRIO == "1" == false'))
     )
-    return v.steps().select("o_orderkey", eval_condition(condition, env).alias("met"))
+    judged = v.steps().select("o_orderkey", judge_condition(condition, env).alias("judged"))
+    return judged.select("o_orderkey", "judged.met", "judged.supported")
 
 
 @check("f6_force_filter", "SELECT o_orderkey FROM v_steps WHERE step_id IN ('s1', 's7')")

@@ -1,11 +1,13 @@
 """Run conditions over a map of environment variables.
 
-The supported expressions are literals, ``env.NAME``, ``== != < <= > >=``, ``&& || !`` and parentheses.
-A condition is evaluated with built-in expressions only, so there is no list of distinct conditions to
-bring to the driver. First every operand or comparison is cut out of the text and judged; what remains is
-a skeleton such as ``T&&!(F||T)``, which regular expressions reduce from the inside until one letter is
-left. Whatever does not reduce to a single letter was not a valid expression and counts as false.
-``&&`` and ``||`` bind equally strongly, from left to right.
+The supported expressions are literals, ``env.NAME``, ``== != < <= > >=``, ``&& || !`` and parentheses. Comparisons bind more
+strongly than ``&&`` and ``||``, which bind equally; all of them group from the left. ``&&`` and ``||`` give one of their
+operands, as in the language that the conditions come from.
+
+A condition is evaluated with built-in expressions only, so there is no list of distinct conditions to bring to the driver.
+Every operand is cut out of the text and looked up; what remains is a frame such as ``#0;a!(#1;E#2;)`` of numbered values,
+operators and parentheses. Each pass replaces one operation whose operands are values by the value that it gives, until one
+value is left. A condition of which more is left was outside these expressions, which is told apart from a false one.
 """
 
 from __future__ import annotations
@@ -17,10 +19,13 @@ _STRING = r""""(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'"""
 _NUMBER = r"-?(?:[0-9]*\.[0-9]+|[0-9]+)"
 _NAME = r"[A-Za-z_$][A-Za-z0-9_$]*(?:\.[A-Za-z_$][A-Za-z0-9_$]*)*"
 _OPERAND = rf"{_STRING}|{_NUMBER}|{_NAME}"
-_COMPARISON = r"==|!=|<=|>=|<|>"
-_TERM = rf"({_OPERAND})(?:\s*({_COMPARISON})\s*({_OPERAND}))?"
-_NEGATED_COMPARISON = rf"!\s*(?:{_OPERAND})\s*(?:{_COMPARISON})"
-_JS_NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
+# Operators as one letter each, so that no space can make two of one or one of two.
+_LETTERS = {"&&": "a", "||": "o", "==": "E", "!=": "N", "<=": "L", ">=": "G"}
+_UNARY = r"!#([0-9]+);"
+_COMPARISON = r"#([0-9]+);([ENLG<>])#([0-9]+);"
+_LOGIC = r"(?:^|\()#([0-9]+);([ao])#([0-9]+);(?=\z|[)ao])"
+_JS_NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
+_SPACES = " \t\n\x0b\x0c\r"
 _MARK = "\u0001"
 
 
@@ -28,7 +33,7 @@ def _looked_up(token: Column, env: Column) -> Column:
     """A token with its text: that of a quoted string or of a variable, null for anything else."""
     inner = F.regexp_replace(F.substring(token, F.lit(2), F.length(token) - 2), r"\\(.)", "$1")
     text = F.when(token.rlike("^[\"']"), inner).when(
-        token.rlike(r"^env\.[^.]+$"), F.try_element_at(env, F.substring(token, F.lit(5), F.length(token)))
+        token.rlike(r"^env\.[^.]+\z"), F.try_element_at(env, F.substring(token, F.lit(5), F.length(token)))
     )
     return F.struct(token.alias("token"), text.alias("text"))
 
@@ -36,7 +41,7 @@ def _looked_up(token: Column, env: Column) -> Column:
 def _value(operand: Column) -> Column:
     """A looked-up token with its kind (string, number, boolean, object or undefined) and number."""
     token, text = operand["token"], operand["text"]
-    trimmed = F.trim(text)
+    trimmed = F.btrim(text, F.lit(_SPACES))
     kind = (
         F.when(text.isNotNull(), F.lit("string"))
         .when(token.rlike("^[-.0-9]"), F.lit("number"))
@@ -75,57 +80,88 @@ def _compare(left: Column, operator: Column, right: Column) -> Column:
         )
 
     return (
-        F.when(operator == "==", equal)
-        .when(operator == "!=", ~equal)
+        F.when(operator == "E", equal)
+        .when(operator == "N", ~equal)
         .when(operator == "<", ordered(lambda a, b: a < b))
-        .when(operator == "<=", ordered(lambda a, b: a <= b))
+        .when(operator == "L", ordered(lambda a, b: a <= b))
         .when(operator == ">", ordered(lambda a, b: a > b))
         .otherwise(ordered(lambda a, b: a >= b))
     )
 
 
-def _judge(term: Column) -> Column:
-    left, operator, right = term["left"], term["operator"], term["right"]
-    holds = F.when(operator == "", _truthy(left)).otherwise(_compare(left, operator, right))
-    return F.when(holds, F.lit("T")).otherwise(F.lit("F"))
+def _boolean(holds: Column) -> Column:
+    return F.struct(
+        F.lit("boolean").alias("kind"), F.lit(None).cast("string").alias("text"), F.when(holds, 1.0).otherwise(0.0).alias("number")
+    )
 
 
-def _verdicts(condition: Column, env: Column) -> Column:
-    """``T`` or ``F`` for every term, in steps so that each part of a term is worked out once."""
-    part = lambda group: F.regexp_extract_all(condition, F.lit(_TERM), group)
-    value = lambda tokens: F.transform(F.transform(tokens, lambda t: _looked_up(t, env)), _value)
-    terms = F.arrays_zip(value(part(1)).alias("left"), part(2).alias("operator"), value(part(3)).alias("right"))
-    return F.transform(terms, _judge)
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
 
 
-def _reduce(skeleton: Column) -> Column:
-    for pattern, result in (
-        ("!T", "F"),
-        ("!F", "T"),
-        (r"(^|\()Fa[TF]", "$1F"),
-        (r"(^|\()Ta([TF])", "$1$2"),
-        (r"(^|\()To[TF]", "$1T"),
-        (r"(^|\()Fo([TF])", "$1$2"),
-        (r"\(([TF])\)", "$1"),
-    ):
-        skeleton = F.regexp_replace(skeleton, pattern, result)
-    return skeleton
+def _reduce(state: Column) -> Column:
+    """One operation less, and one pair of parentheses around a value less wherever there is one."""
+    text = F.regexp_replace(state["text"], r"\((#[0-9]+;)\)", "$1")
 
+    def found(text: Column) -> Column:
+        unary = F.regexp_extract(text, _UNARY, 1)
+        compared, logical = ([F.regexp_extract(text, p, k) for k in (1, 2, 3)] for p in (_COMPARISON, _LOGIC))
+        binary = [F.when(compared[1] != "", c).otherwise(x) for c, x in zip(compared, logical, strict=True)]
+        negated = unary != ""
+        return F.struct(
+            text.alias("text"),
+            F.when(negated, unary).otherwise(binary[0]).alias("left"),
+            F.when(negated, F.lit("!")).otherwise(binary[1]).alias("operator"),
+            F.when(negated, F.lit("")).otherwise(binary[2]).alias("right"),
+        )
 
-def eval_condition(condition: Column, env: Column) -> Column:
-    """True without a condition; otherwise the truth of the condition, false if it is not valid."""
-    frame = F.regexp_replace(condition, _TERM, _MARK)
-    frame = F.replace(F.replace(frame, F.lit("&&"), F.lit("a")), F.lit("||"), F.lit("o"))
+    def applied(found: Column) -> Column:
+        values, operator = state["values"], found["operator"]
+        left, right = (F.get(values, found[side].try_cast("int")) for side in ("left", "right"))
+        shown = F.when(operator == "!", F.concat(F.lit("!#"), found["left"], F.lit(";"))).otherwise(
+            F.concat(F.lit("#"), found["left"], F.lit(";"), operator, F.lit("#"), found["right"], F.lit(";"))
+        )
+        # Both ways of a logical operator are values; which one depends on the left one's truth.
+        result = (
+            F.when(operator == "!", _boolean(~_truthy(left)))
+            .when(operator == "a", F.when(_truthy(left), right).otherwise(left))
+            .when(operator == "o", F.when(_truthy(left), left).otherwise(right))
+            .otherwise(_boolean(_compare(left, operator, right)))
+        )
+        named = F.concat(F.lit("#"), F.size(values).cast("string"), F.lit(";"))
+        return F.when(
+            operator != "", F.struct(F.replace(found["text"], shown, named).alias("text"), F.array_append(values, result).alias("values"))
+        ).otherwise(F.struct(found["text"].alias("text"), values.alias("values")))
+
+    return _bound(_bound(text, found), applied)
+
+
+def judge_condition(condition: Column, env: Column) -> Column:
+    """``struct<met, supported>``: met without a condition; else its truth, false where it is not supported."""
+    tokens = F.regexp_extract_all(condition, F.lit(f"({_OPERAND})"), 1)
+    values = F.transform(F.transform(tokens, lambda t: _looked_up(t, env)), _value)
+    frame = F.regexp_replace(condition, _OPERAND, _MARK)
+    for sign, letter in _LETTERS.items():
+        frame = F.replace(frame, F.lit(sign), F.lit(letter))
     pieces = F.split(F.regexp_replace(frame, r"\s+", ""), _MARK)
-    skeleton = F.array_join(
-        F.zip_with(pieces, _verdicts(condition, env), lambda piece, verdict: F.concat(piece, F.coalesce(verdict, F.lit("")))), ""
-    )
-    # Every pass uses up at least one operator or parenthesis, as long as the skeleton can be reduced.
-    passes = F.greatest(F.length(F.regexp_replace(skeleton, "[^!ao(]", "")), F.lit(1))
-    result = F.aggregate(F.sequence(F.lit(1), passes), skeleton, lambda text, _: _reduce(text))
-    # `!a == b` compares a boolean; that form is outside the supported expressions.
-    plain = F.regexp_replace(condition, _STRING, '""')
-    valid = ~plain.rlike(_NEGATED_COMPARISON) & ~condition.contains(_MARK)
-    return F.when(F.coalesce(condition, F.lit("")) == "", F.lit(True)).otherwise(
-        F.coalesce(valid & (result == "T"), F.lit(False))
-    )
+    number = lambda piece, k: F.when(k == 0, piece).otherwise(F.concat(F.lit("#"), (k - 1).cast("string"), F.lit(";"), piece))
+    text = F.array_join(F.transform(pieces, number), "")
+    # Every pass uses up an operator or a pair of parentheses, as long as the frame can be reduced.
+    passes = F.greatest(F.length(F.regexp_replace(text, r"[^!ao(ENLG<>]", "")), F.lit(1))
+    start = F.struct(text.alias("text"), values.alias("values"))
+    reduced = F.aggregate(F.sequence(F.lit(1), passes), start, lambda state, _: _reduce(state))
+    whole = r"^#([0-9]+);\z"
+
+    def verdict(state: Column) -> Column:
+        last = F.get(state["values"], F.regexp_extract(state["text"], whole, 1).try_cast("int"))
+        supported = state["text"].rlike(whole) & ~condition.contains(_MARK)
+        return F.struct(F.coalesce(supported & _truthy(last), F.lit(False)).alias("met"), F.coalesce(supported, F.lit(False)).alias("supported"))
+
+    always = F.struct(F.lit(True).alias("met"), F.lit(True).alias("supported"))
+    return F.when(F.coalesce(condition, F.lit("")) == "", always).otherwise(_bound(reduced, verdict))
+
+
+def eval_condition(condition: Column, env: Column) -> Column:
+    """True without a condition; otherwise the truth of the condition, false if it is not valid or not supported."""
+    return judge_condition(condition, env)["met"]

@@ -8,7 +8,7 @@ import json
 from pyspark.sql import functions as F
 
 from stepledger.functions import formats, merge, paths, text
-from stepledger.functions.condition import eval_condition
+from stepledger.functions.condition import eval_condition, judge_condition
 from stepledger.functions.fingerprint import canonical_json, fingerprint
 from stepledger.functions.ignore import is_ignored
 
@@ -46,7 +46,19 @@ def test_conditions(wrong):
         ("env.A | env.B", {"A": "1", "B": "1"}, False),
         ("env.A env.B", {"A": "1", "B": "1"}, False),
         ("env.A == env.B == env.C", {}, False),
+        ("env.A == env.B == true", {}, True),
         ('!env.A == "x"', {"A": "y"}, False),
+        ("!env.A == false", {"A": "y"}, True),
+        ('(env.A) == "1"', {"A": "1"}, True),
+        ('env.A == "1" == true', {"A": "1"}, True),
+        ('env.A == "1" == false', {"A": "1"}, False),
+        ('(env.A || env.B) == "b"', {"B": "b"}, True),
+        ('"b" == (env.A && env.B)', {"A": "a", "B": "b"}, True),
+        ('env.A && env.B == "b"', {"A": "a", "B": "b"}, True),
+        ("(env.A > 1) == (env.B > 1)", {"A": "2", "B": "0"}, False),
+        ("env.A = = env.A", {"A": "1"}, False),
+        ("env.N + 1 == 6", {"N": "5"}, False),
+        ("env.A == 7", {"A": "7\n"}, True),
         ("((env.A))", {"A": "1"}, True),
         ("(env.A", {"A": "1"}, False),
         ("foo.bar", {}, False),
@@ -57,6 +69,12 @@ def test_conditions(wrong):
     )
 
 
+def test_unsupported_conditions_are_marked(wrong):
+    cases = [(None, True), ("", True), ("env.A", True), ("!(env.A == 'x') && 1 < 2", True), ("env.N + 1 == 6", False), ("env.A ? 1 : 2", False), ("env.A in ['x']", False), ("((", False), ("env.A env.B", False)]
+    env = F.create_map(F.lit("A"), F.lit("x"))
+    assert not wrong(cases, "c STRING, expected BOOLEAN", judge_condition(F.col("c"), env)["supported"])
+
+
 def test_default_ignores(wrong):
     ignored = [
         ".git", ".git/config", "node_modules", "node_modules/foo/index.js", "__pycache__", "test.pyc", ".DS_Store",
