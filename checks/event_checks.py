@@ -12,7 +12,13 @@ from stepledger.operators.sessions import current_session, fold_session_steps, f
 from stepledger.sources.events import envelope_lines, read_events, write_events, write_fanout
 from stepledger.storage import materialize, work_path
 from stepledger.streaming.events import stream_events, stream_fanout, stream_log_tail
-from stepledger.streaming.sessions import session_snapshot, snapshot_steps, stream_sessions, write_sessions
+from stepledger.streaming.sessions import (
+    compact_session_events,
+    session_snapshot,
+    session_updates,
+    stored_events,
+    write_session_events,
+)
 
 _FOLD = """
 WITH starts AS (SELECT job_id, max(seq) AS s, arg_max(ts, seq) AS start_at, arg_max(workspace_id, seq) AS ws, arg_max(k, seq) AS k
@@ -268,21 +274,30 @@ def stream(v: Views) -> DataFrame:
     return _per_type(v.spark.read.schema(events.schema).parquet(out))
 
 
-def _streamed_sessions(v: Views) -> DataFrame:
-    path, out = _written_events(v), work_path(v.spark, "sessions")
-    sessions = stream_sessions(stream_events(v.spark, path, files_per_trigger=4))
-    _run_to_end(write_sessions(sessions, out), work_path(v.spark, "progress"))
-    return session_snapshot(v.spark, out)
+def _streamed_events(v: Views) -> tuple[str, str]:
+    """The table that a stream has written, and what compaction makes of its first half."""
+    path, out, half = _written_events(v), work_path(v.spark, "sessions"), work_path(v.spark, "half")
+    _run_to_end(write_session_events(stream_events(v.spark, path, files_per_trigger=4), out), work_path(v.spark, "progress"))
+    stored = stored_events(v.spark, out)
+    middle = stored.agg(F.floor(F.max("batch") / 2)).first()[0]
+    stored.filter(F.col("batch") <= middle).write.partitionBy("batch").parquet(half)
+    base = work_path(v.spark, "compacted")
+    compact_session_events(v.spark, half, base)
+    return out, base
 
 
 @check("t2_stream_sessions", _SESSION_STEPS_SQL)
 def streamed_steps(v: Views) -> DataFrame:
-    return _session_steps(snapshot_steps(_streamed_sessions(v)))
+    return _session_steps(session_snapshot(v.spark, *_streamed_events(v))[1])
 
 
 @check("t3_session_snapshot", _SESSIONS_SQL)
 def snapshot(v: Views) -> DataFrame:
-    return _sessions(_streamed_sessions(v))
+    """Sessions with news after the first batch, and the others from the snapshot."""
+    out, base = _streamed_events(v)
+    changed = session_updates(v.spark, out, 0, base)[0]
+    whole = session_snapshot(v.spark, out, base)[0]
+    return _sessions(changed.unionByName(whole.join(changed, "job_id", "left_anti").select(changed.columns)))
 
 
 @check(

@@ -104,27 +104,38 @@ def _last(value: str, when: Column) -> Column:
     return F.max_by(F.col(value), F.when(when, F.col("seq"))).alias(value)
 
 
+def _setters() -> dict[str, Column]:
+    """For each field of a step besides its status, the events that set it."""
+    finished = F.col("type") == S.STEP_FINISHED
+    return {
+        "run_id": F.col("type").isin(S.STEP_SKIPPED, S.STEP_FINISHED) & (F.col("run_id") != ""),
+        "exit_code": F.col("type") == S.STEP_FAILED,
+        "duration_ms": finished & F.col("duration_ms").isNotNull(),
+        "artifact_size": finished & F.col("artifact_size").isNotNull(),
+    }
+
+
+def _live(folded: DataFrame, pieces: DataFrame, slice_rows: int) -> DataFrame:
+    """Step events after the last start of their job."""
+    return (
+        folded.filter(F.col("type").isin(*S.STEP_STATE_TYPES))
+        .drop("timestamp", "workspace_id", "pipeline_name", "steps")
+        .join(_restarted_slices(pieces, slice_rows), ["job_id", "slice"], "left")
+        .filter(F.col("start_seq").isNull() | (F.col("seq") > F.col("start_seq")))
+    )
+
+
 def _session_steps(folded: DataFrame, pieces: DataFrame, slice_rows: int) -> DataFrame:
     type_ = F.col("type")
-    finished = type_ == S.STEP_FINISHED
     status = F.when(type_ == S.STEP_STARTING, F.lit(_STATUS[S.STEP_STARTING]))
     for event_type in (S.STEP_SKIPPED, S.STEP_FINISHED, S.STEP_FAILED):
         status = status.when(type_ == event_type, F.lit(_STATUS[event_type]))
 
-    live = (
-        folded.filter(type_.isin(*S.STEP_STATE_TYPES))
-        .drop("timestamp", "workspace_id", "pipeline_name", "steps")
-        .join(_restarted_slices(pieces, slice_rows), ["job_id", "slice"], "left")
-        .filter(F.col("start_seq").isNull() | (F.col("seq") > F.col("start_seq")))
-        .withColumn("status", status)
-    )
+    live = _live(folded, pieces, slice_rows).withColumn("status", status)
     seen = live.groupBy("job_id", "step_id").agg(
         F.min_by("display_name", "seq").alias("first_name"),
         F.max_by("status", "seq").alias("status"),
-        _last("run_id", type_.isin(S.STEP_SKIPPED, S.STEP_FINISHED) & (F.col("run_id") != "")),
-        _last("exit_code", type_ == S.STEP_FAILED),
-        _last("duration_ms", finished & F.col("duration_ms").isNotNull()),
-        _last("artifact_size", finished & F.col("artifact_size").isNotNull()),
+        *[_last(value, when) for value, when in _setters().items()],
     )
     listed = (
         _jobs(pieces)
@@ -165,6 +176,27 @@ def fold_session_steps(events: DataFrame, slice_rows: int = SLICE) -> DataFrame:
     return fold(events, slice_rows)[1]
 
 
+def decisive_events(events: DataFrame, slice_rows: int = SLICE) -> DataFrame:
+    """``(job_id, seq)`` of the events that alone give the same fold, now and with any later events.
+
+    Per job the last start, the first creating event, the first step event and the last end; per step since the last start its
+    first and last event and the last ones that set a field.
+    """
+    folded = _folded(events, slice_rows)
+    pieces = materialize(_pieces(folded), "pieces")
+    jobs = _jobs(pieces).select(
+        "job_id", F.explode(F.array("start.seq", "born.seq", "first_step", "end.seq")).alias("seq")
+    )
+    last = [F.max(F.when(when, F.col("seq"))) for when in _setters().values()]
+    steps = (
+        _live(folded, pieces, slice_rows)
+        .groupBy("job_id", "step_id")
+        .agg(F.array(F.min("seq"), F.max("seq"), *last).alias("seqs"))
+        .select("job_id", F.explode("seqs").alias("seq"))
+    )
+    return jobs.unionByName(steps).where("seq IS NOT NULL").distinct()
+
+
 def current_session(sessions: DataFrame) -> DataFrame:
     """Per workspace the running session, else the one inserted last (the newest of several)."""
     rank = F.struct((F.col("status") == "running").alias("running"), "inserted_at", "job_id")

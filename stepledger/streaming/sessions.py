@@ -1,238 +1,102 @@
-"""The fold of events into sessions as a stateful stream, and the table it keeps.
+"""The fold of events into sessions over a stream.
 
-The state of a job holds, for every value, the position (``seq``) of the event that set it. That makes the
-fold independent of the order in which the events of a micro-batch reach the state, so nothing has to be
-sorted or collected: rows are taken in Arrow batches as they come. Before the shuffle every task already
-drops the events that later events of the same batch make irrelevant, so a job with very many events sends
-only a few rows per step to its state.
+The stream itself only appends: every micro-batch adds its events, without log lines, to a table. A snapshot is the batch fold
+over that table, so it is exact whatever order events and files come in, a repeated micro-batch replaces itself, and no
+task ever holds a job. Compaction keeps that cheap: events of a job that have no gap before them are closed, and of those only
+the ones that still decide something stay.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stepledger import schemas as S
+from stepledger.operators.events import drop_log_events
+from stepledger.operators.sessions import decisive_events, fold
+from stepledger.storage import path_exists
 
-_ROW = """job_id STRING, seq BIGINT, at BIGINT, type STRING, workspace_id STRING, pipeline_name STRING, steps STRING,
-    step_id STRING, display_name STRING, run_id STRING, duration_ms STRING, artifact_size STRING, exit_code STRING"""
-_SESSION = """job_id STRING, workspace_id STRING, pipeline_name STRING, status STRING, started_at BIGINT,
-    finished_at BIGINT, inserted_at BIGINT, steps STRING"""
-_STEPS = """ARRAY<STRUCT<step_id: STRING, display_name: STRING, status: STRING, run_id: STRING, exit_code: INT,
-    duration_ms: BIGINT, artifact_size: BIGINT>>"""
-_STATUS = {
-    S.STEP_STARTING: "running",
-    S.STEP_SKIPPED: "skipped",
-    S.STEP_FINISHED: "finished",
-    S.STEP_FAILED: "failed",
-}
-_FIELDS = ("status", "run_id", "duration_ms", "artifact_size", "exit_code")
-
-
-def _field_events(pdf: pd.DataFrame) -> dict[str, pd.Series]:
-    """For each field of a step, which events set it."""
-    finished = pdf["type"] == S.STEP_FINISHED
-    named = pdf["run_id"].notna() & (pdf["run_id"] != "")
-    return {
-        "run_id": pdf["type"].isin([S.STEP_SKIPPED, S.STEP_FINISHED]) & named,
-        "duration_ms": finished & pdf["duration_ms"].notna(),
-        "artifact_size": finished & pdf["artifact_size"].notna(),
-        "exit_code": pdf["type"] == S.STEP_FAILED,
-    }
-
-
-def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Keep the events that can still matter: ends of runs of one display name, and last values."""
-    step = ["job_id", "step_id"]
-    for pdf in batches:
-        pdf = pdf.sort_values(["job_id", "seq"], kind="stable").reset_index(drop=True)
-        is_step = pdf["type"].isin(S.STEP_STATE_TYPES)
-        is_end = pdf["type"].isin(S.TERMINAL_TYPES)
-        steps = pdf[is_step]
-        names = steps.groupby(step, sort=False)["display_name"]
-        edge = (names.shift(1) != steps["display_name"]) | (names.shift(-1) != steps["display_name"])
-        kept = set(steps.index[edge]) | set(pdf.index[~is_step & ~is_end])
-        kept |= set(pdf[is_end].drop_duplicates("job_id", keep="last").index)
-        for sets in _field_events(steps).values():
-            kept |= set(steps[sets].drop_duplicates(step, keep="last").index)
-        yield pdf.loc[sorted(kept)]
-
-
-def _number(value) -> int | None:
-    return None if value is None or pd.isna(value) else int(value)
-
-
-def _reset(session: dict, seq: int) -> None:
-    """Forget what came before a start event at ``seq``."""
-    for step_id, step in list(session["steps"].items()):
-        step["names"] = [[max(first, seq), last, name] for first, last, name in step["names"] if last >= seq]
-        for field in _FIELDS:
-            if field in step and step[field][0] < seq:
-                del step[field]
-        if "status" not in step:
-            del session["steps"][step_id]
-
-
-def _add_name(step: dict, seq: int, name: str | None) -> None:
-    """Extend the runs ``[first seq, last seq, name]`` in which the step kept one display name."""
-    for run in step["names"]:
-        if run[2] == name:
-            run[0], run[1] = min(run[0], seq), max(run[1], seq)
-            break
-    else:
-        step["names"].append([seq, seq, name])
-    step["names"].sort(key=lambda run: run[0])
-
-
-def _apply(session: dict, rows: pd.DataFrame) -> None:
-    sets = _field_events(rows)
-    rows = rows.assign(**{f"sets_{field}": mask for field, mask in sets.items()})
-    for row in rows.itertuples(index=False):
-        seq, at = int(row.seq), int(row.at)
-        start = session["start"]
-        if row.type in S.TERMINAL_TYPES:
-            if session["end"] is None or seq > session["end"][0]:
-                session["end"] = [seq, row.type, at]
-            continue
-        if session["born"] is None or seq < session["born"][0]:
-            session["born"] = [seq, at]
-        if row.type == S.PIPELINE_START:
-            if start is None or seq > start["seq"]:
-                listed = json.loads(row.steps) if isinstance(row.steps, str) else []
-                session["start"] = {
-                    "seq": seq,
-                    "at": at,
-                    "workspace_id": row.workspace_id,
-                    "pipeline_name": row.pipeline_name,
-                    "listed": {item["id"]: item.get("display_name") for item in listed},
-                }
-                _reset(session, seq)
-            continue
-        if session["first_step"] is None or seq < session["first_step"]:
-            session["first_step"] = seq
-        if start is not None and seq < start["seq"]:
-            continue
-        step = session["steps"].setdefault(row.step_id, {"names": []})
-        _add_name(step, seq, row.display_name)
-        values = {"status": _STATUS[row.type]}
-        if row.sets_run_id:
-            values["run_id"] = row.run_id
-        for field in ("duration_ms", "artifact_size", "exit_code"):
-            if getattr(row, f"sets_{field}"):
-                values[field] = _number(getattr(row, field))
-        for field, value in values.items():
-            if field not in step or seq >= step[field][0]:
-                step[field] = [seq, value]
-
-
-def _shown_steps(session: dict) -> list[dict]:
-    listed = session["start"]["listed"] if session["start"] else {}
-    shown = []
-    for step_id in {**listed, **session["steps"]}:
-        step = session["steps"].get(step_id, {"names": []})
-        name = listed[step_id] if step_id in listed else step["names"][0][2]
-        row = {"step_id": step_id, "display_name": name, "status": "pending"}
-        row.update({field: step[field][1] for field in _FIELDS if field in step})
-        shown.append(row)
-    return shown
-
-
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.exists:
-        session = json.loads(state.get[0])
-    else:
-        session = {"start": None, "end": None, "born": None, "first_step": None, "steps": {}}
-    for rows in batches:
-        _apply(session, rows)
-    state.update((json.dumps(session),))
-    start = session["start"]
-    created = start["seq"] if start else session["first_step"]
-    if created is None:
-        return
-    end = session["end"] if session["end"] and session["end"][0] > created else None
-    status = "running" if end is None else "completed" if end[1] == S.PIPELINE_FINISHED else "failed"
-    row = {
-        "job_id": key[0],
-        "workspace_id": (start["workspace_id"] or "") if start else "",
-        "pipeline_name": start["pipeline_name"] if start else None,
-        "status": status,
-        "started_at": start["at"] if start else None,
-        "finished_at": end[2] if end else None,
-        "inserted_at": session["born"][1],
-        "steps": json.dumps(_shown_steps(session)),
-    }
-    frame = pd.DataFrame([row])
-    yield frame.astype({"started_at": "Int64", "finished_at": "Int64", "inserted_at": "Int64"})
-
-
-def stream_sessions(events: DataFrame) -> DataFrame:
-    """Changed sessions, one row per job and micro-batch, with their steps as an array (update mode)."""
-    e = F.col("event")
-    rows = events.filter(F.col("type").isin(*S.FOLDED_TYPES)).select(
-        e["job_id"].alias("job_id"),
-        "seq",
-        F.unix_micros("timestamp").alias("at"),
-        "type",
-        e["workspace_id"].alias("workspace_id"),
-        e["pipeline_name"].alias("pipeline_name"),
-        F.to_json(e["steps"]).alias("steps"),
-        e["step"]["id"].alias("step_id"),
-        e["step"]["display_name"].alias("display_name"),
-        e["run_id"].alias("run_id"),
-        e["duration_ms"].cast("string").alias("duration_ms"),
-        e["artifact_size"].cast("string").alias("artifact_size"),
-        e["exit_code"].cast("string").alias("exit_code"),
-    )
-    folded = (
-        rows.mapInPandas(_combine, _ROW)
-        .groupBy("job_id")
-        .applyInPandasWithState(_fold, _SESSION, "session STRING", "update", GroupStateTimeout.NoTimeout)
-    )
-    return folded.select(
-        "job_id",
-        "workspace_id",
-        "pipeline_name",
-        "status",
-        *[F.timestamp_micros(c).alias(c) for c in ("started_at", "finished_at", "inserted_at")],
-        F.from_json("steps", _STEPS).alias("steps"),
-    )
-
-
-def write_sessions(sessions: DataFrame, path: str) -> DataStreamWriter:
-    """Keep the changed sessions of every micro-batch below ``path``; a repeated batch replaces itself."""
+_STORED = S.ddl({**S.ENVELOPE_DOCUMENT, "event": S.struct(S.EVENT), "batch": "BIGINT"})
+_CLOSED = "job_id STRING, closed BIGINT"
+Deliver = Callable[[DataFrame, DataFrame, int], None]
+
+
+def write_session_events(events: DataFrame, path: str) -> DataStreamWriter:
+    """Add the events of every micro-batch below ``path``; a repeated batch replaces itself."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return sessions.writeStream.outputMode("update").foreachBatch(write)
+    return drop_log_events(events).writeStream.outputMode("append").foreachBatch(write)
 
 
-def session_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """The sessions as of the last finished micro-batch, with the ``batch`` that last changed each."""
-    updates = spark.read.parquet(path)
-    row = F.struct(*[F.col(c) for c in updates.columns if c != "job_id"])
-    return updates.groupBy("job_id").agg(F.max_by(row, "batch").alias("row")).select("job_id", "row.*")
+def stored_events(spark: SparkSession, path: str, base: str | None = None) -> DataFrame:
+    """All events with the ``batch`` that brought each, from a compacted table ``base`` and the batches after it."""
+    found = spark.read.schema(_STORED).parquet(path)
+    if base is None:
+        return found
+    until = spark.read.schema("batch BIGINT").parquet(f"{base}/until").first()[0]
+    return spark.read.schema(_STORED).parquet(f"{base}/events").unionByName(found.filter(F.col("batch") > until))
 
 
-def compact_sessions(spark: SparkSession, path: str, target: str) -> None:
-    """Write the current sessions as a new table at ``target``, each under the batch that last changed it.
+def session_snapshot(spark: SparkSession, path: str, base: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(sessions, session steps)`` as of the last finished micro-batch."""
+    return fold(stored_events(spark, path, base))
 
-    A long-running stream leaves one folder per micro-batch; readers may be moved to the compacted table.
-    """
-    session_snapshot(spark, path).write.partitionBy("batch").parquet(target)
 
+def _of_jobs(events: DataFrame, jobs: DataFrame) -> DataFrame:
+    return events.withColumn("job_id", F.col("event.job_id")).join(jobs, "job_id", "left_semi").drop("job_id")
 
-def session_updates(spark: SparkSession, path: str, after_batch: int) -> DataFrame:
-    """What a subscriber gets after a snapshot: a stream of the sessions changed since."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(path).filter(F.col("batch") > after_batch)
 
+def session_updates(
+    spark: SparkSession, path: str, after_batch: int, base: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The current sessions and steps of the jobs that had events after a batch."""
+    events = stored_events(spark, path, base)
+    changed = events.filter(F.col("batch") > after_batch).select(F.col("event.job_id").alias("job_id")).distinct()
+    return fold(_of_jobs(events, changed))
 
-def snapshot_steps(snapshot: DataFrame) -> DataFrame:
-    return snapshot.select("job_id", F.explode("steps").alias("step")).select("job_id", "step.*")
+
+def stream_updates(
+    spark: SparkSession, path: str, after_batch: int, deliver: Deliver, base: str | None = None
+) -> DataStreamWriter:
+    """What a subscriber gets after a snapshot: for each further batch, the sessions and steps of its jobs."""
+    arrivals = spark.readStream.schema(_STORED).parquet(path).filter(F.col("batch") > after_batch)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        jobs = batch.select(F.col("event.job_id").alias("job_id")).distinct()
+        deliver(*fold(_of_jobs(stored_events(spark, path, base), jobs)), batch_id)
+
+    return arrivals.writeStream.foreachBatch(write)
+
+
+def closed_prefixes(events: DataFrame, before: DataFrame) -> DataFrame:
+    """``(job_id, closed)``: all events of a job with a smaller ``seq`` have come.
+
+    ``seq`` counts a job's events without a gap from 0, so the first missing number is the least one that follows a
+    number that came (or what was closed ``before``) and has not come itself. That is an equi-join on (job, number).
+    """
+    came = events.select(F.col("event.job_id").alias("job_id"), "seq").distinct()
+    start = came.select("job_id").distinct().join(before, "job_id", "left").select("job_id", F.coalesce("closed", F.lit(0)).alias("closed"))
+    following = came.select("job_id", (F.col("seq") + 1).alias("seq")).unionByName(start.withColumnRenamed("closed", "seq"))
+    missing = following.join(came, ["job_id", "seq"], "left_anti").join(start, "job_id")
+    # What was closed before has gone in part, so smaller numbers say nothing.
+    return missing.filter("seq >= closed").groupBy("job_id").agg(F.min("seq").alias("closed"))
+
+
+def compact_session_events(spark: SparkSession, path: str, target: str, base: str | None = None) -> None:
+    """Write the events that a later fold still needs as a new table ``target``, to be read as ``base`` from then on."""
+    events = stored_events(spark, path, base)
+    known = base is not None and path_exists(spark, f"{base}/closed")
+    before = spark.read.schema(_CLOSED).parquet(f"{base}/closed") if known else spark.createDataFrame([], _CLOSED)
+    closed_prefixes(events, before).write.parquet(f"{target}/closed")
+    closed = spark.read.schema(_CLOSED).parquet(f"{target}/closed")
+    placed = events.withColumn("job_id", F.col("event.job_id")).join(closed, "job_id")
+    settled = placed.filter("seq < closed").drop("closed", "job_id")
+    wanted = decisive_events(settled)
+    kept = settled.withColumn("job_id", F.col("event.job_id")).join(wanted, ["job_id", "seq"], "left_semi").drop("job_id")
+    kept.unionByName(placed.filter("seq >= closed").drop("closed", "job_id")).write.parquet(f"{target}/events")
+    events.agg(F.coalesce(F.max("batch"), F.lit(-1)).alias("batch")).write.parquet(f"{target}/until")

@@ -13,7 +13,14 @@ from stepledger.operators.events import assign_seq, failed_stderr_tail
 from stepledger.operators.sessions import current_session, fold_session_steps, fold_sessions
 from stepledger.sources.events import parse_envelopes, read_events, write_events, write_fanout
 from stepledger.streaming.events import stream_events
-from stepledger.streaming.sessions import compact_sessions, session_snapshot, session_updates, snapshot_steps, stream_sessions, write_sessions
+from stepledger.streaming.sessions import (
+    compact_session_events,
+    session_snapshot,
+    session_updates,
+    stored_events,
+    stream_updates,
+    write_session_events,
+)
 
 BASE = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -119,22 +126,59 @@ def test_fold_equals_loop(spark, slice_rows):
     }
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rows = random_events(9, jobs=5, n=80, names=False)
-    source, table = str(tmp_path / "in"), str(tmp_path / "out")
-    for k in range(4):  # four files of consecutive events
-        part = frame(spark, [r for r in rows if r[0] // 20 == k]).coalesce(1)
-        write_events(part, f"{source}/f{k}")
-    sessions = stream_sessions(stream_events(spark, f"{source}/*", files_per_trigger=1))
-    query = write_sessions(sessions, table).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    snapshot = session_snapshot(spark, table)
-    assert snapshot.agg(F.max("batch")).first()[0] >= 3
-    df = frame(spark, rows)
-    assert shown(snapshot, snapshot_steps(snapshot)) == shown(fold_sessions(df), fold_session_steps(df)) == loop(rows)
-    assert session_updates(spark, table, 1).isStreaming
-    compact_sessions(spark, table, str(tmp_path / "compact"))
-    assert session_snapshot(spark, str(tmp_path / "compact")).count() == snapshot.count()
+def streamed(spark, folder, rows, files):
+    """The table after a stream has taken ``files`` files of shuffled events, one per micro-batch."""
+    source, table = f"{folder}/in", f"{folder}/out"
+    for k in range(files):
+        write_events(frame(spark, rows[k::files]).coalesce(1), f"{source}/f{k}")
+    events = stream_events(spark, f"{source}/*", files_per_trigger=1)
+    write_session_events(events, table).option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start().awaitTermination()
+    return table
+
+
+@pytest.mark.parametrize("seed", [9, 10])
+def test_stream_equals_batch_in_any_order(spark, tmp_path, seed):
+    """With restarts, names that change, and events that are spread over the files at random."""
+    rows = random_events(seed, jobs=4, n=60)
+    # Numbers without gaps within a job, as the numbering of events gives them.
+    count: dict = {}
+    rows = [(count.__setitem__(j := r[4]["job_id"], count.get(j, -1) + 1) or count[j], *r[1:]) for r in sorted(rows, key=lambda r: r[0]) if r[3] != "STEP_LOG"]
+    random.Random(seed).shuffle(rows)
+    table = streamed(spark, tmp_path, rows, 4)
+    assert shown(*session_snapshot(spark, table)) == loop(rows)
+    # Compaction of the first batches, and of that with the next, changes nothing.
+    first, second = str(tmp_path / "first"), str(tmp_path / "second")
+    stored = stored_events(spark, table)
+    for k in (1, 2):
+        stored.filter(F.col("batch") <= k).write.partitionBy("batch").parquet(f"{tmp_path}/until{k}")
+    compact_session_events(spark, f"{tmp_path}/until1", first)
+    assert shown(*session_snapshot(spark, table, first)) == loop(rows)
+    compact_session_events(spark, f"{tmp_path}/until2", second, first)
+    assert shown(*session_snapshot(spark, table, second)) == loop(rows)
+    final = str(tmp_path / "final")
+    compact_session_events(spark, table, final)
+    assert shown(*session_snapshot(spark, table, final)) == loop(rows)
+    # All events have come, so all are closed and only decisive ones stay.
+    assert spark.read.parquet(f"{final}/events").count() < 0.7 * len(rows)
+
+
+def test_names_after_a_restart(spark, tmp_path):
+    rows = [envelope(0, "PIPELINE_START", steps=[]), envelope(1, "STEP_STARTING", step="s", display_name="A"), envelope(2, "STEP_FINISHED", step="s", display_name="B"), envelope(3, "PIPELINE_START", steps=[]), envelope(4, "STEP_STARTING", step="s", display_name="B"), envelope(5, "STEP_FINISHED", step="s", display_name="A")]
+    table = streamed(spark, tmp_path, rows[3:] + rows[:3], 2)
+    assert [r.display_name for r in session_snapshot(spark, table)[1].collect()] == ["B"]
+
+
+def test_updates_hold_the_jobs_of_later_batches(spark, tmp_path):
+    table = str(tmp_path / "out")
+    old = [envelope(0, "STEP_STARTING", job=j, step="a") for j in ("j1", "j2")]
+    frame(spark, old).write.parquet(f"{table}/batch=0")
+    frame(spark, [envelope(1, "STEP_FAILED", job="j2", step="a", exit_code=3)]).write.parquet(f"{table}/batch=1")
+    sessions, steps = session_updates(spark, table, 0)
+    assert [r.job_id for r in sessions.collect()] == ["j2"] and [(r.job_id, r.status, r.exit_code) for r in steps.collect()] == [("j2", "failed", 3)]
+    got = []
+    writer = stream_updates(spark, table, 0, lambda s, t, n: got.append(({r.job_id for r in s.collect()}, t.count())))
+    writer.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert got == [({"j2"}, 1)]
 
 
 def test_ndjson(spark, tmp_path):
