@@ -12,11 +12,10 @@ from stepledger.sources.paths import decoded, plain
 # The definition file of a folder, first wins.
 DEFINITION_FILES = ("pipeline.yml", "pipeline.yaml", "pipeline.json")
 
-# One assignment of an environment file (key, then raw value).
-_ASSIGNMENT = (
-    r"(?m)^\s*(?:export\s+)?([\w.-]+)(?:\s*=\s*?|:\s+?)"
-    r"(\s*'(?:\\'|[^'])*'|\s*\"(?:\\\"|[^\"])*\"|\s*`(?:\\`|[^`])*`|[^#\r\n]+)?\s*(?:#.*)?$"
-)
+# An assignment is a key, an equals sign and a value: a text in quotes of one kind, or what stands before a comment or the
+# end of the line.
+_QUOTED = "|".join(rf"{q}(?:[^{q}\\]|\\[\s\S])*{q}" for q in "'\"`")
+_ASSIGNMENT = rf"(?dm)^[ \t]*(?:export[ \t]+)?([A-Za-z0-9_.-]+)[ \t]*=[ \t]*({_QUOTED}|[^#\n]*)[ \t]*(?:#[^\n]*)?$"
 
 
 def definition_files(listing: DataFrame) -> DataFrame:
@@ -76,7 +75,7 @@ def read_pipelines(spark: SparkSession, path: str, glob: str = "*.json") -> tupl
 def read_dotenv(spark: SparkSession, path: str, glob: str = "*.env") -> DataFrame:
     """``(file, key, value)`` of environment files; the last assignment of a key counts.
 
-    A quoted value may span lines, so each of these small files is read as one text.
+    Blank lines and comments are left out, quotes around a value are taken off. A quoted value may span lines, so each of these small files is read as one text.
     """
     text = (
         spark.read.option("recursiveFileLookup", True)
@@ -91,10 +90,13 @@ def read_dotenv(spark: SparkSession, path: str, glob: str = "*.env") -> DataFram
         F.regexp_extract_all("text", F.lit(_ASSIGNMENT), 1).alias("key"),
         F.regexp_extract_all("text", F.lit(_ASSIGNMENT), 2).alias("raw"),
     )
-    raw = F.regexp_replace("pair.raw", r"^\s+|\s+$", "")
-    bare = F.regexp_replace(raw, r"(?s)^(['\"`])(.*)\1$", "$2")
-    broken = F.replace(F.replace(bare, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
-    value = F.when(raw.startswith('"'), broken).otherwise(bare)
+    raw = F.btrim("pair.raw", F.lit(" \t"))
+    quote = F.substring(raw, 1, 1)
+    quoted = quote.isin("'", '"', "`") & (F.length(raw) > 1) & raw.endswith(quote)
+    inner = F.substring(raw, F.lit(2), F.length(raw) - 2)
+    # Only double quotes stand for more than the text between them.
+    lines = F.replace(F.replace(inner, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
+    value = F.when(quoted & (quote == '"'), lines).when(quoted, inner).otherwise(raw)
     return (
         text.select("file", F.posexplode(pairs).alias("pos", "pair"))
         .select("file", F.col("pair.key").alias("key"), value.alias("value"), "pos")
