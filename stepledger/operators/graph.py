@@ -233,8 +233,7 @@ def dry_run(
     ``has_inputs`` (true for an input list, even an empty one; without it, true for a step with edges);
     ``state`` and ``runs`` are keyed by ``pipeline_id``. An input that is named twice adds its run id twice. A step is cached if its fingerprint, which includes
     the run ids of its cached deps, equals the stored one and the stored run still exists. A step that would
-    run has no run id yet, so whatever depends on it changes too; hence the loop over levels, in which each
-    round reads only the steps and edges of its own level.
+    run has no run id yet, so whatever depends on it changes too; hence the loop over levels.
     """
     spark = steps.sparkSession
     plan = materialize(execution_plan(steps, edges, targets), "plan")
@@ -262,7 +261,7 @@ def dry_run(
     else:
         declared = edges.groupBy(*_NODE).agg(F.lit(True).alias("has_inputs"))
     forced = F.lit(force) if isinstance(force, bool) else F.col("step_id").isin(*force)
-    todo_path, link_path, folder = (work_path(spark, label) for label in ("todo", "todo-links", "decided"))
+    todo_path, link_path, input_path, folder = (work_path(spark, label) for label in ("todo", "todo-links", "inputs", "decided"))
     todo = (
         steps.select(*_NODE, *settings)
         .join(plan, _NODE)
@@ -273,35 +272,27 @@ def dry_run(
     )
     todo.write.partitionBy("level").parquet(todo_path)
     todo = spark.read.schema(todo.schema).parquet(todo_path)
+    # Links lie under the level that they leave, and what they carry under the level that they reach, so that every round reads
+    # its own steps, its own inputs and the links to later rounds, and nothing twice.
     uses = F.col("uses") if "uses" in edges.columns else F.lit(1)
-    links = edges.select(*_NODE, "dep_id", uses.cast("int").alias("uses")).join(plan, _NODE)
-    links.write.partitionBy("level").parquet(link_path)
+    from_level = plan.select(P, F.col("step_id").alias("dep_id"), F.col("level").alias("from_level"))
+    links = edges.select(*_NODE, "dep_id", uses.cast("int").alias("uses")).join(plan, _NODE).join(from_level, [P, "dep_id"])
+    links.write.partitionBy("from_level").parquet(link_path)
     links = spark.read.schema(links.schema).parquet(link_path)
 
     depth = (plan.agg(F.max("level")).first()[0] or 0) + 1
-    decided_schema = T.StructType(
-        [
-            T.StructField(P, T.StringType()),
-            T.StructField("step_id", T.StringType()),
-            T.StructField("run_id", T.StringType()),
-            T.StructField("cached", T.BooleanType()),
-            T.StructField("level", T.IntegerType()),
-        ]
-    )
+    text, number = T.StringType(), T.IntegerType()
+    node_fields = [T.StructField(P, text), T.StructField("step_id", text)]
+    decided_schema = T.StructType([*node_fields, T.StructField("run_id", text), T.StructField("cached", T.BooleanType()), T.StructField("level", number)])
+    input_schema = T.StructType([*node_fields, T.StructField("ids", T.ArrayType(text)), T.StructField("level", number)])
     for level in range(depth):
         here = todo.filter(F.col("level") == level)
-        if level == 0:
-            inputs = here.select(*_NODE, F.array().cast("array<string>").alias("ids")).limit(0)
-        else:
-            known = spark.read.schema(decided_schema).parquet(folder).filter("cached")
-            known = known.select(P, F.col("step_id").alias("dep_id"), "run_id")
+        if path_exists(spark, input_path):
             # One list per step, as long as the input list of that step's definition: an id for every time it is named.
-            inputs = (
-                links.filter(F.col("level") == level)
-                .join(known, [P, "dep_id"])
-                .groupBy(*_NODE)
-                .agg(F.flatten(F.collect_list(F.array_repeat("run_id", F.col("uses")))).alias("ids"))
-            )
+            came = spark.read.schema(input_schema).parquet(input_path).filter(F.col("level") == level)
+            inputs = came.groupBy(*_NODE).agg(F.flatten(F.collect_list("ids")).alias("ids"))
+        else:
+            inputs = here.select(*_NODE, F.array().cast("array<string>").alias("ids")).limit(0)
         ids = F.when(F.col("has_inputs"), F.coalesce("ids", F.array().cast("array<string>")))
         setting = lambda name: F.col(name) if name in settings else None
         current = fingerprint(
@@ -314,6 +305,10 @@ def dry_run(
             .select(*_NODE, F.when(F.col("cached"), F.col("run_id")).alias("run_id"), "cached")
             .write.parquet(f"{folder}/level={level}")
         )
+        known = spark.read.schema(decided_schema).parquet(f"{folder}/level={level}").filter("cached")
+        carried = links.filter(F.col("from_level") == level).join(known.select(P, F.col("step_id").alias("dep_id"), "run_id"), [P, "dep_id"])
+        carried = carried.select(*_NODE, F.array_repeat("run_id", F.col("uses")).alias("ids"), "level")
+        carried.write.mode("append").partitionBy("level").parquet(input_path)
     decided = spark.read.schema(decided_schema).parquet(folder)
     return decided.select(
         *_NODE,

@@ -53,7 +53,7 @@ def test_levels_cycles_and_references(spark):
 def test_nested_inputs(spark):
     schema = "pipeline_id STRING, step_id STRING, inputs ARRAY<STRUCT<step: STRING, copy_to_output: BOOLEAN, optional: BOOLEAN>>"
     steps = spark.createDataFrame([("p", "b", [("a", True, None), ("a", None, True)]), ("p", "a", None)], schema)
-    assert rows(G.build_edges(steps)) == [("p", "b", "a", True, True, True)]
+    assert rows(G.build_edges(steps)) == [("p", "b", "a", True, True, 2, True)]
 
 
 def test_closure_keeps_unknown_names(spark):
@@ -152,3 +152,31 @@ def test_job_outcome(spark):
     table = [("p", "a", "finished", 0, 0), ("p", "c", "failed", 1, 2), ("p", "b", "failed", 1, 1), ("q", "a", "finished", 0, 0)]
     df = spark.createDataFrame(table, "pipeline_id STRING, step_id STRING, outcome STRING, level INT, pos INT")
     assert rows(G.job_outcome(df)) == [("p", "failed", "b"), ("q", "completed", None)]
+
+
+def test_dry_run_names_a_repeated_input_twice(spark):
+    """The stored hash of a step that lists an input twice holds its run id twice."""
+    steps = spark.createDataFrame([("p", "a", "img", ["x"]), ("p", "b", "img", ["x"])], "pipeline_id STRING, step_id STRING, image STRING, cmd ARRAY<STRING>")
+    inputs = spark.createDataFrame([("p", "b", "a", False)] * 2, "pipeline_id STRING, step_id STRING, dep_id STRING, optional BOOLEAN")
+    alone, twice = fingerprint(F.lit("img"), F.array(F.lit("x"))), fingerprint(F.lit("img"), F.array(F.lit("x")), input_run_ids=F.array(F.lit("ra"), F.lit("ra")))
+    state = steps.select(
+        "pipeline_id", "step_id", F.concat(F.lit("r"), "step_id").alias("run_id"), F.when(F.col("step_id") == "a", alone).otherwise(twice).alias("fingerprint")
+    )
+    found = G.dry_run(steps, G.merge_edges(inputs), state, state.select("pipeline_id", "run_id")).collect()
+    assert {(r.step_id, r.outcome) for r in found} == {("a", "cached"), ("b", "cached")}
+
+
+def test_dry_run_hands_each_row_on_once(spark, monkeypatch):
+    """In a chain a level reads only what the level before wrote for it, however deep it lies."""
+    n, read = 8, []
+    steps = spark.range(n).selectExpr("'p' AS pipeline_id", "concat('s', id) AS step_id", "'img' AS image", "array('x') AS cmd")
+    inputs = spark.range(1, n).selectExpr("'p' AS pipeline_id", "concat('s', id) AS step_id", "concat('s', id - 1) AS dep_id", "false AS optional")
+    real = G.work_path
+    monkeypatch.setattr(G, "work_path", lambda spark, label: read.append((label, real(spark, label))) or read[-1][1])
+    state = steps.selectExpr("pipeline_id", "step_id", "concat('r', step_id) AS run_id", "'old' AS fingerprint")
+    first = fingerprint(F.lit("img"), F.array(F.lit("x")))
+    state = state.withColumn("fingerprint", F.when(F.col("step_id") == "s0", first).otherwise(F.col("fingerprint")))
+    found = G.dry_run(steps, G.merge_edges(inputs), state, state.select("pipeline_id", "run_id")).collect()
+    assert {r.step_id: r.outcome for r in found} == {f"s{k}": "would_run" if k else "cached" for k in range(n)}
+    handed = spark.read.parquet(dict(read)["inputs"])
+    assert [(r.step_id, r.ids, r.level) for r in handed.collect()] == [("s1", ["rs0"], 1)]
