@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -12,7 +13,7 @@ from stepledger.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session()
+    session = local_session(**{"spark.checkpoint.dir": tempfile.mkdtemp(prefix="stepledger-tests-")})
     yield session
     session.stop()
 
