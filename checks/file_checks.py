@@ -10,6 +10,7 @@ from stepledger.functions.formats import rating
 from stepledger.functions.text import basename
 from stepledger.operators import files as O
 from stepledger.operators import reports as R
+from stepledger.operators.inputs import collect_dependencies
 from stepledger.plans.jobs import category_summary_job, text_report_job
 from stepledger.scale import number_rows
 from stepledger.sources.definitions import read_dotenv, read_pipelines
@@ -33,6 +34,51 @@ def remaining(v: Views) -> DataFrame:
     return O.remaining_files(v.files(), _PATTERNS)
 
 
+_ROOT = "'root' || CAST(CAST(run_id AS BIGINT) % 3 AS VARCHAR)"
+# Each root has its own rules; the files of its runs are its files.
+_ROOT_RULES = {"root0": ["*.csv", "!**/part1*.csv", "artifacts/R/O/"], "root1": ["# note", "", "A/", "!*.pyc"], "root2": []}
+_ROOT_IGNORED = """(CASE CAST(run_id AS BIGINT) % 3
+  WHEN 0 THEN path LIKE '%.pyc' OR (path LIKE '%.csv' AND NOT regexp_matches(path, '/part1[^/]*\\.csv$')) OR path LIKE 'artifacts/R/O/%'
+  WHEN 1 THEN path LIKE 'artifacts/A/%' ELSE path LIKE '%.pyc' END)"""
+
+
+def _rooted(v: Views) -> tuple[DataFrame, DataFrame]:
+    name = F.concat(F.lit("root"), (F.col("run_id").cast("bigint") % 3).cast("string"))
+    files = v.files().select(name.alias("root"), F.concat("run_id", F.lit("/"), "path").alias("path"), "length", "run_id")
+    by_root = F.create_map(*[x for k, p in _ROOT_RULES.items() for x in (F.lit(k), F.array(*map(F.lit, p)).cast("array<string>"))])
+    rules = files.select("root").distinct().select("root", F.posexplode(by_root[F.col("root")]).alias("pos", "pattern"))
+    # Rules for paths below the run folders.
+    return files, rules.withColumn("pattern", F.regexp_replace("pattern", "^artifacts/", "**/artifacts/"))
+
+
+@check(
+    "f5_ignore_by_root",
+    f"SELECT {_ROOT} AS root, run_id || '/' || path AS path, {_ROOT_IGNORED} AS ignored, count(*) AS n FROM v_files GROUP BY ALL",
+)
+def ignored_by_root(v: Views) -> DataFrame:
+    files, rules = _rooted(v)
+    return O.mark_ignored(files, rules, "root").groupBy("root", "path", "ignored").agg(F.count(F.lit(1)).alias("n"))
+
+
+@check(
+    "u4_files_to_ship",
+    f"""WITH deps AS (SELECT DISTINCT {_ROOT} AS root, run_id || CASE WHEN CAST(run_id AS BIGINT) % 5 = 0 THEN '/none' ELSE '/artifacts/A' END AS dependency, run_id FROM v_files),
+    whole AS (SELECT {_ROOT} AS root, run_id || '/' || path AS path, length, {_ROOT_IGNORED} AS ignored, path LIKE 'artifacts/A/%' AS below, run_id FROM v_files)
+    SELECT d.root, d.dependency, w.path, w.length, '-' AS error FROM deps d JOIN whole w ON d.run_id = w.run_id WHERE w.below AND NOT w.ignored AND d.dependency NOT LIKE '%none'
+    UNION ALL SELECT root, dependency, '-', -1, 'Dependency not found: ' || dependency FROM deps d
+      WHERE dependency LIKE '%none' OR NOT EXISTS (SELECT 1 FROM whole w WHERE w.run_id = d.run_id AND w.below)""",
+)
+def shipped(v: Views) -> DataFrame:
+    """Mounts of a step per run, whose paths are the dependencies."""
+    files, rules = _rooted(v)
+    folder = F.when(F.col("run_id").cast("bigint") % 5 == 0, F.lit("/none")).otherwise(F.lit("/artifacts/A/"))
+    mount = F.struct(F.concat(F.lit("./"), "run_id", folder).alias("host"), F.lit("/in").alias("container"))
+    steps = files.select(F.col("root").alias("pipeline_id"), "run_id").distinct().select("pipeline_id", F.array(mount).alias("mounts"), F.array().cast("array<struct<host: string, container: string>>").alias("sources"))
+    wanted = collect_dependencies(steps).withColumnRenamed("pipeline_id", "root")
+    found = O.files_to_ship(wanted, files, rules, "root")
+    return found.select("root", "dependency", F.coalesce("path", F.lit("-")).alias("path"), F.coalesce("length", F.lit(-1)).alias("length"), F.coalesce("error", F.lit("-")).alias("error"))
+
+
 @check(
     "a8_dir_size",
     """WITH dirs AS (SELECT run_id, unnest(['', 'artifacts', array_to_string(string_split(path, '/')[1:2], '/'), array_to_string(string_split(path, '/')[1:3], '/')]) AS dir, length FROM v_files)

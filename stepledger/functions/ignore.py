@@ -100,3 +100,41 @@ def is_ignored(path: Column, patterns: Iterable[str] = ()) -> Column:
     return (
         F.when((path == "") | ~met, F.lit(False)).when(~as_folder.rlike(kept), F.lit(True)).otherwise(below | itself)
     )
+
+
+_TOKENS = r"(?s)(^\*\*/|/\*\*/|/\*\*\z|\*+|\?|\[[^\]]+\]|\\.|.)"
+
+
+def _token_regex(tokens: Column, token: Column, at: Column) -> Column:
+    """What one token of a pattern stands for; a star that is a whole last segment needs a character."""
+    last_segment = (at > 0) & (at == F.size(tokens) - 1) & F.endswith(F.get(tokens, at - 1), F.lit("/"))
+    char = F.substring(token, -1, 1)
+    return (
+        F.when(token == "**/", "(?:.*/)?")
+        .when(token == "/**/", "/(?:.*/)?")
+        .when(token == "/**", "/.+")
+        .when(token.startswith("*"), F.when(last_segment, "[^/]+").otherwise("[^/]*"))
+        .when(token == "?", "[^/]")
+        .when(token.startswith("[!"), F.concat(F.lit("[^"), F.substring(token, F.lit(3), F.length(token))))
+        .when(token.startswith("[") & (F.length(token) > 1), token)
+        .when(char.rlike(r"[A-Za-z0-9_/]|[^\x00-\x7f]"), char)
+        .otherwise(F.concat(F.lit("\\"), char))
+    )
+
+
+def rule_columns(line: Column) -> Column:
+    """``struct<regex, ignore>`` of one line of a rule file, as ``ignore_rule`` reads it; null for blanks and comments.
+
+    The regex is for a whole path, with a slash at its end if the path is a folder.
+    """
+    line = F.regexp_replace(line, r"(?<!\\)\s+\z", "")
+    ignore = ~line.startswith("!")
+    pattern = F.when(ignore, line).otherwise(F.substring(line, F.lit(2), F.length(line)))
+    bare = F.regexp_replace(pattern, r"/+\z", "")
+    tokens = F.regexp_extract_all(F.regexp_replace(bare, "^/", ""), F.lit(_TOKENS), 1)
+    body = F.array_join(F.transform(tokens, lambda t, i: _token_regex(tokens, t, i)), "")
+    start = F.when(bare.contains("/"), F.lit("")).otherwise(F.lit("(?:.*/)?"))
+    end = F.when(pattern.endswith("/"), F.lit("/")).otherwise(F.lit("/?"))
+    rule = F.struct(F.concat(F.lit("(?i)^"), start, body, end, F.lit("\\z")).alias("regex"), ignore.alias("ignore"))
+    nothing = (line == "") | line.startswith("#") | (F.regexp_replace(bare, "^/", "") == "")
+    return F.when(~nothing, rule)

@@ -8,7 +8,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepledger.functions.ignore import is_ignored
+from stepledger.functions.ignore import DEFAULT_IGNORES, is_ignored, rule_columns
 from stepledger.functions.paths import ancestors
 from stepledger.functions.text import basename
 
@@ -23,6 +23,46 @@ def remaining_files(files: DataFrame, patterns: Iterable[str] = ()) -> DataFrame
     return files.filter(~is_ignored(F.col("path"), patterns))
 
 
+def mark_ignored(files: DataFrame, rules: DataFrame, root: str) -> DataFrame:
+    """Files with a column ``ignored`` by the rules ``(root, pos, pattern)`` of their own root, after the defaults.
+
+    A path is tested as a file and as a folder, the last matching rule decides, and nothing below an ignored folder can be kept
+    again. Every distinct folder of a root is judged once. The empty path is never ignored.
+    """
+    roots = files.select(root).distinct()
+    defaults = F.array(*[F.struct(F.lit(k - len(DEFAULT_IGNORES)).cast("bigint").alias("pos"), F.lit(p).alias("pattern")) for k, p in enumerate(DEFAULT_IGNORES)])
+    listed = roots.select(root, F.explode(defaults).alias("d")).select(root, "d.pos", "d.pattern")
+    listed = listed.unionByName(rules.select(root, F.col("pos").cast("bigint").alias("pos"), "pattern"))
+    parsed = listed.select(root, "pos", rule_columns(F.col("pattern")).alias("rule")).filter("rule IS NOT NULL").select(root, "pos", "rule.*")
+
+    def last(paths: DataFrame) -> DataFrame:
+        """Of ``(root, path, shown)`` those whose last matching rule ignores them."""
+        met = paths.join(parsed, root).filter(F.rlike("shown", F.col("regex")))
+        return met.groupBy(root, "path", "shown").agg(F.max_by("ignore", "pos").alias("ignored")).filter("ignored").select(root, "path").distinct()
+
+    paths = files.select(root, "path").distinct().filter("path <> ''")
+    above = F.filter(ancestors(F.col("path")), lambda folder: folder != "")
+    folders = paths.select(root, F.explode(above).alias("path")).distinct()
+    bad = last(folders.withColumn("shown", F.concat("path", F.lit("/")))).withColumnRenamed("path", "folder")
+    itself = last(paths.withColumn("shown", F.explode(F.array("path", F.concat("path", F.lit("/"))))))
+    below = paths.select(root, "path", F.explode(above).alias("folder")).join(bad, [root, "folder"], "left_semi").select(root, "path")
+    ignored = itself.union(below).distinct().withColumn("ignored", F.lit(True))
+    return files.join(ignored, [root, "path"], "left").withColumn("ignored", F.coalesce("ignored", F.lit(False)))
+
+
+def files_to_ship(dependencies: DataFrame, files: DataFrame, rules: DataFrame, root: str) -> DataFrame:
+    """``(root, dependency, path, length, error)``: the files of each dependency that no rule ignores.
+
+    ``dependencies`` are ``(root, path)``, normalised; the path ``.`` is the whole root. A dependency without any file is an error row.
+    """
+    asked = dependencies.select(root, F.col("path").alias("dependency"), F.when(F.col("path") == ".", "").otherwise(F.col("path")).alias("top"))
+    marked = mark_ignored(files.select(root, "path", "length"), rules, root)
+    placed = marked.withColumn("top", F.explode(F.array_append(ancestors(F.col("path")), F.col("path"))))
+    found = asked.join(placed, [root, "top"], "left").filter("ignored IS NULL OR NOT ignored")
+    missing = F.when(F.col("ignored").isNull(), F.concat(F.lit("Dependency not found: "), "dependency"))
+    return found.select(root, "dependency", "path", "length", missing.alias("error"))
+
+
 def dir_sizes(files: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
     """Recursive bytes of every folder, the root as the empty path.
 

@@ -11,6 +11,7 @@ from stepledger.functions import formats, merge, paths, text
 from stepledger.functions.condition import eval_condition, judge_condition
 from stepledger.functions.fingerprint import canonical_json, fingerprint
 from stepledger.functions.ignore import is_ignored
+from stepledger.operators.files import mark_ignored
 
 
 def test_conditions(wrong):
@@ -85,6 +86,23 @@ def test_default_ignores(wrong):
     assert not wrong(cases, "p STRING, expected BOOLEAN", is_ignored(F.col("p")))
 
 
+def test_rules_as_columns(spark):
+    """The rules of a table mean what the rules of a list mean, root by root."""
+    lists = {
+        "a": ["*.log", "!keep.log", "dist/", "/top.txt"],
+        "b": ["docs/**/x", "**/gen", "a?c", "[!x]y", "lib/*", "# no", "", "  ", "!.env", "we\\ird", "end\\ "],
+        "c": ["build", "!build/keep", "A.TXT"],
+    }
+    paths = ["", "x.log", "keep.log", "d/keep.log", "dist", "dist/a", "e/dist/b", "top.txt", "d/top.txt", "docs/x", "docs/1/2/x", "gen/q", "p/gen", "abc", "abbc", "zy", "xy", "lib/q", "lib", "m/lib/q", ".env", "k/.env", "build/keep", "build", "a.txt", "node_modules/n", "q.pyc", "weird", "end ", "l\n.log"]
+    files = spark.createDataFrame([(r, p) for r in lists for p in paths], "root STRING, path STRING")
+    rules = spark.createDataFrame([(r, k, p) for r, ps in lists.items() for k, p in enumerate(ps)], "root STRING, pos INT, pattern STRING")
+    found = {(r.root, r.path): r.ignored for r in mark_ignored(files, rules, "root").collect()}
+    assert len(found) == len(lists) * len(paths)
+    for root, patterns in lists.items():
+        own = files.filter(F.col("root") == root).select("path", is_ignored(F.col("path"), patterns).alias("ignored")).collect()
+        assert {r.path: r.ignored for r in own} == {p: found[root, p] for p in paths}, root
+
+
 def test_ignore_patterns(wrong):
     patterns = ["dist/", "*.log", "!keep.log", "/build", "docs/*.md", "q/**/r.txt", "foo/**", "# note", "", "t?.x", "[ab].y"]
     cases = [
