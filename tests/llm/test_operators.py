@@ -130,7 +130,7 @@ def test_difference_cover():
 def test_suffixes(docs, rows, nothing, most, monkeypatch):
     """With ``most`` = 1 every class of several fragments is decided by its windows' hashes."""
     if most:
-        monkeypatch.setattr(suffixes, "TRANSFORM_BYTES", most * 160)
+        monkeypatch.setattr(suffixes, "CLASS_BYTES", most * 160)
         monkeypatch.setattr(B, "BLOCK_BYTES", 5000)
     width = 80
     texts = [(t or "").encode() for _, t, *_ in rows]
@@ -153,7 +153,7 @@ def test_suffix_array_and_shared_starts():
         assert suffixes.suffix_array(symbols).tolist() == sorted(range(n), key=lambda i: listed[i:])  # noqa: B023
     base = bytes(rng.choice(b"ab c\0") for _ in range(500))
     texts = list(dict.fromkeys(base[rng.randrange(90) :][: rng.randrange(400)] for _ in range(30)))
-    for width in (1, 9, 200):
+    for width in (1, 7, 9, 21, 22, 200):
         times = Counter(t[i : i + width] for t in texts for i in range(len(t) - width + 1))
         expected = [[i for i in range(len(t) - width + 1) if times[t[i : i + width]] > 1] for t in texts]
         assert [x.tolist() for x in suffixes.shared_starts(texts, width)] == expected
