@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stepledger.functions.fingerprint import fingerprint
-from stepledger.storage import materialize, path_exists, work_path
+from stepledger.storage import materialize, path_exists, remove_path, work_path, work_table
 
 P = "pipeline_id"
 _NODE = [P, "step_id"]
@@ -83,8 +83,18 @@ def topological_levels(steps: DataFrame, edges: DataFrame) -> DataFrame:
     deps were placed in the round before, and splits them into ready and waiting ones.
     """
     spark = steps.sparkSession
-    links = materialize(existing_deps(edges, steps).select(P, "step_id", "dep_id"), "links")
     folder = work_path(spark, "levels")
+    with work_table(existing_deps(edges, steps).select(P, "step_id", "dep_id"), "links") as links:
+        node_schema = _place_levels(steps, links, folder)
+    table = T.StructType(
+        [*node_schema.fields, T.StructField("level", T.IntegerType()), T.StructField("ready", T.BooleanType())]
+    )
+    return spark.read.schema(table).parquet(folder).filter("ready").select(*_NODE, "level")
+
+
+def _place_levels(steps: DataFrame, links: DataFrame, folder: str) -> T.StructType:
+    """The rounds of ``topological_levels``, each into its own folder; the schema of what they write."""
+    spark = steps.sparkSession
     waiting = (
         steps.select(*_NODE)
         .distinct()
@@ -108,10 +118,7 @@ def topological_levels(steps: DataFrame, edges: DataFrame) -> DataFrame:
             .select(*_NODE, (F.col("unmet") - F.coalesce("met", F.lit(0))).alias("unmet"))
         )
         level += 1
-    table = T.StructType(
-        [*node_schema.fields, T.StructField("level", T.IntegerType()), T.StructField("ready", T.BooleanType())]
-    )
-    return spark.read.schema(table).parquet(folder).filter("ready").select(*_NODE, "level")
+    return node_schema
 
 
 def cyclic_steps(steps: DataFrame, edges: DataFrame) -> DataFrame:
@@ -147,7 +154,8 @@ def reachable(seeds: DataFrame, links: DataFrame) -> DataFrame:
 def ancestor_closure(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """Targets and all they depend on, over optional edges too; unknown names stay in the result."""
     upwards = edges.select(P, F.col("step_id").alias("source"), F.col("dep_id").alias("target"))
-    return reachable(targets, materialize(upwards, "links"))
+    with work_table(upwards, "links") as links:
+        return reachable(targets, links)
 
 
 def active_steps(steps: DataFrame, edges: DataFrame, targets: DataFrame | None = None) -> DataFrame:
@@ -182,14 +190,12 @@ def blocked_steps(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     Seeds that are themselves behind another seed are blocked too. What lies behind a blocked seed is
     blocked either way, so plain reachability gives the exact answer.
     """
-    downwards = materialize(
-        edges.filter("any_required").select(P, F.col("dep_id").alias("source"), F.col("step_id").alias("target")),
-        "links",
-    )
-    first = downwards.join(
-        seeds.select(P, F.col("step_id").alias("source")).distinct(), [P, "source"], "left_semi"
-    ).select(P, F.col("target").alias("step_id"))
-    return reachable(first, downwards)
+    required = edges.filter("any_required").select(P, F.col("dep_id").alias("source"), F.col("step_id").alias("target"))
+    with work_table(required, "links") as downwards:
+        first = downwards.join(
+            seeds.select(P, F.col("step_id").alias("source")).distinct(), [P, "source"], "left_semi"
+        ).select(P, F.col("target").alias("step_id"))
+        return reachable(first, downwards)
 
 
 def step_outcomes(
@@ -309,6 +315,8 @@ def dry_run(
         carried = links.filter(F.col("from_level") == level).join(known.select(P, F.col("step_id").alias("dep_id"), "run_id"), [P, "dep_id"])
         carried = carried.select(*_NODE, F.array_repeat("run_id", F.col("uses")).alias("ids"), "level")
         carried.write.mode("append").partitionBy("level").parquet(input_path)
+    for path in (todo_path, link_path, input_path):
+        remove_path(spark, path)
     decided = spark.read.schema(decided_schema).parquet(folder)
     return decided.select(
         *_NODE,

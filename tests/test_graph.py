@@ -172,6 +172,7 @@ def test_dry_run_hands_each_row_on_once(spark, monkeypatch):
     steps = spark.range(n).selectExpr("'p' AS pipeline_id", "concat('s', id) AS step_id", "'img' AS image", "array('x') AS cmd")
     inputs = spark.range(1, n).selectExpr("'p' AS pipeline_id", "concat('s', id) AS step_id", "concat('s', id - 1) AS dep_id", "false AS optional")
     real = G.work_path
+    monkeypatch.setattr(G, "remove_path", lambda *_: None)
     monkeypatch.setattr(G, "work_path", lambda spark, label: read.append((label, real(spark, label))) or read[-1][1])
     state = steps.selectExpr("pipeline_id", "step_id", "concat('r', step_id) AS run_id", "'old' AS fingerprint")
     first = fingerprint(F.lit("img"), F.array(F.lit("x")))
