@@ -115,7 +115,25 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-@_query()
+@_query(
+    r"""
+WITH sized AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+windows AS (SELECT doc_id, unnest(generate_series(0, n - 400)) AS i, h FROM sized WHERE n >= 400),
+hashed AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS m FROM windows),
+repeated AS (SELECT m FROM hashed GROUP BY m HAVING count(*) > 1),
+hits AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM hashed SEMI JOIN repeated USING (m)),
+numbered AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM hits),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM numbered GROUP BY doc_id, span),
+placed AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS kept_from FROM spans),
+totals AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last FROM spans GROUP BY doc_id),
+parts AS (
+  SELECT s.doc_id, p.kept_from AS f, substr(s.h, 2 * p.kept_from + 1, 2 * (p.a - p.kept_from)) AS piece FROM placed p JOIN sized s ON p.doc_id = s.doc_id
+  UNION ALL SELECT s.doc_id, coalesce(t.last, 0), substr(s.h, 2 * coalesce(t.last, 0) + 1) FROM sized s LEFT JOIN totals t ON s.doc_id = t.doc_id),
+kept AS (SELECT doc_id, sha256(unhex(string_agg(piece, '' ORDER BY f))) AS kept_sha256 FROM parts GROUP BY doc_id)
+SELECT s.doc_id, s.n AS n_bytes, CAST(coalesce(t.n_removed, 0) AS BIGINT) AS n_removed, coalesce(t.n_spans, 0) AS n_spans, k.kept_sha256
+FROM sized s JOIN kept k ON s.doc_id = k.doc_id LEFT JOIN totals t ON s.doc_id = t.doc_id
+"""
+)
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_byte_strings(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
