@@ -6,6 +6,8 @@ of them, times a power of the base's inverse. Word hashes and results go through
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 
 from stepledger.llm.mph import mixed
@@ -55,6 +57,12 @@ class Rolling:
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def tables() -> tuple[Rolling, Rolling]:
+    """Tables of powers of two bases, made once per Python worker."""
+    return Rolling(0), Rolling(1)
+
+
 def byte_values(text: np.ndarray) -> np.ndarray:
     return _VALUES[text]
 

@@ -10,13 +10,12 @@ What it does there. Suffixes are sorted, and the transform is extended backwards
 suffixes part after ``n`` bytes, each byte that precedes both sides gives a pair that parts after ``n + 1``. So common prefixes
 come up by increasing value; the expansion stops at ``width``, and all neighbours that are left share at least that much.
 
-A class of so many different fragments that one transform can't hold it (see ``CLASS_FRAGMENTS``) is decided by 128-bit
+A class of so many different fragments that one transform can't hold it (see ``CLASS_BYTES``) is decided by 128-bit
 hashes of its windows instead, spread over all shards; that is as exact, and no task holds the class.
 """
 
 from __future__ import annotations
 
-import functools
 import hashlib
 
 import numpy as np
@@ -24,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from stepledger.llm import blocks as B
-from stepledger.llm.rolling import SLICE, Rolling, byte_values
+from stepledger.llm.rolling import SLICE, Rolling, byte_values, tables
 
-#: Bytes of a minimizer, and of text that one transform takes.
-ANCHOR, TRANSFORM_BYTES = 64, 1 << 18
+#: Bytes of a minimizer, of text that a transform of several classes takes, and of the largest class that is transformed.
+ANCHOR, TRANSFORM_BYTES, CLASS_BYTES = 64, 1 << 16, 1 << 18
 _PLACE_BITS = np.uint64(21)  # of a place within a slice and its overlap
 
 _ASK = "shard int, block int, first binary, second binary, several binary"
@@ -40,32 +39,54 @@ _PLACES, _FRAGMENTS, _WINDOWS = 0, 1, 2
 _REPEATED, _SHIP, _HASH = 1, 2, 4
 
 
+#: Symbols that one sort key holds, and bits of a symbol.
+_PACKED, _SYMBOL_BITS = 7, 9
+
+
+def _keys(symbols: np.ndarray) -> np.ndarray:
+    """The next symbols of every suffix in one number, zeros beyond the end."""
+    n = len(symbols)
+    key = np.zeros(n, np.uint64)
+    for k in range(_PACKED):
+        key = (key << np.uint64(_SYMBOL_BITS)) | np.append(symbols[k:], np.zeros(min(k, n), symbols.dtype)).astype(np.uint64)[:n]
+    return key
+
+
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
     """Order of the suffixes of small non-negative numbers (below 512), by doubling the sorted length."""
     n = len(symbols)
-    key = np.zeros(n, np.uint64)
-    for k in range(7):
-        key = (key << np.uint64(9)) | np.append(symbols[k:], np.zeros(min(k, n), symbols.dtype)).astype(np.uint64)[:n]
-    order = np.argsort(key, kind="stable")
+    key = _keys(symbols)
+    order = np.argsort(key)
     new = np.append(True, key[order][1:] != key[order][:-1])
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    length = 7
+    length = _PACKED
     while not new.all():
         # Ranks are first places of groups of equal suffixes; only groups of several are sorted again.
-        last = np.append(new[1:], True)
-        at = np.flatnonzero(~(new & last))
+        at = np.flatnonzero(~(new & np.append(new[1:], True)))
         rows = order[at]
         after = np.where(rows + length < n, rank[np.minimum(rows + length, n - 1)] + 1, 0)
-        again = np.lexsort((after, rank[rows]))
-        rows, after, group = rows[again], after[again], rank[rows][again]
+        both = rank[rows] * (n + 1) + after
+        again = np.argsort(both)
+        rows, both = rows[again], both[again]
         order[at] = rows
-        new[at] |= np.append(True, (after[1:] != after[:-1]) | (group[1:] != group[:-1]))
-        rank[rows] = np.maximum.accumulate(np.where(new, np.arange(n), 0))[at]
+        new[at] |= np.append(True, both[1:] != both[:-1])
+        rank[rows] = np.maximum.accumulate(np.where(new[at], at, 0))
         length *= 2
     return order
 
 
+def _shared_symbols(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """How many symbols two keys have in common, up to the first zero, which equals nothing."""
+    shared, going = np.zeros(len(one), np.int64), np.ones(len(one), bool)
+    for k in range(_PACKED):
+        shift, mask = np.uint64(_SYMBOL_BITS * (_PACKED - 1 - k)), np.uint64((1 << _SYMBOL_BITS) - 1)
+        symbol = (one >> shift) & mask
+        going &= (symbol == (other >> shift) & mask) & (symbol > 0)
+        shared += going
+    return shared
+
+
 def shared_starts(texts: list[bytes], width: int) -> list[np.ndarray]:
     """For each text the starts of windows of ``width`` bytes that occur in another place of these texts too."""
     sizes = np.array([len(x) for x in texts], np.int64)
@@ -80,10 +101,19 @@ def shared_starts(texts: list[bytes], width: int) -> list[np.ndarray]:
     smaller = np.zeros((len(first), n + 1), np.int32)
     for row, letter in enumerate(letters[1:]):
         np.cumsum(before == letter, out=smaller[row, 1:])
-    parted = np.zeros(n + 1, bool)  # does this suffix part from the one before it, after fewer bytes than so far?
-    frontier = np.concatenate([np.arange(len(texts)), first, [n]])
-    parted[frontier] = True
-    for _ in range(1, width):
+    # Does a suffix part from the one before it, after fewer bytes than so far? The sort keys tell for the first few bytes.
+    key = _keys(symbols)
+    known, depth = np.zeros(n, np.int64), 0
+    while depth < min(3 * _PACKED, width):
+        deep = np.flatnonzero(known == depth)
+        deep = deep[deep > 0]
+        here, there = (key[np.minimum(order[deep - k] + depth, n - 1)] for k in (0, 1))
+        known[deep] += _shared_symbols(here, there)
+        depth += _PACKED
+    begun = min(depth, width) - 1
+    parted = np.append(known <= begun, True)
+    frontier = np.flatnonzero(np.append(known == begun, False))
+    for _ in range(begun + 1, width):
         found = (first[:, None] + smaller[:, frontier]).ravel()
         frontier = np.unique(found[~parted[found]])
         if not len(frontier):
@@ -94,8 +124,7 @@ def shared_starts(texts: list[bytes], width: int) -> list[np.ndarray]:
     owner = np.searchsorted(ends, places)
     begins = ends - sizes
     fits = places + width <= ends[owner]
-    places, owner = places[fits], owner[fits]
-    return [places[owner == k] - begins[k] for k in range(len(texts))] if len(texts) < 16 else _split(places, owner, begins)
+    return _split(places[fits], owner[fits], begins)
 
 
 def _split(places: np.ndarray, owner: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
@@ -111,12 +140,6 @@ def _stretches(starts: np.ndarray, width: int) -> np.ndarray:
     return np.stack([starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)] + width], axis=1).astype(np.int64)
 
 
-@functools.lru_cache(maxsize=1)
-def _tables() -> tuple[Rolling, Rolling]:
-    """Tables of powers, made once per Python worker."""
-    return Rolling(0), Rolling(1)
-
-
 class _Bytes:
     """The bytes of a block's documents, one after the other, with one byte between them that no window may hold."""
 
@@ -127,7 +150,7 @@ class _Bytes:
         sizes = np.array([len(x) for x in self.texts], np.int64)
         self.ends = np.cumsum(sizes + 1) - 1
         self.begins = self.ends - sizes
-        self.one, self.two = _tables()
+        self.one, self.two = tables()
 
     def fragments(self, width: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First window, last window and minimizer's place of every fragment."""
@@ -182,7 +205,6 @@ class _Fragments:
     def __init__(self, own: _Bytes, width: int, anchor: int) -> None:
         self.firsts, self.lasts, places = own.fragments(width, anchor)
         kind = own.hashes(own.one, places, places + anchor)
-        # Hash of the bytes, and of where the minimizer stands in them, which makes no difference but costs nothing.
         content = own.hashes(own.two, self.firsts, self.lasts + width)
         order = np.lexsort((content, kind))
         a, b = kind[order], content[order]
@@ -225,7 +247,7 @@ def dedup_byte_strings(docs: DataFrame, width: int = 400, anchor: int = ANCHOR)
     total = B.text_bytes(docs)
     shards = B.parts(total, B.SHARD_BYTES)
     placed = B.blocked(docs, B.parts(total, B.BLOCK_BYTES))
-    most = TRANSFORM_BYTES // (2 * width)  # fragments of a class that surely fit one transform
+    most = CLASS_BYTES // (2 * width)  # fragments of a class that surely fit one transform
 
     def shard_of(keys: np.ndarray) -> np.ndarray:
         return (keys % np.uint64(shards)).astype(np.int64)
