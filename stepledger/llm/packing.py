@@ -104,11 +104,13 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, ranks: str | None = RA
                 crcs.append([zlib.crc32(ids[a:b]) for a, b in zip(edges, edges[1:], strict=False)])
             yield pd.DataFrame({"n_ids": sizes, "crcs": crcs})
 
+    B.bounded_batches(docs.sparkSession)
     found = docs.select(B.field("doc_id").cast("bigint").alias("doc_id"), cut(B.field("text")).alias("found"))
     first = F.col("n_ids") - (F.size("crcs") - 1) * F.lit(capacity).cast("bigint")
+    # No row is without a piece, so the outer form gives the same; the other one adds a filter, for which all is encoded twice.
     return (
         found.select("doc_id", "found.n_ids", "found.crcs")
-        .select("doc_id", first.alias("first"), F.posexplode("crcs").alias("piece", "ids_crc32"))
+        .select("doc_id", first.alias("first"), F.posexplode_outer("crcs").alias("piece", "ids_crc32"))
         .select(
             "doc_id",
             "piece",
