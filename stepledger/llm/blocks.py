@@ -18,14 +18,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Text bytes that a block holds on average; a block is one Python group, with some ten times this in memory.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Text bytes whose keys a shard holds on average.
 SHARD_BYTES = 32 << 20
+#: Rows and bytes that a Python worker gets at a time; it holds a few copies of them.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def field(name: str) -> Column:
@@ -33,8 +35,17 @@ def field(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to a size of which a worker can hold several copies."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+
+
 def packed_rows(docs: DataFrame) -> Column:
     """All columns of a row as one struct ``row``, so that no name of an input column can clash with the operators'."""
+    bounded_batches(docs.sparkSession)
     return F.struct(*[field(c) for c in docs.columns]).alias("row")
 
 

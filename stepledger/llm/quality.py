@@ -9,7 +9,6 @@ Scoring needs a vector only as its products with the output weights, so a traine
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 
 from stepledger.llm import blocks as B
 from stepledger.llm.langid import remainder, window
-from stepledger.llm.rolling import Rolling, byte_values, word_hashes, words
+from stepledger.llm.rolling import byte_values, tables, word_hashes, words
 
 #: Bounds of the training sample: windows of labelled texts per class, and their characters.
 WINDOWS, WINDOW_CHARS = 1500, 800
@@ -31,15 +30,9 @@ THRESHOLD = 0.3
 _PART = 1 << 18
 
 
-@functools.lru_cache(maxsize=1)
-def _tables() -> Rolling:
-    """Tables of powers, made once per Python worker."""
-    return Rolling(0)
-
-
 def features(text: bytes, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, int]:
     """``(feature, word)`` pairs of a text as arrays, and its number of words."""
-    rolling = _tables()
+    rolling, _ = tables()
     padded = np.frombuffer(b" " + text + b" ", np.uint8)
     starts, ends = words(padded)
     if not len(starts):

@@ -10,7 +10,6 @@ passage costs one entry per block in either round, and no pair is ever formed.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 
 import numpy as np
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from stepledger.llm import blocks as B
-from stepledger.llm.rolling import Rolling, word_hashes, words
+from stepledger.llm.rolling import tables, word_hashes, words
 
 #: A perfect difference set: every difference modulo 21 occurs.
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
@@ -40,7 +39,7 @@ class _Words:
         self.raw = b"\n".join([*self.texts, b""])
         letters = np.frombuffer(self.raw, np.uint8)
         self.starts, self.ends = words(letters)
-        self.one, self.two = _tables()
+        self.one, self.two = tables()
         self.hashes = word_hashes(letters, self.starts, self.ends, self.one)
         #: Position of each document's first word, and of the end of the last.
         self.edges = np.searchsorted(self.starts, np.concatenate([[0], np.cumsum(sizes)]))
@@ -58,12 +57,6 @@ class _Words:
         return at, self.one.windows(self.hashes, anchor, at)
 
 
-@functools.lru_cache(maxsize=1)
-def _tables() -> tuple[Rolling, Rolling]:
-    """Tables of powers, made once per Python worker."""
-    return Rolling(0), Rolling(1)
-
-
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     found, back, times = np.unique(keys, return_inverse=True, return_counts=True)
     return found, back, (times > 1).astype(np.uint8)

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -76,14 +77,20 @@ class Encoder:
     """
 
     def __init__(self, path: str, ranks: str | None = None, huge: int = HUGE, chunk: int = CHUNK, overlap: int = OVERLAP) -> None:
+        self._path = path
+        self._huge, self._chunk, self._overlap = huge, chunk, overlap
+        self._ranks = self._by_ranks(ranks) if ranks else None
+
+    @functools.cached_property
+    def _tokenizer(self):
+        """Made when a text first needs it, as it is large."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.no_truncation()
-        self._tokenizer.no_padding()
-        self._huge, self._chunk, self._overlap = huge, chunk, overlap
-        self._ranks = self._by_ranks(ranks) if ranks else None
+        found = Tokenizer.from_file(self._path)
+        found.no_truncation()
+        found.no_padding()
+        return found
 
     def _by_ranks(self, path: str):
         import public_tokenizers
@@ -91,7 +98,8 @@ class Encoder:
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        special = {x.content: i for i, x in self._tokenizer.get_added_tokens_decoder().items()}
+        with open(self._path, encoding="utf-8") as vocabulary:
+            special = {x["content"]: x["id"] for x in json.load(vocabulary)["added_tokens"]}
         return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def with_offsets(self, text: str) -> tuple[np.ndarray, np.ndarray]:
