@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from stepledger.llm import blocks as B
 
-#: Edits allowed per character of an item, as long as no piece gets shorter than so many characters.
-ERROR_RATE, PIECE_CHARS = 0.08, 16
+#: Edits allowed per character of an item. Pieces follow from it: some 12 characters, down to half as many in short items.
+ERROR_RATE = 0.08
 #: Characters of items that one pass looks for.
 ITEM_BLOCK_CHARS = 1 << 20
 
@@ -34,8 +34,8 @@ def normal(text: str | None) -> str:
     return _OTHER.sub(" ", (text or "").lower()).strip()
 
 
-def budget(length: int, error_rate: float = ERROR_RATE, piece_chars: int = PIECE_CHARS) -> int:
-    return max(0, min(int(error_rate * length), length // piece_chars - 1))
+def budget(length: int, error_rate: float = ERROR_RATE) -> int:
+    return int(error_rate * length)
 
 
 def pieces(text: str, edits: int) -> list[tuple[int, str]]:
@@ -72,10 +72,10 @@ def least_distance(pattern: str, text: str) -> int:
 class Finder:
     """The automaton over the pieces of a block of items."""
 
-    def __init__(self, items: tuple[Item, ...], error_rate: float, piece_chars: int) -> None:
+    def __init__(self, items: tuple[Item, ...], error_rate: float) -> None:
         import ahocorasick
 
-        self.items = [(item, text, budget(len(text), error_rate, piece_chars)) for item, text in items]
+        self.items = [(item, text, budget(len(text), error_rate)) for item, text in items]
         wanted: dict[str, list[tuple[int, int]]] = {}
         for number, (_, text, edits) in enumerate(self.items):
             for offset, piece in pieces(text, edits):
@@ -105,8 +105,8 @@ class Finder:
 
 
 @functools.lru_cache(maxsize=1)
-def _finder(items: tuple[Item, ...], error_rate: float, piece_chars: int) -> Finder:
-    return Finder(items, error_rate, piece_chars)
+def _finder(items: tuple[Item, ...], error_rate: float) -> Finder:
+    return Finder(items, error_rate)
 
 
 def item_blocks(items: DataFrame, chars: int = ITEM_BLOCK_CHARS) -> Iterator[tuple[Item, ...]]:
@@ -124,12 +124,12 @@ def item_blocks(items: DataFrame, chars: int = ITEM_BLOCK_CHARS) -> Iterator[tup
         yield tuple(block)
 
 
-def _found(docs: DataFrame, block: tuple[Item, ...], error_rate: float, piece_chars: int) -> DataFrame:
+def _found(docs: DataFrame, block: tuple[Item, ...], error_rate: float) -> DataFrame:
     """``row, hits``: what of one block of items a document holds."""
 
     @F.pandas_udf("array<struct<item_id: bigint, distance: int>>")
     def hits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        finder = _finder(block, error_rate, piece_chars)
+        finder = _finder(block, error_rate)
         for texts in batches:
             yield pd.Series([[{"item_id": i, "distance": d} for i, d in finder.find(x)] if x else [] for x in texts])
 
@@ -137,14 +137,14 @@ def _found(docs: DataFrame, block: tuple[Item, ...], error_rate: float, piece_ch
 
 
 def contaminations(
-    docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, piece_chars: int = PIECE_CHARS
+    docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE
 ) -> DataFrame:
     """``doc_id, item_id, distance``: each item that a row of ``docs`` holds within the item's edit budget.
 
     Null and empty texts hold none, and items without a letter or digit are not looked for. Rows with equal ids report each;
     items with equal ids and different texts are different items.
     """
-    found = [_found(docs, block, error_rate, piece_chars) for block in item_blocks(items)]
+    found = [_found(docs, block, error_rate) for block in item_blocks(items)]
     if not found:
         return docs.select(B.field("doc_id").cast("bigint").alias("doc_id"), F.lit(0).cast("bigint").alias("item_id"), F.lit(0).alias("distance")).limit(0)
     # The outer form keeps the planner from searching all texts twice, once for a filter on the number of hits.
@@ -153,10 +153,10 @@ def contaminations(
 
 
 def drop_contaminated(
-    docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, piece_chars: int = PIECE_CHARS
+    docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE
 ) -> DataFrame:
     """The rows of ``docs`` that hold no item."""
     for block in item_blocks(items):
-        clean = _found(docs, block, error_rate, piece_chars).where(F.size("hits") == 0)
+        clean = _found(docs, block, error_rate).where(F.size("hits") == 0)
         docs = B.documents_of(clean, docs)
     return docs
