@@ -14,7 +14,7 @@ from stepledger.llm.decontamination import drop_contaminated
 from stepledger.llm.langid import learn_and_identify
 from stepledger.llm.lines import dedup_lines
 from stepledger.llm.packing import pack_documents
-from stepledger.llm.shingles import drop_near_copies
+from stepledger.llm.simhash import drop_near_duplicates
 from stepledger.storage import materialize
 
 
@@ -34,8 +34,8 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, Jaccard similarity 0.8 or more."""
-    return B.documents_of(drop_near_copies(docs), docs)
+    """One document of each group stays: SimHash of three-word shingles, links of at most two differing bits."""
+    return B.documents_of(drop_near_duplicates(docs), docs)
 
 
 def remove_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
