@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from stepledger.llm.decontamination import contaminations
 from stepledger.llm.langid import learn_and_identify
 from stepledger.llm.lines import dedup_lines
+from stepledger.llm.merkle import document_manifest, lower_cased
+from stepledger.llm.neighbours import nearest
 from stepledger.llm.packing import pack_documents
 from stepledger.llm.quality import learn_and_score
+from stepledger.llm.ranking import rank_documents
 from stepledger.llm.rules import quality_rules
 from stepledger.llm.simhash import near_duplicates
 from stepledger.llm.substrings import dedup_substrings
@@ -137,3 +140,91 @@ FROM sized s JOIN kept k ON s.doc_id = k.doc_id LEFT JOIN totals t ON s.doc_id =
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_byte_strings(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@_query(
+    r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+held AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term),
+sizes AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM held GROUP BY doc_id),
+totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS all_terms FROM sizes),
+wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM held, totals WHERE term IN (SELECT term FROM wanted) GROUP BY term, docs),
+gains AS (
+  SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // all_terms))) AS gain
+  FROM held JOIN weights USING (term) JOIN sizes USING (doc_id), totals),
+scores AS (SELECT item_id, doc_id, CAST(sum(gain) AS BIGINT) AS score FROM wanted JOIN gains USING (term) GROUP BY item_id, doc_id),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 50
+"""
+)
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query(
+    r"""
+WITH RECURSIVE
+numbered AS (
+  SELECT *, coalesce('=' || lang, '') AS tree, CAST(doc_id AS VARCHAR) AS id,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n
+  FROM documents),
+checked AS (
+  SELECT *, xor(list_reduce(
+      list_prepend(4294967295, list_transform(range(0, 8 * length(id)), lambda i: CASE WHEN i % 8 = 0 THEN ascii(substr(id, i // 8 + 1, 1)) ELSE 0 END)),
+      lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))), 4294967295) % 3 = 0 AS changed
+  FROM numbered),
+fields AS (
+  SELECT doc_id, tree, pos, n, id, source, lang, CAST(n_chars AS VARCHAR) AS size, text,
+    CASE WHEN changed THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS found
+  FROM checked),
+leaves AS (
+  SELECT doc_id, tree, pos, n, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS h,
+    sha256(head || coalesce(octet_length(encode(found)) || ':' || found, '-')) AS claim
+  FROM (SELECT *, coalesce(length(id) || ':' || id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+      || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(length(size) || ':' || size, '-') AS head FROM fields)),
+nodes AS (
+  SELECT tree, 0 AS level, pos, n, h FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY tree, level, n, pos // 8),
+subroots AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT '/' AS tree, 0 AS level, pos, n, subroot AS h FROM subroots
+  UNION ALL
+  SELECT tree, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY tree, level, n, pos // 8),
+every AS (SELECT * FROM nodes WHERE n > 1 UNION ALL SELECT * FROM tops WHERE n > 1),
+runs AS (
+  SELECT a.tree, a.level, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS before,
+    coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS after
+  FROM every a JOIN every b ON a.tree = b.tree AND a.level = b.level AND a.pos // 8 = b.pos // 8 GROUP BY a.tree, a.level, a.pos),
+steps AS (
+  SELECT l.tree, l.pos, r.level AS step, r.before, r.after FROM leaves l JOIN runs r ON r.tree = l.tree AND r.pos = l.pos // CAST(pow(8, r.level) AS BIGINT)
+  UNION ALL
+  SELECT l.tree, l.pos, 1000 + r.level, r.before, r.after
+  FROM leaves l JOIN subroots s ON l.tree = s.tree JOIN runs r ON r.tree = '/' AND r.pos = s.pos // CAST(pow(8, r.level) AS BIGINT)),
+path AS (SELECT *, row_number() OVER (PARTITION BY tree, pos ORDER BY step) AS k FROM steps),
+folded AS (
+  SELECT tree, pos, CAST(0 AS BIGINT) AS k, claim FROM leaves
+  UNION ALL
+  SELECT f.tree, f.pos, p.k, sha256(p.before || f.claim || p.after) FROM folded f JOIN path p ON p.tree = f.tree AND p.pos = f.pos AND p.k = f.k + 1),
+proofs AS (SELECT tree, pos, sha256(string_agg(before || after, '' ORDER BY k)) AS proof FROM path GROUP BY tree, pos),
+ends AS (SELECT tree, pos, arg_max(claim, k) AS folded_root FROM folded GROUP BY tree, pos)
+SELECT l.doc_id, l.h AS leaf, s.subroot, r.h AS root, coalesce(p.proof, sha256('')) AS proof_sha256, e.folded_root, e.folded_root = r.h AS verified
+FROM leaves l JOIN subroots s ON l.tree = s.tree JOIN tops r ON r.n = 1 JOIN ends e ON e.tree = l.tree AND e.pos = l.pos
+LEFT JOIN proofs p ON p.tree = l.tree AND p.pos = l.pos
+"""
+)
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return document_manifest(docs, lower_cased(docs)).drop("witness")
+
+
+@_query()
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"))
