@@ -1,7 +1,11 @@
 """Hashes of all words and word windows, or of all byte windows, of a text by array operations.
 
 A text's prefix sums of ``value[k] * base**k`` (modulo 2**64) give the polynomial hash of any piece as a difference of two
-of them, times a power of the base's inverse. Word hashes and results go through a bijective mixing.
+of them, times a power of the base's inverse. Results go through a bijective mixing.
+
+Such a hash is weak on long pieces over two values: the Thue-Morse word of 1,024 letters and its complement meet under every
+base. So it serves for windows of words and pieces of bytes below that length only. Words have any length and are compared
+by ``word_values``: two independent hashes, eight bytes at a time through the mixing, and XXH3 for long words.
 """
 
 from __future__ import annotations
@@ -9,6 +13,7 @@ from __future__ import annotations
 import functools
 
 import numpy as np
+import xxhash
 
 from stepledger.llm.mph import mixed
 
@@ -75,6 +80,39 @@ def words(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
 
 
+#: Words of more bytes are hashed by XXH3.
+LONG_WORD = 32
+_SEEDS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
+
+
+def _lanes(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Up to eight bytes from each start as one number, zeros beyond ``sizes``; ``text`` goes on for seven bytes more."""
+    every = np.ndarray((len(text) - 7,), "<u8", text, 0, (1,))
+    keep = np.minimum(sizes, 8).astype(np.uint64)
+    return every[starts] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * keep))
+
+
+def word_values(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word, none of which is empty."""
+    text, sizes = np.concatenate([text, np.zeros(8, np.uint8)]), ends - starts
+    out = [np.empty(len(starts), np.uint64) for _ in _SEEDS]
+    for a in range(0, len(starts), SLICE):
+        part = slice(a, a + SLICE)
+        size = sizes[part]
+        values = [size.astype(np.uint64) * np.uint64(seed) for seed in _SEEDS]
+        for done in range(0, LONG_WORD, 8):
+            more = np.flatnonzero(size > done) if done else slice(None)
+            lanes = _lanes(text, starts[part][more] + done, size[more] - done)
+            for value, seed in zip(values, _SEEDS, strict=True):
+                value[more] = mixed((value[more] ^ lanes) + np.uint64(seed))
+        for value, found in zip(values, out, strict=True):
+            found[part] = value
+    for k in np.flatnonzero(sizes > LONG_WORD).tolist():
+        digest = xxhash.xxh3_128_intdigest(text[starts[k] : ends[k]].data)
+        out[0][k], out[1][k] = digest & _MASK, digest >> 64
+    return out[0], out[1]
+
+
 def word_hashes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, rolling: Rolling) -> np.ndarray:
     """A hash per word; texts and words of any length."""
     out = np.empty(len(starts), np.uint64)

@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from stepledger.llm import blocks as B
-from stepledger.llm.rolling import tables, word_hashes, words
+from stepledger.llm.rolling import tables, word_values, words
 
 #: A perfect difference set: every difference modulo 21 occurs.
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
+#: Windows of more words would need another hash, see ``rolling``.
+MAX_WIDTH = 512
 
 _MESSAGE = "shard int, block int, first binary, second binary, several binary, layout binary"
 _ANSWER = "block int, shard int, repeated binary, layout binary"
@@ -40,7 +42,7 @@ class _Words:
         letters = np.frombuffer(self.raw, np.uint8)
         self.starts, self.ends = words(letters)
         self.one, self.two = tables()
-        self.hashes = word_hashes(letters, self.starts, self.ends, self.one)
+        self.hashes, self.others = word_values(letters, self.starts, self.ends)
         #: Position of each document's first word, and of the end of the last.
         self.edges = np.searchsorted(self.starts, np.concatenate([[0], np.cumsum(sizes)]))
         counts = np.diff(self.edges)
@@ -89,8 +91,8 @@ def dedup_substrings(
     row or another (rows with equal ids are different places). The text that stays has its words joined by one space. A
     null or empty text has no words. ``row`` has all columns of the input.
     """
-    if not is_cover(cover, period) or width <= period:
-        raise ValueError("cover must hold all differences modulo a period that is below the width")
+    if not is_cover(cover, period) or not period < width <= MAX_WIDTH:
+        raise ValueError("cover must hold all differences modulo a period that is below the width, and that at most MAX_WIDTH")
     total = B.text_bytes(docs)
     shards = B.parts(total, B.SHARD_BYTES)
     placed = B.blocked(docs, B.parts(total, B.BLOCK_BYTES))
@@ -108,7 +110,7 @@ def dedup_substrings(
 
     def window_keys(own: _Words, flags: np.ndarray):
         at = np.flatnonzero(flags)
-        return at, _distinct_pairs(own.one.windows(own.hashes, width, at), own.two.windows(own.hashes, width, at))
+        return at, _distinct_pairs(own.one.windows(own.hashes, width, at), own.two.windows(own.others, width, at))
 
     def extend(table: pa.Table, answers: pa.Table) -> pa.Table:
         block = B.Block(table)

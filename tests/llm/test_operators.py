@@ -47,6 +47,10 @@ def _corpus() -> list[tuple]:
         (11, "x" * 3000, "fr", "s", 1),
         (12, "the same " * 300, "en", "s", 1),
     ]
+    # Words that no polynomial modulo a power of two tells apart, after 34 equal ones.
+    morse = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    shared = words(34)
+    rows += [(30, f"{shared} {morse}", "en", "s", 1), (31, f"{shared} {morse.translate(str.maketrans('ab', 'ba'))}", "en", "s", 1)]
     for k in range(13, 21):
         text = words(rng.randint(1, 120)) + ("\n  " + line.upper() + " \r\n" + words(3) if k % 2 else "")
         rows.append((k, text, rng.choice(["en", "de"]), "s", len(text)))
