@@ -11,7 +11,7 @@ from stepledger.operators import events as E
 from stepledger.operators.sessions import current_session, fold_session_steps, fold_sessions
 from stepledger.sources.events import envelope_lines, read_events, write_events, write_fanout
 from stepledger.storage import materialize, work_path
-from stepledger.streaming.events import stream_events, stream_fanout, stream_log_tail
+from stepledger.streaming.events import stream_events, stream_fanout, stream_log_tail, tail_events
 from stepledger.streaming.sessions import (
     compact_session_events,
     session_snapshot,
@@ -269,7 +269,7 @@ def _run_to_end(writer, path: str) -> None:
 @check("t1_stream_events", _PER_TYPE_SQL)
 def stream(v: Views) -> DataFrame:
     path, out = _written_events(v, malformed=True), work_path(v.spark, "streamed")
-    events = stream_events(v.spark, path, files_per_trigger=4)
+    events = tail_events(v.spark, path, quiet_seconds=0)
     _run_to_end(events.writeStream.format("parquet").option("path", out), work_path(v.spark, "progress"))
     return _per_type(v.spark.read.schema(events.schema).parquet(out))
 
@@ -307,7 +307,7 @@ def snapshot(v: Views) -> DataFrame:
 def log_tail(v: Views) -> DataFrame:
     path, out = work_path(v.spark, "ndjson"), work_path(v.spark, "tail")
     write_events(v.all_envelopes(), path)
-    lines = stream_log_tail(stream_events(v.spark, path))
+    lines = stream_log_tail(tail_events(v.spark, path))
     _run_to_end(lines.writeStream.format("parquet").option("path", out), work_path(v.spark, "progress"))
     return v.spark.read.schema(lines.schema).parquet(out)
 

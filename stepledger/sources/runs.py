@@ -18,6 +18,7 @@ from stepledger import schemas as S
 from stepledger.functions.paths import resolve_path, within_boundary
 from stepledger.operators.history import current_run
 from stepledger.sources.paths import LOCK, MARKER, RUN_LOG, RUN_META, STATE, below_root, path_part, plain, read_lines, read_text
+from stepledger.sources.store import content
 from stepledger.storage import qualified_path
 
 # Fixed value: the largest name that the documents' format sorts as a number.
@@ -183,23 +184,6 @@ def read_logs(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def _content(file: str) -> bytes | None:
-    """The bytes of a file in any store that Arrow opens; none where there is no such file."""
-    from urllib.parse import quote
-
-    from pyarrow import fs
-
-    scheme, colon, path = file.partition(":")
-    if not colon or scheme == "file":
-        store, path = fs.LocalFileSystem(), "/" + (path if colon else file).lstrip("/")
-    else:
-        store, path = fs.FileSystem.from_uri(f"{scheme}:{quote(path)}")
-    if store.get_file_info(path).type != fs.FileType.File:
-        return None
-    with store.open_input_file(path) as stream:
-        return stream.read()
-
-
 def read_artifacts(spark: SparkSession, root: str, requests: DataFrame, state: DataFrame) -> DataFrame:
     """Content of the requested artifacts ``(workspace_id, step_id, path)`` of the current runs, or an error.
 
@@ -220,8 +204,8 @@ def read_artifacts(spark: SparkSession, root: str, requests: DataFrame, state: D
         for batch in batches:
             for k, name in enumerate(batch["_file"].to_pylist()):
                 row = batch.slice(k, 1).drop_columns(["_file"])
-                content = pa.array([name and _content(name)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*row.columns, content], names=[*row.schema.names, "content"])
+                found = pa.array([name and content(name)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*row.columns, found], names=[*row.schema.names, "content"])
 
     missing = F.concat(F.lit("Artifact not found: "), "path")
     found = wanted.mapInArrow(read, schema)

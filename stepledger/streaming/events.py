@@ -10,10 +10,20 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from stepledger import schemas as S
 from stepledger.sources.events import parse_envelopes, write_fanout
+from stepledger.streaming.tail import tail_lines
+
+
+def tail_events(spark: SparkSession, path: str, quiet_seconds: float | None = None) -> DataFrame:
+    """Envelopes of NDJSON files that are still being written, each as soon as its line is complete.
+
+    Malformed lines are dropped as in the batch reader; a last line without a line break counts once its file has been
+    quiet for ``quiet_seconds``.
+    """
+    return parse_envelopes(tail_lines(spark, path, quiet_seconds).select("value"))
 
 
 def stream_events(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Envelopes of NDJSON files as they arrive; malformed lines are dropped as in the batch reader."""
+    """Envelopes of finished NDJSON files as they arrive; malformed lines are dropped as in the batch reader."""
     reader = spark.readStream.option("lineSep", "\n")
     if files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
