@@ -13,11 +13,11 @@ from stepledger.sources.events import envelope_lines, read_events, write_events,
 from stepledger.storage import materialize, work_path
 from stepledger.streaming.events import stream_events, stream_fanout, stream_log_tail, tail_events
 from stepledger.streaming.sessions import (
-    compact_session_events,
+    compact_session_state,
     session_snapshot,
     session_updates,
-    stored_events,
-    write_session_events,
+    stored_state,
+    write_session_state,
 )
 
 _FOLD = """
@@ -274,27 +274,27 @@ def stream(v: Views) -> DataFrame:
     return _per_type(v.spark.read.schema(events.schema).parquet(out))
 
 
-def _streamed_events(v: Views) -> tuple[str, str]:
-    """The table that a stream has written, and what compaction makes of its first half."""
+def _streamed_state(v: Views) -> tuple[str, str]:
+    """The log that a stream has written, and what compaction makes of its first half."""
     path, out, half = _written_events(v), work_path(v.spark, "sessions"), work_path(v.spark, "half")
-    _run_to_end(write_session_events(stream_events(v.spark, path, files_per_trigger=4), out), work_path(v.spark, "progress"))
-    stored = stored_events(v.spark, out)
+    _run_to_end(write_session_state(stream_events(v.spark, path, files_per_trigger=4), out), work_path(v.spark, "progress"))
+    stored = stored_state(v.spark, out)
     middle = stored.agg(F.floor(F.max("batch") / 2)).first()[0]
-    stored.filter(F.col("batch") <= middle).write.partitionBy("batch").parquet(half)
+    stored.filter(F.col("batch") <= middle).write.partitionBy("batch", "kind").parquet(half)
     base = work_path(v.spark, "compacted")
-    compact_session_events(v.spark, half, base)
+    compact_session_state(v.spark, half, base)
     return out, base
 
 
 @check("t2_stream_sessions", _SESSION_STEPS_SQL)
 def streamed_steps(v: Views) -> DataFrame:
-    return _session_steps(session_snapshot(v.spark, *_streamed_events(v))[1])
+    return _session_steps(session_snapshot(v.spark, *_streamed_state(v))[1])
 
 
 @check("t3_session_snapshot", _SESSIONS_SQL)
 def snapshot(v: Views) -> DataFrame:
     """Sessions with news after the first batch, and the others from the snapshot."""
-    out, base = _streamed_events(v)
+    out, base = _streamed_state(v)
     changed = session_updates(v.spark, out, 0, base)[0]
     whole = session_snapshot(v.spark, out, base)[0]
     return _sessions(changed.unionByName(whole.join(changed, "job_id", "left_anti").select(changed.columns)))

@@ -16,7 +16,7 @@ from stepledger.storage import materialize
 # Events of one job that share a join key; see _restarted_slices.
 SLICE = 100_000
 
-_STATUS = {
+STEP_STATUS = {
     S.STEP_STARTING: "running",
     S.STEP_SKIPPED: "skipped",
     S.STEP_FINISHED: "finished",
@@ -24,7 +24,7 @@ _STATUS = {
 }
 
 
-def _folded(events: DataFrame, slice_rows: int) -> DataFrame:
+def folded_events(events: DataFrame, slice_rows: int) -> DataFrame:
     e = F.col("event")
     return events.filter(F.col("type").isin(*S.FOLDED_TYPES)).select(
         e["job_id"].alias("job_id"),
@@ -83,7 +83,7 @@ def _restarted_slices(pieces: DataFrame, slice_rows: int) -> DataFrame:
     )
 
 
-def _sessions(jobs: DataFrame) -> DataFrame:
+def sessions_of_jobs(jobs: DataFrame) -> DataFrame:
     created = F.coalesce(F.col("start.seq"), F.col("first_step"))
     end = F.when(F.col("end.seq") > created, F.col("end"))
     return jobs.filter(created.isNotNull()).select(
@@ -104,7 +104,7 @@ def _last(value: str, when: Column) -> Column:
     return F.max_by(F.col(value), F.when(when, F.col("seq"))).alias(value)
 
 
-def _setters() -> dict[str, Column]:
+def setters() -> dict[str, Column]:
     """For each field of a step besides its status, the events that set it."""
     finished = F.col("type") == S.STEP_FINISHED
     return {
@@ -127,19 +127,23 @@ def _live(folded: DataFrame, pieces: DataFrame, slice_rows: int) -> DataFrame:
 
 def _session_steps(folded: DataFrame, pieces: DataFrame, slice_rows: int) -> DataFrame:
     type_ = F.col("type")
-    status = F.when(type_ == S.STEP_STARTING, F.lit(_STATUS[S.STEP_STARTING]))
+    status = F.when(type_ == S.STEP_STARTING, F.lit(STEP_STATUS[S.STEP_STARTING]))
     for event_type in (S.STEP_SKIPPED, S.STEP_FINISHED, S.STEP_FAILED):
-        status = status.when(type_ == event_type, F.lit(_STATUS[event_type]))
+        status = status.when(type_ == event_type, F.lit(STEP_STATUS[event_type]))
 
     live = _live(folded, pieces, slice_rows).withColumn("status", status)
     seen = live.groupBy("job_id", "step_id").agg(
         F.min_by("display_name", "seq").alias("first_name"),
         F.max_by("status", "seq").alias("status"),
-        *[_last(value, when) for value, when in _setters().items()],
+        *[_last(value, when) for value, when in setters().items()],
     )
+    return listed_steps(_jobs(pieces), seen)
+
+
+def listed_steps(jobs: DataFrame, seen: DataFrame) -> DataFrame:
+    """The steps that were ``seen`` and those that their job's last start lists, whose names win."""
     listed = (
-        _jobs(pieces)
-        .select("job_id", F.posexplode("start.steps").alias("at", "step"))
+        jobs.select("job_id", F.posexplode("start.steps").alias("at", "step"))
         .groupBy("job_id", F.col("step.id").alias("step_id"))
         .agg(F.max_by("step.display_name", "at").alias("listed_name"))
     )
@@ -157,7 +161,7 @@ def _session_steps(folded: DataFrame, pieces: DataFrame, slice_rows: int) -> Dat
 
 def fold_sessions(events: DataFrame, slice_rows: int = SLICE) -> DataFrame:
     """One row per job that has a session; ``inserted_at`` is the time of its first creating event."""
-    return _sessions(_jobs(_pieces(_folded(events, slice_rows))))
+    return sessions_of_jobs(_jobs(_pieces(folded_events(events, slice_rows))))
 
 
 def fold(events: DataFrame, slice_rows: int = SLICE) -> tuple[DataFrame, DataFrame]:
@@ -166,9 +170,9 @@ def fold(events: DataFrame, slice_rows: int = SLICE) -> tuple[DataFrame, DataFra
     The events are read twice: once for the job-level facts, which are written down because several joins
     need them and their true size decides how these joins run, and once for the steps.
     """
-    folded = _folded(events, slice_rows)
+    folded = folded_events(events, slice_rows)
     pieces = materialize(_pieces(folded), "pieces")
-    return _sessions(_jobs(pieces)), _session_steps(folded, pieces, slice_rows)
+    return sessions_of_jobs(_jobs(pieces)), _session_steps(folded, pieces, slice_rows)
 
 
 def fold_session_steps(events: DataFrame, slice_rows: int = SLICE) -> DataFrame:
@@ -176,27 +180,6 @@ def fold_session_steps(events: DataFrame, slice_rows: int = SLICE) -> DataFrame:
     return fold(events, slice_rows)[1]
 
 
-def decisive_events(events: DataFrame, slice_rows: int = SLICE) -> DataFrame:
-    """``(job_id, seq)`` of the events that alone give the same fold, now and with any later events.
-
-    Per job the last start, the first creating event, the first step event and the last end; per step since the last start its
-    first and last event and the last ones that set a field.
-    """
-    folded = _folded(events, slice_rows)
-    pieces = materialize(_pieces(folded), "pieces")
-    jobs = _jobs(pieces).select(
-        "job_id", F.explode(F.array("start.seq", "born.seq", "first_step", "end.seq")).alias("seq")
-    )
-    last = [F.max(F.when(when, F.col("seq"))) for when in _setters().values()]
-    steps = (
-        _live(folded, pieces, slice_rows)
-        .groupBy("job_id", "step_id")
-        .agg(F.array(F.min("seq"), F.max("seq"), *last).alias("seqs"))
-        .select("job_id", F.explode("seqs").alias("seq"))
-    )
-    return jobs.unionByName(steps).where("seq IS NOT NULL").distinct()
-
-
 def current_session(sessions: DataFrame) -> DataFrame:
     """Per workspace the running session, else the one inserted last (the newest of several)."""
     rank = F.struct((F.col("status") == "running").alias("running"), "inserted_at", "job_id")

@@ -13,13 +13,16 @@ from stepledger.operators.events import assign_seq, failed_stderr_tail
 from stepledger.operators.sessions import current_session, fold_session_steps, fold_sessions
 from stepledger.sources.events import parse_envelopes, read_events, write_events, write_fanout
 from stepledger.streaming.events import stream_events
+from stepledger.operators.session_state import merge_state, session_state, state_sessions, state_steps
 from stepledger.streaming.sessions import (
-    compact_session_events,
+    append_state,
+    apply_updates,
+    compact_session_state,
     session_snapshot,
     session_updates,
-    stored_events,
+    stored_state,
     stream_updates,
-    write_session_events,
+    write_session_state,
 )
 
 BASE = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -132,7 +135,7 @@ def streamed(spark, folder, rows, files):
     for k in range(files):
         write_events(frame(spark, rows[k::files]).coalesce(1), f"{source}/f{k}")
     events = stream_events(spark, f"{source}/*", files_per_trigger=1)
-    write_session_events(events, table).option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start().awaitTermination()
+    write_session_state(events, table).option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start().awaitTermination()
     return table
 
 
@@ -148,18 +151,48 @@ def test_stream_equals_batch_in_any_order(spark, tmp_path, seed):
     assert shown(*session_snapshot(spark, table)) == loop(rows)
     # Compaction of the first batches, and of that with the next, changes nothing.
     first, second = str(tmp_path / "first"), str(tmp_path / "second")
-    stored = stored_events(spark, table)
+    stored = stored_state(spark, table)
     for k in (1, 2):
-        stored.filter(F.col("batch") <= k).write.partitionBy("batch").parquet(f"{tmp_path}/until{k}")
-    compact_session_events(spark, f"{tmp_path}/until1", first)
+        stored.filter(F.col("batch") <= k).write.partitionBy("batch", "kind").parquet(f"{tmp_path}/until{k}")
+    compact_session_state(spark, f"{tmp_path}/until1", first)
     assert shown(*session_snapshot(spark, table, first)) == loop(rows)
-    compact_session_events(spark, f"{tmp_path}/until2", second, first)
+    compact_session_state(spark, f"{tmp_path}/until2", second, first)
     assert shown(*session_snapshot(spark, table, second)) == loop(rows)
-    final = str(tmp_path / "final")
-    compact_session_events(spark, table, final)
-    assert shown(*session_snapshot(spark, table, final)) == loop(rows)
-    # All events have come, so all are closed and only decisive ones stay.
-    assert spark.read.parquet(f"{final}/events").count() < 0.7 * len(rows)
+    # A subscriber that holds what the first batches give, and gets the updates of the others, ends where the fold ends.
+    until1 = spark.read.schema(stored.schema).parquet(f"{tmp_path}/until1")
+    held = [session_snapshot(spark, f"{tmp_path}/until1")]
+
+    def keep(sessions, steps, _):
+        held[0] = tuple(spark.createDataFrame(x.collect(), x.schema) for x in apply_updates(held[0], (sessions, steps)))
+
+    writer = stream_updates(spark, table, 1, keep)
+    writer.option("checkpointLocation", f"{tmp_path}/u").trigger(availableNow=True).start().awaitTermination()
+    assert until1.count() < stored.count() and shown(*held[0]) == loop(rows)
+
+
+def test_state_in_any_order(spark):
+    """State of parts of the events, merged, against the loop; numbers lie on both sides of the blocks of names."""
+    rows = [row for seed in range(3) for row in random_events(seed, jobs=3, n=150)]
+    rows = [(*r[:4], {**r[4], "job_id": f"{i // 450}-{r[4]['job_id']}"}) for i, r in enumerate(rows)]
+    random.Random(1).shuffle(rows)
+    parts = [session_state(frame(spark, part)) for part in (rows[::3], rows[1::3], rows[2::3], rows[:40])]
+    state = merge_state(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]))
+    assert shown(state_sessions(state), state_steps(state)) == loop(rows)
+
+
+def test_updates_cost_what_arrives(spark, tmp_path):
+    """However many events went before, a trigger with one event touches the rows of this event only."""
+    for k, n in enumerate((400, 1, 1)):
+        rows = [envelope(1000 * k + i, "STEP_STARTING", job=f"j{i % 40}", step=f"s{k}.{i}") for i in range(n)]
+        write_events(frame(spark, rows).coalesce(1), f"{tmp_path}/in/f{k}")
+    events = stream_events(spark, f"{tmp_path}/in/*", files_per_trigger=1)
+    query = write_session_state(events, f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress if p["numInputRows"]] == [40 + 400 + 400, 3, 3]
+    opened = []
+    writer = stream_updates(spark, f"{tmp_path}/out", 0, lambda s, t, n: opened.append((s.count(), t.count())))
+    writer.option("maxFilesPerTrigger", 1).option("checkpointLocation", f"{tmp_path}/u").trigger(availableNow=True).start().awaitTermination()
+    assert sum(t for _, t in opened) == 2
 
 
 def test_names_after_a_restart(spark, tmp_path):
@@ -171,8 +204,8 @@ def test_names_after_a_restart(spark, tmp_path):
 def test_updates_hold_the_jobs_of_later_batches(spark, tmp_path):
     table = str(tmp_path / "out")
     old = [envelope(0, "STEP_STARTING", job=j, step="a") for j in ("j1", "j2")]
-    frame(spark, old).write.parquet(f"{table}/batch=0")
-    frame(spark, [envelope(1, "STEP_FAILED", job="j2", step="a", exit_code=3)]).write.parquet(f"{table}/batch=1")
+    append_state(session_state(frame(spark, old)), table, 0)
+    append_state(session_state(frame(spark, [envelope(1, "STEP_FAILED", job="j2", step="a", exit_code=3)])), table, 1)
     sessions, steps = session_updates(spark, table, 0)
     assert [r.job_id for r in sessions.collect()] == ["j2"] and [(r.job_id, r.status, r.exit_code) for r in steps.collect()] == [("j2", "failed", 3)]
     got = []
