@@ -3,9 +3,10 @@
 ``steps`` holds ``(pipeline_id, step_id, …)``, ``edges`` holds one row per distinct pair
 ``(pipeline_id, step_id, dep_id, any_optional, any_required, uses)``: ``step_id`` depends on ``dep_id``, named ``uses`` times.
 
-The loops advance one level of *every* graph per round, so the number of rounds is the greatest depth, not
-the number of graphs. Each round writes its new rows into its own sub-folder of one work table. All rounds
-together are one plain scan of that table, so plans stay small, and a lost executor only repeats a round.
+The loops advance *every* graph per round, so the number of rounds depends on the greatest depth, not on the number of
+graphs. Each round reads what the round before left over, never what is settled, and writes its new rows into its own
+sub-folder of one work table. All rounds together are one plain scan of that table, so plans stay small, and a lost
+executor only repeats a round.
 """
 
 from __future__ import annotations
@@ -76,49 +77,45 @@ def _schema(df: DataFrame, *extra: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([*df.schema.fields, *[T.StructField(name, data_type) for name, data_type in extra]])
 
 
-def topological_levels(steps: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(pipeline_id, step_id, level)``: 0 without existing deps, else one more than the deepest dep.
+_LINK = f"{P} STRING, step_id STRING, dep_id STRING, spent BOOLEAN"
 
-    Steps on or behind a cycle get no row. A round counts, for the steps still waiting, how many of their
-    deps were placed in the round before, and splits them into ready and waiting ones.
-    """
-    spark = steps.sparkSession
-    folder = work_path(spark, "levels")
-    with work_table(existing_deps(edges, steps).select(P, "step_id", "dep_id"), "links") as links:
-        node_schema = _place_levels(steps, links, folder)
-    table = T.StructType(
-        [*node_schema.fields, T.StructField("level", T.IntegerType()), T.StructField("ready", T.BooleanType())]
-    )
-    return spark.read.schema(table).parquet(folder).filter("ready").select(*_NODE, "level")
 
+def _peel(steps: DataFrame, links: DataFrame, folder: str) -> int:
+    """Retire links level by level below ``folder``: ``level=k/spent=true`` has those whose dep stands on level ``k``.
 
-def _place_levels(steps: DataFrame, links: DataFrame, folder: str) -> T.StructType:
-    """The rounds of ``topological_levels``, each into its own folder; the schema of what they write."""
+    A step stands one level above the round that retired its last link. Links whose dep still waits (``spent=false``) are all
+    that the next round reads, beside the links just retired. Returns the last round, which leaves those behind cycles.
+    """
     spark = steps.sparkSession
-    waiting = (
-        steps.select(*_NODE)
-        .distinct()
-        .join(links.groupBy(*_NODE).agg(F.count(F.lit(1)).alias("unmet")), _NODE, "left")
-        .select(*_NODE, F.coalesce("unmet", F.lit(0)).alias("unmet"))
-    )
-    node_schema = waiting.schema
-    level = 0
+    placed, live, level = steps.select(*_NODE).distinct().join(links, _NODE, "left_anti"), links, 0
     while True:
+        done = placed.select(P, F.col("step_id").alias("dep_id"), F.lit(True).alias("spent"))
         round_folder = f"{folder}/level={level}"
-        waiting.withColumn("ready", F.col("unmet") == 0).write.partitionBy("ready").parquet(round_folder)
+        marked = live.join(done, [P, "dep_id"], "left").select(*_NODE, "dep_id", F.coalesce("spent", F.lit(False)).alias("spent"))
+        marked.write.partitionBy("spent").parquet(round_folder)
         # A partition folder exists only if it has rows.
-        if not all(path_exists(spark, f"{round_folder}/ready={flag}") for flag in ("true", "false")):
-            break
-        placed = spark.read.schema(_schema(waiting, ("ready", T.BooleanType()))).parquet(round_folder)
-        ready = placed.filter("ready").select(P, F.col("step_id").alias("dep_id"))
-        met = links.join(ready, [P, "dep_id"]).groupBy(*_NODE).agg(F.count(F.lit(1)).alias("met"))
-        waiting = (
-            placed.filter("NOT ready")
-            .join(met, _NODE, "left")
-            .select(*_NODE, (F.col("unmet") - F.coalesce("met", F.lit(0))).alias("unmet"))
-        )
+        if not all(path_exists(spark, f"{round_folder}/spent={flag}") for flag in ("true", "false")):
+            return level
+        found = spark.read.schema(_LINK).parquet(round_folder)
+        live = found.filter("NOT spent").drop("spent")
+        placed = found.filter("spent").select(*_NODE).distinct().join(live, _NODE, "left_anti")
         level += 1
-    return node_schema
+
+
+def topological_levels(steps: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(pipeline_id, step_id, level)``: 0 without existing deps, else one more than the deepest dep.
+
+    Steps on or behind a cycle get no row.
+    """
+    spark = steps.sparkSession
+    folder = work_path(spark, "levels")
+    with work_table(existing_deps(edges, steps).select(*_NODE, "dep_id"), "links") as links:
+        last = _peel(steps, links, folder)
+    rounds = spark.read.schema(f"{_LINK}, level INT").parquet(folder)
+    stuck = rounds.filter((F.col("level") == last) & ~F.col("spent"))
+    above = rounds.filter("spent").groupBy(*_NODE).agg(F.max("level").alias("below"))
+    placed = steps.select(*_NODE).distinct().join(stuck, _NODE, "left_anti").join(above, _NODE, "left")
+    return placed.select(*_NODE, F.coalesce(F.col("below") + 1, F.lit(0)).alias("level"))
 
 
 def cyclic_steps(steps: DataFrame, edges: DataFrame) -> DataFrame:
@@ -126,29 +123,89 @@ def cyclic_steps(steps: DataFrame, edges: DataFrame) -> DataFrame:
     return steps.select(*_NODE).distinct().join(topological_levels(steps, edges), _NODE, "left_anti")
 
 
-def reachable(seeds: DataFrame, links: DataFrame) -> DataFrame:
-    """``(pipeline_id, step_id)`` of the seeds and everything reachable over ``links (…, source, target)``."""
-    spark: SparkSession = seeds.sparkSession
-    folder = work_path(spark, "reached")
-    frontier = seeds.select(*_NODE).distinct()
-    schema = frontier.schema
-    visited_schema = _schema(frontier, ("round", T.IntegerType()))
-    step = 0
+#: Links that one round of ``reachable`` follows, and passes of contraction between two rounds.
+HOPS, PASSES = 4, 2
+_PAIR = [P, "source", "target"]
+
+
+def _contracted(links: DataFrame, salt: int, folder: str) -> DataFrame:
+    """Links without some of the steps that have one way in and one way out; those go to ``folder`` with the step before them.
+
+    Such a step is reached exactly if the one before it is. Of neighbours the one with the least hash goes, so about a third of
+    a chain at a time and never two in a row.
+    """
+    spark = links.sparkSession
+    nothing = F.lit(None).cast("string")
+    ends = links.select(P, F.col("target").alias("node"), F.col("source").alias("before"), nothing.alias("after")).unionByName(
+        links.select(P, F.col("source").alias("node"), nothing.alias("before"), F.col("target").alias("after"))
+    )
+    ways = ends.groupBy(P, "node").agg(*[f(c).alias(f"{n}_{c}") for c in ("before", "after") for n, f in (("min", F.min), ("max", F.max))])
+    of = lambda name: F.xxhash64(F.lit(salt), P, name)
+    inner = (F.col("min_before") == F.col("max_before")) & (F.col("min_after") == F.col("max_after"))
+    least = (of("node") < of("min_before")) & (of("node") < of("min_after"))
+    ways.filter(inner & least).select(P, "node", F.col("min_before").alias("before"), F.col("min_after").alias("after")).write.parquet(folder)
+    gone = spark.read.schema(f"{P} STRING, node STRING, before STRING, after STRING").parquet(folder)
+    kept = links
+    for end in ("source", "target"):
+        kept = kept.join(gone.select(P, F.col("node").alias(end)), [P, end], "left_anti")
+    return kept.select(*_PAIR).unionByName(gone.select(P, F.col("before").alias("source"), F.col("after").alias("target")))
+
+
+def _with_contracted(reached: DataFrame, folder: str, passes: int) -> DataFrame:
+    """``reached`` and all contracted steps whose last kept step is reached. A step hangs below at most ``passes`` others."""
+    spark = reached.sparkSession
+    schema = f"{P} STRING, node STRING, before STRING"
+    hung, ties = spark.read.schema(schema).parquet(f"{folder}/*"), 1
+    while ties < passes:
+        # Every step is tied to the one that its own was tied to, so the distance to the last one kept is halved.
+        up = hung.select(P, F.col("node").alias("before"), F.col("before").alias("higher"))
+        hung = materialize(hung.join(up, [P, "before"], "left").select(P, "node", F.coalesce("higher", "before").alias("before")), "hung")
+        ties *= 2
+    kept = hung.join(reached.select(P, F.col("step_id").alias("before")), [P, "before"], "left_semi")
+    return reached.unionByName(kept.select(P, F.col("node").alias("step_id")))
+
+
+def _sweep(seeds: DataFrame, links: DataFrame, folder: str, hung: str) -> tuple[int, int]:
+    """The rounds of ``reachable``: steps found go to ``folder``, contracted ones to ``hung``. Returns rounds and passes."""
+    spark = seeds.sparkSession
+    schema = seeds.schema
+    seeds.write.parquet(f"{folder}/round=0")
+    newest = spark.read.schema(schema).parquet(f"{folder}/round=0")
+    live, rounds, passes, written = links.select(*_PAIR), 0, 0, None
     while True:
-        round_folder = f"{folder}/round={step}"
-        frontier.write.parquet(round_folder)
-        newest = spark.read.schema(schema).parquet(round_folder)
+        live = live.join(newest.withColumnRenamed("step_id", "target"), [P, "target"], "left_anti")
+        for _ in range(PASSES if rounds > 1 else 0):  # most graphs are done by then
+            before, written = written, work_path(spark, "live")
+            _contracted(live, passes, f"{hung}/{passes}").write.parquet(written)
+            live, passes = spark.read.schema(f"{P} STRING, source STRING, target STRING").parquet(written), passes + 1
+            if before is not None:
+                remove_path(spark, before)
+        found, at = None, newest
+        for _ in range(HOPS):
+            at = live.join(at.withColumnRenamed("step_id", "source"), [P, "source"]).select(P, F.col("target").alias("step_id")).distinct()
+            found = at if found is None else found.unionByName(at)
+        rounds += 1
+        found.distinct().write.parquet(f"{folder}/round={rounds}")
+        newest = spark.read.schema(schema).parquet(f"{folder}/round={rounds}")
         if newest.isEmpty():
-            break
-        visited = spark.read.schema(visited_schema).parquet(folder).select(*_NODE)
-        frontier = (
-            links.join(newest.withColumnRenamed("step_id", "source"), [P, "source"])
-            .select(P, F.col("target").alias("step_id"))
-            .distinct()
-            .join(visited, _NODE, "left_anti")
-        )
-        step += 1
-    return spark.read.schema(visited_schema).parquet(folder).select(*_NODE)
+            if written is not None:
+                remove_path(spark, written)
+            return rounds, passes
+
+
+def reachable(seeds: DataFrame, links: DataFrame) -> DataFrame:
+    """``(pipeline_id, step_id)`` of the seeds and everything reachable over ``links (…, source, target)``.
+
+    A round follows HOPS links, then drops the links that lead to steps reached, so that later rounds read neither these nor the
+    steps found before. What is not reached by then is contracted, so a chain takes a number of rounds that grows with the
+    logarithm of its length, and all rounds together read and write rows in proportion to its links.
+    """
+    spark: SparkSession = seeds.sparkSession
+    folder, hung = work_path(spark, "reached"), work_path(spark, "hung")
+    seeds = seeds.select(*_NODE).distinct()
+    _, passes = _sweep(seeds, links, folder, hung)
+    reached = spark.read.schema(_schema(seeds, ("round", T.IntegerType()))).parquet(folder).select(*_NODE)
+    return _with_contracted(reached, hung, passes) if passes else reached
 
 
 def ancestor_closure(edges: DataFrame, targets: DataFrame) -> DataFrame:

@@ -181,3 +181,49 @@ def test_dry_run_hands_each_row_on_once(spark, monkeypatch):
     assert {r.step_id: r.outcome for r in found} == {f"s{k}": "would_run" if k else "cached" for k in range(n)}
     handed = spark.read.parquet(dict(read)["inputs"])
     assert [(r.step_id, r.ids, r.level) for r in handed.collect()] == [("s1", ["rs0"], 1)]
+
+
+def test_long_chains_take_few_rounds(spark, tmp_path):
+    """Two chains, one of 5,000 steps, side branches, and a seed in the middle of a chain; rows written are linear in the links."""
+    n = 5000
+    links = [("long", f"s{i}", f"s{i + 1}") for i in range(n)] + [("long", f"s{i}", f"leaf{i}") for i in range(0, n, 1000)]
+    links += [("short", f"s{i}", f"s{i + 1}") for i in range(300)] + [("long", "loop", "loop"), ("long", "x", "y"), ("long", "y", "x")]
+    df = spark.createDataFrame(links, "pipeline_id STRING, source STRING, target STRING").repartition(4)
+    seeds = spark.createDataFrame([("long", "s7"), ("short", "s150"), ("long", "nobody")], "pipeline_id STRING, step_id STRING")
+    rounds, passes = G._sweep(seeds, df, f"{tmp_path}/reached", f"{tmp_path}/hung")
+    assert rounds <= 14
+    written = spark.read.parquet(f"{tmp_path}/hung/*").count() + spark.read.parquet(f"{tmp_path}/reached").count()
+    assert written <= 3 * len(links)
+    expected = [("long", f"s{i}") for i in range(7, n + 1)] + [("long", f"leaf{i}") for i in range(1000, n, 1000)]
+    expected += [("short", f"s{i}") for i in range(150, 301)] + [("long", "nobody")]
+    assert rows(G.reachable(seeds, df)) == sorted(expected)
+
+
+def test_reachability_of_random_graphs(spark, monkeypatch):
+    monkeypatch.setattr(G, "HOPS", 1)
+    dice = random.Random(12)
+    links, seeds, expected = set(), [], []
+    for g in range(8):
+        nodes = range(dice.randrange(5, 60))
+        own = {(a, b) for a in nodes for b in dice.sample(nodes, min(len(nodes), dice.choice([0, 1, 1, 1, 1, 2])))}
+        links |= {(f"g{g}", f"s{a}", f"s{b}") for a, b in own}
+        todo = dice.sample(nodes, 2)
+        seeds += [(f"g{g}", f"s{s}") for s in todo]
+        seen = set()
+        while todo:
+            at = todo.pop()
+            if at not in seen:
+                seen.add(at)
+                todo += [b for a, b in own if a == at]
+        expected += [(f"g{g}", f"s{s}") for s in seen]
+    df = spark.createDataFrame(sorted(links), "pipeline_id STRING, source STRING, target STRING")
+    found = G.reachable(spark.createDataFrame(seeds, "pipeline_id STRING, step_id STRING"), df)
+    assert rows(found) == sorted(expected)
+
+
+def test_settled_links_are_not_read_again(spark, tmp_path):
+    """A tree whose levels halve: each round leaves half the links to the next, so all rounds hold at most three times the links."""
+    steps = spark.createDataFrame([("p", f"s{i}") for i in range(1, 512)], "pipeline_id STRING, step_id STRING")
+    links = spark.createDataFrame([("p", f"s{i // 2}", f"s{i}") for i in range(2, 512)], "pipeline_id STRING, step_id STRING, dep_id STRING")
+    assert G._peel(steps, links, str(tmp_path)) == 7
+    assert spark.read.parquet(str(tmp_path)).count() <= 3 * 510
