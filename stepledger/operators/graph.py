@@ -98,7 +98,7 @@ def _peel(steps: DataFrame, links: DataFrame, folder: str) -> int:
             return level
         found = spark.read.schema(_LINK).parquet(round_folder)
         live = found.filter("NOT spent").drop("spent")
-        placed = found.filter("spent").select(*_NODE).distinct().join(live, _NODE, "left_anti")
+        placed = found.groupBy(*_NODE).agg(F.bool_and("spent").alias("all")).filter("all")
         level += 1
 
 
@@ -123,8 +123,8 @@ def cyclic_steps(steps: DataFrame, edges: DataFrame) -> DataFrame:
     return steps.select(*_NODE).distinct().join(topological_levels(steps, edges), _NODE, "left_anti")
 
 
-#: Links that one round of ``reachable`` follows, and passes of contraction between two rounds.
-HOPS, PASSES = 4, 2
+#: Links that one round of ``reachable`` follows, rounds without contraction, and passes of it between two later rounds.
+HOPS, PLAIN_ROUNDS, PASSES = 2, 4, 3
 _PAIR = [P, "source", "target"]
 
 
@@ -173,19 +173,22 @@ def _sweep(seeds: DataFrame, links: DataFrame, folder: str, hung: str) -> tuple[
     newest = spark.read.schema(schema).parquet(f"{folder}/round=0")
     live, rounds, passes, written = links.select(*_PAIR), 0, 0, None
     while True:
-        live = live.join(newest.withColumnRenamed("step_id", "target"), [P, "target"], "left_anti")
-        for _ in range(PASSES if rounds > 1 else 0):  # most graphs are done by then
-            before, written = written, work_path(spark, "live")
-            _contracted(live, passes, f"{hung}/{passes}").write.parquet(written)
-            live, passes = spark.read.schema(f"{P} STRING, source STRING, target STRING").parquet(written), passes + 1
-            if before is not None:
-                remove_path(spark, before)
-        found, at = None, newest
-        for _ in range(HOPS):
-            at = live.join(at.withColumnRenamed("step_id", "source"), [P, "source"]).select(P, F.col("target").alias("step_id")).distinct()
-            found = at if found is None else found.unionByName(at)
+        # Most graphs are done in a few rounds; what has been reached leaves the links of the others, once and then round by round.
+        reached = spark.read.schema(schema).parquet(f"{folder}/*") if not passes else newest
+        if rounds >= PLAIN_ROUNDS:
+            live = live.join(reached.withColumnRenamed("step_id", "target"), [P, "target"], "left_anti")
+            for _ in range(PASSES):
+                before, written = written, work_path(spark, "live")
+                _contracted(live, passes, f"{hung}/{passes}").write.parquet(written)
+                live, passes = spark.read.schema(f"{P} STRING, source STRING, target STRING").parquet(written), passes + 1
+                if before is not None:
+                    remove_path(spark, before)
+        found = newest
+        for _ in range(HOPS):  # each keeps what it came from, so one plan holds each hop once
+            both = F.explode(F.array_compact(F.array("source", "target"))).alias("step_id")
+            found = found.withColumnRenamed("step_id", "source").join(live, [P, "source"], "left").select(P, both).distinct()
         rounds += 1
-        found.distinct().write.parquet(f"{folder}/round={rounds}")
+        found.join(reached, _NODE, "left_anti").write.parquet(f"{folder}/round={rounds}")
         newest = spark.read.schema(schema).parquet(f"{folder}/round={rounds}")
         if newest.isEmpty():
             if written is not None:
@@ -196,8 +199,8 @@ def _sweep(seeds: DataFrame, links: DataFrame, folder: str, hung: str) -> tuple[
 def reachable(seeds: DataFrame, links: DataFrame) -> DataFrame:
     """``(pipeline_id, step_id)`` of the seeds and everything reachable over ``links (…, source, target)``.
 
-    A round follows HOPS links, then drops the links that lead to steps reached, so that later rounds read neither these nor the
-    steps found before. What is not reached by then is contracted, so a chain takes a number of rounds that grows with the
+    A round follows HOPS links. After PLAIN_ROUNDS the links that lead to steps reached are dropped, so that later rounds read
+    neither these nor the steps found before, and the rest is contracted: a chain takes a number of rounds that grows with the
     logarithm of its length, and all rounds together read and write rows in proportion to its links.
     """
     spark: SparkSession = seeds.sparkSession
