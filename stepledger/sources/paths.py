@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stepledger.sources.ranges import RANGE_BYTES, Range, count_lines, line_batches
 from stepledger.storage import materialize, qualified_path
 
 # Where a store keeps its files below the root. The readers' globs have these depths, so the ends of the paths decide.
@@ -14,6 +18,7 @@ RUN_LOG = r"([^/]+)/runs/([^/]+)/(stdout|stderr)\.log$"
 STATE = r"([^/]+)/state\.json$"
 MARKER = r"([^/]+)/running/([^/]+)$"
 LOCK = r"([^/]+)/daemon\.json$"
+_RANGE = "file STRING, length BIGINT, begin BIGINT, `end` BIGINT"
 
 
 def plain(path: Column) -> Column:
@@ -49,35 +54,39 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(file, line_no, line)`` of all text files that ``path``, which may hold wildcards, names.
 
-    A large file is read by many tasks. Each task's share of a file is a block whose lines carry
-    consecutive row ids, so a line's number is its distance from the first line of the block plus the
-    lines of the blocks before; only one row per block is needed to know that. Two scans of one plan need not cut files
-    alike, so the lines are copied to a work table once, which settles their blocks and ids.
+    Files are cut into ranges of bytes. One pass counts the lines that end in each range, which gives the number of its first
+    line; a second reads the same ranges and numbers on from there. The text is read twice and copied nowhere, and a large
+    file is read by many tasks.
     """
     try:
-        found = spark.read.option("lineSep", "\n").text(path)
+        files = spark.read.format("binaryFile").load(path).select(plain(F.col("path")).alias("file"), "length")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], "file STRING, line_no BIGINT, line STRING")
-    lines = materialize(
-        found.select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"),
-            F.col("value").alias("line"),
-        ),
-        "lines",
-    )
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (
-        lines.groupBy("file", "block")
-        .agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
-        .withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-        .drop("n")
-    )
-    return lines.join(blocks, ["file", "block"]).select(
-        decoded(F.col("file")).alias("file"),
-        (F.col("row") - F.col("first") + F.col("before")).alias("line_no"),
-        "line",
-    )
+    begins = F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(RANGE_BYTES).cast("bigint"))
+    ranges = files.filter("length > 0").select("file", "length", F.explode(begins).alias("begin"))
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    ranges = ranges.withColumn("end", F.least("length", F.col("begin") + RANGE_BYTES)).repartition(tasks, "file", "begin")
+
+    def parts(batch: pa.RecordBatch) -> list[Range]:
+        rows = batch.to_pylist()
+        return [Range(r["file"], r["begin"], r["end"], r["begin"] == 0, r["end"] == r["length"]) for r in rows]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = pa.array([count_lines(part) for part in parts(batch)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, lines], [*batch.schema.names, "n"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, first in zip(parts(batch), batch["first"].to_pylist(), strict=True):
+                for found in line_batches(part):
+                    numbers = pa.array(range(first, first + found.num_rows), pa.int64())
+                    first += found.num_rows
+                    yield pa.RecordBatch.from_arrays([found["file"], numbers, found["value"]], ["file", "line_no", "line"])
+
+    earlier = Window.partitionBy("file").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
+    counted = materialize(ranges.mapInArrow(count, f"{_RANGE}, n BIGINT"), "ranges")  # a row per range
+    numbered = counted.withColumn("first", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    return numbered.repartition(tasks, "file", "begin").mapInArrow(read, "file STRING, line_no BIGINT, line STRING")

@@ -17,9 +17,10 @@ from pyspark.sql import types as T
 from stepledger import schemas as S
 from stepledger.functions.paths import resolve_path, within_boundary
 from stepledger.operators.history import current_run
-from stepledger.sources.paths import LOCK, MARKER, RUN_LOG, RUN_META, STATE, below_root, path_part, plain, read_lines, read_text
+from stepledger.sources.listing import list_below, list_folders, list_workspaces
+from stepledger.sources.paths import LOCK, MARKER, RUN_LOG, RUN_META, STATE, path_part, plain, read_lines, read_text
 from stepledger.sources.store import content
-from stepledger.storage import qualified_path
+from stepledger.storage import materialize, qualified_path
 
 # Fixed value: the largest name that the documents' format sorts as a number.
 _LARGEST_INDEX = 4294967294
@@ -42,42 +43,51 @@ def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     )
 
 
+def list_workspace_entries(spark: SparkSession, root: str) -> DataFrame:
+    """``(workspace_id, path, name, is_folder, length)`` of every file and folder of every workspace, the path relative to it.
+
+    The driver lists the workspaces, tasks what is in them: first one level, then each of its folders for itself; the runs and
+    caches, of which there are many, are folders of their own.
+    """
+    workspaces = list_workspaces(spark, root)
+    top = materialize(list_folders(workspaces), "entries")
+    inner = lambda found: found.filter("is_folder").select(
+        "workspace_id", F.concat_ws("/", "folder", "path").alias("folder"), F.col("path").alias("above")
+    )
+    crowded = F.col("path").isin("runs", "caches")
+    second = materialize(list_folders(inner(top.filter(crowded))), "entries")
+    columns = ["workspace_id", F.concat_ws("/", "above", "path").alias("path"), "name", "is_folder", "length"]
+    below = second.select("workspace_id", "folder", F.concat_ws("/", "above", "path").alias("above"), "path", "is_folder")
+    deep = below.filter("is_folder").select("workspace_id", F.concat_ws("/", "folder", "path").alias("folder"), "above")
+    rest = list_folders(inner(top.filter(~crowded)).unionByName(deep), recursive=True)
+    return top.select("workspace_id", "path", "name", "is_folder", "length").unionByName(second.select(columns)).unionByName(rest.select(columns))
+
+
 def list_workspace_files(spark: SparkSession, root: str) -> DataFrame:
     """``(workspace_id, path, name, length)`` of every file of every workspace, the path relative to the workspace."""
-    files = list_files(spark, root).withColumn("path", below_root(spark, F.col("path"), root))
-    inside = files.filter(F.contains("path", F.lit("/")))
-    return inside.select(
-        F.substring_index("path", "/", 1).alias("workspace_id"),
-        F.regexp_replace("path", "^[^/]+/", "").alias("path"),
-        "name",
-        "length",
-    )
+    return list_workspace_entries(spark, root).filter("NOT is_folder").drop("is_folder")
+
+
+def list_runs(spark: SparkSession, root: str) -> DataFrame:
+    """``(workspace_id, run_id, folder)`` of all run folders, empty ones too; two levels are listed and nothing in the runs."""
+    return list_below(list_workspaces(spark, root), "runs").withColumnRenamed("name", "run_id")
 
 
 def list_run_files(spark: SparkSession, root: str) -> DataFrame:
     """``(workspace_id, run_id, path, name, length)`` of the files of runs, the path relative to the run folder."""
-    pattern = r"^runs/([^/]+)/(.+)$"
-    files = list_workspace_files(spark, root).filter(F.col("path").rlike(pattern))
-    return files.select(
-        "workspace_id",
-        path_part(F.col("path"), pattern, 1).alias("run_id"),
-        path_part(F.col("path"), pattern, 2).alias("path"),
-        "name",
-        "length",
-    )
+    found = list_folders(list_runs(spark, root), recursive=True).filter("NOT is_folder")
+    return found.select("workspace_id", "run_id", "path", "name", "length")
 
 
 def read_caches(spark: SparkSession, root: str) -> DataFrame:
-    """``(workspace_id, name)`` of the caches that hold a file; a listing of files can't see an empty folder."""
-    pattern = r"^caches/([^/]+)/"
-    files = list_workspace_files(spark, root).filter(F.col("path").rlike(pattern))
-    return files.select("workspace_id", path_part(F.col("path"), pattern, 1).alias("name")).distinct()
+    """``(workspace_id, name)`` of the caches, empty ones too."""
+    return list_below(list_workspaces(spark, root), "caches").select("workspace_id", "name")
 
 
 def read_runs(spark: SparkSession, root: str, listed: bool = True) -> DataFrame:
     """Run metadata; a run whose metadata is malformed or missing stays, with nulls.
 
-    ``listed`` adds the runs that have files but no metadata file.
+    ``listed`` adds the runs that have a folder but no metadata file.
     """
     document = F.from_json("value", S.ddl({**S.RUN_DOCUMENT, "_corrupt": "STRING"}), {"columnNameOfCorruptRecord": "_corrupt"})
     documents = read_text(spark, f"{root}/*/runs/*/meta.json").withColumn("meta", document)
@@ -95,7 +105,7 @@ def read_runs(spark: SparkSession, root: str, listed: bool = True) -> DataFrame:
     )
     if not listed:
         return runs
-    ids = list_run_files(spark, root).select("workspace_id", "run_id").distinct()
+    ids = list_runs(spark, root).select("workspace_id", "run_id")
     return ids.join(runs, ["workspace_id", "run_id"], "left").withColumn(
         "has_meta", F.coalesce("has_meta", F.lit(False))
     )

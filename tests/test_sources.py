@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from stepledger.plans.jobs import category_summary_job, text_report_job
 from stepledger.sources.definitions import read_dotenv, read_pipelines
+from stepledger.sources import paths
 from stepledger.sources.paths import read_lines
 from stepledger.operators.history import show, workspace_summary
 from stepledger.sources.runs import (
     export_step_output,
     list_run_files,
+    list_workspace_entries,
     list_workspace_files,
     read_artifacts,
     read_caches,
@@ -214,3 +216,33 @@ def test_category_job(spark, tmp_path):
     assert found == {"backend": ("excellent", ["Go", "Java", "Rust"]), "frontend": ("good", ["JavaScript", "TypeScript"]), "data": ("good", ["Julia", "Python", "R"])}
     write_json_doc(summary, str(tmp_path / "s"))
     assert read_json_doc(spark, str(tmp_path / "s"), "totalLanguages BIGINT").first().totalLanguages == 8
+
+
+def test_folders_without_files_are_seen(spark, tmp_path):
+    for folder in ("ws1/caches/empty", "ws1/caches/full/deep", "ws1/runs/r1/artifacts/none", "ws1/runs/r2", "ws2", "ws1/other/a/b", "ws1/_hidden"):
+        (tmp_path / folder).mkdir(parents=True)
+    (tmp_path / "ws1/caches/full/deep/x").write_text("abc")
+    (tmp_path / "ws1/runs/r1/artifacts/y").write_text("12")
+    (tmp_path / "ws1/state.json").write_text("{}")
+    (tmp_path / "stray").write_text("")
+    root = str(tmp_path)
+    assert sorted(map(tuple, read_caches(spark, root).collect())) == [("ws1", "empty"), ("ws1", "full")]
+    assert {(r.workspace_id, r.run_id, r.has_meta) for r in read_runs(spark, root).collect()} == {("ws1", "r1", False), ("ws1", "r2", False)}
+    assert [(r.run_id, r.path, r.length) for r in list_run_files(spark, root).collect()] == [("r1", "artifacts/y", 2)]
+    found = {(r.path, r.is_folder, r.length) for r in list_workspace_entries(spark, root).collect()}
+    files = {("state.json", False, 2), ("caches/full/deep/x", False, 3), ("runs/r1/artifacts/y", False, 2)}
+    folders = {"caches", "caches/empty", "caches/full", "caches/full/deep", "runs", "runs/r1", "runs/r1/artifacts", "runs/r1/artifacts/none", "runs/r2", "other", "other/a", "other/a/b"}
+    assert found == files | {(f, True, None) for f in folders}
+
+
+def test_line_numbers_over_many_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(paths, "RANGE_BYTES", 50)
+    texts = {"a.log": "one\n\n" + "x" * 200 + "\nlast", "b.log": "é\n" * 100, "c.log": "", "d.log": "\n"}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    found = sorted((r.file.rsplit("/", 1)[-1], r.line_no, r.line) for r in read_lines(spark, f"{tmp_path}/*.log").collect())
+    expected = []
+    for name, text in texts.items():
+        lines = text.split("\n")
+        expected += [(name, n, line) for n, line in enumerate(lines[:-1] if lines[-1] == "" else lines)]
+    assert found == sorted(expected)

@@ -6,6 +6,7 @@ import json
 
 import pytest
 
+from stepledger.sources import ranges
 from stepledger.streaming import tail
 from stepledger.streaming.events import stream_log_tail, tail_events
 
@@ -86,20 +87,21 @@ def test_a_quiet_end_of_file_ends_the_line(spark, tmp_path):
 def test_ranges_share_the_lines_out(tmp_path, size, monkeypatch):
     """However a file is cut into ranges, and into reads, every line ends in one range."""
     monkeypatch.setattr(tail, "RANGE_BYTES", size)
-    monkeypatch.setattr(tail, "READ_BYTES", 5)
+    monkeypatch.setattr(ranges, "READ_BYTES", 5)
     data = b"first\n\nthird line\r\n" + "é日\n".encode() + b"x" * 40 + b"\nno break"
     file = tmp_path / "f"
     file.write_bytes(data)
     reader = tail._TailReader(f"file:{file}", None)
     for closed in (False, True):
         end = {f"file:{file}": {"bytes": len(data), "closed": closed}}
-        found = [x for part in reader.partitions({}, end) for x in tail.lines_of(part)]
+        found = [x for part in reader.partitions({}, end) for x in ranges.lines_of(part)]
         expected, at = [], 0
         for line in data.split(b"\n"):
             expected.append((at, line))
             at += len(line) + 1
         assert found == (expected if closed else expected[:-1])
+        assert sum(ranges.count_lines(part) for part in reader.partitions({}, end)) == len(found)
     assert reader.partitions(end, end) == []
     half = {f"file:{file}": {"bytes": 25, "closed": False}}
-    both = [x for a, b in (({}, half), (half, end)) for part in reader.partitions(a, b) for x in tail.lines_of(part)]
+    both = [x for a, b in (({}, half), (half, end)) for part in reader.partitions(a, b) for x in ranges.lines_of(part)]
     assert both == expected
