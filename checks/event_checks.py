@@ -10,8 +10,9 @@ from stepledger.functions.formats import reason_label
 from stepledger.operators import events as E
 from stepledger.operators.sessions import current_session, fold_session_steps, fold_sessions
 from stepledger.sources.events import envelope_lines, read_events, write_events, write_fanout
+from stepledger.sources.ledger import SinkLedger
 from stepledger.storage import materialize, work_path
-from stepledger.streaming.events import stream_events, stream_fanout, stream_log_tail, tail_events
+from stepledger.streaming.events import batch_folders, stream_events, stream_fanout, stream_log_tail, tail_events
 from stepledger.streaming.sessions import (
     compact_session_state,
     session_snapshot,
@@ -319,12 +320,12 @@ def log_tail(v: Views) -> DataFrame:
 def streamed_fanout(v: Views) -> DataFrame:
     path = _written_events(v)
     outs = {"all": work_path(v.spark, "sink"), "failed": work_path(v.spark, "sink")}
-    sinks = [
-        lambda df, n: df.write.mode("overwrite").parquet(f"{outs['all']}/batch={n}"),
-        lambda df, n: df.filter("type = 'STEP_FAILED'").write.mode("overwrite").parquet(f"{outs['failed']}/batch={n}"),
-    ]
+    sinks = {
+        "all": batch_folders(outs["all"], lambda df, folder: df.write.parquet(folder)),
+        "failed": batch_folders(outs["failed"], lambda df, folder: df.filter("type = 'STEP_FAILED'").write.parquet(folder)),
+    }
     events = stream_events(v.spark, path, files_per_trigger=4)
-    _run_to_end(stream_fanout(events, sinks), work_path(v.spark, "progress"))
+    _run_to_end(stream_fanout(events, sinks, SinkLedger(v.spark, work_path(v.spark, "ledger"))), work_path(v.spark, "progress"))
     counts = [
         v.spark.read.parquet(out)
         .agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seq_sum"))

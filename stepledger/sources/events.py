@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepledger import schemas as S
-from stepledger.storage import remove_path, work_path
+from stepledger.sources.ledger import SinkLedger
+from stepledger.storage import work_table
 
 _CORRUPT = "_corrupt"
 _PARSED = S.ddl({**S.ENVELOPE_DOCUMENT, _CORRUPT: "STRING"})
@@ -41,17 +42,28 @@ def write_events(events: DataFrame, path: str) -> None:
     envelope_lines(events).write.option("lineSep", "\n").text(path)
 
 
-def write_fanout(events: DataFrame, sinks: Sequence[Callable[[DataFrame], None]]) -> None:
-    """Hand the same rows to every sink. With several sinks the rows are computed once, into a work table."""
-    if not sinks:
-        return
-    if len(sinks) == 1:
-        sinks[0](events)
+def write_fanout(
+    events: DataFrame,
+    sinks: Sequence[Callable[[DataFrame], None]] | Mapping[str, Callable[[DataFrame], None]],
+    ledger: SinkLedger | None = None,
+    write: int | str = 0,
+) -> None:
+    """Hand the same rows to every sink. With several sinks the rows are computed once, into a work table.
+
+    Sinks go by their name, or by their place in a sequence. With a ledger, a sink that has taken the write of this id before is
+    skipped, so a write can be repeated after one sink has failed. The first error ends the write.
+    """
+    named = sinks if isinstance(sinks, Mapping) else {f"{k}": sink for k, sink in enumerate(sinks)}
+    waiting = {name: sink for name, sink in named.items() if ledger is None or not ledger.has_taken(write, name)}
+
+    def hand(rows: DataFrame) -> None:
+        for name, sink in waiting.items():
+            sink(rows)
+            if ledger is not None:
+                ledger.record(write, name)
+
+    if len(waiting) < 2:
+        hand(events)
         return
-    spark = events.sparkSession
-    path = work_path(spark, "fanout")
-    events.write.parquet(path)
-    rows = spark.read.schema(events.schema).parquet(path)
-    for sink in sinks:
-        sink(rows)
-    remove_path(spark, path)
+    with work_table(events, "fanout") as rows:
+        hand(rows)

@@ -71,6 +71,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return filesystem.exists(hadoop)
 
 
+def create_file(spark: SparkSession, path: str) -> None:
+    """An empty file, with the folders above it; one that exists stays as it is."""
+    filesystem, hadoop = _hadoop_path(spark, path)
+    if not filesystem.exists(hadoop):
+        filesystem.create(hadoop, True).close()
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a work table that no returned DataFrame reads any more."""
     filesystem, hadoop = _hadoop_path(spark, path)

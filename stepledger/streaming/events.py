@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from stepledger import schemas as S
 from stepledger.sources.events import parse_envelopes, write_fanout
+from stepledger.sources.ledger import SinkLedger
+from stepledger.storage import remove_path
 from stepledger.streaming.tail import tail_lines
 
 
@@ -41,10 +44,34 @@ def stream_log_tail(events: DataFrame) -> DataFrame:
     )
 
 
-def stream_fanout(events: DataFrame, sinks: Sequence[Callable[[DataFrame, int], None]]) -> DataStreamWriter:
-    """Hand every micro-batch, with its id, to all sinks."""
+def stream_fanout(
+    events: DataFrame,
+    sinks: Sequence[Callable[[DataFrame, int], None]] | Mapping[str, Callable[[DataFrame, int], None]],
+    ledger: SinkLedger | None = None,
+) -> DataStreamWriter:
+    """Hand every micro-batch, with its id, to all sinks.
+
+    A batch that is repeated after a failure has the same id and rows. With a ledger, sinks that have taken it are skipped; the
+    ledger's folder belongs to one checkpoint, since ids start anew with another.
+    """
+    named = sinks if isinstance(sinks, Mapping) else {f"{k}": sink for k, sink in enumerate(sinks)}
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_fanout(batch, [lambda rows, sink=sink: sink(rows, batch_id) for sink in sinks])
+        write_fanout(batch, {name: partial(_with_id, sink, batch_id) for name, sink in named.items()}, ledger, batch_id)
 
     return events.writeStream.foreachBatch(write)
+
+
+def _with_id(sink: Callable[[DataFrame, int], None], batch_id: int, rows: DataFrame) -> None:
+    sink(rows, batch_id)
+
+
+def batch_folders(path: str, write: Callable[[DataFrame, str], None]) -> Callable[[DataFrame, int], None]:
+    """A sink that gives every micro-batch a folder ``batch_id=…``; a repeated batch replaces its own folder."""
+
+    def sink(rows: DataFrame, batch_id: int) -> None:
+        folder = f"{path.rstrip('/')}/batch_id={batch_id}"
+        remove_path(rows.sparkSession, folder)
+        write(rows, folder)
+
+    return sink

@@ -12,7 +12,8 @@ from stepledger import schemas as S
 from stepledger.operators.events import assign_seq, failed_stderr_tail
 from stepledger.operators.sessions import current_session, fold_session_steps, fold_sessions
 from stepledger.sources.events import parse_envelopes, read_events, write_events, write_fanout
-from stepledger.streaming.events import stream_events
+from stepledger.sources.ledger import SinkLedger
+from stepledger.streaming.events import batch_folders, stream_events, stream_fanout
 from stepledger.operators.session_state import merge_state, session_state, state_sessions, state_steps
 from stepledger.streaming.sessions import (
     append_state,
@@ -232,6 +233,50 @@ def test_fanout(spark, tmp_path):
     assert counts == [10, 10]
 
 
+def test_fanout_with_a_ledger(spark, tmp_path):
+    """After one sink has failed, the repeated write reaches only the sinks that did not take it."""
+    df, ledger, seen, failures = frame(spark, random_events(1, jobs=1, n=10)), SinkLedger(spark, f"file://{tmp_path}/ledger"), [], [1]
+
+    def weak(rows):
+        if failures:
+            raise OSError(failures.pop())
+        seen.append(("weak", rows.count()))
+
+    sinks = {"../first": lambda rows: seen.append(("first", rows.count())), "weak": weak, "last": lambda rows: seen.append(("last", rows.count()))}
+    with pytest.raises(OSError):
+        write_fanout(df, sinks, ledger, 7)
+    assert seen == [("first", 10)]
+    write_fanout(df, sinks, ledger, 7)
+    write_fanout(df, sinks, SinkLedger(spark, f"file://{tmp_path}/ledger/"), "7")
+    assert seen == [("first", 10), ("weak", 10), ("last", 10)]
+    write_fanout(df, sinks, ledger, 8)
+    assert len(seen) == 6 and sorted(x.name for x in tmp_path.iterdir()) == ["ledger"]
+
+
+def test_stream_fanout_after_a_failure(spark, tmp_path):
+    """A stream that is started again repeats its batch; no sink has a row twice, not even one that failed half way."""
+    write_events(frame(spark, random_events(2, jobs=2, n=10)), f"{tmp_path}/in")
+    appended, failures = [], [1]
+    folders = batch_folders(f"{tmp_path}/out", lambda rows, folder: rows.select("seq").write.parquet(folder))
+
+    def half(rows, batch_id):
+        folders(rows, batch_id)
+        if failures:
+            raise OSError(failures.pop())
+
+    def run():
+        events, ledger = stream_events(spark, f"{tmp_path}/in"), SinkLedger(spark, f"{tmp_path}/ledger")
+        sinks = {"plain": lambda rows, n: appended.extend(r.seq for r in rows.collect()), "half": half}
+        stream_fanout(events, sinks, ledger).option("checkpointLocation", f"{tmp_path}/progress").trigger(availableNow=True).start().awaitTermination()
+
+    with pytest.raises(Exception):  # noqa: B017
+        run()
+    run()
+    run()
+    rows = read_events(spark, f"{tmp_path}/in").count()
+    assert len(appended) == rows == spark.read.parquet(f"{tmp_path}/out").count() > 0
+
+
 def test_seq_without_logs(spark):
     rows = random_events(3, jobs=3, n=30)
     df = frame(spark, rows).select(F.col("event.job_id").alias("job_id"), F.col("seq").alias("at"), "type")
