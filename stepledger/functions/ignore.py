@@ -138,3 +138,17 @@ def rule_columns(line: Column) -> Column:
     rule = F.struct(F.concat(F.lit("(?i)^"), start, body, end, F.lit("\\z")).alias("regex"), ignore.alias("ignore"))
     nothing = (line == "") | line.startswith("#") | (F.regexp_replace(bare, "^/", "") == "")
     return F.when(~nothing, rule)
+
+
+def ignoring_regex(rules: Column) -> Column:
+    """One regex that is met by the whole paths that an ordered array of ``struct<regex, ignore>`` ignores.
+
+    The last matching rule decides: an ignoring rule adds an alternative, a keeping rule takes its own matches out of all before it.
+    """
+    return F.aggregate(
+        rules,
+        F.lit("(?!)"),
+        lambda before, rule: F.when(rule["ignore"], F.concat(rule["regex"], F.lit("|"), before)).otherwise(
+            F.concat(F.lit("(?!"), rule["regex"], F.lit(")(?:"), before, F.lit(")"))
+        ),
+    )

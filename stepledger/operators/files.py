@@ -8,7 +8,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepledger.functions.ignore import DEFAULT_IGNORES, is_ignored, rule_columns
+from stepledger.functions.ignore import DEFAULT_IGNORES, ignoring_regex, is_ignored, rule_columns
 from stepledger.functions.paths import ancestors
 from stepledger.functions.text import basename
 
@@ -23,42 +23,75 @@ def remaining_files(files: DataFrame, patterns: Iterable[str] = ()) -> DataFrame
     return files.filter(~is_ignored(F.col("path"), patterns))
 
 
+def _root_regexes(rules: DataFrame, root: str) -> DataFrame:
+    """``(root, regex)``: the defaults and a root's own rules as one regex; roots without rules have no row."""
+    parsed = rules.select(root, F.struct("pos", rule_columns(F.col("pattern")).alias("rule")).alias("placed"))
+    ordered = F.transform(F.array_sort(F.collect_list("placed")), lambda placed: placed["rule"])
+    listed = parsed.filter("placed.rule IS NOT NULL").groupBy(root).agg(ordered.alias("rules"))
+    return listed.select(root, ignoring_regex(F.concat(_default_rules(), "rules")).alias("regex"))
+
+
+def _default_rules() -> Column:
+    return F.array(*[rule_columns(F.lit(pattern)) for pattern in DEFAULT_IGNORES])
+
+
+def _parent(path: Column) -> Column:
+    parts = F.split(path, "/")
+    return F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/")
+
+
 def mark_ignored(files: DataFrame, rules: DataFrame, root: str) -> DataFrame:
     """Files with a column ``ignored`` by the rules ``(root, pos, pattern)`` of their own root, after the defaults.
 
     A path is tested as a file and as a folder, the last matching rule decides, and nothing below an ignored folder can be kept
-    again. Every distinct folder of a root is judged once. The empty path is never ignored.
+    again. The empty path and files of a null root are never ignored.
+
+    The rules of a root, which come from its rule file, become one regex in one row, so that no row is multiplied by rules or
+    depth. Every distinct folder that holds files is judged once, with what is above it; a file only by its own name.
     """
-    roots = files.select(root).distinct()
-    defaults = F.array(*[F.struct(F.lit(k - len(DEFAULT_IGNORES)).cast("bigint").alias("pos"), F.lit(p).alias("pattern")) for k, p in enumerate(DEFAULT_IGNORES)])
-    listed = roots.select(root, F.explode(defaults).alias("d")).select(root, "d.pos", "d.pattern")
-    listed = listed.unionByName(rules.select(root, F.col("pos").cast("bigint").alias("pos"), "pattern"))
-    parsed = listed.select(root, "pos", rule_columns(F.col("pattern")).alias("rule")).filter("rule IS NOT NULL").select(root, "pos", "rule.*")
-
-    def last(paths: DataFrame) -> DataFrame:
-        """Of ``(root, path, shown)`` those whose last matching rule ignores them."""
-        met = paths.join(parsed, root).filter(F.rlike("shown", F.col("regex")))
-        return met.groupBy(root, "path", "shown").agg(F.max_by("ignore", "pos").alias("ignored")).filter("ignored").select(root, "path").distinct()
-
-    paths = files.select(root, "path").distinct().filter("path <> ''")
-    above = F.filter(ancestors(F.col("path")), lambda folder: folder != "")
-    folders = paths.select(root, F.explode(above).alias("path")).distinct()
-    bad = last(folders.withColumn("shown", F.concat("path", F.lit("/")))).withColumnRenamed("path", "folder")
-    itself = last(paths.withColumn("shown", F.explode(F.array("path", F.concat("path", F.lit("/"))))))
-    below = paths.select(root, "path", F.explode(above).alias("folder")).join(bad, [root, "folder"], "left_semi").select(root, "path")
-    ignored = itself.union(below).distinct().withColumn("ignored", F.lit(True))
-    return files.join(ignored, [root, "path"], "left").withColumn("ignored", F.coalesce("ignored", F.lit(False)))
+    regexes = _root_regexes(rules, root)
+
+    def met(regex: Column, shown: Column) -> Column:
+        # Unlike rlike, this keeps the compiled regex from row to row.
+        return F.regexp_instr(shown, regex) > 0
+
+    def with_regex(paths: DataFrame) -> DataFrame:
+        # Rows of one root stand together, so that its regex is compiled once.
+        known = paths.join(regexes, root, "left").sortWithinPartitions(root)
+        return known.withColumn("_regex", F.coalesce("regex", ignoring_regex(_default_rules()))).drop("regex")
+
+    slash = F.lit("/")
+    parent = _parent(F.col("path"))
+    folders = files.select(root, parent.alias("_folder")).filter("_folder <> ''").distinct()
+    above = F.array_append(F.filter(ancestors(F.col("_folder")), lambda folder: folder != ""), F.col("_folder"))
+    lost = with_regex(folders).filter(F.exists(above, lambda folder: met(F.col("_regex"), F.concat(folder, slash)))).select(root, "_folder", F.lit(True).alias("_lost"))
+    itself = (F.col("path") != "") & (met(F.col("_regex"), F.col("path")) | met(F.col("_regex"), F.concat("path", slash)))
+    named = with_regex(files.withColumn("_folder", parent)).join(lost, [root, "_folder"], "left")
+    ignored = F.col(root).isNotNull() & (F.coalesce("_lost", F.lit(False)) | F.coalesce(itself, F.lit(False)))
+    return named.withColumn("ignored", ignored).drop("_folder", "_regex", "_lost").select(*files.columns, "ignored")
 
 
 def files_to_ship(dependencies: DataFrame, files: DataFrame, rules: DataFrame, root: str) -> DataFrame:
     """``(root, dependency, path, length, error)``: the files of each dependency that no rule ignores.
 
     ``dependencies`` are ``(root, path)``, normalised; the path ``.`` is the whole root. A dependency without any file is an error row.
+
+    A file is looked up only at the depths at which its root has dependencies, and files of other roots are not looked at.
     """
-    asked = dependencies.select(root, F.col("path").alias("dependency"), F.when(F.col("path") == ".", "").otherwise(F.col("path")).alias("top"))
-    marked = mark_ignored(files.select(root, "path", "length"), rules, root)
-    placed = marked.withColumn("top", F.explode(F.array_append(ancestors(F.col("path")), F.col("path"))))
-    found = asked.join(placed, [root, "top"], "left").filter("ignored IS NULL OR NOT ignored")
+    top = F.when(F.col("path") == ".", "").otherwise(F.col("path"))
+    depth = F.when(F.col("top") == "", F.lit(0)).otherwise(F.size(F.split("top", "/")))
+    asked = dependencies.select(root, F.col("path").alias("dependency"), top.alias("top"))
+    depths = asked.groupBy(root).agg(F.collect_set(depth).alias("depths"))
+    parts = F.split("path", "/")
+    reached = F.filter("depths", lambda d: d <= F.size(parts))
+    near = (
+        files.select(root, "path", "length")
+        .join(depths, root)
+        .withColumn("top", F.explode(F.transform(reached, lambda d: F.array_join(F.slice(parts, F.lit(1), d), "/"))))
+        .drop("depths")
+    )
+    held = near.join(asked.select(root, "top").distinct(), [root, "top"], "left_semi")
+    found = asked.join(mark_ignored(held, rules, root), [root, "top"], "left").filter("ignored IS NULL OR NOT ignored")
     missing = F.when(F.col("ignored").isNull(), F.concat(F.lit("Dependency not found: "), "dependency"))
     return found.select(root, "dependency", "path", "length", missing.alias("error"))
 
@@ -68,8 +101,7 @@ def dir_sizes(files: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
 
     The files of one folder are summed first, so only one row per folder is multiplied by its depth.
     """
-    folder = F.array_join(F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1), "/")
-    direct = files.groupBy(*keys, folder.alias("folder")).agg(F.sum("length").alias("length"))
+    direct = files.groupBy(*keys, _parent(F.col("path")).alias("folder")).agg(F.sum("length").alias("length"))
     above = F.when(F.col("folder") == "", F.array(F.lit(""))).otherwise(
         F.array_append(ancestors(F.col("folder")), F.col("folder"))
     )

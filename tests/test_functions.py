@@ -11,7 +11,7 @@ from stepledger.functions import formats, merge, paths, text
 from stepledger.functions.condition import eval_condition, judge_condition
 from stepledger.functions.fingerprint import canonical_json, fingerprint
 from stepledger.functions.ignore import is_ignored
-from stepledger.operators.files import mark_ignored
+from stepledger.operators.files import files_to_ship, mark_ignored
 
 
 def test_conditions(wrong):
@@ -103,6 +103,32 @@ def test_rules_as_columns(spark):
         assert {r.path: r.ignored for r in own} == {p: found[root, p] for p in paths}, root
 
 
+def test_rules_multiply_no_rows(spark):
+    """However many rules a root has, they are one row; repeated, null and rootless files keep their place."""
+    files = spark.createDataFrame([("a", "x/y.log", 1), ("a", "x/y.log", 1), ("b", "x/y.log", 2), (None, ".git", 3), ("a", None, 4)], "root STRING, path STRING, more INT")
+    rules = spark.range(200).select(F.lit("a").alias("root"), F.col("id").alias("pos"), F.concat(F.when(F.col("id") % 2 == 1, "!").otherwise(""), F.lit("*.log")).alias("pattern"))
+    marked = mark_ignored(files, rules, "root")
+    found = sorted((str(r.root), str(r.path), r.more, r.ignored) for r in marked.collect())
+    assert found == [("None", ".git", 3, False), ("a", "None", 4, False), ("a", "x/y.log", 1, False), ("a", "x/y.log", 1, False), ("b", "x/y.log", 2, False)]
+    last = mark_ignored(files, rules.union(spark.createDataFrame([("a", 500, "x/")], "root STRING, pos BIGINT, pattern STRING")), "root")
+    assert sorted((str(r.root), r.ignored) for r in last.collect()) == [("None", False), ("a", False), ("a", True), ("a", True), ("b", False)]
+    assert mark_ignored(files.limit(0), rules, "root").count() == 0
+    plan = marked._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+
+
+def test_files_to_ship(spark):
+    files = spark.createDataFrame([("a", "d/e/f.txt", 1), ("a", "d/x.pyc", 2), ("a", "top", 3), ("b", "d/e/f.txt", 4)], "root STRING, path STRING, length INT")
+    asked = spark.createDataFrame([("a", "d"), ("a", "d/e/f.txt"), ("a", "."), ("a", "none/at/all"), ("a", "d/x.pyc"), ("c", "d")], "root STRING, path STRING")
+    rules = spark.createDataFrame([("a", 0, "top")], "root STRING, pos INT, pattern STRING")
+    found = sorted((r.root, r.dependency, r.path or "-", r.error or "-") for r in files_to_ship(asked, files, rules, "root").collect())
+    missing = "Dependency not found: "
+    assert found == [
+        ("a", ".", "d/e/f.txt", "-"), ("a", "d", "d/e/f.txt", "-"), ("a", "d/e/f.txt", "d/e/f.txt", "-"),
+        ("a", "none/at/all", "-", missing + "none/at/all"), ("c", "d", "-", missing + "d"),
+    ]
+
+
 def test_ignore_patterns(wrong):
     patterns = ["dist/", "*.log", "!keep.log", "/build", "docs/*.md", "q/**/r.txt", "foo/**", "# note", "", "t?.x", "[ab].y"]
     cases = [
