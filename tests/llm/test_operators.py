@@ -381,6 +381,37 @@ def test_quality_features():
     assert model.score(b"good text") > 0.5 > model.score(b"stuff### bad###")
 
 
+def test_quality_learns_from_whole_texts(spark):
+    """What tells the classes apart stands at one place of long texts only; a text beyond one part has the shares of its words."""
+    rng = random.Random(3)
+    filler = [f"w{k}" for k in range(200)]
+
+    def text(label):
+        words = rng.choices(filler, k=3000)
+        at = rng.randrange(3000)
+        return " ".join(words[:at] + (["splendid"] if label else ["dreadful"]) * 300 + words[at:])
+
+    made = [(k, text(k % 2)) for k in range(120)]
+    docs = spark.createDataFrame(made, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in made], "doc_id bigint, quality int")
+    bags, targets = quality.sample(docs, labels)
+    assert len(bags) > 100 and sum(targets) in range(50, 61)
+    expected = {k % 2: [] for k in range(2)}
+    for k, x in made:
+        expected[k % 2].append(quality.bag(x.encode())[1].tobytes())
+    assert all(shares.tobytes() in expected[label] for (_, shares), label in zip(bags, targets, strict=True))
+    model = quality.train_bags(bags, targets, epochs=60)  # 120 rows give few steps
+    by_label = [[model.score(text(label).encode()) for _ in range(20)] for label in range(2)]
+    assert max(by_label[0]) < min(by_label[1])
+    long = " ".join(rng.choices(filler, k=120_000)).encode()
+    assert len(long) > 2 * quality._PART
+    found, owner, n = quality.features(long)
+    own, shares = quality.bag(long)
+    plain = np.bincount(found, 1 / np.bincount(owner, minlength=n)[owner], quality.BUCKETS) / n
+    # Words that repeat the word before them are told at the edges of parts only by their own part.
+    assert np.abs(plain[1:] - np.bincount(own, shares, quality.BUCKETS)[1:]).max() < 1e-5
+
+
 def test_quality_accuracy(spark):
     folder = "/root/testdata/sf0.1"
     documents, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
