@@ -31,8 +31,9 @@ MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 MAX_CHAR_DISTANCE, MIN_CHARS = 0.2, 200
 MAX_WORD_DISTANCE, MIN_JUDGED_WORDS = 0.45, 100
 
-_NOT_CLASS = [r"\P{Lu}+", r"\P{Ll}+", r"\P{N}+", r"[^\x20\x09-\x0D]+", r"[^.,;:!?'\"()-]+"]
-_N_CLASSES = len(_NOT_CLASS) + 1
+_NOT_CLASS = [r"\P{Lu}+", r"\P{Ll}+", r"\P{N}+"]
+PUNCTUATION = ".,;:!?'\"()-"
+_N_CLASSES = len(_NOT_CLASS) + 3
 _N_WORDS = len(COMMON_WORDS) + 1
 
 
@@ -52,24 +53,21 @@ def _is(word: str):
 def _with_repeats(df: DataFrame) -> DataFrame:
     """Adds ``n_repeat_words``: words that lie in a window of three words found twice or more in the text.
 
-    Each window's hash, shifted left by the bits that positions need, holds its position in the low bits. Sorted, equal windows
-    are neighbours. A hash keeps 64 bits less those of the text's number of words.
+    Windows are sorted by their 64-bit hash and their place, so equal ones are neighbours, in texts of any length.
     """
-    words, bits = F.col("words"), F.col("bits")
-    df = df.withColumn("bits", F.length(F.bin("n_words")))
+    words = F.col("words")
     keyed = F.transform(
         F.slice(words, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0))),
-        lambda w, i: F.call_function("shiftleft", F.xxhash64(w, _at(words, i + 1), _at(words, i + 2)), bits).bitwiseOR(i.cast("bigint")),
+        lambda w, i: F.struct(F.xxhash64(w, _at(words, i + 1), _at(words, i + 2)).alias("hash"), i.alias("at")),
     )
     df = df.withColumn("sorted", F.sort_array(keyed))
     near = F.col("sorted")
 
     def same(x: Column, i: Column) -> Column:
-        return F.coalesce(F.call_function("shiftrightunsigned", x.bitwiseXOR(_at(near, i)), bits) == 0, F.lit(False))
+        return F.coalesce(x["hash"] == _at(near, i)["hash"], F.lit(False))
 
     found = F.filter(near, lambda x, i: F.when(i > 0, same(x, i - 1)).otherwise(False) | same(x, i + 1))
-    low = F.call_function("shiftleft", F.lit(1).cast("bigint"), bits) - 1
-    df = df.withColumn("places", F.sort_array(F.transform(found, lambda x: x.bitwiseAND(low))))
+    df = df.withColumn("places", F.sort_array(F.transform(found, lambda x: x["at"])))
     places = F.col("places")
     # A place counts its window's words up to the next place; the last one counts all three.
     nexts, but_last = F.slice(places, F.lit(2), F.size(places)), F.slice(places, F.lit(1), F.size(places) - 1)
@@ -98,6 +96,7 @@ def counts(docs: DataFrame) -> DataFrame:
     )
     length = F.length(text)
     classes = [F.length(F.regexp_replace(text, pattern, "")) for pattern in _NOT_CLASS]
+    classes += [length - F.length(F.translate(text, few, "")) for few in (SPACES, PUNCTUATION)]
     words = [F.size(F.filter("common", _is(v))) for v in COMMON_WORDS]
     counted = _with_repeats(split).select(
         "doc_id",

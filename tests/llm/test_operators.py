@@ -334,6 +334,51 @@ def test_rules(docs, rows, nothing):
     assert rules.quality_rules(nothing).count() == 0
 
 
+def _distance(a, b):
+    if not sum(a) or not sum(b):
+        return None
+    p, q = np.array(a) / sum(a), np.array(b) / sum(b)
+    m = (p + q) / 2
+    terms = [x * np.log2(x / y) for one in (p, q) for x, y in zip(one, m, strict=True) if x > 0]
+    return np.sqrt(max(sum(terms), 0) / 2)
+
+
+def test_rules_against_plain_histograms(spark):
+    """Histograms, references, distances and verdict by loops; some rows are in another language than they say, or in none."""
+    rng = random.Random(8)
+    own_words = {lang: rules.COMMON_WORDS[k * 10 : k * 10 + 10] + ["".join(rng.choices(letters, k=4)) for _ in range(40)] for k, (lang, letters) in enumerate([("x1", "abcé"), ("x2", "defß")])}
+    weights, rows = [1 / (k + 1) for k in range(50)], []
+    for k in range(90):
+        lang = ("x1", "x2", "")[k % 3]
+        of = {"x1": "x1", "x2": "x2", "": "x1"}[lang] if k % 10 else "x2"
+        words = rng.choices(own_words[of], weights, k=rng.choice([20, 60, 150, 400]))
+        text = " ".join(w.title() if rng.random() < 0.2 else w for w in words) + rng.choice(["", ".", " 12, 13!", "\n# $"])
+        rows.append((k, text, lang or rng.choice([None, ""])))
+    rows += [(90, None, "x1"), (91, "", "lone"), (92, "1 2 3 " * 40, "x2"), (93, rows[-1][1] + " " + rows[-4][1], "lone"), (0, rows[0][1], "x1")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    plain = []
+    for doc_id, text, lang in rows:
+        text, times = text or "", Counter(re.findall(r"[^\W\d_]+", (text or "").lower()))
+        chars = [sum(map(test, text)) for test in (str.isupper, str.islower, str.isdigit, lambda c: c in " \t\n", lambda c: c in rules.PUNCTUATION)]
+        words = [times[w] for w in rules.COMMON_WORDS]
+        plain.append((doc_id, lang or "", text, chars + [len(text) - sum(chars)], words + [sum(times.values()) - sum(words)]))
+    got = rules.quality_rules(docs).collect()
+    failed = {(r.doc_id, r.n_words): r.base_failed for r in got}
+    good = [p for p in plain if not failed[p[0], len(p[2].split())] and 10 * sum(c in rules.SYMBOLS for c in p[2]) <= len(p[2].split())]
+    expected = Counter()
+    for doc_id, lang, text, chars, words in plain:
+        mine = [p for p in good if lang and p[1] == lang] or good
+        n = len(text.split())
+        by_char = _distance(chars, np.sum([p[3] for p in mine], axis=0)) if len(text) >= rules.MIN_CHARS else None
+        by_word = _distance(words, np.sum([p[4] for p in mine], axis=0)) if n >= rules.MIN_JUDGED_WORDS else None
+        kept = not failed[doc_id, n] and (by_char or 0) <= rules.MAX_CHAR_DISTANCE and (by_word or 0) <= rules.MAX_WORD_DISTANCE
+        expected[(doc_id, n, *(None if x is None else round(float(x), 9) for x in (by_char, by_word)), kept)] += 1
+    rounded = [tuple(None if x is None else round(x, 9) for x in (r.char_distance, r.word_distance)) for r in got]
+    assert Counter((r.doc_id, r.n_words, *pair, r.kept) for r, pair in zip(got, rounded, strict=True)) == expected
+    judged = [(d, kept) for *_, d, kept in expected if d is not None]
+    assert any(kept for _, kept in judged) and any(d > rules.MAX_WORD_DISTANCE and not kept for d, kept in judged)
+
+
 def test_jensen_shannon(spark):
     pairs = [([1, 1], [1, 1], 0.0), ([1, 0], [0, 5], 1.0), ([3, 1], [1, 3], None), ([0, 0], [1, 1], None)]
     df = spark.createDataFrame([([*map(float, a)], [*map(float, b)]) for a, b, _ in pairs], "a array<double>, b array<double>")
