@@ -6,6 +6,7 @@ belong to the shard, packed into one binary value. A shard sees all blocks that
 answer per message back, in the message's order. So
 
 * a key that a third of all documents hold is one entry per block, not one row per document;
+* a row that comes back a million times, with one id and one text, is dealt to all blocks in turn, so no block is one group of copies;
 * no row of a join is spent on a key, only its 8 or 16 bytes; texts are shuffled by block, once, since all rounds of an
   operator share that exchange;
 * every step is a function of a block's or a shard's content alone, so a lost executor's part can be made again.
@@ -22,6 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from stepledger.storage import materialize
+
 #: Text bytes that a block holds on average; a block is one Python group, with some ten times this in memory.
 BLOCK_BYTES = 4 << 20
 #: Text bytes whose keys a shard holds on average.
@@ -75,6 +78,20 @@ def blocked(docs: DataFrame, blocks: int) -> DataFrame:
     )
 
 
+def dealt(docs: DataFrame, blocks: int) -> DataFrame:
+    """As ``blocked``, but the copies of a row, of one doc_id and one text, are dealt to all blocks in turn.
+
+    Nothing in such rows tells them apart, so their turns are written down once and stay the same for every round and every
+    retry. Only rows that have a copy are written; the join that finds them reads hashes of all others.
+    """
+    placed = blocked(docs, blocks)
+    repeats = materialize(placed.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2"), "repeats")
+    turn = F.pmod(F.col("block") + F.pmod(F.monotonically_increasing_id(), F.lit(blocks)), F.lit(blocks)).cast("int")
+    copies = materialize(placed.join(repeats, ["h1", "h2"], "left_semi").withColumn("block", turn).select(*placed.columns), "copies")
+    single = placed.join(repeats, ["h1", "h2"], "left_anti").select(*placed.columns)
+    return single.unionByName(copies)
+
+
 def with_row(ddl: str, placed: DataFrame) -> StructType:
     """The schema of a result: the columns named, and ``row`` as it came."""
     return StructType.fromDDL(ddl).add("row", placed.schema["row"].dataType)

@@ -100,7 +100,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     """
     total = B.text_bytes(docs)
     shards = B.parts(total, B.SHARD_BYTES)
-    placed = B.blocked(docs, B.parts(total, B.BLOCK_BYTES))
+    placed = B.dealt(docs, B.parts(total, B.BLOCK_BYTES))
 
     def ask(table: pa.Table) -> pa.Table:
         block = B.Block(table)

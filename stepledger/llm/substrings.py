@@ -95,7 +95,7 @@ def dedup_substrings(
         raise ValueError("cover must hold all differences modulo a period that is below the width, and that at most MAX_WIDTH")
     total = B.text_bytes(docs)
     shards = B.parts(total, B.SHARD_BYTES)
-    placed = B.blocked(docs, B.parts(total, B.BLOCK_BYTES))
+    placed = B.dealt(docs, B.parts(total, B.BLOCK_BYTES))
     in_cover = np.isin(np.arange(period), cover)
 
     def shard_of(keys: np.ndarray) -> np.ndarray:

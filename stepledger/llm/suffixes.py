@@ -246,7 +246,7 @@ def dedup_byte_strings(docs: DataFrame, width: int = 400, anchor: int = ANCHOR)
         raise ValueError("the anchor must fit the width, and two widths the tables")
     total = B.text_bytes(docs)
     shards = B.parts(total, B.SHARD_BYTES)
-    placed = B.blocked(docs, B.parts(total, B.BLOCK_BYTES))
+    placed = B.dealt(docs, B.parts(total, B.BLOCK_BYTES))
     most = CLASS_BYTES // (2 * width)  # fragments of a class that surely fit one transform
 
     def shard_of(keys: np.ndarray) -> np.ndarray:
