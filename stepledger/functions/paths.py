@@ -68,3 +68,14 @@ def ancestors(path: Column) -> Column:
     """Every directory prefix of a relative path, the root (empty) first, the path itself excluded."""
     parts = F.split(path, "/")
     return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+
+
+def depth_of(folder: Column) -> Column:
+    """How many names a relative folder has; the root (empty) has none."""
+    return F.when(folder == "", F.lit(0)).otherwise(F.size(F.split(folder, "/")))
+
+
+def folders_at(path: Column, depths: Column) -> Column:
+    """The folders above a relative path at each of the given depths that the path goes below."""
+    parts = F.split(path, "/")
+    return F.transform(F.filter(depths, lambda d: d < F.size(parts)), lambda d: F.array_join(F.slice(parts, F.lit(1), d), "/"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepledger.functions.ignore import DEFAULT_IGNORES, ignoring_regex, is_ignored, rule_columns
-from stepledger.functions.paths import ancestors
+from stepledger.functions.paths import ancestors, depth_of, folders_at
 from stepledger.functions.text import basename
 
 
@@ -113,9 +113,18 @@ def dir_sizes(files: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
 
 
 def dir_size(files: DataFrame, requests: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
-    """Recursive bytes of the requested folders ``(keys…, dir)``; a folder that does not exist has 0."""
-    # Folders of keys that nobody asked about are not rolled up.
-    sizes = dir_sizes(files.join(requests.select(*keys).distinct(), list(keys), "left_semi"), keys)
+    """Recursive bytes of the requested folders ``(keys…, dir)``; a folder that does not exist has 0.
+
+    A file is counted only at the depths at which its key has requests, and files of other keys are not looked at.
+    """
+    depths = requests.groupBy(*keys).agg(F.collect_set(depth_of(F.col("dir"))).alias("_depths"))
+    sizes = (
+        files.select(*keys, "path", "length")
+        .join(depths, list(keys))
+        .select(*keys, F.explode(folders_at(F.col("path"), F.col("_depths"))).alias("dir"), "length")
+        .groupBy(*keys, "dir")
+        .agg(F.sum("length").alias("size"))
+    )
     return requests.join(sizes, [*keys, "dir"], "left").select(
         *keys, "dir", F.coalesce("size", F.lit(0)).alias("size")
     )

@@ -115,6 +115,9 @@ def test_directories(spark):
     assert rows(O.dir_sizes(files), "dir", "size") == [("", 7), ("a", 3), ("a/b", 1)]
     asked = spark.createDataFrame([("r", "none"), ("r", "a")], "run_id STRING, dir STRING")
     assert rows(O.dir_size(files, asked), "dir", "size") == [("a", 3), ("none", 0)]
+    asked = spark.createDataFrame([("r", d) for d in ("", "a/b", "a/b/x", "z", None)] + [("q", "a")], "run_id STRING, dir STRING")
+    sizes = {tuple(r) for r in O.dir_size(files, asked).collect()}
+    assert sizes == {("r", "", 7), ("r", "a/b", 1), ("r", "a/b/x", 0), ("r", "z", 0), ("r", None, 0), ("q", "a", 0)}
     assert rows(O.list_directory(files), "name", "type", "size") == [("a", "directory", 0), ("z", "file", 4)]
     for name in ("a", "./a/", "a/b/.."):
         assert rows(O.list_directory(files, name), "name", "type", "size") == [("b", "directory", 0), ("y", "file", 2)]
