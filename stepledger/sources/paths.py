@@ -52,21 +52,26 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, line_no, line)`` of all text files that ``path``, which may hold wildcards, names.
-
-    Files are cut into ranges of bytes. One pass counts the lines that end in each range, which gives the number of its first
-    line; a second reads the same ranges and numbers on from there. The text is read twice and copied nowhere, and a large
-    file is read by many tasks.
-    """
+    """``(file, line_no, line)`` of the few text files that ``path``, which may hold wildcards, names; the driver lists them."""
     try:
         files = spark.read.format("binaryFile").load(path).select(plain(F.col("path")).alias("file"), "length")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], "file STRING, line_no BIGINT, line STRING")
+    return lines_of_files(files)
+
+
+def lines_of_files(files: DataFrame) -> DataFrame:
+    """``(file, line_no, line)`` of all text files ``(file, length)``.
+
+    Files are cut into ranges of bytes. One pass counts the lines that end in each range, which gives the number of its first
+    line; a second reads the same ranges and numbers on from there. The text is read twice and copied nowhere, and a large
+    file is read by many tasks.
+    """
     begins = F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(RANGE_BYTES).cast("bigint"))
     ranges = files.filter("length > 0").select("file", "length", F.explode(begins).alias("begin"))
-    tasks = 4 * spark.sparkContext.defaultParallelism
+    tasks = 4 * files.sparkSession.sparkContext.defaultParallelism
     ranges = ranges.withColumn("end", F.least("length", F.col("begin") + RANGE_BYTES)).repartition(tasks, "file", "begin")
 
     def parts(batch: pa.RecordBatch) -> list[Range]:

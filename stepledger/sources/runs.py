@@ -2,7 +2,7 @@
 
 Layout below the root: ``<workspace>/state.json``, ``<workspace>/daemon.json`` (lock), ``<workspace>/running/<step>``,
 ``<workspace>/caches/<name>/…``, ``<workspace>/runs/<run>/{meta.json,stdout.log,stderr.log,artifacts/…}``. Documents and logs
-are found by wildcards of exactly this depth, so files of the same name among the artifacts are neither listed nor read.
+are found at exactly this depth, so files of the same name among the artifacts are neither listed nor read.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 from stepledger import schemas as S
 from stepledger.functions.paths import resolve_path, within_boundary
 from stepledger.operators.history import current_run
-from stepledger.sources.listing import list_below, list_folders, list_workspaces
-from stepledger.sources.paths import LOCK, MARKER, RUN_LOG, RUN_META, STATE, path_part, plain, read_lines, read_text
+from stepledger.sources.listing import files_in, list_below, list_folders, list_workspaces
+from stepledger.sources.paths import LOCK, MARKER, RUN_LOG, RUN_META, STATE, lines_of_files, path_part, plain, read_text
 from stepledger.sources.store import content
 from stepledger.storage import materialize, qualified_path
 
@@ -184,8 +184,12 @@ def read_locks(spark: SparkSession, root: str, live: DataFrame) -> DataFrame:
 
 
 def read_logs(spark: SparkSession, root: str) -> DataFrame:
-    """``(workspace_id, run_id, stream, line_no, line)`` with line numbers from 0."""
-    return read_lines(spark, f"{root}/*/runs/*/{{stdout,stderr}}.log").select(
+    """``(workspace_id, run_id, stream, line_no, line)`` with line numbers from 0.
+
+    The driver lists the workspaces, tasks their runs, and look up the logs of each run by name.
+    """
+    runs = list_below(list_workspaces(spark, root, hidden=True), "runs", hidden=True)
+    return lines_of_files(files_in(runs, ["stdout.log", "stderr.log"])).select(
         path_part(F.col("file"), RUN_LOG, 1).alias("workspace_id"),
         path_part(F.col("file"), RUN_LOG, 2).alias("run_id"),
         path_part(F.col("file"), RUN_LOG, 3).alias("stream"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stepledger.plans.jobs import category_summary_job, text_report_job
 from stepledger.sources.definitions import read_dotenv, read_pipelines
-from stepledger.sources import paths
+from stepledger.sources import listing, paths
 from stepledger.sources.paths import read_lines
 from stepledger.operators.history import show, workspace_summary
 from stepledger.sources.runs import (
@@ -246,3 +246,17 @@ def test_line_numbers_over_many_ranges(spark, tmp_path, monkeypatch):
         lines = text.split("\n")
         expected += [(name, n, line) for n, line in enumerate(lines[:-1] if lines[-1] == "" else lines)]
     assert found == sorted(expected)
+
+
+def test_logs_are_not_listed_by_the_driver(spark, tmp_path, monkeypatch):
+    """Folders with the names of work files are runs too; a folder with a log's name is no log."""
+    for run in ("r1", "_r2", ".r3", "r [4] {a,b}"):
+        put(tmp_path, f"ws 1/runs/{run}/stdout.log", f"line of {run}\n")
+    put(tmp_path, "_ws/runs/r5/stderr.log", "line of r5\n")
+    put(tmp_path, "ws 1/runs/r6/stdout.log/part", "junk\n")
+    monkeypatch.setattr(type(spark.read), "load", lambda *_, **__: pytest.fail("listed by the driver"))
+    monkeypatch.setattr(listing, "_BATCH", 2)
+    found = read_logs(spark, str(tmp_path))
+    assert "binaryFile" not in found._jdf.queryExecution().toString()
+    rows = {(r.workspace_id, r.run_id, r.stream, r.line_no, r.line) for r in found.collect()}
+    assert rows == {("ws 1", run, "stdout", 0, f"line of {run}") for run in ("r1", "_r2", ".r3", "r [4] {a,b}")} | {("_ws", "r5", "stderr", 0, "line of r5")}
