@@ -123,9 +123,10 @@ def _token_regex(tokens: Column, token: Column, at: Column) -> Column:
 
 
 def rule_columns(line: Column) -> Column:
-    """``struct<regex, ignore>`` of one line of a rule file, as ``ignore_rule`` reads it; null for blanks and comments.
+    """``struct<regex, ignore, anchored, part>`` of one line of a rule file, as ``ignore_rule`` reads it; null for blanks and comments.
 
-    The regex is for a whole path, with a slash at its end if the path is a folder.
+    The regex is for a whole path, with a slash at its end if the path is a folder. ``part`` has no start and ends where a
+    folder ends, see ``finding_regex``.
     """
     line = F.regexp_replace(line, r"(?<!\\)\s+\z", "")
     ignore = ~line.startswith("!")
@@ -133,15 +134,19 @@ def rule_columns(line: Column) -> Column:
     bare = F.regexp_replace(pattern, r"/+\z", "")
     tokens = F.regexp_extract_all(F.regexp_replace(bare, "^/", ""), F.lit(_TOKENS), 1)
     body = F.array_join(F.transform(tokens, lambda t, i: _token_regex(tokens, t, i)), "")
-    start = F.when(bare.contains("/"), F.lit("")).otherwise(F.lit("(?:.*/)?"))
+    anchored = bare.contains("/")
+    start = F.when(anchored, F.lit("")).otherwise(F.lit("(?:.*/)?"))
     end = F.when(pattern.endswith("/"), F.lit("/")).otherwise(F.lit("/?"))
-    rule = F.struct(F.concat(F.lit("(?i)^"), start, body, end, F.lit("\\z")).alias("regex"), ignore.alias("ignore"))
+    whole = F.concat(F.lit("(?i)^"), start, body, end, F.lit("\\z"))
+    # The pattern itself may have taken the slash.
+    part = F.concat(body, F.when(pattern.endswith("/"), F.lit("/")).otherwise(F.lit("(?:/|(?<=/))")))
+    rule = F.struct(whole.alias("regex"), ignore.alias("ignore"), anchored.alias("anchored"), part.alias("part"))
     nothing = (line == "") | line.startswith("#") | (F.regexp_replace(bare, "^/", "") == "")
     return F.when(~nothing, rule)
 
 
 def ignoring_regex(rules: Column) -> Column:
-    """One regex that is met by the whole paths that an ordered array of ``struct<regex, ignore>`` ignores.
+    """One regex that is met by the whole paths that an ordered array of ``rule_columns`` ignores.
 
     The last matching rule decides: an ignoring rule adds an alternative, a keeping rule takes its own matches out of all before it.
     """
@@ -152,3 +157,18 @@ def ignoring_regex(rules: Column) -> Column:
             F.concat(F.lit("(?!"), rule["regex"], F.lit(")(?:"), before, F.lit(")"))
         ),
     )
+
+
+def finding_regex(rules: Column, ignore: bool) -> Column:
+    """One regex to find, in a path with a slash at its end, whether an ignoring (or keeping) rule matches it or a folder above.
+
+    Null without such rules. A path that starts with a slash may be found by that slash alone.
+    """
+
+    def of(anchored: bool, start: str) -> Column:
+        own = F.filter(rules, lambda rule: (rule["ignore"] == F.lit(ignore)) & (rule["anchored"] == F.lit(anchored)))
+        parts = F.array_join(F.transform(own, lambda rule: rule["part"]), "|")
+        return F.when(F.size(own) > 0, F.concat(F.lit(f"{start}(?:"), parts, F.lit(")")))
+
+    kinds = F.array_compact(F.array(of(True, "^"), of(False, "^(?:.*/)?")))
+    return F.when(F.size(kinds) > 0, F.concat(F.lit("(?i)"), F.array_join(kinds, "|")))

@@ -8,9 +8,10 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepledger.functions.ignore import DEFAULT_IGNORES, ignoring_regex, is_ignored, rule_columns
+from stepledger.functions.ignore import DEFAULT_IGNORES, finding_regex, ignoring_regex, is_ignored, rule_columns
 from stepledger.functions.paths import ancestors, depth_of, folders_at
 from stepledger.functions.text import basename
+from stepledger.storage import materialize
 
 
 def ignore_filter(files: DataFrame, patterns: Iterable[str] = ()) -> DataFrame:
@@ -23,12 +24,17 @@ def remaining_files(files: DataFrame, patterns: Iterable[str] = ()) -> DataFrame
     return files.filter(~is_ignored(F.col("path"), patterns))
 
 
+def _regexes(rules: Column) -> dict[str, Column]:
+    return {"_exact": ignoring_regex(rules), "_met": finding_regex(rules, True), "_kept": finding_regex(rules, False)}
+
+
 def _root_regexes(rules: DataFrame, root: str) -> DataFrame:
-    """``(root, regex)``: the defaults and a root's own rules as one regex; roots without rules have no row."""
+    """The regexes of the defaults and a root's own rules, a row per root; roots without rules have no row."""
     parsed = rules.select(root, F.struct("pos", rule_columns(F.col("pattern")).alias("rule")).alias("placed"))
     ordered = F.transform(F.array_sort(F.collect_list("placed")), lambda placed: placed["rule"])
     listed = parsed.filter("placed.rule IS NOT NULL").groupBy(root).agg(ordered.alias("rules"))
-    return listed.select(root, ignoring_regex(F.concat(_default_rules(), "rules")).alias("regex"))
+    found = _regexes(F.concat(_default_rules(), "rules"))
+    return listed.select(root, *[regex.alias(name) for name, regex in found.items()])
 
 
 def _default_rules() -> Column:
@@ -46,29 +52,31 @@ def mark_ignored(files: DataFrame, rules: DataFrame, root: str) -> DataFrame:
     A path is tested as a file and as a folder, the last matching rule decides, and nothing below an ignored folder can be kept
     again. The empty path and files of a null root are never ignored.
 
-    The rules of a root, which come from its rule file, become one regex in one row, so that no row is multiplied by rules or
-    depth. Every distinct folder that holds files is judged once, with what is above it; a file only by its own name.
+    The rules of a root, which come from its rule file, become three regexes in one row, so that no row is multiplied by rules
+    or depth. Most files are settled by one search of their path: no ignoring rule is met there, or one is and no keeping rule
+    is. Only the others are judged folder by folder. The regexes are written down, so their true size decides how they are
+    joined, and a root with a large part of the files is not dealt to one task; no file is shuffled.
     """
-    regexes = _root_regexes(rules, root)
+    regexes = materialize(_root_regexes(rules, root), "rules")
 
-    def met(regex: Column, shown: Column) -> Column:
+    def met(regex: str, shown: Column) -> Column:
         # Unlike rlike, this keeps the compiled regex from row to row.
-        return F.regexp_instr(shown, regex) > 0
-
-    def with_regex(paths: DataFrame) -> DataFrame:
-        # Rows of one root stand together, so that its regex is compiled once.
-        known = paths.join(regexes, root, "left").sortWithinPartitions(root)
-        return known.withColumn("_regex", F.coalesce("regex", ignoring_regex(_default_rules()))).drop("regex")
-
-    slash = F.lit("/")
-    parent = _parent(F.col("path"))
-    folders = files.select(root, parent.alias("_folder")).filter("_folder <> ''").distinct()
-    above = F.array_append(F.filter(ancestors(F.col("_folder")), lambda folder: folder != ""), F.col("_folder"))
-    lost = with_regex(folders).filter(F.exists(above, lambda folder: met(F.col("_regex"), F.concat(folder, slash)))).select(root, "_folder", F.lit(True).alias("_lost"))
-    itself = (F.col("path") != "") & (met(F.col("_regex"), F.col("path")) | met(F.col("_regex"), F.concat("path", slash)))
-    named = with_regex(files.withColumn("_folder", parent)).join(lost, [root, "_folder"], "left")
-    ignored = F.col(root).isNotNull() & (F.coalesce("_lost", F.lit(False)) | F.coalesce(itself, F.lit(False)))
-    return named.withColumn("ignored", ignored).drop("_folder", "_regex", "_lost").select(*files.columns, "ignored")
+        return F.regexp_instr(shown, F.col(regex)) > 0
+
+    # Files of one root stand together, so that its regexes are compiled once.
+    known = files.sortWithinPartitions(root).join(regexes, root, "left")
+    # Values, since Spark builds a regex from functions of arrays anew for every row, even if all is constant.
+    plain = files.sparkSession.range(1).select(*[regex.alias(name) for name, regex in _regexes(_default_rules()).items()]).first()
+    unruled = F.col("_exact").isNull()
+    known = known.withColumns({f"{name}_": F.when(unruled, F.lit(value)).otherwise(F.col(name)) for name, value in plain.asDict().items()})
+    path = F.col("path")
+    whole = F.concat(path, F.lit("/"))
+    above = F.filter(ancestors(path), lambda folder: folder != "")
+    below = F.exists(above, lambda folder: met("_exact_", F.concat(folder, F.lit("/"))))
+    settled = ~F.coalesce(met("_kept_", whole), F.lit(False)) & ~path.startswith("/")
+    judged = settled | below | met("_exact_", path) | met("_exact_", whole)
+    ignored = F.col(root).isNotNull() & (path != "") & met("_met_", whole) & judged
+    return known.select(*files.columns, F.coalesce(ignored, F.lit(False)).alias("ignored"))
 
 
 def files_to_ship(dependencies: DataFrame, files: DataFrame, rules: DataFrame, root: str) -> DataFrame:
