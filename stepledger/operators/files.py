@@ -84,12 +84,13 @@ def files_to_ship(dependencies: DataFrame, files: DataFrame, rules: DataFrame, r
 
     ``dependencies`` are ``(root, path)``, normalised; the path ``.`` is the whole root. A dependency without any file is an error row.
 
-    A file is looked up only at the depths at which its root has dependencies, and files of other roots are not looked at.
+    A file is looked up only at the depths at which its root has dependencies, and files of other roots are not looked at. What is
+    asked is written once, and so are the few depths: their true size decides how they meet the files, which are not dealt by root.
     """
     top = F.when(F.col("path") == ".", "").otherwise(F.col("path"))
     depth = F.when(F.col("top") == "", F.lit(0)).otherwise(F.size(F.split("top", "/")))
-    asked = dependencies.select(root, F.col("path").alias("dependency"), top.alias("top"))
-    depths = asked.groupBy(root).agg(F.collect_set(depth).alias("depths"))
+    asked = materialize(dependencies.select(root, F.col("path").alias("dependency"), top.alias("top")), "asked")
+    depths = materialize(asked.groupBy(root).agg(F.collect_set(depth).alias("depths")), "depths")
     parts = F.split("path", "/")
     reached = F.filter("depths", lambda d: d <= F.size(parts))
     near = (

@@ -12,6 +12,7 @@ from stepledger.functions.condition import eval_condition, judge_condition
 from stepledger.functions.fingerprint import canonical_json, fingerprint
 from stepledger.functions.ignore import is_ignored
 from stepledger.operators.files import files_to_ship, mark_ignored
+from stepledger.storage import materialize
 
 
 def test_conditions(wrong):
@@ -255,3 +256,16 @@ def test_json_escapes(spark):
     nasty = "".join(chr(c) for c in range(1, 32)) + '"\\/é\\u001F'
     df = spark.createDataFrame([([nasty],)], "a ARRAY<STRING>")
     assert df.select(canonical_json(F.col("a"))).first()[0] == json.dumps([nasty], ensure_ascii=False)
+
+
+def test_dependencies_of_few_roots_are_written_once(spark, monkeypatch):
+    """The few depths meet the files as a small written table, and no shuffle deals files by their root alone."""
+    from stepledger.operators import files as module
+
+    written = []
+    monkeypatch.setattr(module, "materialize", lambda df, label: written.append(label) or materialize(df, label))
+    files = spark.createDataFrame([("a", "d/x", 1), ("a", "e/y", 2)], "root STRING, path STRING, length INT")
+    asked = spark.createDataFrame([("a", "d")], "root STRING, path STRING")
+    rules = spark.createDataFrame([("a", 0, "y")], "root STRING, pos INT, pattern STRING")
+    assert [(r.dependency, r.path) for r in files_to_ship(asked, files, rules, "root").collect()] == [("d", "d/x")]
+    assert written == ["asked", "depths", "rules"]
