@@ -55,7 +55,7 @@ def mark_ignored(files: DataFrame, rules: DataFrame, root: str) -> DataFrame:
     The rules of a root, which come from its rule file, become three regexes in one row, so that no row is multiplied by rules
     or depth. Most files are settled by one search of their path: no ignoring rule is met there, or one is and no keeping rule
     is. Only the others are judged folder by folder. The regexes are written down, so their true size decides how they are
-    joined, and a root with a large part of the files is not dealt to one task; no file is shuffled.
+    joined: where they are few, no file is shuffled, and a root with a large part of the files is not dealt to one task.
     """
     regexes = materialize(_root_regexes(rules, root), "rules")
 
