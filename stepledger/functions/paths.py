@@ -70,12 +70,21 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
 
 
+def slashes(path: Column) -> Column:
+    """How many slashes a path has."""
+    return F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
+
+
 def depth_of(folder: Column) -> Column:
     """How many names a relative folder has; the root (empty) has none."""
-    return F.when(folder == "", F.lit(0)).otherwise(F.size(F.split(folder, "/")))
+    return F.when(folder == "", F.lit(0)).otherwise(slashes(folder) + 1)
 
 
-def folders_at(path: Column, depths: Column) -> Column:
-    """The folders above a relative path at each of the given depths that the path goes below."""
-    parts = F.split(path, "/")
-    return F.transform(F.filter(depths, lambda d: d < F.size(parts)), lambda d: F.array_join(F.slice(parts, F.lit(1), d), "/"))
+def parent_of(path: Column) -> Column:
+    """The folder of a relative path, empty at the root."""
+    return F.substring(path, F.lit(1), F.length(path) - F.length(F.substring_index(path, "/", -1)) - 1)
+
+
+def folder_at(path: Column, depth: Column) -> Column:
+    """The first ``depth`` names of a relative path that has at least as many."""
+    return F.call_function("substring_index", path, F.lit("/"), depth)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepledger.functions.ignore import DEFAULT_IGNORES, finding_regex, ignoring_regex, is_ignored, rule_columns
-from stepledger.functions.paths import ancestors, depth_of, folders_at
+from stepledger.functions.paths import ancestors, depth_of, folder_at, parent_of, slashes
 from stepledger.functions.text import basename
 from stepledger.storage import materialize
 
@@ -41,11 +41,6 @@ def _default_rules() -> Column:
     return F.array(*[rule_columns(F.lit(pattern)) for pattern in DEFAULT_IGNORES])
 
 
-def _parent(path: Column) -> Column:
-    parts = F.split(path, "/")
-    return F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/")
-
-
 def mark_ignored(files: DataFrame, rules: DataFrame, root: str) -> DataFrame:
     """Files with a column ``ignored`` by the rules ``(root, pos, pattern)`` of their own root, after the defaults.
 
@@ -108,14 +103,13 @@ def files_to_ship(dependencies: DataFrame, files: DataFrame, rules: DataFrame, r
 def dir_sizes(files: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
     """Recursive bytes of every folder, the root as the empty path.
 
-    The files of one folder are summed first, so only one row per folder is multiplied by its depth.
+    The files of one folder are summed first, so only one row per folder is multiplied by its depth. Folders are cut out by
+    compiled string functions: a function of arrays per row would cost more than the sums.
     """
-    direct = files.groupBy(*keys, _parent(F.col("path")).alias("folder")).agg(F.sum("length").alias("length"))
-    above = F.when(F.col("folder") == "", F.array(F.lit(""))).otherwise(
-        F.array_append(ancestors(F.col("folder")), F.col("folder"))
-    )
+    direct = files.groupBy(*keys, parent_of(F.col("path")).alias("folder")).agg(F.sum("length").alias("length"))
+    above = direct.select(*keys, "folder", "length", F.explode(F.sequence(F.lit(0), depth_of(F.col("folder")))).alias("_depth"))
     return (
-        direct.select(*keys, F.explode(above).alias("dir"), "length")
+        above.select(*keys, folder_at(F.col("folder"), F.col("_depth")).alias("dir"), "length")
         .groupBy(*keys, "dir")
         .agg(F.sum("length").alias("size"))
     )
@@ -126,11 +120,12 @@ def dir_size(files: DataFrame, requests: DataFrame, keys: Sequence[str] = ("run_
 
     A file is counted only at the depths at which its key has requests, and files of other keys are not looked at.
     """
-    depths = requests.groupBy(*keys).agg(F.collect_set(depth_of(F.col("dir"))).alias("_depths"))
+    depths = requests.select(*keys, depth_of(F.col("dir")).alias("_depth")).distinct()
     sizes = (
         files.select(*keys, "path", "length")
         .join(depths, list(keys))
-        .select(*keys, F.explode(folders_at(F.col("path"), F.col("_depths"))).alias("dir"), "length")
+        .filter(F.col("_depth") <= slashes(F.col("path")))
+        .select(*keys, folder_at(F.col("path"), F.col("_depth")).alias("dir"), "length")
         .groupBy(*keys, "dir")
         .agg(F.sum("length").alias("size"))
     )

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepledger.functions.paths import depth_of, folders_at, resolve_path, within_boundary
+from stepledger.functions.paths import depth_of, folder_at, resolve_path, slashes, within_boundary
 
 W = "workspace_id"
 _RUN = [W, "run_id"]
@@ -132,9 +132,10 @@ def list_artifacts(requests: DataFrame, state: DataFrame, files: DataFrame) -> D
     asked = asked.withColumn("error", error).withColumn("dir", F.substring(resolve_path(top, below), 2, 1 << 30))
     wanted = asked.filter("error IS NULL").select(*_RUN, "dir").distinct()
     # Files of requested runs only, and only at the depths that were asked for.
-    depths = wanted.groupBy(*_RUN).agg(F.collect_set(depth_of(F.col("dir"))).alias("depths"))
-    inner = files.filter(F.startswith("path", F.lit("artifacts/"))).join(depths, _RUN).select(
-        *_RUN, F.col("path").alias("file"), "length", F.explode(folders_at(F.col("path"), F.col("depths"))).alias("dir")
+    depths = wanted.select(*_RUN, depth_of(F.col("dir")).alias("depth")).distinct()
+    reached = F.col("depth") <= slashes(F.col("path"))
+    inner = files.filter(F.startswith("path", F.lit("artifacts/"))).join(depths, _RUN).filter(reached).select(
+        *_RUN, F.col("path").alias("file"), "length", folder_at(F.col("path"), F.col("depth")).alias("dir")
     )
     rest = F.when(F.col("dir") == "", F.col("file")).otherwise(F.substring(F.col("file"), F.length("dir") + 2, F.length("file")))
     nested = F.contains(rest, F.lit("/"))

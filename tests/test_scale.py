@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from stepledger.operators.events import failed_stderr_tail
+from stepledger.operators.files import dir_size, dir_sizes
 from stepledger.operators.history import latest_run_per_step
 from stepledger.operators.reports import languages_by_category, rank_in_list
 from stepledger.scale import number_rows
@@ -107,3 +108,17 @@ def test_no_cross_joins_or_hints(spark):
     own = [p for p in Path(__file__).parent.parent.joinpath("stepledger").rglob("*.py") if "llm" not in p.parts]
     source = "\n".join(p.read_text() for p in own)
     assert "crossJoin" not in source and "localCheckpoint" not in source and "broadcast(" not in source
+
+
+def test_folders_are_cut_out_by_compiled_functions(spark):
+    """No function of arrays and no list of depths per key, which run row by row outside the compiled plan."""
+    table = [("r", "a/b/x", 1), ("r", "a//y", 2), ("r", "z", 4), ("r", None, 8), (None, "a/x", 16), ("q", "", 32)]
+    files = spark.createDataFrame(table, "run_id STRING, path STRING, length BIGINT")
+    asked = spark.createDataFrame([("r", "a"), ("r", "a"), ("r", "a/"), (None, "a"), ("q", "")], "run_id STRING, dir STRING")
+    sums, found = dir_sizes(files), dir_size(files, asked)
+    for df in (sums, found):
+        assert not re.search(r"lambdafunction|collect_set|ObjectHashAggregate", plan(df))
+    expected = {("r", "", 7), ("r", "a", 3), ("r", "a/b", 1), ("r", "a/", 2), (None, "", 16), (None, "a", 16), ("q", "", 32)}
+    assert {tuple(r) for r in sums.collect()} == expected
+    got = sorted((tuple(r) for r in found.collect()), key=repr)
+    assert got == sorted([("r", "a", 3), ("r", "a", 3), ("r", "a/", 2), (None, "a", 0), ("q", "", 32)], key=repr)
