@@ -191,8 +191,16 @@ class Views:
         return event_envelope(number_rows(self._flat_events(), ["job_id"], ["ts", "event_id"], "seq"))
 
     def steps(self) -> DataFrame:
-        numbered = number_rows(self.table("orders"), ["o_custkey"], ["o_orderkey"], "i", start=1)
-        return self._sql(_V_STEPS, numbered=numbered.withColumn("i", F.col("i").cast("int")))
+        """v_steps without price and date: what a step needs of them is worked out before the rows are numbered, and so moved."""
+        key, status = F.col("o_orderkey"), F.col("o_orderstatus")
+        failed, unmet = (status == "F") & (F.col("o_totalprice") > 150000), (status == "P") & (key % 4 == 0)
+        outcome = F.when(failed, F.lit("failed")).when(unmet, F.lit("condition")).otherwise(F.lit("finished"))
+        orders = self.table("orders").select("o_custkey", key, F.left("o_orderpriority", F.lit(1)).alias("prio"), outcome.alias("own_outcome"))
+        numbered = number_rows(orders, ["o_custkey"], ["o_orderkey"], "i", start=1).withColumn("i", F.col("i").cast("int"))
+        return numbered.select(
+            F.col("o_custkey").cast("string").alias("pipeline_id"), "i", F.concat(F.lit("s"), "i").alias("step_id"),
+            F.concat(F.lit("img"), key % 9).alias("image"), "prio", "own_outcome", key,
+        )
 
     def inputs(self, steps: DataFrame | None = None) -> DataFrame:
         """v_edges: all inputs of a step come from one pass over the steps."""

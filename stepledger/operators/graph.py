@@ -102,11 +102,8 @@ def _peel(steps: DataFrame, links: DataFrame, folder: str) -> int:
         level += 1
 
 
-def topological_levels(steps: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(pipeline_id, step_id, level)``: 0 without existing deps, else one more than the deepest dep.
-
-    Steps on or behind a cycle get no row.
-    """
+def _levels(steps: DataFrame, edges: DataFrame) -> tuple[DataFrame, bool]:
+    """The levels, and whether a cycle keeps some steps from having one."""
     spark = steps.sparkSession
     folder = work_path(spark, "levels")
     with work_table(existing_deps(edges, steps).select(*_NODE, "dep_id"), "links") as links:
@@ -115,7 +112,16 @@ def topological_levels(steps: DataFrame, edges: DataFrame) -> DataFrame:
     stuck = rounds.filter((F.col("level") == last) & ~F.col("spent"))
     above = rounds.filter("spent").groupBy(*_NODE).agg(F.max("level").alias("below"))
     placed = steps.select(*_NODE).distinct().join(stuck, _NODE, "left_anti").join(above, _NODE, "left")
-    return placed.select(*_NODE, F.coalesce(F.col("below") + 1, F.lit(0)).alias("level"))
+    cyclic = path_exists(spark, f"{folder}/level={last}/spent=false")
+    return placed.select(*_NODE, F.coalesce(F.col("below") + 1, F.lit(0)).alias("level")), cyclic
+
+
+def topological_levels(steps: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(pipeline_id, step_id, level)``: 0 without existing deps, else one more than the deepest dep.
+
+    Steps on or behind a cycle get no row.
+    """
+    return _levels(steps, edges)[0]
 
 
 def cyclic_steps(steps: DataFrame, edges: DataFrame) -> DataFrame:
@@ -237,9 +243,9 @@ def active_levels(levels: DataFrame, active: DataFrame, renumber: bool = False)
 
 def execution_plan(steps: DataFrame, edges: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """``(pipeline_id, level, step_id)`` of the active steps in run order."""
-    levels = topological_levels(steps, edges)
+    levels, cyclic = _levels(steps, edges)
     # Without cycles every step leads to a leaf, so all steps are active unless targets are given.
-    if targets is not None or levels.count() < steps.select(*_NODE).distinct().count():
+    if targets is not None or cyclic:
         levels = active_levels(levels, active_steps(steps, edges, targets))
     return levels.select(P, "level", "step_id")
 
@@ -299,93 +305,85 @@ def dry_run(
     ``has_inputs`` (true for an input list, even an empty one; without it, true for a step with edges);
     ``state`` and ``runs`` are keyed by ``pipeline_id``. An input that is named twice adds its run id twice. A step is cached if its fingerprint, which includes
     the run ids of its cached deps, equals the stored one and the stored run still exists. A step that would
-    run has no run id yet, so whatever depends on it changes too; hence the loop over levels.
+    run has no run id yet, so whatever depends on it changes too; hence the loop over levels. A step whose condition is
+    false is skipped, and so is what lies behind a skipped step over required edges; the same loop hands that on.
     """
     spark = steps.sparkSession
     plan = materialize(execution_plan(steps, edges, targets), "plan")
-    if "condition_met" in steps.columns:
-        unmet = steps.filter(~F.col("condition_met")).select(*_NODE).join(plan, _NODE, "left_semi")
-        unmet = materialize(unmet, "unmet")
-        blocked = blocked_steps(edges, unmet)
-    else:
-        unmet = blocked = plan.select(*_NODE).limit(0)
-    skipped = (
-        unmet.withColumn("rank", F.lit(1))
-        .unionByName(blocked.withColumn("rank", F.lit(0)))
-        .groupBy(*_NODE)
-        .agg(F.min("rank").alias("rank"))
-        .select(*_NODE, F.when(F.col("rank") == 0, F.lit("dependency")).otherwise(F.lit("condition")).alias("reason"))
-    )
-    skipped = materialize(skipped, "skipped")
-
-    stored = state.join(runs.select(P, "run_id").distinct(), [P, "run_id"], "left_semi").select(
-        *_NODE, "run_id", F.col("fingerprint").alias("stored")
-    )
+    conditional = "condition_met" in steps.columns
+    # Half as long as the text; a stored text that no fingerprint can equal stands for none.
+    packed = F.when(F.col("fingerprint").rlike("^[0-9a-f]{64}$"), F.unhex("fingerprint"))
+    stored = state.select(*_NODE, "run_id", packed.alias("stored"))
     settings = [c for c in ("image", "cmd", "setup_cmd", "env", "mounts") if c in steps.columns]
     if "has_inputs" in steps.columns:
         declared = steps.select(*_NODE, "has_inputs")
     else:
         declared = edges.groupBy(*_NODE).agg(F.lit(True).alias("has_inputs"))
     forced = F.lit(force) if isinstance(force, bool) else F.col("step_id").isin(*force)
-    todo_path, link_path, input_path, folder = (work_path(spark, label) for label in ("todo", "todo-links", "inputs", "decided"))
+    unmet = F.coalesce(~F.col("condition_met"), F.lit(False)) if conditional else F.lit(False)
+    labels = ("todo", "todo-runs", "todo-links", "inputs", "decided")
+    todo_path, run_path, link_path, input_path, folder = (work_path(spark, label) for label in labels)
     todo = (
-        steps.select(*_NODE, *settings)
+        steps.select(*_NODE, *settings, unmet.alias("unmet"))
         .join(plan, _NODE)
-        .join(skipped, _NODE, "left_anti")
         .join(stored, _NODE, "left")
         .join(declared, _NODE, "left")
         .withColumn("forced", forced)
     )
     todo.write.partitionBy("level").parquet(todo_path)
     todo = spark.read.schema(todo.schema).parquet(todo_path)
+    # Which of the stored runs still exist is found without their fingerprints and settings.
+    kept = todo.filter("stored IS NOT NULL").select(*_NODE, "run_id", "level").join(runs.select(P, "run_id").distinct(), [P, "run_id"], "left_semi")
+    kept = kept.select(*_NODE, F.lit(True).alias("kept"), "level")
+    kept.write.partitionBy("level").parquet(run_path)
+    kept = spark.read.schema(kept.schema).parquet(run_path)
     # Links lie under the level that they leave, and what they carry under the level that they reach, so that every round reads
     # its own steps, its own inputs and the links to later rounds, and nothing twice.
     uses = F.col("uses") if "uses" in edges.columns else F.lit(1)
+    blocking = F.col("any_required") if conditional else F.lit(False)
     from_level = plan.select(P, F.col("step_id").alias("dep_id"), F.col("level").alias("from_level"))
-    links = edges.select(*_NODE, "dep_id", uses.cast("int").alias("uses")).join(plan, _NODE).join(from_level, [P, "dep_id"])
+    links = edges.select(*_NODE, "dep_id", uses.cast("int").alias("uses"), blocking.alias("blocking")).join(plan, _NODE).join(from_level, [P, "dep_id"])
     links.write.partitionBy("from_level").parquet(link_path)
     links = spark.read.schema(links.schema).parquet(link_path)
 
     depth = (plan.agg(F.max("level")).first()[0] or 0) + 1
-    text, number = T.StringType(), T.IntegerType()
-    node_fields = [T.StructField(P, text), T.StructField("step_id", text)]
-    decided_schema = T.StructType([*node_fields, T.StructField("run_id", text), T.StructField("cached", T.BooleanType()), T.StructField("level", number)])
-    input_schema = T.StructType([*node_fields, T.StructField("ids", T.ArrayType(text)), T.StructField("level", number)])
+    decided_schema = f"{P} STRING, step_id STRING, run_id STRING, cached BOOLEAN, reason STRING, level INT"
+    input_schema = f"{P} STRING, step_id STRING, ids ARRAY<STRING>, level INT"
+    skipped = F.coalesce(F.col("reason").isin("dependency", "condition"), F.lit(False))
     for level in range(depth):
         here = todo.filter(F.col("level") == level)
         if path_exists(spark, input_path):
-            # One list per step, as long as the input list of that step's definition: an id for every time it is named.
+            # One list per step, as long as the input list of that step's definition: an id for every time it is named. A null
+            # instead of a list comes over a required link from a step that is skipped.
             came = spark.read.schema(input_schema).parquet(input_path).filter(F.col("level") == level)
-            inputs = came.groupBy(*_NODE).agg(F.flatten(F.collect_list("ids")).alias("ids"))
+            inputs = came.groupBy(*_NODE).agg(F.flatten(F.collect_list("ids")).alias("ids"), F.bool_or(F.col("ids").isNull()).alias("blocked"))
         else:
-            inputs = here.select(*_NODE, F.array().cast("array<string>").alias("ids")).limit(0)
+            inputs = here.select(*_NODE, F.array().cast("array<string>").alias("ids"), F.lit(False).alias("blocked")).limit(0)
         ids = F.when(F.col("has_inputs"), F.coalesce("ids", F.array().cast("array<string>")))
         setting = lambda name: F.col(name) if name in settings else None
         current = fingerprint(
             F.col("image"), F.col("cmd"), setting("setup_cmd"), setting("env"), ids, setting("mounts")
         )
-        cached = F.coalesce(F.col("stored") == current, F.lit(False)) & ~F.col("forced")
+        # Being blocked is tested first and wins.
+        reason = F.when(F.col("blocked"), F.lit("dependency")).when(F.col("unmet"), F.lit("condition"))
+        same = F.coalesce(F.col("kept") & (F.col("stored") == F.unhex(current)), F.lit(False))
         (
             here.join(inputs, _NODE, "left")
-            .withColumn("cached", cached)
-            .select(*_NODE, F.when(F.col("cached"), F.col("run_id")).alias("run_id"), "cached")
+            .join(kept.filter(F.col("level") == level).drop("level"), _NODE, "left")
+            .withColumn("reason", reason)
+            .withColumn("cached", F.col("reason").isNull() & ~F.col("forced") & same)
+            .select(*_NODE, F.when(F.col("cached"), F.col("run_id")).alias("run_id"), "cached", F.when(F.col("cached"), F.lit("cached")).otherwise(F.col("reason")).alias("reason"))
             .write.parquet(f"{folder}/level={level}")
         )
-        known = spark.read.schema(decided_schema).parquet(f"{folder}/level={level}").filter("cached")
-        carried = links.filter(F.col("from_level") == level).join(known.select(P, F.col("step_id").alias("dep_id"), "run_id"), [P, "dep_id"])
-        carried = carried.select(*_NODE, F.array_repeat("run_id", F.col("uses")).alias("ids"), "level")
+        known = spark.read.schema(decided_schema).parquet(f"{folder}/level={level}").filter(F.col("cached") | skipped)
+        carried = links.filter(F.col("from_level") == level).join(known.select(P, F.col("step_id").alias("dep_id"), "run_id", "cached"), [P, "dep_id"])
+        carried = carried.filter(F.col("cached") | F.col("blocking"))
+        carried = carried.select(*_NODE, F.when(F.col("cached"), F.array_repeat("run_id", F.col("uses"))).alias("ids"), "level")
         carried.write.mode("append").partitionBy("level").parquet(input_path)
-    for path in (todo_path, link_path, input_path):
+    for path in (todo_path, run_path, link_path, input_path):
         remove_path(spark, path)
-    decided = spark.read.schema(decided_schema).parquet(folder)
-    return decided.select(
-        *_NODE,
-        F.when(F.col("cached"), F.lit("cached")).otherwise(F.lit("would_run")).alias("outcome"),
-        F.when(F.col("cached"), F.lit("cached")).alias("reason"),
-        "run_id",
-    ).unionByName(
-        skipped.select(*_NODE, F.lit("skipped").alias("outcome"), "reason", F.lit(None).cast("string").alias("run_id"))
-    )
+    outcome = F.when(F.col("cached"), F.lit("cached")).when(skipped, F.lit("skipped")).otherwise(F.lit("would_run"))
+    return spark.read.schema(decided_schema).parquet(folder).select(*_NODE, outcome.alias("outcome"), "reason", "run_id")
 
 
 def job_outcome(outcomes: DataFrame) -> DataFrame:

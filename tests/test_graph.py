@@ -227,3 +227,21 @@ def test_settled_links_are_not_read_again(spark, tmp_path):
     links = spark.createDataFrame([("p", f"s{i // 2}", f"s{i}") for i in range(2, 512)], "pipeline_id STRING, step_id STRING, dep_id STRING")
     assert G._peel(steps, links, str(tmp_path)) == 7
     assert spark.read.parquet(str(tmp_path)).count() <= 3 * 510
+
+
+def test_dry_run_skips_only_what_runs(spark):
+    """Skips go along with the levels: through blocked steps, over required edges, to steps of the plan only."""
+    graph = {"a": [], "b": ["a"], "c": [("b", True)], "d": ["b"], "e": ["d"], "x": ["a"], "y": ["x"], "z": ["z", "a"]}
+    steps, edges = make(spark, {"p": graph})
+    # Both "a" and "d" have a condition that is false, "x" and "y" are not asked for, "z" waits for itself.
+    steps = steps.withColumns({"image": F.lit("i"), "cmd": F.array(F.lit("k")), "condition_met": ~F.col("step_id").isin("a", "d")})
+    state = steps.select("pipeline_id", "step_id", F.concat(F.lit("r"), "step_id").alias("run_id"), F.upper(F.sha2(F.lit("i"), 256)).alias("fingerprint"))
+    targets = steps.filter("step_id IN ('c', 'e')").select("pipeline_id", "step_id")
+    found = G.dry_run(steps, edges, state, state.select("pipeline_id", "run_id"), targets=targets)
+    assert {r.step_id: (r.outcome, r.reason, r.run_id) for r in found.collect()} == {
+        "a": ("skipped", "condition", None),
+        "b": ("skipped", "dependency", None),
+        "c": ("would_run", None, None),
+        "d": ("skipped", "dependency", None),
+        "e": ("skipped", "dependency", None),
+    }
