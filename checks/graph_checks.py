@@ -135,15 +135,14 @@ outcomes AS (SELECT s.pipeline_id, s.step_id, s.i, CASE WHEN b.step_id IS NOT NU
     FROM v_steps s LEFT JOIN blocked b ON s.pipeline_id = b.pipeline_id AND s.step_id = b.step_id)"""
 
 
-def _outcomes(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
-    steps, found = _graph(v)
-    own = steps.select(*_NODE, F.col("own_outcome").alias("outcome"))
-    return steps, found, G.step_outcomes(steps, found, own)
+def _own(steps: DataFrame) -> DataFrame:
+    return steps.select(*_NODE, F.col("own_outcome").alias("outcome"))
 
 
 @check("g7_step_outcomes", f"WITH {_OUTCOMES} SELECT pipeline_id, step_id, outcome, reason FROM outcomes")
 def outcomes(v: Views) -> DataFrame:
-    return _outcomes(v)[2].withColumn("reason", F.coalesce("reason", F.lit("-")))
+    steps, found = _graph(v)
+    return G.step_outcomes(steps, found, _own(steps)).withColumn("reason", F.coalesce("reason", F.lit("-")))
 
 
 @check(
@@ -153,8 +152,9 @@ def outcomes(v: Views) -> DataFrame:
     FROM outcomes JOIN levels USING (pipeline_id, step_id) GROUP BY pipeline_id""",
 )
 def jobs(v: Views) -> DataFrame:
-    steps, found, result = _outcomes(v)
-    placed = result.join(G.topological_levels(steps, found), _NODE).join(
+    steps, found = _graph(v)
+    levels = materialize(G.topological_levels(steps, found), "levels")
+    placed = G.step_outcomes(steps, found, _own(steps), levels=levels).join(levels, _NODE).join(
         steps.select(*_NODE, F.col("i").alias("pos")), _NODE
     )
     return G.job_outcome(placed).withColumn("first_failed", F.coalesce("first_failed", F.lit("-")))

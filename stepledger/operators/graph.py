@@ -265,14 +265,23 @@ def blocked_steps(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def step_outcomes(
-    steps: DataFrame, edges: DataFrame, own_outcome: DataFrame, targets: DataFrame | None = None
+    steps: DataFrame,
+    edges: DataFrame,
+    own_outcome: DataFrame,
+    targets: DataFrame | None = None,
+    levels: DataFrame | None = None,
 ) -> DataFrame:
     """Final ``outcome`` and skip ``reason`` of every active step.
 
+    ``levels``, where they are known and written already, tell whether there is a cycle: without one every step leads to a
+    leaf, so all steps are active unless targets are given, and the way to the leaves need not be followed.
+
     ``own_outcome`` gives what each step would do on its own: ``cached``, ``finished``, ``failed`` or
     ``condition`` (its condition is false). Being blocked is tested first and wins.
     """
-    active = active_steps(steps, edges, targets).select(*_NODE)
+    nodes = steps.select(*_NODE).distinct()
+    acyclic = targets is None and levels is not None and levels.count() == nodes.count()
+    active = nodes if acyclic else active_steps(steps, edges, targets).select(*_NODE)
     own = materialize(
         active.join(own_outcome.select(*_NODE, F.col("outcome").alias("own")), _NODE, "left"), "outcomes"
     )

@@ -245,3 +245,16 @@ def test_dry_run_skips_only_what_runs(spark):
         "d": ("skipped", "dependency", None),
         "e": ("skipped", "dependency", None),
     }
+
+
+def test_known_levels_spare_the_way_to_the_leaves(spark, monkeypatch):
+    """Without a cycle all steps are active; with one the leaves decide, as they do where no levels are given."""
+    for graph, loops in (({"a": [], "b": ["a"], "c": ["b"]}, False), ({"a": [], "b": ["a"], "x": ["y"], "y": ["x", "a"]}, True)):
+        steps, edges = make(spark, {"p": graph})
+        own = steps.withColumn("outcome", F.when(F.col("step_id") == "a", "failed").otherwise("finished"))
+        plain = rows(G.step_outcomes(steps, edges, own), "step_id", "outcome")
+        levels, called, real = G.topological_levels(steps, edges), [], G.active_steps
+        with monkeypatch.context() as patch:
+            patch.setattr(G, "active_steps", lambda *args: called.append(1) or real(*args))
+            assert rows(G.step_outcomes(steps, edges, own, levels=levels), "step_id", "outcome") == plain
+        assert bool(called) == loops
