@@ -132,21 +132,22 @@ def copy_to_output(inputs: DataFrame, step_runs: DataFrame, files: DataFrame) ->
     """Files in the output of each step: those of its copied inputs, then its own; a later path overwrites.
 
     ``inputs`` holds ``(pipeline_id, step_id, pos, dep_id, copy_to_output)``, ``step_runs`` the run of each
-    step, ``files`` the files ``(run_id, path, length)`` that each run wrote itself.
+    step, ``files`` the files ``(run_id, path, length)`` that each run wrote itself. What decides and what is kept is one
+    struct, so a length travels once and equal turns give the same file in every run.
     """
     runs = step_runs.select("pipeline_id", F.col("step_id").alias("dep_id"), "run_id")
     copied = (
         inputs.filter("copy_to_output")
         .join(runs, ["pipeline_id", "dep_id"])
-        .select("pipeline_id", "step_id", "run_id", F.struct(F.lit(0).alias("own"), "pos").alias("turn"))
+        .select("pipeline_id", "step_id", "run_id", F.lit(0).alias("own"), "pos")
     )
     own = step_runs.select(
-        "pipeline_id", "step_id", "run_id", F.struct(F.lit(1).alias("own"), F.lit(0).alias("pos")).alias("turn")
+        "pipeline_id", "step_id", "run_id", F.lit(1).alias("own"), F.lit(0).alias("pos")
     )
     return (
         copied.unionByName(own)
         .join(files.select("run_id", "path", "length"), "run_id")
         .groupBy("pipeline_id", "step_id", "path")
-        .agg(F.max_by(F.struct("run_id", "length"), F.struct("turn", "length")).alias("file"))
+        .agg(F.max(F.struct("own", "pos", "length", "run_id")).alias("file"))
         .select("pipeline_id", "step_id", "path", F.col("file.run_id").alias("source_run"), "file.length")
     )

@@ -162,3 +162,13 @@ def test_dependencies(spark):
         sources ARRAY<STRUCT<host: STRING, container: STRING>>"""
     steps = spark.createDataFrame([("p", [("./src/", "/app")], None), ("p", None, [("src", "/app"), ("alpha", "/a")])], schema)
     assert [r.path for r in I.collect_dependencies(steps).collect()] == ["alpha", "src"]
+
+
+def test_copied_files_of_equal_turns(spark):
+    """What decides also is what is kept: no length travels twice, and of equal turns the same run wins in any order."""
+    inputs = spark.createDataFrame([("p", "c", 0, "a", True), ("p", "c", 0, "b", True)], "pipeline_id STRING, step_id STRING, pos INT, dep_id STRING, copy_to_output BOOLEAN")
+    runs = spark.createDataFrame([("p", s, f"r{s}") for s in "abc"], "pipeline_id STRING, step_id STRING, run_id STRING")
+    files = spark.createDataFrame([("ra", "x", 5), ("rb", "x", 5), ("ra", "y", 9), ("rc", "y", 1)], "run_id STRING, path STRING, length BIGINT")
+    found = I.copy_to_output(inputs, runs, files)
+    assert "max_by" not in found._jdf.queryExecution().toString()
+    assert rows(found.filter("step_id = 'c'"), "path", "source_run", "length") == [("x", "rb", 5), ("y", "rc", 1)]
