@@ -41,6 +41,8 @@ _DOUBLE_LETTERS = {
     "œ": "oe",
     "ŉ": "'n",
 }
+# All of ASCII but letters, digits, ``_`` and ``-``.
+_ASCII_GAPS = "".join(chr(n) for n in range(128) if not chr(n).isalnum() and chr(n) not in "_-")
 _COMBINING_MARKS = "[̀-ͯ︠-︯⃐-⃿]"
 
 
@@ -66,10 +68,14 @@ def strip_accents(text: Column) -> Column:
 
 
 def slugify(name: Column) -> Column:
-    """A free-form name as an identifier of ``[a-z0-9_-]``."""
-    # A run of dashes and other characters becomes one dash.
-    dashed = F.regexp_replace(F.lower(strip_accents(name)), "[^A-Za-z0-9_]+", "-")
-    return F.regexp_replace(dashed, "^-|-$", "")
+    """A free-form name as an identifier of ``[a-z0-9_-]``.
+
+    A run of dashes and other characters becomes one dash. A regex over a class of several ranges costs many times a translated
+    character, so characters of ASCII are translated, and regexes only look for those beyond it and for runs of dashes.
+    """
+    dashed = F.translate(F.lower(strip_accents(name)), _ASCII_GAPS, "-" * len(_ASCII_GAPS))
+    dashed = F.regexp_replace(F.regexp_replace(dashed, r"[^\x00-\x7F]+", "-"), "--+", "-")
+    return F.btrim(dashed, F.lit("-"))
 
 
 def derive_id(id_: Column, name: Column) -> Column:

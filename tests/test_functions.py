@@ -269,3 +269,13 @@ def test_dependencies_of_few_roots_are_written_once(spark, monkeypatch):
     rules = spark.createDataFrame([("a", 0, "y")], "root STRING, pos INT, pattern STRING")
     assert [(r.dependency, r.path) for r in files_to_ship(asked, files, rules, "root").collect()] == [("d", "d/x")]
     assert written == ["asked", "depths", "rules"]
+
+
+def test_slugs_of_odd_characters(spark, wrong):
+    """No regex over a class of several ranges, and the same rows as one gives: controls, line ends, other scripts, runs of both."""
+    chars = [*range(0, 400, 3), 0, 10, 0x85, 0x2028, 0x212A, 0x130, 0x1F600, 0x301]
+    odd = [chr(a) + chr(b) + "x" + chr(a) for a in chars for b in (10, 32, 45, 95, 0x1F600, 0x4E2D)] + ["", "-", "- -", "\n", "-\n", "_-_"]
+    simple = F.regexp_replace(F.lower(text.strip_accents(F.col("p"))), "[^A-Za-z0-9_]+", "-")
+    named = spark.createDataFrame([(p,) for p in odd], "p STRING").withColumn("expected", F.regexp_replace(simple, "^-|-$", ""))
+    assert not wrong([tuple(r) for r in named.collect()], "p STRING, expected STRING", text.slugify(F.col("p")))
+    assert "0-9" not in named.select(text.slugify(F.col("p")))._jdf.queryExecution().optimizedPlan().expressions().toString()
