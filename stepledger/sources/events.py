@@ -12,16 +12,19 @@ from stepledger.sources.ledger import SinkLedger
 from stepledger.storage import work_table
 
 _CORRUPT = "_corrupt"
+#: What may surround a line; the parser itself takes no form feed or vertical tab.
+_BLANKS = " \t\n\x0b\f\r"
 _PARSED = S.ddl({**S.ENVELOPE_DOCUMENT, _CORRUPT: "STRING"})
 
 
 def parse_envelopes(lines: DataFrame) -> DataFrame:
     """Envelopes from a ``value`` column; empty and malformed lines are dropped silently."""
-    text = F.regexp_replace("value", r"^\s+|\s+$", "")
+    text = F.btrim("value", F.lit(_BLANKS))
     parsed = F.from_json(text, _PARSED, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
     return (
         lines.filter(text != "")
-        .select(parsed.alias("e"))
+        # A generator, since a filter is not pushed below it: pushed below a projection it would parse each line once more.
+        .select(F.explode(F.array(parsed)).alias("e"))
         .filter(F.col(f"e.{_CORRUPT}").isNull())
         .select("e.seq", "e.timestamp", "e.version", "e.type", F.col("e.event").cast(S.struct(S.EVENT)).alias("event"))
     )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from stepledger import schemas as S
-from stepledger.operators.session_state import JOB, NAME, merge_state, session_state, state_sessions, state_steps, unsettled_names
+from stepledger.operators.session_state import JOB, KEYS, NAME, merge_state, session_state, state_sessions, state_steps, unsettled_names
 from stepledger.storage import work_table
 
 Deliver = Callable[[DataFrame, DataFrame, int], None]
@@ -27,8 +27,13 @@ def _log_schema(spark: SparkSession) -> str:
 
 
 def append_state(state: DataFrame, path: str, batch_id: int) -> None:
-    """One batch of the log; the same batch again replaces itself. The kinds of rows lie apart, so readers skip those they need not."""
-    state.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/batch={batch_id}")
+    """One batch of the log; the same batch again replaces itself. The kinds of rows lie apart, so readers skip those they need not.
+
+    The rows are dealt to as many tasks as can run at once: written by the tasks of the state store, a batch would be a file per
+    kind and partition of state, however few its rows.
+    """
+    tasks = state.sparkSession.sparkContext.defaultParallelism
+    state.repartition(tasks, *KEYS).write.mode("overwrite").partitionBy("kind").parquet(f"{path}/batch={batch_id}")
 
 
 def write_session_state(events: DataFrame, path: str) -> DataStreamWriter:

@@ -196,6 +196,16 @@ def test_updates_cost_what_arrives(spark, tmp_path):
     assert sum(t for _, t in opened) == 2
 
 
+def test_files_of_a_batch_do_not_follow_the_partitions_of_state(spark, tmp_path):
+    tasks = spark.sparkContext.defaultParallelism
+    rows = [envelope(i, "STEP_STARTING", job=f"j{i}", step="s") for i in range(40 * tasks)]
+    state = session_state(frame(spark, rows)).repartition(5 * tasks, "job_id")
+    append_state(state, f"{tmp_path}/out", 0)
+    for kind in range(3):
+        assert len(list((tmp_path / "out" / "batch=0" / f"kind={kind}").glob("*.parquet"))) <= tasks
+    assert stored_state(spark, f"{tmp_path}/out").count() == 3 * len(rows)
+
+
 def test_names_after_a_restart(spark, tmp_path):
     rows = [envelope(0, "PIPELINE_START", steps=[]), envelope(1, "STEP_STARTING", step="s", display_name="A"), envelope(2, "STEP_FINISHED", step="s", display_name="B"), envelope(3, "PIPELINE_START", steps=[]), envelope(4, "STEP_STARTING", step="s", display_name="B"), envelope(5, "STEP_FINISHED", step="s", display_name="A")]
     table = streamed(spark, tmp_path, rows[3:] + rows[:3], 2)
@@ -225,6 +235,13 @@ def test_ndjson(spark, tmp_path):
     assert row.event.job_id == "j" and row.event.step.display_name == "A"
 
 
+def test_a_line_is_parsed_once(spark):
+    lines = spark.createDataFrame([(" \x0b\f{\"seq\":1}\f\x0b\r",), ("null",), ('{"seq":"a"}',), ("[1]",)], "value STRING")
+    found = parse_envelopes(lines)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    assert [r.seq for r in found.collect()] == [1]
+
+
 def test_fanout(spark, tmp_path):
     df = frame(spark, random_events(1, jobs=1, n=10))
     counts = []
